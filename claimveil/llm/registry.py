@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op9_best_fit_packing
 from .simhash import op2_simhash_near_dedup
+from .token_store import op4_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_token_output": op4_token_output,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
