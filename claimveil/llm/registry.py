@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op6_pareto_mixing
 from .packing import op9_best_fit_packing
 from .simhash import op2_simhash_near_dedup
 from .token_store import op4_token_output
@@ -13,6 +14,7 @@ from .token_store import op4_token_output
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_output": op4_token_output,
+    "op6_pareto_mixing": op6_pareto_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
