@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op6_pareto_mixing
 from .packing import op9_best_fit_packing
+from .secret_scan import op8_secret_scan
 from .simhash import op2_simhash_near_dedup
 from .token_store import op4_token_output
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_output": op4_token_output,
     "op6_pareto_mixing": op6_pareto_mixing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
