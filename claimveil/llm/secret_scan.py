@@ -63,7 +63,7 @@ def _random_part(word: Column) -> Column:
     limit = F.lit(LIMITS[-1][1])
     for pattern, bits in reversed(LIMITS[:-1]):
         limit = F.when(word.rlike(pattern), bits).otherwise(limit)
-    places = F.transform(F.split(word, "(?!^)", -1), lambda c: F.instr(F.lit(ALPHABET), c))
+    places = F.transform(F.regexp_extract_all(word, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
     start = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("end"), limit.alias("limit"), places.alias("places"),
@@ -113,7 +113,7 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ``_base`` and ``_spans``: arrays of (start, rank, end, kind) in order, base patterns' and all.
 
-    Spans found by entropy are added where no base span overlaps them. Null and empty texts have none.
+    Spans found by entropy are added unless they lie inside a base span. Null and empty texts have none.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(SPAN)
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     ]
     found = docs.withColumn("_base", F.array_sort(F.concat(*by_kind)))
     found = found.withColumn("_random", F.when(whole.rlike(CANDIDATE), _entropy(whole)).otherwise(none))
-    new = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    new = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
     return found.withColumn("_spans", F.when(F.size("_random") > 0, F.array_sort(F.concat("_base", new))).otherwise(F.col("_base"))).drop("_random")
 
 
