@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk
 from .langid import op3_language_id
 from .mixing import op6_pareto_mixing
 from .packing import op9_best_fit_packing
@@ -13,14 +14,18 @@ from .quality import op7_quality_classifier
 from .secret_scan import op8_secret_scan
 from .simhash import op2_simhash_near_dedup
 from .token_store import op4_token_output
+from .topk import op5_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_token_output": op4_token_output,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_top_k": topk.ORACLE,
+}
