@@ -10,6 +10,7 @@ from . import topk
 from .langid import op3_language_id
 from .mixing import op6_pareto_mixing
 from .packing import op9_best_fit_packing
+from .pq import op10_pq_near_dedup
 from .quality import op7_quality_classifier
 from .secret_scan import op8_secret_scan
 from .simhash import op2_simhash_near_dedup
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_pq_near_dedup": op10_pq_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": topk.ORACLE,
