@@ -14,10 +14,12 @@ from .pq import op10_pq_near_dedup
 from .quality import op7_quality_classifier
 from .secret_scan import op8_secret_scan
 from .simhash import op2_simhash_near_dedup
+from .substring_dedup import op1_substring_dedup
 from .token_store import op4_token_output
 from .topk import op5_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_token_output": op4_token_output,
