@@ -67,6 +67,13 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, at: int) -> list[bytes]:
     """UTF-8 bytes of a string column; null: empty."""
     column = batch.column(at)

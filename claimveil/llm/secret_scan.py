@@ -146,13 +146,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     def step(s: Column, x: Column) -> Column:
         fresh = x["start"] >= s["at"]
-        kept = F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
+        kept = F.concat(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
         return F.struct(F.when(fresh, kept).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
 
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    found = scan(docs, text)
-    return found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*[f"`{c}`" for c in docs.columns])
+    clean = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
+    found = scan(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(text).alias("text")))
+    new = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
+    return found.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -1,15 +1,69 @@
-"""From documents to packed training sequences, in stages that each call one operator."""
+"""From documents to packed training sequences, in stages that each call one operator on all rows that the last one kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimveil.llm.common import fresh_dir, table
+from claimveil.llm import mixing, packing, quality, secret_scan, simhash
+from claimveil.llm.common import fresh_dir, ship_path, table, unused, word_count
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a score of at least the classifier's threshold; learned from the labels beside the input."""
+    ship_path(spark)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    score = unused(docs, "score")
+    return quality.score(docs, model, name=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates the document with the smallest doc_id.
+
+    Texts without words have one fingerprint and are one group. Rows without a doc_id go if their group has a document
+    with one; repeated ids stay.
+    """
+    ship_path(spark)
+    named = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(named, docs.doc_id.eqNullSafe(named.doc_id), "left_semi")
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of every secret in the texts; n_chars follows."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps each document as many times as the mix takes it; those taken not at all go.
+
+    Rows of one id and size are taken equally often.
+    """
+    key, size, copies = (unused(docs, x) for x in ("mixed_id", "mixed_size", "mixed_copies"))
+    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    taken = docs.join(mixed, docs.doc_id.eqNullSafe(mixed[key]) & (word_count("text") == mixed[size]))
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes; repeated documents are packed once for each time."""
+    ship_path(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL can't express the classifier; tests compare each stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
