@@ -98,3 +98,45 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
 def op6_pareto_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), placed AS (
+  SELECT source, source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM s
+), w AS (
+  SELECT *, [5, 2, 1][CAST(place % 3 + 1 AS INTEGER)] AS weight, 3 * source_size AS most,
+         CAST(sum(source_size) OVER () AS BIGINT) AS total FROM placed
+), f AS (
+  SELECT *, most / weight AS r,
+         CAST(total - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+         / CAST(sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS share
+  FROM w
+), l AS (
+  SELECT r, place, share FROM f WHERE most >= weight * share ORDER BY r, place LIMIT 1
+), t AS (
+  SELECT f.source, f.source_size,
+         CASE WHEN l.place IS NULL OR f.r < l.r OR (f.r = l.r AND f.place < l.place) THEN CAST(f.most AS DOUBLE) ELSE f.weight * l.share END AS target
+  FROM f LEFT JOIN l ON TRUE
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain FROM t
+), q AS (
+  SELECT *, target - certain * source_size AS rest FROM p
+), u AS (
+  SELECT d.doc_id, d.source, d.size, q.source_size, q.target, q.certain, q.rest,
+         (CAST(('0x' || substr(md5('mix-1:' || CAST(d.doc_id AS VARCHAR) || ':'), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), o AS (
+  SELECT *, CASE WHEN rest > 0 AND size > 0 THEN u / (1 - u) / (rest / (source_size - rest)) END AS rank FROM u
+), c AS (
+  SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank IS NULL, rank, doc_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o
+)
+SELECT doc_id, size, source_size, target,
+       CAST((certain + CASE WHEN rank IS NOT NULL AND before + size / 2.0 < rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
+       CAST(certain + CASE WHEN rank IS NOT NULL AND before + size / 2.0 < rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM c
+"""
