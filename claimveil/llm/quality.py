@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
     found = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id")).join(F.broadcast(picked), "id").select("text", "id", "label")
     rows = sorted(map(tuple, found.mapInArrow(run, "id long, label double, x array<double>").collect()))
-    return Trees().fit(np.array([r[2] for r in rows]).reshape(len(rows), -1), np.array([r[1] for r in rows]))
+    x = np.array([r[2] for r in rows]).reshape(len(rows), len(statistics(b"")))
+    return Trees().fit(x, np.array([r[1] for r in rows]))
 
 
 def score(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:

@@ -89,7 +89,7 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         good, x = whole_numbers(b, 1)
         ids += np.array(b.column(0))[good].tolist()
         rows += list(x)
-    sent = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), np.array(rows).reshape(len(ids), -1)))
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), np.array(rows) if ids else np.zeros((0, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(*sent.value, k)
