@@ -158,3 +158,45 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+def _sql_matches(kind: str, rank: int, pattern: str, group: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(generate_series(1, len(m))) AS i, unnest(g[1:len(m)]) AS gap, unnest(m) AS w, unnest(p) AS part FROM (
+      SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS p FROM d) x"""
+
+
+_ALL = [*((k, r, p, g) for r, (k, (p, g, _)) in enumerate(KINDS.items())), ("entropy", 3, f"{BODY}+", 0)]
+_LEAST = " ".join(f"WHEN '{k}' THEN {n}" for k, (_, _, n) in KINDS.items())
+_ALLOW = " OR ".join(f"regexp_matches(w, '{p}')" for p in ALLOWED)
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_sql_matches(*x) for x in _ALL)}),
+placed AS (
+  SELECT doc_id, kind, rank, w, length(part) AS n, sum(length(gap)) OVER o + sum(length(w)) OVER o - length(w) AS s
+  FROM found WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)
+), base AS (
+  SELECT doc_id, kind, rank, s, s + length(w) AS e FROM placed WHERE kind <> 'entropy' AND n >= CASE kind {_LEAST} END
+), words AS (
+  SELECT doc_id, s, w, CASE WHEN regexp_matches(w, '{LIMITS[0][0]}') THEN {LIMITS[0][1]} WHEN regexp_matches(w, '{LIMITS[1][0]}') THEN {LIMITS[1][1]} ELSE {LIMITS[2][1]} END AS bits
+  FROM placed WHERE kind = 'entropy' AND length(w) >= {WINDOW} AND regexp_matches(w, '[0-9]') AND NOT ({_ALLOW})
+), windows AS (
+  SELECT doc_id, s, bits, k, substr(w, k + 1, {WINDOW}) AS v FROM (SELECT *, unnest(generate_series(0, length(w) - {WINDOW})) AS k FROM words) x
+), letters AS (
+  SELECT doc_id, s, bits, k, c, count(*) AS n FROM (SELECT *, unnest(string_split(v, '')) AS c FROM windows) x GROUP BY ALL
+), high AS (
+  SELECT doc_id, s, k FROM letters GROUP BY doc_id, s, k, bits HAVING -sum(n / {WINDOW} * log2(n / {WINDOW})) >= bits - 1e-9
+), random AS (
+  SELECT doc_id, 'entropy' AS kind, 3 AS rank, s + min(k) AS s, s + max(k) + {WINDOW} AS e FROM high GROUP BY doc_id, high.s
+), every AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM random r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e)
+), told AS (
+  SELECT doc_id, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) AS spans,
+         string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) FILTER (kind <> 'entropy') AS base,
+         {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}
+  FROM every GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told ON told.doc_id = d.doc_id
+"""
