@@ -38,17 +38,23 @@ class RunLengthIndex:
         for k in range(8):
             word |= np.where(left > k, symbols[k : k + n], np.uint64(0)) << np.uint64(56 - 8 * k)
         self.word = word
-        #: Ranks by the first 8, 16, 32, ... bytes, until they reach the longest text's end.
+        #: Ranks by the first 8, 24, 72, ... bytes (8, 16, 32, ... in a large index), until they reach the longest text's end.
         self.levels = [(8, _ranks(word))]
+        self.factor, bits = (3, 21) if n < 1 << 21 else (2, 32)
         while n and self.levels[-1][0] < self.lengths.max():
             size, rank = self.levels[-1]
-            second = np.zeros(n, np.int64)
-            second[: n - size] = rank[size:]
-            second[left <= size] = 0
-            self.levels.append((2 * size, _ranks(rank << 32 | second)))
+            joined = rank
+            for k in range(1, self.factor):
+                following = np.zeros(n, np.int64)
+                following[: max(n - k * size, 0)] = rank[k * size :]
+                following[left <= k * size] = 0
+                joined = joined << bits | following
+            self.levels.append((self.factor * size, _ranks(joined)))
         place = np.sort(self.levels[-1][1] << 32 | np.arange(n)) if n else np.zeros(0, np.int64)
         self.suffixes = place & 0xFFFFFFFF
-        before = np.where(np.isin(self.suffixes, self.starts), -1, t[self.suffixes - 1].astype(np.int64)) if n else np.zeros(0, np.int64)
+        previous = np.concatenate((np.full(min(n, 1), -1, np.int16), t[:-1].astype(np.int16)))
+        previous[self.starts[self.starts < n]] = -1
+        before = previous[self.suffixes]
         #: Runs of the transform: first rows, bytes (-1: a text begins), and the suffixes at both ends.
         self.run_starts = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] < 0)))) if n else np.zeros(0, np.int64)
         self.heads = before[self.run_starts]
@@ -61,9 +67,10 @@ class RunLengthIndex:
         most = np.minimum(self.ends[a] - a, self.ends[b] - b)
         done = np.zeros(len(a), np.int64)
         for size, rank in reversed(self.levels):
-            fits = done + size <= most
-            x, y = np.where(fits, a + done, a), np.where(fits, b + done, b)
-            done += size * (fits & (rank[x] == rank[y]))
+            for _ in range(self.factor - 1):
+                fits = done + size <= most
+                x, y = np.where(fits, a + done, a), np.where(fits, b + done, b)
+                done += size * (fits & (rank[x] == rank[y]))
         inside = done < most
         differ = self.word[np.where(inside, a + done, a)] ^ self.word[np.where(inside, b + done, b)]
         same = np.zeros(len(a), np.int64)

@@ -24,7 +24,7 @@ from .rindex import RunLengthIndex
 
 LENGTH, KEY = 50, 24
 #: Bytes of text in a chunk, in a part of the name table and in an index part, on average.
-CHUNK, NAMES, PART = 6 << 20, 64 << 20, 8 << 20
+CHUNK, NAMES, PART = 6 << 20, 32 << 20, 4 << 20
 #: Windows in a segment at most, and bytes of documents that are hashed at a time.
 WINDOWS, SLICE = 200, 1 << 20
 BASE = 0x100000001B3
@@ -78,6 +78,19 @@ class Segments:
         kept = windows > 0
         self.name, self.doc, self.first, self.windows = v[starts[kept]], doc[kept], starts[kept], windows[kept]
 
+    def keys(self, at: np.ndarray, length: int) -> np.ndarray:
+        """64-bit fingerprints of some segments' whole texts, with their names and lengths mixed in."""
+        n = len(self.data)
+        power, inverse = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
+        power[0] = inverse[0] = 1
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[:n], out=total[1:])
+        first, size = self.first[at], self.windows[at] + length - 1
+        h = (total[first + size] - total[first]) * np.multiply.accumulate(inverse)[first]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + self.name[at]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + size.astype(np.uint64)
+        return h ^ (h >> np.uint64(32))
+
 
 def _documents(chunk: pa.Table) -> tuple[list[int | None], list[bytes]]:
     """Ids and bytes of a chunk's rows, always in the same order."""
@@ -98,35 +111,51 @@ def _placed(names: np.ndarray, parts: int) -> np.ndarray:
 
 
 class _Repeats:
-    """A chunk's distinct segments of repeated names, by index part, in the order in which they come."""
-
-    def __init__(self, repeated: np.ndarray, parts: int, length: int):
-        self.repeated, self.parts, self.length = repeated, parts, length
-        self.number: dict[bytes, int] = {}
-        self.names, self.least, self.part = [], [], []
-
-    def of(self, ids: np.ndarray, s: Segments) -> tuple[np.ndarray, np.ndarray]:
-        """Which segments have repeated names, and their numbers among the chunk's distinct ones."""
-        at = np.searchsorted(self.repeated, s.name)
-        at[at == len(self.repeated)] = 0
-        mine = np.flatnonzero(self.repeated[at] == s.name) if len(self.repeated) else np.zeros(0, np.int64)
-        data, numbers = s.data.tobytes(), np.empty(len(mine), np.int64)
-        for k, (a, n, name, doc) in enumerate(zip(s.first[mine].tolist(), (s.windows[mine] + self.length - 1).tolist(), s.name[mine].tolist(), ids[s.doc[mine]].tolist())):
-            text = data[a : a + n]
-            number = self.number.setdefault(text, len(self.names))
-            if number == len(self.names):
-                self.names.append(name)
-                self.least.append(doc)
-            elif doc < self.least[number]:
-                self.least[number] = doc
-            numbers[k] = number
-        return mine, numbers
-
-    def order(self) -> tuple[np.ndarray, np.ndarray]:
-        """Segments by index part, and where each part ends."""
-        part = np.array(self.names, np.uint64) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(self.parts + 1, dtype=np.uint64))
+    """A chunk's segments of repeated names: its distinct ones, by index part and fingerprint, and where each occurs."""
+
+    def __init__(self, ids: list, texts: list[bytes], repeated: np.ndarray, parts: int, length: int):
+        self.slices, keys, names, owners = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, own, s in _in_slices(ids, texts, length, parts):
+            at = np.minimum(np.searchsorted(repeated, s.name), max(len(repeated) - 1, 0))
+            mine = np.flatnonzero(repeated[at] == s.name) if len(repeated) else np.zeros(0, np.int64)
+            keys.append(s.keys(mine, length))
+            names.append(s.name[mine])
+            owners.append(own[s.doc[mine]])
+            self.slices.append((a, own, s.data, s.begins, s.ends, s.doc[mine], s.first[mine], s.windows[mine]))
+        keys, names, owners = np.concatenate(keys), np.concatenate(names), np.concatenate(owners)
+        order = np.lexsort((owners, keys, names >> np.uint64(32)))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (names[order][1:] >> np.uint64(32) != names[order][:-1] >> np.uint64(32))
+        #: Of each distinct segment: an occurrence, fingerprint, name and smallest document; of each occurrence its segment.
+        self.occurrence = order[fresh]
+        self.key, self.name, self.least = keys[self.occurrence], names[self.occurrence], owners[self.occurrence]
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(fresh) - 1
+        self.ends = np.searchsorted(self.name >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+
+    def texts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the distinct segments, and their bytes side by side."""
+        sizes, bodies, at = [np.zeros(0, np.int64)], [], 0
+        place = np.argsort(self.occurrence)
+        found = self.occurrence[place]
+        for _, _, data, _, _, _, first, windows in self.slices:
+            low, high = np.searchsorted(found, (at, at + len(first)))
+            mine = found[low:high] - at
+            sizes.append(windows[mine] + length - 1)
+            bodies.append(data[_spread(first[mine], sizes[-1])])
+            at += len(first)
+        sizes, body = np.concatenate(sizes), np.concatenate([np.zeros(0, np.uint8), *bodies])
+        begin = np.cumsum(sizes) - sizes
+        back = np.argsort(place)  # from the order of occurrence to that of parts
+        return sizes[back], body[_spread(begin[back], sizes[back])]
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... up to each size, one after the other."""
+    kind = np.int32 if len(begins) == 0 or max(int(begins.max()), int(sizes.sum())) < 1 << 30 else np.int64
+    out = np.repeat((begins - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
+    out += np.arange(len(out), dtype=kind)
+    return out
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -145,25 +174,25 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _owners(segments: list[bytes], names: np.ndarray, least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct segment, the smallest document of each of its windows.
+def _owners(names: np.ndarray, least: np.ndarray, sizes: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
+    """For the windows of distinct segments, which lie side by side in the order of their names, the smallest document each.
 
     Where a name has one text only, all its windows are that text's. The others are indexed in pieces of whole names.
     """
-    order = np.argsort(names, kind="stable")
-    bounds = np.append(np.flatnonzero(np.concatenate(([True], names[order][1:] != names[order][:-1]))), len(order))
-    out: list[np.ndarray | None] = [None] * len(segments)
-    groups = [order[a:b] for a, b in zip(bounds, bounds[1:])]
-    for g in groups:
-        if len(g) == 1:
-            out[g[0]] = np.full(len(segments[g[0]]) - length + 1, least[g[0]])
-    many = [g for g in groups if len(g) > 1]
-    for a, b in slices([sum(len(segments[k]) for k in g) for g in many], SLICE):
-        piece = np.concatenate(many[a:b])
-        index = RunLengthIndex([segments[k] for k in piece])
-        owner = index.least(least[piece], length)
-        for k, start, n in zip(piece.tolist(), index.starts.tolist(), index.lengths.tolist()):
-            out[k] = owner[start : start + n - length + 1]
+    windows = sizes - length + 1
+    out = np.repeat(least, windows)
+    before, begin = np.cumsum(windows) - windows, np.cumsum(sizes) - sizes
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    count = np.diff(np.append(first, len(names)))
+    groups = np.flatnonzero(count > 1)
+    longest = np.maximum.reduceat(sizes, first)[groups] if len(first) else groups
+    groups = groups[np.argsort(longest, kind="stable")]  # few long segments don't make the others' ranks dearer
+    total = np.add.reduceat(sizes, first) if len(first) else sizes
+    for a, b in slices(total[groups].tolist(), SLICE):
+        at = _spread(first[groups[a:b]], count[groups[a:b]])
+        index = RunLengthIndex([body[begin[k] : begin[k] + sizes[k]].tobytes() for k in at.tolist()])
+        owner = index.least(least[at], length)
+        out[_spread(before[at], windows[at])] = owner[_spread(index.starts, windows[at])]
     return out
 
 
@@ -211,71 +240,65 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
         sent = [_loose(x) for x in group.column("names").to_pylist()]
         told, count = np.unique(np.concatenate(sent), return_counts=True)
         told = told[count > 1]
-        back = [np.intersect1d(x, told) for x in sent]
+        told = np.append(told, np.uint64(0xFFFFFFFFFFFFFFFF))  # no name
+        back = [x[told[np.searchsorted(told, x)] == x] for x in map(np.unique, sent)]
         return pa.table({"chunk": group.column("chunk"), "names": pa.array([_tight(x) for x in back], pa.binary())})
 
     def names_of(flags: pa.Table) -> np.ndarray:
         sent = [_loose(x) for x in flags.column("names").to_pylist()]
         return np.sort(np.concatenate([np.zeros(0, np.uint64), *sent]))
 
-    def collect(group: pa.Table, flags: pa.Table) -> tuple[list, list[bytes], _Repeats, list]:
-        ids, texts = _documents(group)
-        repeats, found = _Repeats(names_of(flags), parts, length), []
-        for a, own, s in _in_slices(ids, texts, length, parts):
-            mine, numbers = repeats.of(own, s)
-            found.append((a, own, s.begins, s.ends, s.doc[mine], s.first[mine], numbers))
-        return ids, texts, repeats, found
-
     def send(group: pa.Table, flags: pa.Table) -> pa.Table:
         """The chunk's distinct segments of repeated names, by index part."""
-        _, _, repeats, _ = collect(group, flags)
-        order, ends = repeats.order()
-        segments, names, least = list(repeats.number), np.array(repeats.names, np.uint64), np.array(repeats.least, np.int64)
-        full, blobs = np.flatnonzero(np.diff(ends)), []
-        for p in full:
-            at = order[ends[p] : ends[p + 1]]
-            told = [segments[k] for k in at]
-            blobs.append(_pack(names[at], least[at], np.array([len(x) for x in told], np.int32), b"".join(told)))
+        repeats = _Repeats(*_documents(group), names_of(flags), parts, length)
+        sizes, body = repeats.texts(length)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        full, blobs = np.flatnonzero(np.diff(repeats.ends)), []
+        for a, b in zip(repeats.ends[full], repeats.ends[full + 1]):
+            blobs.append(_pack(repeats.name[a:b], repeats.key[a:b], repeats.least[a:b], sizes[a:b].astype(np.int32), body[upto[a] : upto[b]]))
         here = group.column("chunk")[0].as_py() if len(group) else -1
         return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array([here] * len(full), pa.int32()), "segments": pa.array(blobs, pa.binary())})
 
     def index(group: pa.Table) -> pa.Table:
         """For each chunk's segments, in its order, the smallest documents of their windows, in runs."""
-        number: dict[bytes, int] = {}
-        names, least, sent = [], [], []
-        for blob in group.column("segments").to_pylist():
-            name_, least_, lengths, body = _unpack(blob, np.uint64, np.int64, np.int32, np.uint8)
-            body, ends, mine = body.tobytes(), np.cumsum(lengths).tolist(), []
-            for a, b, x, d in zip([0, *ends], ends, name_.tolist(), least_.tolist()):
-                k = number.setdefault(body[a:b], len(names))
-                if k == len(names):
-                    names.append(x)
-                    least.append(d)
-                elif d < least[k]:
-                    least[k] = d
-                mine.append(k)
-            sent.append(mine)
-        owners = _owners(list(number), np.array(names, np.uint64), np.array(least, np.int64), length)
-        runs = []
-        for o in owners:
-            at = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-            runs.append((np.diff(np.append(at, len(o))).astype(np.uint16), o[at]))
-        blobs = [
-            _pack(np.array([len(runs[k][0]) for k in mine], np.uint16), np.concatenate([runs[k][0] for k in mine]), np.concatenate([runs[k][1] for k in mine]))
-            for mine in sent
-        ]
+        sent = [_unpack(blob, np.uint64, np.uint64, np.int64, np.int32, np.uint8) for blob in group.column("segments").to_pylist()]
+        counts = [len(x[0]) for x in sent]
+        names, keys, least, sizes, body = (np.concatenate(x) for x in zip(*sent))
+        sizes, sent = sizes.astype(np.int64), None
+        order = np.lexsort((least, keys, names))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (names[order][1:] != names[order][:-1])
+        mine, number = order[fresh], np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        body = body[_spread((np.cumsum(sizes) - sizes)[mine], sizes[mine])]
+        owner = _owners(names[mine], least[mine], sizes[mine], body, length)
+        windows = sizes[mine] - length + 1
+        starts = np.cumsum(windows) - windows
+        change = np.ones(len(owner), bool)
+        change[1:] = owner[1:] != owner[:-1]
+        change[starts] = True
+        runs = np.flatnonzero(change)
+        wide, owner = np.diff(np.append(runs, len(owner))).astype(np.uint16), owner[runs]
+        begin = np.searchsorted(runs, starts)
+        count = np.diff(np.append(begin, len(runs)))
+        blobs, at = [], 0
+        for n in counts:
+            k = number[at : at + n]
+            at += n
+            told = _spread(begin[k], count[k])
+            blobs.append(_pack(count[k].astype(np.uint16), wide[told], owner[told]))
         return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "owners": pa.array(blobs, pa.binary())})
 
     def finish(group: pa.Table, answer: pa.Table) -> pa.Table:
-        ids, texts, repeats, found = collect(group, answer.filter(answer.column("names").is_valid()))
+        ids, texts = _documents(group)
+        repeats = _Repeats(ids, texts, names_of(answer.filter(answer.column("names").is_valid())), parts, length)
         answer = answer.filter(answer.column("owners").is_valid())
-        order, ends = repeats.order()
         # of each segment: how many runs of windows it has, and where they begin among all runs
-        count, begin = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        count, begin = np.zeros(len(repeats.key), np.int64), np.zeros(len(repeats.key), np.int64)
         windows, owners, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for p, blob in zip(answer.column("part").to_pylist(), answer.column("owners").to_pylist()):
             c, w, o = _unpack(blob, np.uint16, np.uint16, np.int64)
-            mine = order[ends[p] : ends[p + 1]]
+            mine = slice(repeats.ends[p], repeats.ends[p + 1])
             count[mine] = c
             begin[mine] = at + np.cumsum(c.astype(np.int64)) - c
             at += len(w)
@@ -283,8 +306,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
             owners.append(o)
         windows, owners = np.concatenate(windows), np.concatenate(owners)
         before = np.cumsum(windows) - windows
-        out = []
-        for a, own, begins, stops, doc, first, numbers in found:
+        out, seen = [], 0
+        for a, own, _, begins, stops, doc, first, _ in repeats.slices:
+            numbers = repeats.number[seen : seen + len(doc)]
+            seen += len(doc)
             c = count[numbers]
             k = np.repeat(np.arange(len(numbers)), c)
             run = np.arange(len(k)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[numbers], c)
