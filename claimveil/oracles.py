@@ -19,7 +19,7 @@ def _with(*names: str) -> str:
 
 def add(name: str, views: str, sql: str, ints: str = "", reals: str = "", others: str = "") -> None:
     """Registers SQL with its columns cast like ``queries.tidy`` does."""
-    told = [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in ints.split()] + [f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in reals.split()] + [f'"{c}"' for c in others.split()]
+    told = [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in ints.split()] + [f'floor(CAST("{c}" AS DOUBLE) * 1e6 + 0.5) / 1e6 AS "{c}"' for c in reals.split()] + [f'"{c}"' for c in others.split()]
     ORACLES[name] = f"{_with(*views.split())} SELECT {', '.join(told)} FROM ({sql}) t" if views else f"SELECT {', '.join(told)} FROM ({sql}) t"
 
 
