@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pq, secret_scan, topk
+from . import mixing, pq, secret_scan, substring_dedup, topk
 from .langid import op3_language_id
 from .mixing import op6_pareto_mixing
 from .packing import op9_best_fit_packing
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pq_near_dedup": op10_pq_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op5_exact_top_k": topk.ORACLE,
     "op6_pareto_mixing": mixing.ORACLE,
     "op8_secret_scan": secret_scan.ORACLE,

@@ -368,3 +368,30 @@ def _loose(data: bytes) -> np.ndarray:
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), output="digest")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, 500 * q AS base, substr(h, 1000 * q + 1, {1000 + 2 * (LENGTH - 1)}) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1000 + 1)) AS q FROM d) x
+), w AS (
+  SELECT doc_id, base + r AS p, md5(substr(part, 2 * r + 1, {2 * LENGTH})) AS s
+  FROM (SELECT doc_id, base, part, unnest(range(0, greatest(length(part) // 2 - {LENGTH - 1}, 0))) AS r FROM c) x
+), owner AS (
+  SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN owner ON w.s = owner.s AND least < doc_id
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM (
+    SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM gone) x
+  GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM runs
+), told AS (
+  SELECT k.doc_id, count(*) AS n, sum(b - a) AS removed, concat(string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a), max(CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END)) AS rest
+  FROM kept k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN told ON told.doc_id = d.doc_id
+"""
