@@ -67,4 +67,11 @@ def with_spans(notes: DataFrame, text: str = "text", name: str = "spans") -> Dat
 
 def spans_of(notes: DataFrame, key: str = "note_id", spans: str = "spans") -> DataFrame:
     """``(key, start, end, type, value)``, a row for each span."""
-    return notes.select(key, F.explode(spans).alias("s")).select(key, "s.start", "s.end", "s.type", "s.value")
+    # an outer generator: for others Spark infers filters on the spans, and would detect again for each of them
+    return notes.select(key, F.inline_outer(spans)).where("type is not null")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df itself, or dealt out by a key where a few small files would leave cores without work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -38,7 +38,7 @@ def score_notes(notes: DataFrame, truth: DataFrame, tolerance: int = 0, key: str
         spare = F.filter(places, lambda i: ~F.array_contains(state["used"], i))
         return F.concat(state["told"], F.transform(spare, lambda i: F.struct(F.col("found")[i]["type"].alias("type"), F.lit(0).alias("tp"), F.lit(0).alias("fn"), F.lit(1).alias("fp"))))
 
-    return joined.select(key, F.explode(F.aggregate("truth", start, step, finish)).alias("r")).select(key, "r.type", "r.tp", "r.fn", "r.fp")
+    return joined.select(key, F.inline_outer(F.aggregate("truth", start, step, finish))).where("type is not null")
 
 
 def by_type(rows: DataFrame) -> DataFrame:

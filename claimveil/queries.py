@@ -38,6 +38,10 @@ def query(f: Query) -> Query:
     return f
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.spread(_table(spark, sf_dir, "notes"), "note_id")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return adapters.load(spark, sf_dir, name) if name in adapters.SOURCES else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,11 +77,11 @@ def _roll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.redact(_table(spark, sf_dir, "notes"), SALT)
+    return redaction.redact(_notes(spark, sf_dir), SALT)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.by_type(scoring.score_notes(detection.with_spans(_table(spark, sf_dir, "notes")), _table(spark, sf_dir, "truth")))
+    return scoring.by_type(scoring.score_notes(detection.with_spans(_notes(spark, sf_dir)), _table(spark, sf_dir, "truth")))
 
 
 @query
@@ -249,19 +253,19 @@ def generalise_to_k_steps(spark, sf_dir):
 
 @query
 def detect_counts_documents(spark, sf_dir):
-    spans = detection.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = detection.with_spans(detection.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
     told = detection.spans_of(spans, "doc_id").where(F.col("type").isin("email", "ip", "phone"))
     return told.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
 @query
 def detect_spans(spark, sf_dir):
-    return detection.spans_of(detection.with_spans(_table(spark, sf_dir, "notes")))
+    return detection.spans_of(detection.with_spans(_notes(spark, sf_dir)))
 
 
 @query
 def detect_notes_by_type(spark, sf_dir):
-    told = detection.spans_of(detection.with_spans(_table(spark, sf_dir, "notes")))
+    told = detection.spans_of(detection.with_spans(_notes(spark, sf_dir)))
     return told.groupBy("type").agg(F.count("*").alias("n_spans"), F.countDistinct("note_id").alias("n_notes"))
 
 
@@ -273,7 +277,7 @@ def redact_notes(spark, sf_dir):
 @query
 def redact_documents(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
-    return redaction.redact(docs, SALT, key="key").select("doc_id", F.size("spans").alias("n_spans"), F.sha2("clean", 256).alias("clean_sha256"))
+    return redaction.redact(detection.spread(docs, "doc_id"), SALT, key="key").select("doc_id", F.size("spans").alias("n_spans"), F.sha2("clean", 256).alias("clean_sha256"))
 
 
 @query
