@@ -1,11 +1,13 @@
 """Near-duplicate vectors by product quantisation: inverted lists, residual codes, table-lookup distances, exact cosine.
 
 Coarse centroids and codebooks are fitted on at most ``SAMPLE`` distinct vectors; all are indexed. Each distinct vector is a
-member of its nearest list, by the codes of what its centroid leaves, and looks into the ``PROBES`` nearest lists. There a
-table of its products with all codewords estimates cosines to all members by looking up their codes. A code's error is known
-exactly when it is made, so an estimate below the limit by more than that error can't hide a link; all others are computed
-in full. A list longer than ``BLOCK`` is dealt out in blocks of members by blocks of probing vectors, each pair of blocks a
-task's small group; only counts and a spanning forest of the links leave it.
+member of its nearest list, by the codes of what its centroid leaves, and looks into every list that can hold a link: angles
+obey the triangle inequality, so a link's angle to the centroid is within the limit's angle of one's own, and a list is left
+out only if none of its members' angles is. In a list a table of a vector's products with all codewords estimates cosines to
+members by looking up their codes. A code's error is known exactly when it is made, so an estimate below the limit by more
+than that error can't hide a link; all others are computed in full. No link is lost. Neighbouring lists are bundled to some
+``BLOCK`` members, longer ones split; two bundles are a task's small group, where only vectors that look into the other
+bundle go, and only counts and a spanning forest of the links leave it.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from .common import Forest, cut, packed, table
 from .components import connected_components
 
 SAMPLE = 20_000
-PROBES = 8
 LISTS = 4096
 SUBSPACES, WORDS = 8, 256
-BLOCK = 4096
+#: Members of a bundle of lists at most, and pairs that are looked at together.
+BLOCK, PAIRS = 16384, 1 << 19
+#: What rounding may add to an angle, and to an estimate in single precision.
+SLACK, ROUNDING = 1e-6, 1e-5
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -57,9 +61,10 @@ def nearest(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Coarse centroids and codebooks, fitted on unit vectors."""
 
-    def __init__(self, sample: np.ndarray, lists: int, probes: int = PROBES):
+    def __init__(self, sample: np.ndarray, lists: int):
         self.centers = k_means(sample, lists)
-        self.probes = min(probes, len(self.centers))
+        size = np.sqrt((self.centers**2).sum(1, keepdims=True))
+        self.axes = self.centers / np.where(size > 0, size, 1)
         rest = sample - self.centers[nearest(sample, self.centers, 1)[:, 0]]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.words = [k_means(rest[:, p], WORDS, seed=1 + i) for i, p in enumerate(self.parts)]
@@ -72,11 +77,15 @@ class Index:
             rest[:, p] -= w[codes[:, k]]
         return codes.astype(np.uint8), np.sqrt((rest**2).sum(1))
 
+    def angles(self, x: np.ndarray, lists: slice | int = slice(None)) -> np.ndarray:
+        """Angles between unit vectors and centroids."""
+        return np.arccos(np.clip(x @ self.axes[lists].T, -1, 1))
+
     def estimates(self, queries: np.ndarray, center: int, codes: np.ndarray) -> np.ndarray:
-        """Products of each query with each coded member of a list."""
-        out = np.repeat((queries @ self.centers[center])[:, None], len(codes), 1)
+        """Products of each coded member of a list with each query, in single precision; whole rows of the tables are added."""
+        out = np.repeat((queries @ self.centers[center]).astype(np.float32)[None], len(codes), 0)
         for k, (p, w) in enumerate(zip(self.parts, self.words)):
-            out += (queries[:, p] @ w.T)[:, codes[:, k]]
+            out += (w @ queries[:, p].T).astype(np.float32)[codes[:, k]]
         return out
 
 
@@ -84,28 +93,58 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def links_between(index: Index, center: int, x: np.ndarray, y: np.ndarray, limit: float, skip) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of x, row of y) of one list whose exact cosine reaches the limit; skip: which candidates aren't to be looked at."""
-    codes, error = index.codes(y, np.full(len(y), center))
-    rows, columns = [], []
-    for a in range(0, len(x), 512):
-        near = index.estimates(x[a : a + 512], center, codes) + error + 1e-9 >= limit
-        i, j = np.nonzero(near)
-        i += a
-        keep = ~skip(i, j)
-        i, j = i[keep], j[keep]
-        for b in range(0, len(i), 65536):
-            ib, jb = i[b : b + 65536], j[b : b + 65536]
-            hit = np.einsum("ij,ij->i", x[ib], y[jb]) >= limit
-            rows.append(ib[hit])
-            columns.append(jb[hit])
-    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def near_duplicates(vectors: DataFrame, limit: float = 0.9, probes: int = PROBES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def bundles_of(index: Index, counts: np.ndarray, block: int) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """Lists in bundles of at most so many members, a longer list in several of its own; each list's first bundle and number of them."""
+    around = k_means(index.centers, max(1, int(np.sqrt(len(counts)))))
+    bundles, size = [], block
+    first, pieces = np.zeros(len(counts), np.int64), np.maximum(-(-counts // block), 1)
+    for name in np.argsort(nearest(index.centers, around, 1)[:, 0], kind="stable").tolist():
+        if not counts[name]:
+            continue
+        if size + counts[name] > block:
+            bundles += [[] for _ in range(pieces[name])]
+            size = 0
+        first[name] = len(bundles) - pieces[name]
+        for k in range(first[name], len(bundles)):
+            bundles[k].append(name)
+        size += counts[name]
+    return bundles, first, pieces
+
+
+def hits_in(index: Index, center: int, x: np.ndarray, y: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Which rows of x and members y of one list have an exact cosine of at least the limit, as ``(rows, members, matrix)`` pieces."""
+    reach = np.arccos(np.clip(limit, -1, 1)) + SLACK
+    far, near = index.angles(x, center), index.angles(y, center)
+    rows, members = np.argsort(far, kind="stable"), np.argsort(near, kind="stable")
+    far, near = far[rows], near[members]
+    codes, error = index.codes(y[members], np.full(len(y), center))
+    a, stop = np.searchsorted(far, (near[0] - reach, near[-1] + reach))
+    while a < stop:
+        low, b = np.searchsorted(near, far[a] - reach), min(stop, a + max(1, PAIRS // len(y)))
+        high = np.searchsorted(near, far[b - 1] + reach, side="right")
+        if high > low:
+            i, j = rows[a:b], members[low:high]
+            least = (limit - ROUNDING - error[low:high]).astype(np.float32)
+            hit = np.ascontiguousarray((index.estimates(x[i], center, codes[low:high]) >= least[:, None]).T)
+            if hit.mean() > 0.02:
+                product = x[i] @ y[j].T
+                open_ = hit & (np.abs(product - limit) < 1e-12)  # the order of adding may decide
+                hit &= product >= limit
+            else:
+                open_ = hit
+            k, m = np.nonzero(open_)
+            for c in range(0, len(k), 65536):
+                kc, mc = k[c : c + 65536], m[c : c + 65536]
+                hit[kc, mc] = np.einsum("ij,ij->i", x[i[kc]], y[j[mc]]) >= limit
+            if hit.any():
+                yield i, j, hit
+        a = b
+
+
+def near_duplicates(vectors: DataFrame, limit: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of vectors.
 
-    Rows link where the cosine in double precision is found to be at least the limit; none below it do. n_links counts the
+    Rows link where the cosine in double precision is at least the limit. n_links counts the
     other rows linked directly, copies each for itself; component_id is the smallest id reachable; kept: it is the row's own.
     Rows without an id, and vectors that are null, empty, zero or hold a null or non-finite component, link with nothing.
     Repeated rows are rows of their own. Vectors have one length. An empty table gives none. Other columns are not read.
@@ -128,69 +167,70 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.9, probes: int = PROBES
     if not len(few):
         few = classes.orderBy("id").limit(SAMPLE).select("embedding").toArrow()
     sample = _unit(np.array(few.column(0).to_pylist(), np.float64))
-    sent = spark.sparkContext.broadcast(Index(sample, int(min(LISTS, max(1, np.sqrt(n)))), probes))  # 4,096 centroids at most
+    sent = spark.sparkContext.broadcast(Index(sample, int(min(LISTS, max(1, np.sqrt(n))))))  # 4,096 centroids at most
+    kind, reach = "<f4" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "<f8", np.arccos(np.clip(limit, -1, 1)) + SLACK
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for b in batches:
             if len(b):
                 x = _unit(np.array(b.column(0).to_pylist(), np.float64))
-                probed = nearest(x, sent.value.centers, sent.value.probes)
-                lists = pa.array(probed.astype(np.int32).tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), lists, b.column(0)], ["id", "copies", "lists", "embedding"])
+                home = nearest(x, index.centers, 1)[:, 0]
+                angle = np.arccos(np.clip(np.einsum("ij,ij->i", x, index.axes[home]), -1, 1))
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(home, pa.int32()), pa.array(angle), b.column(0)], ["id", "copies", "home", "angle", "embedding"])
 
-    assigned = cut(classes.mapInArrow(assign, "id long, copies long, lists array<int>, embedding array<double>"))
-    blocks = {"homes": {}, "probes": {}}
-    for name, at in (("homes", F.col("lists")[0]), ("probes", F.explode("lists"))):
-        for r in assigned.select(at.alias("list")).groupBy("list").count().collect():  # a row for each list
-            blocks[name][r["list"]] = -(-r["count"] // BLOCK)
+    assigned = cut(classes.mapInArrow(assign, "id long, copies long, home int, angle double, embedding array<double>"))
+    lists = len(sent.value.centers)
+    counts, low, high = np.zeros(lists, np.int64), np.full(lists, np.inf), np.full(lists, -np.inf)
+    for r in assigned.groupBy("home").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # a row for each list
+        counts[r.home], low[r.home], high[r.home] = r.n, r.low - reach, r.high + reach
+    bundles, first, pieces = bundles_of(sent.value, counts, min(BLOCK, max(2048, n // 8)))
+    held, begins = np.concatenate(bundles), np.cumsum([0, *map(len, bundles[:-1])])
 
-    def record(width: int, dim: int) -> np.dtype:
-        return np.dtype([("id", "<i8"), ("copies", "<i8"), ("lists", "<i4", (width,)), ("x", "<f8", (dim,))])
+    def record(dim: int) -> np.dtype:
+        return np.dtype([("id", "<i8"), ("copies", "<i8"), ("home", "<i4"), ("x", kind, (dim,))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            lists = np.array(b.column(2).to_pylist(), np.int32)
-            x = np.array(b.column(3).to_pylist(), np.float64)
-            all_rows = np.zeros(len(b), record(lists.shape[1], x.shape[1]))
-            all_rows["id"], all_rows["copies"], all_rows["lists"], all_rows["x"] = np.array(b.column(0)), np.array(b.column(1)), lists, x
-            keys, blobs = [], []
-            spread = (all_rows["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for k in range(lists.shape[1]):
-                for name in np.unique(lists[:, k]).tolist():
-                    mine = np.flatnonzero(lists[:, k] == name)
-                    members, probing = blocks["homes"].get(name, 0), blocks["probes"][name]
-                    # as one that probes: to every block of members; as a member: to every block of those that probe
-                    for role, own, other in ((1, probing, members), (0, members, probing)) if k == 0 else ((1, probing, members),):
-                        for part in range(own):
-                            at = mine[spread[mine] % np.uint64(own) == part]
-                            for o in range(other) if len(at) else ():
-                                keys.append((name, *((part, o) if role else (o, part)), role))
-                                blobs.append(all_rows[at])
-            columns = [pa.array(c, pa.int32()) for c in zip(*keys)]
-            yield pa.RecordBatch.from_arrays([*columns, packed(blobs)], ["list", "probing", "members", "role", "rows"])
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                b = whole.slice(at, 2048)
+                x = np.array(b.column(4).to_pylist(), np.float64)
+                all_rows = np.zeros(len(b), record(x.shape[1]))
+                all_rows["id"], all_rows["copies"], all_rows["home"], all_rows["x"] = np.array(b.column(0)), np.array(b.column(1)), np.array(b.column(2)), x
+                angles = sent.value.angles(_unit(x))
+                looks = np.logical_or.reduceat(((angles >= low) & (angles <= high))[:, held], begins, axis=1)
+                spread = (all_rows["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                own = first[all_rows["home"]] + (spread % pieces[all_rows["home"]].astype(np.uint64)).astype(np.int64)
+                keys, blobs = [], []
+                for mine in np.unique(own).tolist():
+                    here = own == mine
+                    for other in np.flatnonzero(looks[here].any(0)).tolist():
+                        keys.append((min(mine, other), max(mine, other), int(mine > other)))
+                        blobs.append(all_rows[here & looks[:, other]])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in zip(*keys)), packed(blobs)], ["low", "high", "side", "rows"])
 
     def look(group: pa.Table) -> pa.Table:
-        index, name = sent.value, group.column("list")[0].as_py()
-        dim = index.centers.shape[1]
-        sides = [np.concatenate([np.zeros(0, kind)] + [np.frombuffer(r, kind) for r, k in zip(group.column("rows").to_pylist(), group.column("role").to_pylist()) if k == role]) for kind in (record(index.probes, dim),) for role in (1, 0)]
-        p, m = sides
-        x, y = _unit(p["x"]), _unit(m["x"])
-
-        def skip(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """A pair counts once: from its smaller id, or from the larger one if only that finds it."""
-            back = (m["lists"][j] == p["lists"][i, :1]).any(1)
-            return (p["id"][i] == m["id"][j]) | ((p["id"][i] > m["id"][j]) & back)
-
-        i, j = links_between(index, name, x, y, limit, skip)
-        ids, where = np.unique(np.concatenate([p["id"][i], m["id"][j]]), return_inverse=True)
-        forest = Forest(len(ids))
-        forest.join(where[: len(i)], where[len(i) :])
-        links = np.bincount(where, np.concatenate([m["copies"][j], p["copies"][i]]), len(ids)).astype(np.int64)
-        return pa.table({"id": pa.array(ids, pa.int64()), "root": pa.array(ids[forest.roots()], pa.int64()), "links": pa.array(links, pa.int64())})
-
-    groups = assigned.mapInArrow(deal, "list int, probing int, members int, role int, rows binary").groupBy("list", "probing", "members")
+        index, alone = sent.value, group.column("low")[0] == group.column("high")[0]
+        rows, sides, blobs = record(index.centers.shape[1]), group.column("side").to_pylist(), group.column("rows").to_pylist()
+        p, m = (np.concatenate([np.zeros(0, rows), *(np.frombuffer(r, rows) for r, k in zip(blobs, sides) if k == side)]) for side in (0, 0 if alone else 1))
+        x, y = _unit(p["x"].astype(np.float64)), _unit(m["x"].astype(np.float64))
+        ids, where = np.unique(np.concatenate([p["id"], m["id"]]), return_inverse=True)
+        of_p, of_m = where[: len(p)], where[len(p) :]
+        forest, links = Forest(len(ids)), np.zeros(len(ids), np.int64)
+        for name in np.unique(m["home"]).tolist() if len(p) else ():
+            mine = np.flatnonzero(m["home"] == name)
+            for i, j, hit in hits_in(index, name, x, y[mine], limit):
+                j = mine[j]
+                if alone:  # a pair counts once
+                    hit &= p["id"][i][:, None] < m["id"][j]
+                links[of_p[i]] += hit @ m["copies"][j]
+                links[of_m[j]] += p["copies"][i] @ hit
+                k, o = np.nonzero(hit & (forest.find(of_p[i])[:, None] != forest.find(of_m[j])))
+                forest.join(of_p[i[k]], of_m[j[o]])
+        told = np.flatnonzero(links)
+        return pa.table({"id": pa.array(ids[told], pa.int64()), "root": pa.array(ids[forest.roots()[told]], pa.int64()), "links": pa.array(links[told], pa.int64())})
+
+    groups = assigned.mapInArrow(deal, "low int, high int, side int, rows binary").groupBy("low", "high")
     found = cut(groups.applyInArrow(look, "id long, root long, links long"))
     sets = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

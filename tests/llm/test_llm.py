@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -457,3 +458,25 @@ def test_pq_blocks_make_no_difference(spark, monkeypatch):
     want = collections.Counter(map(tuple, pq.near_duplicates(table).collect()))
     monkeypatch.setattr(pq, "BLOCK", 16)
     assert collections.Counter(map(tuple, pq.near_duplicates(table).collect())) == want
+
+
+def group_and_noise(n, dim=64, seed=13):
+    """Unit vectors of which a third are distinct near copies of one, their pairs' cosines about 0.95 to 0.99."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    near = rng.normal(size=(n // 3, dim)) / np.sqrt(dim) * rng.uniform(0.1, 0.22, (n // 3, 1))
+    base = rng.normal(size=dim)
+    x[: n // 3] = base / np.sqrt(base @ base) + near
+    return x[rng.permutation(n)].astype(np.float32)
+
+
+def test_pq_finds_all_links_of_a_large_group(spark):
+    """20,000 vectors, a third in one group, spread over a third of all lists."""
+    x = group_and_noise(20_000)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    want = np.concatenate([(unit[a : a + 1000] @ unit.T >= 0.9).sum(1) - 1 for a in range(0, len(x), 1000)])
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = pq.near_duplicates(table).toPandas().sort_values("vec_id")
+    assert want.sum() > 4e7 and (got.n_links.to_numpy() == want).all()
+    group = want > 0
+    assert set(got.component_id[group]) == {np.flatnonzero(group)[0]} and got.kept[~group].all()
