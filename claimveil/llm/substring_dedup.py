@@ -6,6 +6,9 @@ send their segments' names to parts of a name table, which (2) answers with the
 (3) Segments of these names go, each distinct one once a chunk, to index parts. There (4) segments of a name that occurs
 with different texts form a run-length index, which tells for each window the smallest document that holds it. (5) Chunks
 remove what starts in a smaller document. Names and segments travel as packed arrays; documents are dealt once.
+
+A name whose distinct segments come to over HOT bytes would make one part large. The name table finds these names, and their
+segments fall into windows that go each by its own fingerprint, so they spread over all parts and equal windows still meet.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .rindex import RunLengthIndex
 LENGTH, KEY = 50, 24
 #: Bytes of text in a chunk, in a part of the name table and in an index part, on average.
 CHUNK, NAMES, PART = 6 << 20, 32 << 20, 4 << 20
+#: Bytes of one name's distinct segments from which its windows go by themselves; it may reach twice that unnoticed.
+HOT = 1 << 20
 #: Windows in a segment at most, and bytes of documents that are hashed at a time.
 WINDOWS, SLICE = 200, 1 << 20
 BASE = 0x100000001B3
@@ -80,14 +85,17 @@ class Segments:
 
     def keys(self, at: np.ndarray, length: int) -> np.ndarray:
         """64-bit fingerprints of some segments' whole texts, with their names and lengths mixed in."""
+        return self.prints(self.first[at], self.windows[at] + length - 1, self.name[at])
+
+    def prints(self, first: np.ndarray, size: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """64-bit fingerprints of strings, with their names and lengths mixed in."""
         n = len(self.data)
         power, inverse = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
         power[0] = inverse[0] = 1
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[:n], out=total[1:])
-        first, size = self.first[at], self.windows[at] + length - 1
         h = (total[first + size] - total[first]) * np.multiply.accumulate(inverse)[first]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + self.name[at]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + name
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + size.astype(np.uint64)
         return h ^ (h >> np.uint64(32))
 
@@ -113,15 +121,21 @@ def _placed(names: np.ndarray, parts: int) -> np.ndarray:
 class _Repeats:
     """A chunk's segments of repeated names: its distinct ones, by index part and fingerprint, and where each occurs."""
 
-    def __init__(self, ids: list, texts: list[bytes], repeated: np.ndarray, parts: int, length: int):
-        self.slices, keys, names, owners = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    def __init__(self, ids: list, texts: list[bytes], repeated: np.ndarray, hot: np.ndarray, parts: int, length: int):
+        self.slices, keys, names, owners, single = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for a, own, s in _in_slices(ids, texts, length, parts):
             at = np.minimum(np.searchsorted(repeated, s.name), max(len(repeated) - 1, 0))
             mine = np.flatnonzero(repeated[at] == s.name) if len(repeated) else np.zeros(0, np.int64)
-            keys.append(s.keys(mine, length))
-            names.append(s.name[mine])
-            owners.append(own[s.doc[mine]])
-            self.slices.append((a, own, s.data, s.begins, s.ends, s.doc[mine], s.first[mine], s.windows[mine]))
+            alone = np.isin(s.name[mine], hot)
+            mine, alone = mine[~alone], mine[alone]
+            windows = _spread(s.first[alone], s.windows[alone]).astype(np.int64)
+            prints = s.prints(windows, np.full(len(windows), length), np.zeros(len(windows), np.uint64))
+            keys += [s.keys(mine, length), prints]
+            names += [s.name[mine], _placed(prints, parts)]
+            single += [np.zeros(len(mine), bool), np.ones(len(windows), bool)]
+            doc, first = np.concatenate([s.doc[mine], np.repeat(s.doc[alone], s.windows[alone])]), np.concatenate([s.first[mine], windows])
+            owners.append(own[doc])
+            self.slices.append((a, own, s.data, s.begins, s.ends, doc, first, np.concatenate([s.windows[mine], np.ones(len(windows), np.int64)])))
         keys, names, owners = np.concatenate(keys), np.concatenate(names), np.concatenate(owners)
         order = np.lexsort((owners, keys, names >> np.uint64(32)))
         fresh = np.ones(len(order), bool)
@@ -129,19 +143,20 @@ class _Repeats:
         #: Of each distinct segment: an occurrence, fingerprint, name and smallest document; of each occurrence its segment.
         self.occurrence = order[fresh]
         self.key, self.name, self.least = keys[self.occurrence], names[self.occurrence], owners[self.occurrence]
+        self.single = np.concatenate(single)[self.occurrence]
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(fresh) - 1
         self.ends = np.searchsorted(self.name >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
     def texts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths of the distinct segments, and their bytes side by side."""
+        """Lengths of the distinct segments, and their bytes side by side; a hot name's window goes without, as length zero."""
         sizes, bodies, at = [np.zeros(0, np.int64)], [], 0
         place = np.argsort(self.occurrence)
         found = self.occurrence[place]
         for _, _, data, _, _, _, first, windows in self.slices:
             low, high = np.searchsorted(found, (at, at + len(first)))
             mine = found[low:high] - at
-            sizes.append(windows[mine] + length - 1)
+            sizes.append(np.where(self.single[place[low:high]], 0, windows[mine] + length - 1))
             bodies.append(data[_spread(first[mine], sizes[-1])])
             at += len(first)
         sizes, body = np.concatenate(sizes), np.concatenate([np.zeros(0, np.uint8), *bodies])
@@ -174,6 +189,25 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _heavy(names: np.ndarray, sizes: np.ndarray, found: list[Segments], least: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names, in order, whose distinct segments in a chunk have at least so many bytes, and how many; names are sorted, found has them all."""
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
+    many = names[first][(np.add.reduceat(sizes, first) >= least) & (np.diff(np.append(first, len(names))) > 1)] if len(first) else names
+    if not len(many):
+        return many, np.zeros(0, np.int64)
+    told = []
+    for s in found:
+        mine = np.flatnonzero(many[np.minimum(np.searchsorted(many, s.name), len(many) - 1)] == s.name)
+        told.append(np.stack([s.name[mine], s.keys(mine, length), (s.windows[mine] + length - 1).astype(np.uint64)]))
+    name, key, size = np.concatenate(told, axis=1)
+    order = np.lexsort((key, name))
+    name, key, size = name[order], key[order], size[order]
+    fresh = np.ones(len(name), bool)
+    fresh[1:] = (name[1:] != name[:-1]) | (key[1:] != key[:-1])
+    total = np.bincount(np.searchsorted(many, name[fresh]), size[fresh].astype(np.int64), len(many)).astype(np.int64)
+    return many[total >= least], total[total >= least]
+
+
 def _owners(names: np.ndarray, least: np.ndarray, sizes: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
     """For the windows of distinct segments, which lie side by side in the order of their names, the smallest document each.
 
@@ -216,13 +250,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     def name(group: pa.Table) -> pa.Table:
         """The chunk's names, those of several documents twice, by part of the name table."""
         ids, texts = _documents(group)
-        names, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        names, owners, sizes, found = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for a, _, s in _in_slices(ids, texts, length, parts):
             names.append(s.name)
             owners.append(s.doc + a)
-        names, owners = np.concatenate(names), np.concatenate(owners)
+            sizes.append(s.windows + length - 1)
+            found.append(s)
+        names, owners, sizes = np.concatenate(names), np.concatenate(owners), np.concatenate(sizes)
         order = np.lexsort((owners, names))
         names, owners = names[order], owners[order]
+        heavy, weight = _heavy(names, sizes[order], found, HOT // chunks, length)
         fresh = np.ones(len(names), bool)
         fresh[1:] = (names[1:] != names[:-1]) | (owners[1:] != owners[:-1])
         names = names[fresh]
@@ -232,25 +269,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
         ends = np.searchsorted(names, np.arange(tables + 1, dtype=np.uint64) * np.uint64(parts // tables) << np.uint64(32))
         full = np.flatnonzero(np.diff(ends))
         blobs = [_tight(names[ends[p] : ends[p + 1]]) for p in full]
+        at = np.searchsorted(heavy, np.arange(tables + 1, dtype=np.uint64) * np.uint64(parts // tables) << np.uint64(32))
+        weights = [_pack(heavy[at[p] : at[p + 1]], weight[at[p] : at[p + 1]]) for p in full]
         here = [group.column("chunk")[0].as_py()] * len(full)
-        return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array(here, pa.int32()), "names": pa.array(blobs, pa.binary())})
+        return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array(here, pa.int32()), "names": pa.array(blobs, pa.binary()), "heavy": pa.array(weights, pa.binary())})
 
     def repeated(group: pa.Table) -> pa.Table:
-        """For each chunk, those of its names that occur in several documents."""
+        """For each chunk, those of its names that occur in several documents, and which of them are hot."""
         sent = [_loose(x) for x in group.column("names").to_pylist()]
         told, count = np.unique(np.concatenate(sent), return_counts=True)
         told = told[count > 1]
         told = np.append(told, np.uint64(0xFFFFFFFFFFFFFFFF))  # no name
         back = [x[told[np.searchsorted(told, x)] == x] for x in map(np.unique, sent)]
-        return pa.table({"chunk": group.column("chunk"), "names": pa.array([_tight(x) for x in back], pa.binary())})
+        heavy, weight = (np.concatenate(x) for x in zip(*(_unpack(x, np.uint64, np.int64) for x in group.column("heavy").to_pylist())))
+        heavy, of = np.unique(heavy, return_inverse=True)
+        hot = heavy[np.bincount(of, weight, len(heavy)) >= HOT]
+        burnt = [_tight(x[np.isin(x, hot)]) for x in back]
+        return pa.table({"chunk": group.column("chunk"), "names": pa.array([_tight(x) for x in back], pa.binary()), "hot": pa.array(burnt, pa.binary())})
 
-    def names_of(flags: pa.Table) -> np.ndarray:
-        sent = [_loose(x) for x in flags.column("names").to_pylist()]
-        return np.sort(np.concatenate([np.zeros(0, np.uint64), *sent]))
+    def names_of(flags: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sent = [[_loose(x) for x in flags.column(c).to_pylist()] for c in ("names", "hot")]
+        return tuple(np.sort(np.concatenate([np.zeros(0, np.uint64), *x])) for x in sent)
 
     def send(group: pa.Table, flags: pa.Table) -> pa.Table:
         """The chunk's distinct segments of repeated names, by index part."""
-        repeats = _Repeats(*_documents(group), names_of(flags), parts, length)
+        repeats = _Repeats(*_documents(group), *names_of(flags), parts, length)
         sizes, body = repeats.texts(length)
         upto = np.concatenate(([0], np.cumsum(sizes)))
         full, blobs = np.flatnonzero(np.diff(repeats.ends)), []
@@ -271,8 +314,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
         mine, number = order[fresh], np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
         body = body[_spread((np.cumsum(sizes) - sizes)[mine], sizes[mine])]
-        owner = _owners(names[mine], least[mine], sizes[mine], body, length)
-        windows = sizes[mine] - length + 1
+        windows, whole = np.maximum(sizes[mine] - length + 1, 1), sizes[mine] > 0
+        owner = np.repeat(least[mine], windows)
+        owner[np.repeat(whole, windows)] = _owners(names[mine][whole], least[mine][whole], sizes[mine][whole], body, length)
         starts = np.cumsum(windows) - windows
         change = np.ones(len(owner), bool)
         change[1:] = owner[1:] != owner[:-1]
@@ -291,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
 
     def finish(group: pa.Table, answer: pa.Table) -> pa.Table:
         ids, texts = _documents(group)
-        repeats = _Repeats(ids, texts, names_of(answer.filter(answer.column("names").is_valid())), parts, length)
+        repeats = _Repeats(ids, texts, *names_of(answer.filter(answer.column("names").is_valid())), parts, length)
         answer = answer.filter(answer.column("owners").is_valid())
         # of each segment: how many runs of windows it has, and where they begin among all runs
         count, begin = np.zeros(len(repeats.key), np.int64), np.zeros(len(repeats.key), np.int64)
@@ -341,12 +385,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         columns, kinds = ["doc_id", "kept", "spans"], [pa.int64(), pa.binary(), span]
         schema = "doc_id long, kept binary, spans array<struct<start:long,end:long>>"
-    names = dealt.groupBy("chunk").applyInArrow(name, "part int, chunk int, names binary")
-    flags = names.groupBy("part").applyInArrow(repeated, "chunk int, names binary").repartition(chunks, "chunk")
+    names = dealt.groupBy("chunk").applyInArrow(name, "part int, chunk int, names binary, heavy binary")
+    flags = names.groupBy("part").applyInArrow(repeated, "chunk int, names binary, hot binary").repartition(chunks, "chunk")
     segments = dealt.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "part int, chunk int, segments binary")
     owners = segments.groupBy("part").applyInArrow(index, "chunk int, part int, owners binary")
-    answers = flags.select("chunk", "names", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("owners")).union(
-        owners.select("chunk", F.lit(None).cast("binary").alias("names"), "part", "owners")
+    answers = flags.select("chunk", "names", "hot", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("owners")).union(
+        owners.select("chunk", F.lit(None).cast("binary").alias("names"), F.lit(None).cast("binary").alias("hot"), "part", "owners")
     )
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 

@@ -88,6 +88,38 @@ def test_repeats(spark, docs, empty, length):
     assert collections.Counter((r.doc_id, hashlib.sha256(r.kept).hexdigest()) for r in whole) == collections.Counter((a, e) for a, _, _, _, e in plain_repeats(corpus(), length).elements())
 
 
+def passages(n, seed=14):
+    """Documents of their own random letters around one passage of 30 bytes; each tenth repeats some of its neighbour beside it."""
+    rnd, rows = random.Random(seed), []
+    letters = lambda k: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=k))
+    for i in range(n):
+        left, right = letters(60), letters(60)
+        if i % 10 == 9:
+            left = left[:35] + rows[-1][1][35:60]
+        rows.append((i, left + "30 BYTES THAT ALL TEXTS SHARE." + right, "en", "s", 150))
+    return rows
+
+
+def test_hot_name_is_spread(spark, monkeypatch):
+    """A name that thousands of documents have beside different texts goes to many index parts, and equal windows still meet."""
+    rows = passages(6000)
+    texts, none, parts = [r[1].encode() for r in rows], np.zeros(0, np.uint64), 64
+    found = substring_dedup.Segments(texts)
+    found.name = substring_dedup._placed(found.name, parts)
+    order = np.argsort(found.name, kind="stable")
+    hot, weight = substring_dedup._heavy(found.name[order], found.windows[order] + 49, [found], 1 << 16, 50)
+    assert len(hot) and weight.max() > 300_000
+    every = np.unique(found.name)
+    apart = substring_dedup._Repeats(list(range(len(texts))), texts, every, hot, parts, 50)
+    sizes, body = apart.texts(50)
+    part = (apart.name >> np.uint64(32)).astype(np.int64)
+    assert np.bincount(part[apart.single]).max() < 2 * apart.single.sum() / parts and np.bincount(part[~apart.single], sizes[~apart.single]).max() < 300_000
+    assert len(body) == sizes.sum() and not sizes[apart.single].any()
+    monkeypatch.setattr(substring_dedup, "HOT", 1 << 16)
+    got = substring_dedup.remove_repeats(frame(spark, rows).repartition(8), output="digest").collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50) and sum(r.n_removed for r in got) > 0
+
+
 def test_run_length_index():
     rnd = random.Random(0)
     for trial in range(60):
