@@ -3,7 +3,8 @@
 Where a pattern matches comes from splitting the text by it: match i begins after the first i+1 parts and i matches. A
 candidate string's entropy is taken over a window that slides one character at a time: the counts of the character that
 enters and of the one that leaves change by one, and so does their share of the sum. Limits differ by class of characters,
-and an allow-list drops what looks random but isn't secret. All offsets are code points; everything happens within a row.
+the window's or the whole string's, whichever is lower, so a key or path before a value doesn't raise the value's limit; an
+allow-list drops what looks random but isn't secret. All offsets are code points; everything happens within a row.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ ALLOWED = (
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "^[0-9+/_=-]*$", "(?i)example|sample|placeholder|changeme|dummy",
     "(?i)0123456789|1234567890|abcdefghij|qwertyuiop", "^[^0-9]*[0-9]?[^0-9]*$", "^[^A-Za-z]*[A-Za-z]?[^A-Za-z]*$",
 )
+#: Of the allow-list, what only speaks of the words around a hexadecimal value.
+SAMPLES = ALLOWED[2]
+#: What a character adds to its window's tally: a digit, a-f, A-F or a sign; sums of twenty stay apart.
+DIGIT, LOWER, UPPER, SIGN = 1, 100, 10_000, 1_000_000
+TALLY = [DIGIT if c in "0123456789" else LOWER if c in "abcdef" else UPPER if c in "ABCDEF" else 0 if c.isalpha() else SIGN for c in ALPHABET]
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -58,15 +64,20 @@ def _found(text: Column, pattern: str, kind: str, group: int, least: int) -> Col
 
 
 def _random_part(word: Column) -> Column:
-    """First and end place of the windows in a word whose entropy reaches the limit of its class, or null."""
+    """First and end place of the windows in a word whose entropy reaches the limit of their class, or null.
+
+    A window of hexadecimal digits in a word of other characters needs two letters and two digits.
+    """
     plogp = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
     limit = F.lit(LIMITS[-1][1])
     for pattern, bits in reversed(LIMITS[:-1]):
         limit = F.when(word.rlike(pattern), bits).otherwise(limit)
+    samples, tally = word.rlike(SAMPLES), F.array(*[F.lit(x) for x in TALLY])
     places = F.transform(F.regexp_extract_all(word, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
     start = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("end"), limit.alias("limit"), places.alias("places"),
+        F.lit(0).alias("tally"), samples.alias("samples"),
     )
 
     def count(s: Column, place: Column) -> Column:
@@ -80,14 +91,21 @@ def _random_part(word: Column) -> Column:
         total = total + F.element_at(plogp, gone) - F.element_at(plogp, gone + 1)
         counts = F.transform(s["counts"], lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int"))
         n = s["n"] + 1
-        high = (n >= WINDOW) & (math.log2(WINDOW) - total / WINDOW >= s["limit"])
+        kinds = s["tally"] + F.element_at(tally, into) - F.when(out == -1, F.lit(0)).otherwise(F.element_at(tally, F.greatest(out, F.lit(1))))
+        digits, signs = kinds % LOWER, kinds >= SIGN
+        letters = F.when(kinds < UPPER, (kinds - digits) / LOWER).otherwise((kinds - digits) / UPPER)
+        hexadecimal = digits.between(2, WINDOW - 2) & (digits + letters == WINDOW)
+        usual = F.when(s["samples"], math.log2(WINDOW) + 1).when(signs, s["limit"]).otherwise(F.least(s["limit"], F.lit(LIMITS[1][1])))
+        least = F.when(hexadecimal, LIMITS[0][1]).otherwise(usual)
+        high = (n >= WINDOW) & (math.log2(WINDOW) - total / WINDOW >= least)
         return F.struct(
             counts.alias("counts"), total.alias("sum"), n.alias("n"), F.when(high & s["first"].isNull(), n - WINDOW).otherwise(s["first"]).alias("first"),
             F.when(high, n).otherwise(s["end"]).alias("end"), s["limit"].alias("limit"), s["places"].alias("places"),
+            kinds.alias("tally"), s["samples"].alias("samples"),
         )
 
     allowed = F.lit(False)
-    for pattern in ALLOWED:
+    for pattern in (x for x in ALLOWED if x != SAMPLES):
         allowed = allowed | word.rlike(pattern)
     return F.when(~allowed, F.aggregate(places, start, step, lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end"))))
 

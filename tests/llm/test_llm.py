@@ -410,6 +410,23 @@ def test_entropy_is_that_of_the_window(spark):
         assert told[i] == (f"entropy:{high[0]}:{high[-1] + 20}" if high else ""), t
 
 
+def test_entropy_after_a_key_or_path(spark):
+    """Upper-case hexadecimal values are found whatever is glued before them; numbers and words aren't."""
+    rnd, texts, want = random.Random(15), [], []
+    for before in ("id=", "x_", "key-", "/keys/", "SESSION_ID=", "/example/keys/"):
+        for _ in range(25):
+            value = "".join(rnd.choices("0123456789ABCDEF", k=32))
+            texts.append(f"see {before}{value} there")
+            want.append((4 + len(before), 36 + len(before)))
+    few = ["id=12345678901122334455667788", "/usr/local/share/sample/2024/report_of_the_year", "order_20240115-20240116-20240117"]
+    told = [r.spans for r in sorted(secret_scan.report(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts + few)])).collect(), key=lambda r: r.doc_id)]
+    found = 0
+    for spans, (a, b) in zip(told, want):
+        found += any(int(x.split(":")[1]) <= a and int(x.split(":")[2]) >= b for x in spans.split(",") if x)
+    assert found >= 0.95 * len(want), found
+    assert not any("entropy" in x for x in told[len(texts) :])
+
+
 def test_packing(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path, capacity=64).collect()
