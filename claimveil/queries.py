@@ -295,7 +295,7 @@ def safe_harbor_catalogue(spark, sf_dir):
     return spark.createDataFrame(L.SAFE_HARBOR, "n int, identifier string, present boolean, detection string, transformation string, residual_risk string")
 
 
-GENERATED = 1000
+GENERATED = 8000
 
 
 @query

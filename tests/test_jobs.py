@@ -1,6 +1,7 @@
 import json
 
 from claimveil.plans import attack, method, pipeline
+from claimveil.queries import QUERIES
 
 
 def test_jobs(spark, tmp_path):
@@ -17,3 +18,7 @@ def test_jobs(spark, tmp_path):
 
 def test_method_without_names():
     assert "n/a" in method.render({"score_by_type": [{"type": "ssn", "n_truth": 0, "tp": 0, "fn": 0, "fp": 1, "recall": None}], "score_overall": [{"n_truth": 0, "tp": 0, "fn": 0, "fp": 1, "recall": None}]})
+
+
+def test_generator_queries_make_the_references_number_of_members(spark):
+    assert QUERIES["generate_members"](spark, "").count() == 8000
