@@ -13,15 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .tokens import encoder
+from .common import cut, slices, table
+from .tokens import encoder, with_end
 
 CAPACITY = 2048
 #: Pieces that one group packs on average.
 GROUP = 200_000
+#: Bytes of text that are encoded together; a longer text alone.
+SLICE = 8 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -62,16 +65,21 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACI
     """``(doc_id, piece, start, length, ids_crc32)``: each row's ids and its end id, cut into pieces of capacity ids from the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end], "<u4").tobytes()
-        for b in batches:
-            ids, rows = b.column(0).to_pylist(), []
-            for doc, data in zip(ids, encoder(tokenizer).encode(b.column(1).to_pylist())):
-                data += tail
-                n = len(data) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                rows += [(doc, k, x, y - x, zlib.crc32(data[4 * x : 4 * y])) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for whole in batches:
+            for low, high in slices(pc.binary_length(whole.column(1)).fill_null(0).to_pylist(), SLICE):
+                b = whole.slice(low, high - low)
+                ids, ends = with_end(*encoder(tokenizer).column(b.column(1)), end)
+                sizes = np.diff(ends, prepend=0)
+                count = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                first = (sizes - (count - 1) * capacity)[doc]
+                start, length = np.where(piece > 0, first + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, first)
+                at = 4 * ((ends - sizes)[doc] + start)
+                data = memoryview(ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(data[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist())]
+                columns = [b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE)
 
@@ -80,7 +88,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY
     """Where each piece of each document goes: the pieces' columns, ``sequence_id`` and ``offset``.
 
     Null and empty texts are one piece, the end id. Rows without a doc_id, repeated ids and repeated rows are documents of
-    their own; an empty table gives none. Other columns are not read. Sequence numbers are unique, not gapless.
+    their own; an empty table gives none. Other columns are not read. Very long texts are encoded whole and cut into as many
+    pieces as they need. Sequence numbers are unique, not gapless.
     """
     cutting = cut(pieces(docs, tokenizer, end, capacity, text, doc_id))
     groups = max(1, -(-cutting.count() // GROUP))
