@@ -2,8 +2,9 @@
 
 A shard is one file: a fixed head, the ids of its documents one after the other in the narrowest unsigned integers that hold
 the vocabulary, then the Elias-Fano code of where each document ends and that of the documents' ids (as steps from the
-first). Shards follow each other in ascending order of doc_id, so a document's place in the whole corpus is its place in the
-shard plus the ids of all shards before it; the manifest has one small row for each shard.
+first). Where documents begin and end is read by select, through the directory that is stored with the code. Shards follow
+each other in ascending order of doc_id, documents without one last, so a document's place in the whole corpus is its place
+in the shard plus the ids of all shards before it; the manifest has one small row for each shard.
 """
 
 from __future__ import annotations
@@ -16,36 +17,41 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import cut, fresh_dir, shuffles, table
-from .tokens import encoder
+from .common import cut, fresh_dir, shuffles, slices, table
+from .tokens import encoder, with_end
 
-#: Magic, bytes an id, documents, ids, first doc_id, crc32 of the ids.
-HEAD = struct.Struct("<4sBQQqI")
-MAGIC = b"TOK1"
+#: Magic, bytes an id, documents, those of them without a doc_id, ids, first doc_id, crc32 of the ids.
+HEAD = struct.Struct("<4sBQQQqI")
+MAGIC = b"TOK2"
 #: Bytes of text that one shard holds on average, and documents and bytes of ids at most.
 SHARD, MOST_DOCS, MOST_BYTES = 16 << 20, 1 << 16, 32 << 20
+#: Documents whose places are read together, and bytes of text that are encoded together.
+BLOCK, SLICE = 4096, 8 << 20
 MANIFEST = "first_id long, last_id long, n_docs long, n_ids long, path string"
 
 
 def pack_shard(doc_ids: np.ndarray, ids: list[bytes], width: int) -> bytes:
-    """Bytes of a shard from documents in ascending order and their ids as unsigned 32-bit integers."""
+    """Bytes of a shard from documents in ascending order and their ids as unsigned 32-bit integers; the last may lack a doc_id."""
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
     body = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
-    head = HEAD.pack(MAGIC, width, len(ids), int(lengths.sum()), int(doc_ids[0]), zlib.crc32(body))
-    return head + body + elias_fano.encode(np.cumsum(lengths)) + elias_fano.encode(doc_ids - doc_ids[0])
+    first = int(doc_ids[0]) if len(doc_ids) else 0
+    head = HEAD.pack(MAGIC, width, len(ids), len(ids) - len(doc_ids), int(lengths.sum()), first, zlib.crc32(body))
+    steps = doc_ids.astype(np.int64).view(np.uint64) - np.int64(first).view(np.uint64)
+    return head + body + elias_fano.encode(np.cumsum(lengths)) + elias_fano.encode(steps)
 
 
 class Shard:
-    """Reads a shard's bytes; ``document(i)`` is found by two selects, without a table of offsets."""
+    """Reads a shard's bytes; where documents begin and end is found by select, without a table of offsets."""
 
     def __init__(self, data: bytes):
-        magic, self.width, self.n_docs, self.n_ids, self.first, crc = HEAD.unpack_from(data)
+        magic, self.width, self.n_docs, self.n_null, self.n_ids, self.first, crc = HEAD.unpack_from(data)
         body = memoryview(data)[HEAD.size : HEAD.size + self.width * self.n_ids]
         if magic != MAGIC or zlib.crc32(body) != crc:
             raise ValueError("not a whole shard")
@@ -54,11 +60,19 @@ class Shard:
         self.ends = elias_fano.EliasFano(memoryview(data)[at:])
         self.steps = elias_fano.EliasFano(memoryview(data)[at + self.ends.size :])
 
+    def places(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where documents a to b begin and end."""
+        ends = self.ends.selects(np.arange(a, b))
+        return np.concatenate(([self.ends.select(a - 1) if a else 0], ends[:-1])), ends
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        (begin,), (end,) = self.places(i, i + 1)
+        return self.ids[begin:end]
 
-    def doc_ids(self) -> np.ndarray:
-        return self.steps.all() + self.first
+    def doc_ids(self, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Ids of documents a to b, as far as they have one."""
+        known = self.n_docs - self.n_null
+        return self.steps.selects(np.arange(min(a, known), known if b is None else min(b, known))) + self.first
 
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
@@ -69,10 +83,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, tex
     """Writes all documents' ids, each with its end id, to shards in folder; returns the manifest, in the shared folder.
 
     Null and empty texts are the end id alone. Repeated ids are documents of their own, side by side; rows without a doc_id
-    have no place in the order and are left out; an empty table gives no shards. Other columns are not read. A task that
-    runs again writes new files under names of its own, and the manifest names those of the run that counted.
+    come after all others. An empty table gives no shards. Other columns are not read. Very long texts are encoded whole,
+    alone in their batch; a shard is closed after the document that fills it. A task that runs again writes new files under
+    names of its own, and the manifest names those of the run that counted.
     """
-    wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD), shuffles(docs.sparkSession))
 
@@ -80,32 +95,37 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, tex
         store, at = _place(folder)
         store.create_dir(at, recursive=True)
         encode = encoder(tokenizer)
-        tail, width = np.array([end], "<u4").tobytes(), 2 if max(encode.vocabulary, end + 1) <= 1 << 16 else 4
+        width = 2 if max(encode.vocabulary, end + 1) <= 1 << 16 else 4
         numbers, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            path = f"{at}/{numbers[0]:020d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.bin"
-            with store.open_output_stream(path) as out:
-                out.write(pack_shard(np.array(numbers, np.int64), ids, width))
-            row = (numbers[0], numbers[-1], len(numbers), held // 4, path.rsplit("/", 1)[1])
+            path = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.bin"
+            known = [x for x in numbers if x is not None]
+            with store.open_output_stream(f"{at}/{path}") as out:
+                out.write(pack_shard(np.array(known, np.int64), ids, width))
+            row = {"first_id": pa.array([numbers[0]], pa.int64()), "last_id": pa.array([numbers[-1]], pa.int64()), "n_docs": [len(numbers)], "n_ids": [held // 4], "path": [path]}
             numbers.clear(), ids.clear()
-            return pa.RecordBatch.from_pydict(dict(zip(("first_id", "last_id", "n_docs", "n_ids", "path"), ([x] for x in row))))
+            return pa.RecordBatch.from_pydict(row)
 
         for b in batches:
-            for a in range(0, len(b), 256):
-                part = b.slice(a, 256)
-                for number, data in zip(part.column(0).to_pylist(), encode.encode(part.column(1).to_pylist())):
+            texts = b.column(1)
+            for low, high in slices(pc.binary_length(texts).fill_null(0).to_pylist(), SLICE):
+                told, ends = with_end(*encode.column(texts.slice(low, high - low)), end)
+                data, begin = told.astype("<u4").tobytes(), 0
+                for number, stop in zip(b.column(0).slice(low, high - low).to_pylist(), (4 * ends).tolist()):
                     if numbers and (len(numbers) >= MOST_DOCS or held * width // 4 >= MOST_BYTES):
                         yield flush()
                         held = 0
                     numbers.append(number)
-                    ids.append(data + tail)
-                    held += len(ids[-1])
+                    ids.append(data[begin:stop])
+                    held += stop - begin
+                    begin = stop
         if numbers:
             yield flush()
 
-    ordered = wanted.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    return cut(ordered.mapInArrow(run, MANIFEST))
+    # the second key deals out rows without an id, however many there are
+    order = [F.asc_nulls_last("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))]
+    return cut(wanted.repartitionByRange(shards, *order).sortWithinPartitions(order[0]).mapInArrow(run, MANIFEST))
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -113,7 +133,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
     The running sum over shards is the one step in one task: a row for each shard, some 30 MB of ids.
     """
-    before = Window.orderBy("first_id", "last_id", "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.asc_nulls_last("first_id"), F.asc_nulls_last("last_id"), "path").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +142,13 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with store.open_input_stream(f"{at}/{path}") as f:
                     shard = Shard(f.read())
-                ends = shard.ends.all()
-                starts = np.concatenate(([0], ends[:-1]))
-                ids = memoryview(shard.ids.astype("<u4").tobytes())
-                crcs = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids()), pa.array(base + starts), pa.array(ends - starts), pa.array(crcs, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for low in range(0, shard.n_docs, BLOCK):
+                    starts, ends = shard.places(low, min(low + BLOCK, shard.n_docs))
+                    ids = memoryview(shard.ids[starts[0] : ends[-1]].astype("<u4").tobytes())
+                    crcs = [zlib.crc32(ids[x:y]) for x, y in zip((4 * (starts - starts[0])).tolist(), (4 * (ends - starts[0])).tolist())]
+                    known = shard.doc_ids(low, low + len(ends))
+                    numbers = pa.concat_arrays([pa.array(known, pa.int64()), pa.nulls(len(ends) - len(known), pa.int64())])
+                    yield pa.RecordBatch.from_arrays([numbers, pa.array(base + starts), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = shards.select("path", "base").repartition(shuffles(manifest.sparkSession), "path")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -282,14 +282,17 @@ def test_token_shards(spark, docs, empty, monkeypatch):
     got = sorted(map(tuple, token_store.read_tokens(manifest, folder).collect()), key=lambda r: r[1])
     ids = collections.defaultdict(list)
     for i, t, *_ in corpus():
-        if i is not None:
-            ids[i].append(plain.encode(t or "", add_special_tokens=False).ids + [1])
-    assert [r[0] for r in got] == sorted(i for i, x in ids.items() for _ in x)
+        ids[i].append(plain.encode(t or "", add_special_tokens=False).ids + [1])
+    assert [r[0] for r in got] == sorted((i for i, x in ids.items() for _ in x), key=lambda i: (i is None, i))  # a row without an id is last
     for i, start, n, crc in got:
         assert start == at
         at += n
         want.append((i, n, crc))
-    assert sorted(want) == sorted((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, told in ids.items() for x in told)
+    assert collections.Counter(want) == collections.Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, told in ids.items() for x in told)
+    nameless = docs.where("doc_id is null or doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))
+    manifest = token_store.write_tokens(nameless, folder, path)
+    assert [(r.first_id, r.n_docs > 0) for r in manifest.collect()] == [(None, True)] * manifest.count()
+    assert token_store.read_tokens(manifest, folder).where("doc_id is null").count() == nameless.count()
     none = common.fresh_dir(spark, "tokens")
     assert token_store.read_tokens(token_store.write_tokens(empty, none, path), none).count() == 0
 
@@ -304,9 +307,19 @@ def test_elias_fano_and_shard():
         assert len(data) <= elias_fano.HEAD.size + 2 + n * (2.2 + math.log2(10**6 / max(n, 1))) / 8 + 8
     with pytest.raises(IndexError):
         back.select(5000)
+    # long gaps and long runs between the directory's entries, and numbers of over 32 bits
+    for values in (np.sort(np.concatenate([np.zeros(3000, np.int64), rng.integers(0, 1 << 40, 3000), np.full(700, 1 << 40)])), np.arange(4000), np.array([0, 1 << 62]), np.zeros(600, np.int64)):
+        back = elias_fano.EliasFano(elias_fano.encode(values))
+        assert (back.selects(np.arange(len(values))) == values).all() and (back.selects(np.arange(len(values))[::-7]) == values[::-7]).all()
+        # the directory is what the code holds beside two bits and the low part a number: a packed place for each 256
+        assert len(back.directory) <= -(-len(values) // elias_fano.SAMPLE) * 2 + 1
+        held = [x for x in vars(back).values() if isinstance(x, np.ndarray)]
+        assert all(x.dtype == np.uint8 for x in held) and sum(x.nbytes for x in held) <= back.size
     ids = [np.arange(k, dtype="<u4").tobytes() for k in (3, 1, 9)]
     shard = token_store.Shard(token_store.pack_shard(np.array([-5, 2, 2]), ids, 2))
     assert [shard.document(i).tolist() for i in range(3)] == [[0, 1, 2], [0], list(range(9))] and shard.doc_ids().tolist() == [-5, 2, 2]
+    nameless = token_store.Shard(token_store.pack_shard(np.array([-1 << 63, (1 << 63) - 1]), ids, 4))
+    assert (nameless.n_docs, nameless.n_null, nameless.document(2).tolist()) == (3, 1, list(range(9))) and nameless.doc_ids().tolist() == [-1 << 63, (1 << 63) - 1]
 
 
 def test_top_k(spark):
