@@ -1,9 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations alone.
 
-A source whose target is r times its size gives floor(r) whole copies of every document for certain; the rest of the target
-is a sample. Each document draws a number from a hash of its id and is ranked by its random odds divided by its inclusion
-odds; documents are taken in that order until the source's words are reached. No source is ever sorted as a whole: ranks are
-cut into narrow bins, words are summed by bin, and only the one bin in which a source's target falls is put in order.
+A document of a source is expected to be taken in proportion to the square root of its words, and MOST times at most; the
+scale is the one at which the source's expected words are its target. The whole part of that number are certain copies; the
+rest is the document's own inclusion probability for one more. Within strata of a source, documents whose sizes differ by an
+eighth at most, a fixed number is taken: the probabilities' sum, rounded up or down by a random number of the stratum's own.
+Each document draws a number from a hash of its id, and the first by random odds divided by inclusion odds are taken. As
+sizes hardly differ in a stratum, a fixed number of documents is nearly a fixed number of words, and the words that rounding
+leaves over pass on to the next shorter documents, so that a source ends within about one short document of its target.
+
+No source or stratum is ever sorted as a whole: ranks are cut into narrow bins and counted, and only the bin in which a
+stratum's last document falls is put in order. Probabilities are counted in units of 1 / ONE, so sums don't depend on order.
 """
 
 from __future__ import annotations
@@ -17,7 +23,9 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 BINS = 4096
-#: Sources up to this number are sent to all executors (some 100 bytes each); beyond it they are joined by a shuffle.
+#: Units of a probability, and of a document's weight.
+ONE, UNIT = 1 << 30, 1024
+#: Sources, or strata, up to this number are sent to all executors (some 100 bytes each); beyond it they are joined by a shuffle.
 SENT = 50_000
 
 
@@ -46,54 +54,94 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
 
 def uniform(*cols: Column, seed: str = SEED) -> Column:
     """A number in (0, 1) that depends on the values alone: 52 bits of the md5 of their text."""
-    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    text = F.concat_ws(":", F.lit(seed), *cols)
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def weight_of(size: Column) -> Column:
+    """A document's weight by its words: their square root, as a whole number."""
+    return F.floor(F.sqrt(size.cast("double")) * UNIT).cast("long")
+
+
+def stratum_of(size: Column) -> Column:
+    """Sizes that share their highest bit and the three after it."""
+    bits = F.length(F.bin(size))
+    return (bits * 16 + F.floor(size * 8 / F.pow(F.lit(2.0), (bits - 1).cast("double")))).cast("int")
+
+
+def scales(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """``(s, scale)``: what a source's weights are multiplied by, so that expected words are its target; null: all at the most.
+
+    sized: ``(source, size, n)``. The longest documents reach the most first; the scale is that of the first size that
+    doesn't. A source has d sizes only if it has d (d + 1) / 2 words, so its rows here are few.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    words = F.col("size").cast("decimal(38,0)") * F.col("n")
+    full = F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    rest = F.sum((F.col("size") * F.col("g")).cast("decimal(24,0)") * F.col("n")).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    weighed = sized.where("size > 0").withColumn("g", weight_of(F.col("size")))
+    weighed = weighed.join(plan.select("s", "target"), weighed.source.eqNullSafe(plan.s)).withColumn("scale", (F.col("target") - most * full) / rest)
+    found = weighed.groupBy("s").agg(F.max(F.when(F.col("scale") * F.col("g") < most, F.struct("size", "scale"))).alias("first"))
+    return found.select(F.col("s").alias("scaled"), F.col("first.scale").alias("scale"))
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, copies)`` for every row of docs.
+    """``(doc_id, size, source_size, target, taken, copies, expected)`` for every row of docs.
 
     size: words of the text (null and empty: 0); source_size: words of its source; target: the words the source should
-    give; copies: how many times the mix takes the row; taken: copies times size. A null source is a source of its own.
-    Rows without words are taken as often as for certain. Repeated rows draw the same number and are ranked side by side;
-    rows without a doc_id draw by their source and size. An empty table gives none. Other columns are not read.
+    give; copies: how many times the mix takes the row; taken: copies times size; expected: copies over all seeds. A null
+    source is a source of its own. Rows without words give none and aren't taken. Repeated rows draw the same number and are
+    ranked side by side; rows without a doc_id draw by their text. Very long texts count whole. An empty table gives none.
+    Other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
-    rows = cut(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = cut(
-        targets(sizes, weights, most).select(
-            F.col("source").alias("s"), "source_size", "target",
-            F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("certain"),
-        ).withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    )
-    small = plan.count() <= SENT
-    send = F.broadcast if small else (lambda x: x)
-    odds = F.col("rest") / (F.col("source_size") - F.col("rest"))
-    u = uniform(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.concat_ws(":", "source", "size")), seed=seed)
-    rank = F.when((F.col("rest") > 0) & (F.col("size") > 0), u / (1 - u) / odds)
-    ranked = rows.join(send(plan), rows.source.eqNullSafe(plan.s)).withColumn("rank", rank)
-    ranked = ranked.withColumn("bin", F.floor(F.col("rank") * odds / (1 + F.col("rank") * odds) * BINS))
-    summed = ranked.where("rank is not null").groupBy(F.col("s").alias("bs"), F.col("bin").alias("b")).agg(F.sum("size").alias("words"))
-    up = Window.partitionBy("bs").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    reached = summed.withColumn("before", F.coalesce(F.sum("words").over(up), F.lit(0)))
+    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string")))
+    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), uniform(key, seed=seed).alias("u")))
+    sized = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    plan = cut(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most).withColumnRenamed("source", "s"))
+    scaled = scales(sized, plan, most)
+    plan = cut(plan.join(scaled, plan.s.eqNullSafe(scaled.scaled), "left").drop("scaled"))
+    few = plan.count()
+    send = F.broadcast if few <= SENT else (lambda x: x)
+
+    def expect(df: DataFrame) -> DataFrame:
+        """df with its source's plan, expected copies, certain ones, and units of the probability of one more."""
+        told = F.when(F.col("size") == 0, 0.0).when(F.col("scale").isNull(), float(most)).otherwise(F.least(F.lit(float(most)), F.col("scale") * weight_of(F.col("size"))))
+        df = df.join(send(plan), df.source.eqNullSafe(plan.s)).withColumn("expected", told)
+        return df.withColumns({"certain": F.floor("expected"), "units": F.floor((F.col("expected") - F.floor("expected")) * ONE), "stratum": stratum_of(F.col("size"))})
+
+    units, words = F.col("units").cast("decimal(20,0)") * F.col("n"), (F.col("units") * F.col("size")).cast("decimal(24,0)") * F.col("n")
+    strata = expect(sized).where("units > 0").groupBy("source", "stratum").agg(F.sum(units).cast("double").alias("m"), F.sum(words).cast("double").alias("w"), F.sum("n").alias("n"))
+    strata = strata.withColumn("turn", uniform(F.lit("round"), F.coalesce("source", F.lit("")), F.col("stratum").cast("string"), seed=seed))
+    # some 500 strata a source at most, whatever its rows
+    listed = strata.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("stratum", "m", "w", "n", "turn")), False).alias("strata"))
+
+    def fix(state: Column, x: Column) -> Column:
+        each, owed = x["w"] / x["m"], state["owed"] + x["w"]
+        n = F.greatest(F.lit(0), F.least(x["n"], F.floor(owed / ONE / each + x["turn"])))
+        return F.struct((owed - n * each * ONE).alias("owed"), F.array_append(state["fixed"], F.struct(x["stratum"].alias("stratum"), n.alias("fixed"))).alias("fixed"))
+
+    none = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<stratum:int,fixed:long>>").alias("fixed"))
+    strata = listed.select(F.col("source").alias("fs"), F.inline(F.aggregate("strata", none, fix, lambda x: x["fixed"]))).withColumnRenamed("stratum", "fk")
+    odds = F.col("units") / (ONE - F.col("units"))
+    ranked = expect(rows).withColumn("rank", F.when(F.col("units") > 0, F.col("u") / (1 - F.col("u")) / odds))
+    # the last one taken has a rank near 1, where bins are narrowest
+    ranked = ranked.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+    counts = ranked.where("rank is not null").groupBy("source", "stratum", "bin").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source", "stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))
     cuts = cut(
-        reached.join(send(plan), reached.bs.eqNullSafe(plan.s))
-        .where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-        .groupBy("bs").agg(F.min(F.struct("b", "before")).alias("cut"))
-        .select("bs", F.col("cut.b").alias("cut"), F.col("cut.before").alias("before"))
+        counts.join(strata, counts.source.eqNullSafe(strata.fs) & (F.col("stratum") == F.col("fk")))
+        .where((F.col("before") < F.col("fixed")) & (F.col("before") + F.col("n") >= F.col("fixed")))
+        .select("fs", "fk", F.col("bin").alias("cut"), (F.col("fixed") - F.col("before")).alias("left"))
     )
-    placed = ranked.join(send(cuts), ranked.s.eqNullSafe(cuts.bs), "left").drop("bs")
-    # a target that rounding puts past the last bin takes all of them
-    inside = F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
-    at_cut = F.col("rank").isNotNull() & (F.col("bin") == F.col("cut"))
-    order = Window.partitionBy("s", "cut").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    #: The document on which the target falls is taken if over half of it lies before the target.
-    edge = placed.where(at_cut).withColumn("more", (begins + F.col("size") / 2 < F.col("rest")).cast("int"))
-    other = placed.where(~F.coalesce(at_cut, F.lit(False))).withColumn("more", F.coalesce(inside, F.lit(False)).cast("int"))
+    send_cuts = F.broadcast if few <= SENT and cuts.count() <= SENT else (lambda x: x)
+    placed = ranked.join(send_cuts(cuts), ranked.source.eqNullSafe(cuts.fs) & (F.col("stratum") == F.col("fk")), "left")
+    at_cut = F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))
+    order = F.row_number().over(Window.partitionBy("fs", "fk").orderBy("rank", "doc_id", "size"))
+    edge = placed.where(at_cut).withColumn("more", (order <= F.col("left")).cast("int"))
+    other = placed.where(~at_cut).withColumn("more", F.coalesce(F.col("bin") < F.col("cut"), F.lit(False)).cast("int"))
     copies = (F.col("certain") + F.col("more")).cast("long")
-    return other.union(edge).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return other.union(edge).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "expected")
 
 
 def op6_pareto_mixing(spark, sf_dir: str) -> DataFrame:
@@ -101,7 +149,7 @@ def op6_pareto_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -121,22 +169,39 @@ WITH d AS (
   SELECT f.source, f.source_size,
          CASE WHEN l.place IS NULL OR f.r < l.r OR (f.r = l.r AND f.place < l.place) THEN CAST(f.most AS DOUBLE) ELSE f.weight * l.share END AS target
   FROM f LEFT JOIN l ON TRUE
+), h AS (
+  SELECT source, size, count(*) AS n, CAST(floor(sqrt(CAST(size AS DOUBLE)) * 1024) AS HUGEINT) AS g FROM d WHERE size > 0 GROUP BY source, size
+), k AS (
+  SELECT h.source, size, g, (target - 3 * CAST(coalesce(sum(size * n) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+         / CAST(sum(size * g * n) OVER (PARTITION BY h.source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS scale
+  FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT source, arg_max(scale, size) AS scale FROM k WHERE scale * CAST(g AS DOUBLE) < 3 GROUP BY source
+), e AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+         CASE WHEN size = 0 THEN 0.0 WHEN scale IS NULL THEN 3.0 ELSE least(3.0, scale * floor(sqrt(CAST(size AS DOUBLE)) * 1024)) END AS expected,
+         length(bin(size)) * 16 + CAST(floor(size * 8 / pow(2, length(bin(size)) - 1)) AS INTEGER) AS stratum,
+         (CAST(('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 ), p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain FROM t
+  SELECT *, floor(expected) AS certain, CAST(floor((expected - floor(expected)) * 1073741824) AS HUGEINT) AS units FROM e
+), m AS (
+  SELECT source, stratum, CAST(sum(units) AS DOUBLE) AS m, CAST(sum(units * size) AS DOUBLE) AS w, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY stratum DESC) AS i,
+         (CAST(('0x' || substr(md5('mix-1:round:' || coalesce(source, '') || ':' || CAST(stratum AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS turn
+  FROM p WHERE units > 0 GROUP BY source, stratum
 ), q AS (
-  SELECT *, target - certain * source_size AS rest FROM p
-), u AS (
-  SELECT d.doc_id, d.source, d.size, q.source_size, q.target, q.certain, q.rest,
-         (CAST(('0x' || substr(md5('mix-1:' || CAST(d.doc_id AS VARCHAR) || ':'), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  SELECT source, stratum, i, w, m, least(n, greatest(0, floor(w / 1073741824 / (w / m) + turn))) AS fixed, w - least(n, greatest(0, floor(w / 1073741824 / (w / m) + turn))) * (w / m) * 1073741824 AS owed
+  FROM m WHERE i = 1
+  UNION ALL
+  SELECT x.source, x.stratum, x.i, x.w, x.m, x.fixed, x.whole - x.fixed * (x.w / x.m) * 1073741824 FROM (
+    SELECT m.source, m.stratum, m.i, m.w, m.m, q.owed + m.w AS whole, least(m.n, greatest(0, floor((q.owed + m.w) / 1073741824 / (m.w / m.m) + turn))) AS fixed
+    FROM q JOIN m ON m.source IS NOT DISTINCT FROM q.source AND m.i = q.i + 1) x
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY u / (1 - u) / (CAST(units AS DOUBLE) / CAST(1073741824 - units AS DOUBLE)), doc_id) AS place FROM p WHERE units > 0
+), taken AS (
+  SELECT r.doc_id, r.source FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source AND r.stratum = q.stratum WHERE place <= fixed
 ), o AS (
-  SELECT *, CASE WHEN rest > 0 AND size > 0 THEN u / (1 - u) / (rest / (source_size - rest)) END AS rank FROM u
-), c AS (
-  SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank IS NULL, rank, doc_id
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o
+  SELECT p.*, CAST(certain + CASE WHEN x.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS copies FROM p LEFT JOIN taken x ON x.doc_id = p.doc_id AND x.source IS NOT DISTINCT FROM p.source
 )
-SELECT doc_id, size, source_size, target,
-       CAST((certain + CASE WHEN rank IS NOT NULL AND before + size / 2.0 < rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
-       CAST(certain + CASE WHEN rank IS NOT NULL AND before + size / 2.0 < rest THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM c
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, expected FROM o
 """

@@ -376,6 +376,37 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_follows_its_odds(spark):
+    """Many sources of the same sizes: how often a size is taken comes to its expected copies, and longer ones are taken oftener."""
+    sizes = [*range(24, 64, 2), 400]
+    rows = [(1000 * k + i, "w " * n, "en", f"s{k:03d}", 0) for k in range(45) for i, n in enumerate(6 * sizes)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    told, sums = collections.defaultdict(list), collections.Counter()
+    for r in got:
+        told[r.target, r.size].append((r.copies, r.expected))
+        sums[r.doc_id // 1000] += r.taken
+        assert r.copies in (math.floor(r.expected), math.floor(r.expected) + 1) and 0 < r.expected <= 3
+    assert len({t for t, _ in told}) == 3
+    for (target, size), pairs in told.items():
+        copies, expected = np.array(pairs).T
+        p = expected[0] % 1
+        assert np.allclose(expected, expected[0], rtol=1e-12)
+        assert abs(copies.mean() - expected[0]) < 4 * math.sqrt(p * (1 - p) / len(pairs)) + 0.04, (target, size)
+    for t in {t for t, _ in told}:
+        by_size = [told[t, n][0][1] for n in sizes]
+        assert by_size == sorted(by_size) and (by_size[-1] == 3 or by_size[0] < 0.3 * by_size[-1])
+    target = {r.doc_id // 1000: r.target for r in got}
+    assert all(abs(sums[k] - target[k]) <= 30 for k in target)
+
+
+def test_mixing_takes_a_fixed_number(spark):
+    """Whatever the seed, a stratum gives the same number of documents, up to one; and other documents."""
+    rows = [(i, "w " * (64 + i % 7), "en", "a" if i < 400 else "b", 0) for i in range(800)]
+    taken = [{r.doc_id: r.copies for r in mixing.mix(frame(spark, rows), seed=f"s{k}").collect()} for k in range(4)]
+    expected = sum(r.expected for r in mixing.mix(frame(spark, rows)).collect())
+    assert all(abs(sum(t.values()) - expected) <= 2 for t in taken) and len({tuple(sorted(t.items())) for t in taken}) == 4
+
+
 def plain_spans(t):
     t = t or ""
     kinds = [
