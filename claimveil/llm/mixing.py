@@ -41,9 +41,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     named = named.withColumns({"weight": weight, "limit": most * F.col("source_size")})
     filling = Window.orderBy(F.col("limit") / F.col("weight"), "place")
-    before, after = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    share = (total - F.coalesce(F.sum("limit").over(before), F.lit(0))).cast("double") / F.sum("weight").over(after)
+    before, every = filling.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
+    share = (F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0))).cast("double") / left
     leveled = named.withColumns({"share": share, "open": F.col("limit") >= F.col("weight") * share})
     level = F.min(F.when(F.col("open"), F.struct(F.col("limit") / F.col("weight"), "place", "share"))).over(Window.partitionBy())
     leveled = leveled.withColumns({"level": level["share"], "first": level["place"], "full_to": level["col1"]})
@@ -75,10 +75,11 @@ def scales(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     sized: ``(source, size, n)``. The longest documents reach the most first; the scale is that of the first size that
     doesn't. A source has d sizes only if it has d (d + 1) / 2 words, so its rows here are few.
     """
-    down = Window.partitionBy("source").orderBy(F.desc("size"))
-    words = F.col("size").cast("decimal(38,0)") * F.col("n")
-    full = F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
-    rest = F.sum((F.col("size") * F.col("g")).cast("decimal(24,0)") * F.col("n")).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    one = Window.partitionBy("source")
+    upto = one.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    words = F.col("size") * F.col("n")
+    full = (F.sum(words).over(one) - F.sum(words).over(upto)).cast("double")
+    rest = F.sum((F.col("size") * F.col("g")).cast("decimal(18,0)") * F.col("n")).over(upto).cast("double")
     weighed = sized.where("size > 0").withColumn("g", weight_of(F.col("size")))
     weighed = weighed.join(plan.select("s", "target"), weighed.source.eqNullSafe(plan.s)).withColumn("scale", (F.col("target") - most * full) / rest)
     found = weighed.groupBy("s").agg(F.max(F.when(F.col("scale") * F.col("g") < most, F.struct("size", "scale"))).alias("first"))
