@@ -4,6 +4,9 @@ For a segment of m components, the inner product of two vectors is at most m (me
 Summed over segments that bounds the score from above (a lower bound of the distance), and more, shorter segments bound it
 closer. A candidate that can't reach a query's k-th best score at a coarse resolution is done; for the others the next one
 is taken, and the exact integer score last. Bounds are enlarged by more than their rounding error, so no result is lost.
+
+A query has a score to beat from the first row on: the k-th best among the other queries of its block, and in every slice of
+rows the k with the highest bounds are scored first.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,25 +24,24 @@ from .common import cut, table
 
 SCALE = 1024
 #: Segments at each resolution.
-LEVELS = (1, 4, 16)
+LEVELS = (1, 8, 32)
 #: Queries that are sent to the executors at a time: with 64 components 2 MB.
 BLOCK = 4096
-ROWS = 2048
+ROWS = 512
 
 
-def whole_numbers(batch: pa.RecordBatch, at: int, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows hold a whole vector (no null, no non-finite part), and floor(scale x component) of those, as doubles."""
+def whole_numbers(batch: pa.RecordBatch, at: int, scale: int = SCALE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors: which rows hold one without a null or non-finite part, and floor(scale x component), as doubles."""
     column = batch.column(at)
-    rows = [None if v is None or len(v) == 0 or any(c is None for c in v) else v for v in column.to_pylist()] if column.null_count or _holes(column) else column.to_numpy(zero_copy_only=False)
-    good = np.array([v is not None and len(v) > 0 and bool(np.isfinite(v).all()) for v in rows], bool)
-    kept = [np.asarray(v, np.float64) for v, g in zip(rows, good) if g]
-    if len({len(v) for v in kept}) > 1:
-        raise ValueError("vectors differ in length")
-    return good, np.floor(scale * np.array(kept)) if kept else np.zeros((0, 0))
-
-
-def _holes(column: pa.Array) -> bool:
-    return bool(column.values.null_count)
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    begin, parts = np.cumsum(size) - size, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null part is no number
+    out = []
+    for n in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        x = parts[begin[rows][:, None] + np.arange(n)]
+        good = np.isfinite(x).all(1)
+        out.append((rows[good], np.floor(scale * x[good])))
+    return out
 
 
 def segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,60 +51,86 @@ def segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return means, np.stack([x[:, p].std(1) * np.sqrt(len(p)) for p in parts], 1)
 
 
+def floors(ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the other queries; none if there are fewer."""
+    out = np.full(len(ids), -np.inf)
+    if len(ids) > k:
+        for a in range(0, len(ids), 256):
+            scores = np.where(ids[a : a + 256, None] == ids, -np.inf, queries[a : a + 256] @ queries.T)
+            out[a : a + 256] = np.partition(scores, -k, 1)[:, -k]
+    return out
+
+
 class Search:
-    """The k best rows seen so far for a block of queries."""
+    """The k best rows seen so far for a block of queries of one length."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
+        self.ids, self.queries, self.k, self.floor = ids, queries, k, floor.copy()
         self.levels = [np.hstack(segments(queries, n)) for n in LEVELS]
         #: Over the rounding error of any sum of a row's products.
         self.slack = 1e-9 * (1 + np.sqrt((queries**2).sum(1)))
         self.best = np.full((len(ids), k), -np.inf)
         self.best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        #: Pairs seen, and those whose exact score was needed.
+        self.seen = self.scored = 0
+
+    def _take(self, q: int, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Scores rows exactly for a query."""
+        self.scored += len(ids)
+        scores, found = np.append(self.best[q], rows @ self.queries[q]), np.append(self.best_id[q], ids)
+        if len(scores) > 4 * self.k:  # all that may be among the best, ties included
+            top = np.flatnonzero(scores >= np.partition(scores, -self.k)[-self.k])
+            scores, found = scores[top], found[top]
+        order = np.lexsort((found, -scores))[: self.k]
+        self.best[q], self.best_id[q] = scores[order], found[order]
+        self.floor[q] = max(self.floor[q], self.best[q, -1])
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        if not len(ids):
-            return
         size = np.sqrt((rows**2).sum(1))
         told = [np.hstack(segments(rows, n)) for n in LEVELS]
         for q in range(len(self.ids)):
             left = np.flatnonzero(ids != self.ids[q])
+            self.seen += len(left)
+            slack = self.slack[q] * (1 + size)
             for query, rows_at in zip(self.levels, told):
-                if len(left) > self.k and np.isfinite(self.best[q, -1]):
-                    bound = rows_at[left] @ query[q] + self.slack[q] * (1 + size[left])
-                    left = left[bound >= self.best[q, -1]]
-            if not len(left):
-                continue
-            scores = rows[left] @ self.queries[q]
-            scores, found = np.append(self.best[q], scores), np.append(self.best_id[q], ids[left])
-            if len(scores) > 4 * self.k:  # all that may be among the best, ties included
-                top = np.flatnonzero(scores >= np.partition(scores, -self.k)[-self.k])
-                scores, found = scores[top], found[top]
-            order = np.lexsort((found, -scores))[: self.k]
-            self.best[q], self.best_id[q] = scores[order], found[order]
+                bounds = rows_at[left] @ query[q] + slack[left]
+                near = bounds >= self.floor[q]
+                left, bounds = left[near], bounds[near]
+            if len(left) > self.k:  # the most promising first; they raise what the others must beat
+                first = np.argpartition(-bounds, self.k - 1)[: self.k]
+                self._take(q, ids[left[first]], rows[left[first]])
+                bounds[first] = -np.inf
+                left = left[bounds >= self.floor[q]]
+            if len(left):
+                self._take(q, ids[left], rows[left])
 
 
 def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Each task's k best rows for one block of queries."""
-    batches = queries.toArrow().to_batches()  # at most BLOCK rows
-    ids, rows = [], []
-    for b in batches:
-        good, x = whole_numbers(b, 1)
-        ids += np.array(b.column(0))[good].tolist()
-        rows += list(x)
-    sent = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), np.array(rows) if ids else np.zeros((0, 1))))
+    told: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for b in queries.toArrow().to_batches():  # at most BLOCK rows
+        for rows, x in whole_numbers(b, 1):
+            told.setdefault(x.shape[1], []).append((b.column(0).to_numpy(zero_copy_only=False)[rows], x))
+    blocks = {}
+    for size, found in told.items():
+        ids, x = (np.concatenate(c) for c in zip(*found))
+        blocks[size] = ids, x, floors(ids, x, k)
+    sent = vectors.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(*sent.value, k)
+        searches = {size: Search(*block, k) for size, block in sent.value.items()}
         for b in batches:
             for a in range(0, len(b), ROWS):
                 part = b.slice(a, ROWS)
-                good, x = whole_numbers(part, 1)
-                search.add(np.array(part.column(0))[good], x)
-        q, r = np.nonzero(np.isfinite(search.best))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(search.ids[q]), pa.array(search.best_id[q, r]), pa.array(search.best[q, r].astype(np.int64))], ["query_id", "vec_id", "score"]
-        )
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                for rows, x in whole_numbers(part, 1):
+                    if len(rows) and x.shape[1] in searches:
+                        searches[x.shape[1]].add(ids[rows], x)
+        for search in searches.values():
+            q, r = np.nonzero(np.isfinite(search.best))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(search.ids[q]), pa.array(search.best_id[q, r]), pa.array(search.best[q, r].astype(np.int64))], ["query_id", "vec_id", "score"]
+            )
 
     return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -111,8 +140,9 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id"
 
     Components count as floor(1024 x). is_query: a condition on ``vec_id``. Ties go to the smaller id. Rows that are null,
     empty, or hold a null or non-finite component take no part, nor do rows without an id; a repeated id is one query for
-    each of its rows, told apart by nothing, so ids should be distinct. No queries or no candidates: no rows. Queries are
-    sent in blocks of at most ``BLOCK``, and every block passes over all rows.
+    each of its rows, told apart by nothing, so ids should be distinct. Vectors meet those of their own length alone. No
+    queries or no candidates: no rows. Other columns are not read. Queries are sent in blocks of at most ``BLOCK``, and every
+    block passes over all rows.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).where("vec_id is not null and embedding is not null")
     queries = rows.where(is_query)

@@ -337,6 +337,27 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), "vec_id % 100 = 0").count() == 0
     few = topk.top_k(table.where("vec_id in (0, 1, 2)"), "vec_id = 0").collect()
     assert len(few) == 2
+    # vectors of another length meet each other alone; repeated rows of an id aren't their own neighbours
+    odd = table.union(spark.createDataFrame([(5000 + 10 * i, [float(i), 1.0, 2.0], 0, 1) for i in range(11)] + [(5000, [9.0, 1.0, 2.0], 0, 1), (6000, [], 0, 1)], table.schema))
+    got = set(map(tuple, topk.top_k(odd, "vec_id % 100 = 0").collect()))
+    assert {r for r in got if r[0] < 5000} == want and {r[2] for r in got if r[0] == 5000} == {5000 + 10 * i for i in range(1, 11)} and not any(r[0] == 6000 for r in got)
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_top_k_leaves_rows_unscored(n):
+    """Bounds spare exact scores in the first slice already, with and without other queries to compare with."""
+    x = np.floor(1024 * group_and_noise(n).astype(float))
+    ids, k = np.arange(n), 10
+    for every in (100, 20):
+        q = ids[::every]
+        search = topk.Search(q, x[q], topk.floors(q, x[q], k), k)
+        search.add(ids[: topk.ROWS], x[: topk.ROWS])
+        assert search.scored < 0.95 * search.seen
+        for a in range(topk.ROWS, n, topk.ROWS):
+            search.add(ids[a : a + topk.ROWS], x[a : a + topk.ROWS])
+        for i, j in enumerate(q):
+            want = sorted((-int(x[j] @ x[c]), c) for c in ids if c != j)[:k]
+            assert [(-int(s), c) for s, c in zip(search.best[i], search.best_id[i])] == want
 
 
 def test_bounds_hold():
