@@ -1,8 +1,8 @@
 """Secrets in texts: named patterns, and strings whose characters are too evenly spread to be words; DataFrame operations alone.
 
-Where a pattern matches comes from splitting the text by it: match i begins after the first i+1 parts and i matches. A
-candidate string's entropy is taken over a window that slides one character at a time: the counts of the character that
-enters and of the one that leaves change by one, and so does their share of the sum. Limits differ by class of characters,
+Where a pattern matches comes from splitting the text by it. A candidate string's entropy is taken over a window that slides
+one character at a time: the counts of the character that enters and of the one that leaves change by one, and so does their
+share of the sum. Counts are kept five bits each in a few long integers, so a step costs the same however long the string. Limits differ by class of characters,
 the window's or the whole string's, whichever is lower, so a key or path before a value doesn't raise the value's limit; an
 allow-list drops what looks random but isn't secret. All offsets are code points; everything happens within a row.
 """
@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimveil.functions.arrays import bind, chunks, matches, part, running
+
 from .common import table
 
 #: Base patterns in the order in which kinds are listed; the group to measure and its least length.
@@ -40,27 +42,17 @@ SAMPLES = ALLOWED[2]
 #: What a character adds to its window's tally: a digit, a-f, A-F or a sign; sums of twenty stay apart.
 DIGIT, LOWER, UPPER, SIGN = 1, 100, 10_000, 1_000_000
 TALLY = [DIGIT if c in "0123456789" else LOWER if c in "abcdef" else UPPER if c in "ABCDEF" else 0 if c.isalpha() else SIGN for c in ALPHABET]
+#: Counts of at most WINDOW in a long integer, their bits, and how many long integers there are.
+EACH, BITS = 12, 5
+HOLDERS = -(-len(ALPHABET) // EACH)
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def _found(text: Column, pattern: str, kind: str, group: int, least: int) -> Column:
     """Spans of a pattern's matches, leftmost and without overlaps, whose group has the least length."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    told = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), matches.alias("match"),
-        (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches).alias("part"),
-    )
-    rank = [*KINDS, "entropy"].index(kind)
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        spans = F.when(F.length(x["part"]) >= least, F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(told, begin, step, lambda s: s["spans"])
+    rank, part = [*KINDS, "entropy"].index(kind), f"g{group}" if group else "match"
+    long = F.filter(matches(text, pattern, (group,) if group else ()), lambda x: F.length(x[part]) >= least)
+    return F.transform(long, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))).cast(SPAN)
 
 
 def _random_part(word: Column) -> Column:
@@ -68,60 +60,74 @@ def _random_part(word: Column) -> Column:
 
     A window of hexadecimal digits in a word of other characters needs two letters and two digits.
     """
-    plogp = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+    plogp = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 3)]
+    #: What the sum of c log c gains when the n-th of a character enters, and loses when the n-th leaves.
+    gains, losses = F.array(*[F.lit(plogp[c + 1] - plogp[c]) for c in range(WINDOW + 2)]), F.array(F.lit(0.0), *[F.lit(plogp[c] - plogp[c - 1]) for c in range(1, WINDOW + 2)])
     limit = F.lit(LIMITS[-1][1])
     for pattern, bits in reversed(LIMITS[:-1]):
         limit = F.when(word.rlike(pattern), bits).otherwise(limit)
-    samples, tally = word.rlike(SAMPLES), F.array(*[F.lit(x) for x in TALLY])
-    places = F.transform(F.regexp_extract_all(word, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"),
-        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("end"), limit.alias("limit"), places.alias("places"),
-        F.lit(0).alias("tally"), samples.alias("samples"),
-    )
-
-    def count(s: Column, place: Column) -> Column:
-        return F.coalesce(F.element_at(s["counts"], place), F.lit(0))
-
-    def step(s: Column, into: Column) -> Column:
-        out = F.when(s["n"] >= WINDOW, F.element_at(s["places"], F.greatest(s["n"] - WINDOW + 1, F.lit(1)))).otherwise(-1)
-        come, gone = count(s, into), F.when(out == -1, F.lit(1)).otherwise(count(s, F.greatest(out, F.lit(1))))
-        gone = gone + (into == out).cast("int")  # the one that enters counts already
-        total = s["sum"] + F.element_at(plogp, come + 2) - F.element_at(plogp, come + 1)
-        total = total + F.element_at(plogp, gone) - F.element_at(plogp, gone + 1)
-        counts = F.transform(s["counts"], lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int"))
-        n = s["n"] + 1
-        kinds = s["tally"] + F.element_at(tally, into) - F.when(out == -1, F.lit(0)).otherwise(F.element_at(tally, F.greatest(out, F.lit(1))))
-        digits, signs = kinds % LOWER, kinds >= SIGN
-        letters = F.when(kinds < UPPER, (kinds - digits) / LOWER).otherwise((kinds - digits) / UPPER)
+    tally = F.array(F.lit(0), *[F.lit(x) for x in TALLY])
+    #: By place in the alphabet (0: none): the long integer that holds the count, the bits before it, and one in its place.
+    where = [(-1, 0, 0), *(((p // EACH), p % EACH * BITS, 1 << p % EACH * BITS) for p in range(len(ALPHABET)))]
+    holder, shift, one = F.array(*[F.lit(h) for h, _, _ in where]), F.array(*[F.lit(x) for _, x, _ in where]), F.array(*[F.lit(u).cast("long") for _, _, u in where])
+
+    def moves(places: Column) -> Column:
+        """For each character that enters the window and the one that leaves it, where their counts are."""
+        pairs = F.transform(places, lambda p, i: F.struct((p + 1).alias("into"), (F.coalesce(F.get(places, i - WINDOW), F.lit(0)) + 1).alias("out")))
+        return F.transform(pairs, lambda x: F.struct(
+            *[F.element_at(table_, x[side]).alias(f"{side}_{name}") for side in ("into", "out") for name, table_ in (("at", holder), ("shift", shift), ("one", one))],
+            (F.element_at(tally, x["into"]) - F.element_at(tally, x["out"])).alias("tally"), (x["into"] == x["out"]).cast("int").alias("same"),
+        ))
+
+    def high(s: Column) -> Column:
+        """Whether the window that ends here reaches the limit of its class."""
+        digits, sign = s["tally"] % LOWER, s["tally"] >= SIGN
+        letters = F.when(s["tally"] < UPPER, F.floor(s["tally"] / LOWER)).otherwise(F.floor(s["tally"] / UPPER))
         hexadecimal = digits.between(2, WINDOW - 2) & (digits + letters == WINDOW)
-        usual = F.when(s["samples"], math.log2(WINDOW) + 1).when(signs, s["limit"]).otherwise(F.least(s["limit"], F.lit(LIMITS[1][1])))
+        usual = F.when(s["samples"], math.log2(WINDOW) + 1).when(sign, s["limit"]).otherwise(F.least(s["limit"], F.lit(LIMITS[1][1])))
         least = F.when(hexadecimal, LIMITS[0][1]).otherwise(usual)
-        high = (n >= WINDOW) & (math.log2(WINDOW) - total / WINDOW >= least)
+        return (s["n"] >= WINDOW) & (math.log2(WINDOW) + 1e-9 - s["sum"] / WINDOW >= least)
+
+    def judged(s: Column) -> list[Column]:
+        first = F.when(s["first"].isNotNull(), s["first"]).when(high(s), s["n"] - WINDOW)
+        return [first.alias("first"), F.when(high(s), s["n"]).otherwise(s["end"]).alias("end")]
+
+    def step(s: Column, x: Column) -> Column:
+        """The window so far is judged, then moves on."""
+
+        def count(side: str) -> Column:
+            held = s[f"c{HOLDERS - 1}"]
+            for k in reversed(range(HOLDERS - 1)):
+                held = F.when(x[f"{side}_at"] == k, s[f"c{k}"]).otherwise(held)
+            return F.call_function("shiftright", held, x[f"{side}_shift"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+        # the one that enters counts already when another leaves
+        gone = F.when(x["out_at"] >= 0, F.element_at(losses, count("out") + x["same"] + 1)).otherwise(0.0)
+        total = s["sum"] + F.element_at(gains, count("into") + 1) - gone
+        held = [s[f"c{k}"] + F.when(x["into_at"] == k, x["into_one"]).otherwise(0) - F.when(x["out_at"] == k, x["out_one"]).otherwise(0) for k in range(HOLDERS)]
         return F.struct(
-            counts.alias("counts"), total.alias("sum"), n.alias("n"), F.when(high & s["first"].isNull(), n - WINDOW).otherwise(s["first"]).alias("first"),
-            F.when(high, n).otherwise(s["end"]).alias("end"), s["limit"].alias("limit"), s["places"].alias("places"),
-            kinds.alias("tally"), s["samples"].alias("samples"),
+            *[c.alias(f"c{k}") for k, c in enumerate(held)], total.alias("sum"), (s["n"] + 1).alias("n"), *judged(s),
+            s["limit"].alias("limit"), (s["tally"] + x["tally"]).alias("tally"), s["samples"].alias("samples"),
         )
 
+    start = F.struct(
+        *[F.lit(0).cast("long").alias(f"c{k}") for k in range(HOLDERS)], F.lit(0.0).alias("sum"), F.lit(0).alias("n"),
+        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("end"), limit.alias("limit"), F.lit(0).alias("tally"), word.rlike(SAMPLES).alias("samples"),
+    )
+    places = F.transform(F.regexp_extract_all(word, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
+    found = F.aggregate(bind(places, moves), start, step, lambda s: F.struct(*judged(s)))
     allowed = F.lit(False)
     for pattern in (x for x in ALLOWED if x != SAMPLES):
         allowed = allowed | word.rlike(pattern)
-    return F.when(~allowed, F.aggregate(places, start, step, lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end"))))
+    return F.when(~allowed, found)
 
 
 def _entropy(text: Column) -> Column:
-    """Spans of candidate strings' random parts; the words are cut out by their spans."""
-    words = _found(text, CANDIDATE, "entropy", 0, WINDOW)
-    parts = F.transform(
-        words,
-        lambda w: F.struct(w.alias("w"), _random_part(F.substring(text, w["start"] + 1, w["end"] - w["start"])).alias("p")),
-    )
-    spans = F.transform(
-        F.filter(parts, lambda x: x["p"]["first"].isNotNull()),
-        lambda x: F.struct((x["w"]["start"] + x["p"]["first"]).alias("start"), x["w"]["rank"].alias("rank"), (x["w"]["start"] + x["p"]["end"]).alias("end"), x["w"]["kind"].alias("kind")),
-    )
-    return spans.cast(SPAN)
+    """Spans of candidate strings' random parts."""
+    parts = F.transform(matches(text, CANDIDATE), lambda w: F.struct(w["start"].alias("start"), _random_part(w["match"]).alias("p")))
+    found = F.filter(parts, lambda x: x["p"]["first"].isNotNull())
+    kind = [F.lit(len(KINDS)).alias("rank"), F.lit("entropy").alias("kind")]
+    return F.transform(found, lambda x: F.struct((x["start"] + x["p"]["first"]).alias("start"), kind[0], (x["start"] + x["p"]["end"]).alias("end"), kind[1])).cast(SPAN)
 
 
 def _joined(spans: Column) -> Column:
@@ -141,14 +147,24 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     ]
     found = docs.withColumn("_base", F.array_sort(F.concat(*by_kind)))
     found = found.withColumn("_random", F.when(whole.rlike(CANDIDATE), _entropy(whole)).otherwise(none))
-    new = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
-    return found.withColumn("_spans", F.when(F.size("_random") > 0, F.array_sort(F.concat("_base", new))).otherwise(F.col("_base"))).drop("_random")
+    # base spans that begin no later, up to the one whose end lies farthest, tell whether one holds a span
+    def outside(base: Column) -> Column:
+        reach = running(F.transform(base, lambda b: b["end"]), lambda a, b: F.greatest(a, b))
+        told = F.zip_with(base, reach, lambda b, far: F.struct(b["start"].alias("start"), F.lit(1).alias("new"), far.alias("far"), F.lit(None).cast("struct<start:int,rank:int,end:int,kind:string>").alias("span")))
+        asked = F.transform("_random", lambda r: F.struct(r["start"].alias("start"), F.lit(2).alias("new"), F.lit(0).alias("far"), r.alias("span")))
+        both = F.array_sort(F.concat(told, asked))
+        seen = running(F.transform(both, lambda x: x["far"]), lambda a, b: F.greatest(a, b))
+        kept = F.filter(F.zip_with(both, seen, lambda x, far: F.when(far < x["span"]["end"], x["span"])), lambda x: x.isNotNull())
+        return F.array_sort(F.concat(base, kept))
+
+    return found.withColumn("_spans", F.when(F.size("_random") > 0, bind(F.col("_base"), outside)).otherwise(F.col("_base"))).drop("_random")
 
 
 def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` for every row of docs.
 
-    Null and empty texts have no spans; repeated rows, ids and null ids stay as they are; an empty table gives none.
+    Null and empty texts have no spans; repeated rows, ids and null ids stay as they are; an empty table gives none. Very long
+    texts are read whole, in time that grows little faster than their length. Other columns are not read.
     """
     found = scan(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
 
@@ -160,17 +176,24 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of their texts replaced by a mark; overlapping spans become one. Null texts stay null."""
+    """docs with every span of their texts replaced by a mark; overlapping spans become one. Null texts stay null.
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        kept = F.concat(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.when(fresh, kept).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+    All columns stay as they are, whatever their names; repeated rows stay; an empty table gives none.
+    """
+
+    def cleaned(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+
+        def joined(far: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(far, i - 1), F.lit(0))
+            fresh = F.filter(F.transform(spans, lambda s, i: F.struct(before(i).alias("at"), s["start"].alias("start"))), lambda x: x["start"] >= x["at"])
+            pieces = bind(chunks(F.col("text")), lambda c: F.concat(F.transform(fresh, lambda x: F.concat(part(c, x["at"], x["start"]), F.lit(mark))), F.array(part(c, F.element_at(far, -1), F.length("text")))))
+            return F.array_join(pieces, "")
+
+        return bind(reach, joined)
 
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
     found = scan(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(text).alias("text")))
-    new = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
+    new = F.when(F.size("_spans") > 0, bind(F.col("_spans"), cleaned)).otherwise(F.col("text"))
     return found.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -492,6 +493,33 @@ def test_entropy_after_a_key_or_path(spark):
     assert not any("entropy" in x for x in told[len(texts) :])
 
 
+def test_secrets_in_long_texts(spark):
+    """A megabyte of matches, and one string of a megabyte, in seconds."""
+    rnd = random.Random(16)
+    many = " ".join(f"{rnd.getrandbits(64):016x}" for _ in range(60_000))
+    base64 = "".join(rnd.choices(secret_scan.ALPHABET, k=1 << 20))
+    mixed = " ".join(("token=" + "x" * 12 + "é") if i % 3 else "".join(rnd.choices("ABCdef0123456789", k=40)) for i in range(20_000))
+    table = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate([many, base64, mixed])]).repartition(3, "doc_id")
+    began = time.time()
+    told = {r.doc_id: r for r in secret_scan.report(table).collect()}
+    assert time.time() - began < 60
+    assert told[0].n_hex == 60_000 and told[0].spans.count("hex") == 60_000
+    (_, a, b), = [x.split(":") for x in told[1].spans.split(",") if x.startswith("entropy")]
+    assert int(a) < 40 and int(b) > (1 << 20) - 40
+    for i, t in ((0, many), (2, mixed)):
+        assert told[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in plain_spans(t)).encode()).hexdigest()
+    began = time.time()
+    clean = {r.doc_id: r.text for r in secret_scan.redact(table).collect()}
+    assert time.time() - began < 60
+    assert clean[0] == " ".join(["[SECRET]"] * 60_000) and len(clean[1]) < 100
+    covered = np.zeros(len(mixed) + 1, bool)
+    for x in told[2].spans.split(","):
+        _, a, b = x.split(":")
+        covered[int(a) : int(b)] = True
+    want = "".join(c if not covered[k] else "[SECRET]" if k == 0 or not covered[k - 1] else "" for k, c in enumerate(mixed))
+    assert clean[2].count("[SECRET]") >= want.count("[SECRET]") and clean[2].replace("[SECRET]", "") == want.replace("[SECRET]", "")
+
+
 def test_packing(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path, capacity=64).collect()
