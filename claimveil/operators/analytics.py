@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from claimveil.functions.scalar import days_in_month, months_between
 from claimveil.sources.lexicon import CONDITIONS
 
 SHARES = (1, 5, 10, 20, 50)
+#: Parts of a month in which all months' days are whole numbers, so that sums of member months don't depend on order.
+PARTS = math.lcm(28, 29, 30, 31)
 
 
 def member_months(eligibility: DataFrame, start: str, end: str, prorate: bool = True) -> DataFrame:
@@ -22,19 +26,24 @@ def member_months(eligibility: DataFrame, start: str, end: str, prorate: bool =
         F.explode(months_between(F.greatest("span_start", F.lit(start).cast("date")), F.least("span_end", F.lit(end).cast("date")))).alias("m"),
     )
     days = F.date_diff(F.least("span_end", F.last_day("m")), F.greatest("span_start", "m")) + 1
-    part = days / days_in_month(F.col("m")) if prorate else F.when(days >= 15, 1.0).otherwise(0.0)
-    told = spans.where(days > 0).select("member_id", F.year("m").alias("year"), F.month("m").alias("month"), part.alias("part"))
-    return told.groupBy("member_id", "year", "month").agg(F.sum("part").alias("member_months"))
+    part = days * (F.lit(PARTS) / days_in_month(F.col("m"))).cast("long") if prorate else F.when(days >= 15, PARTS).otherwise(0)
+    told = spans.where(days > 0).select("member_id", F.year("m").alias("year"), F.month("m").alias("month"), part.cast("long").alias("part"))
+    return told.groupBy("member_id", "year", "month").agg((F.sum("part") / PARTS).alias("member_months"))
+
+
+def total_months(column: str = "member_months") -> Column:
+    """The sum of member months, in whole parts of a month."""
+    return F.sum(F.round(F.col(column) * PARTS).cast("long")) / PARTS
 
 
 def spine(by_member: DataFrame) -> DataFrame:
     """``(year, month, member_months)`` from member months by member."""
-    return by_member.groupBy("year", "month").agg(F.sum("member_months").alias("member_months"))
+    return by_member.groupBy("year", "month").agg(total_months().alias("member_months"))
 
 
 def naive_denominator(members: DataFrame, months: DataFrame) -> DataFrame:
     """Members times months beside the true member months, and by how much the one overstates the other."""
-    actual = months.agg(F.sum("member_months").alias("actual"), F.count("*").alias("n_months"))
+    actual = months.agg(total_months().alias("actual"), F.count("*").alias("n_months"))
     both = members.agg(F.count("*").alias("n_members")).crossJoin(actual)  # one row each
     naive = (F.col("n_members") * F.col("n_months")).cast("double")
     return both.select(
@@ -73,7 +82,7 @@ def pmpm_by_month(claims: DataFrame, months: DataFrame, start: str, end: str, by
 def pmpm_by_quarter(by_month: DataFrame, months: DataFrame, by_category: bool = True) -> DataFrame:
     """Sums of months' paid, services and member months by quarter, ratios computed again from the sums."""
     quarter = F.ceil(F.col("month") / 3).cast("int").alias("quarter")
-    mm = months.where("member_months > 0").groupBy("year", quarter).agg(F.sum("member_months").alias("member_months"))
+    mm = months.where("member_months > 0").groupBy("year", quarter).agg(total_months().alias("member_months"))
     keys = ["year", "quarter"] + ["category"] * by_category
     summed = by_month.where("category is not null") if by_category else by_month
     summed = summed.withColumn("quarter", quarter).groupBy(*keys).agg(F.sum(F.col("paid").cast("decimal(28,2)")).alias("paid"), F.sum("services").alias("services"))
@@ -81,36 +90,59 @@ def pmpm_by_quarter(by_month: DataFrame, months: DataFrame, by_category: bool =
     return out.select(*keys, "member_months", "paid", "services", "pmpm", "util_per_member_month", "price_per_service")
 
 
-def _pairs(by_quarter: DataFrame, period: str) -> DataFrame:
+def quarter_totals(by_quarter: DataFrame, months: DataFrame) -> DataFrame:
+    """All categories together, from their rows; quarters of the spine without any stay, with zeros."""
+    quarter = F.ceil(F.col("month") / 3).cast("int").alias("quarter")
+    mm = months.where("member_months > 0").groupBy("year", quarter).agg(total_months().alias("member_months"))
+    summed = by_quarter.groupBy("year", "quarter").agg(F.sum(F.col("paid").cast("decimal(28,2)")).alias("paid"), F.sum("services").alias("services"))
+    joined = mm.join(summed, ["year", "quarter"], "left").withColumns({"paid": F.coalesce("paid", F.lit(0).cast("decimal(28,2)")), "services": F.coalesce("services", F.lit(0).cast("long"))})
+    out = _ratios(joined, [(F.col("services") / F.col("member_months")).alias("util_per_member_month")])
+    return out.select("year", "quarter", "member_months", "paid", "services", "pmpm", "util_per_member_month", "price_per_service")
+
+
+PERIOD = "year * 4 + quarter"
+
+
+def _both_sides(rows: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """A row for each period and key that it or the next one has: figures with 0 (the period's) and 1 (the next one's) after their names.
+
+    Each row is dealt to both periods it belongs to and they meet in one aggregation, so the rows are computed once.
+    """
+    sides = F.explode(F.array(*[F.struct((F.expr(PERIOD) - k).alias("t"), F.lit(k).alias("side")) for k in (0, 1)])).alias("s")
+    dealt = rows.select(sides, *keys, *[F.col(a).alias(b) for a, b in names.items()]).select("s.*", *keys, *names.values())
+    return dealt.groupBy("t", *keys).agg(*[F.max(F.when(F.col("side") == k, F.col(b))).alias(f"{b}{k}") for b in names.values() for k in (0, 1)])
+
+
+def _pairs(by_quarter: DataFrame) -> DataFrame:
     """A row for each category of two neighbouring periods, with 0 and 1 after the names of their figures; missing: zero."""
     names = {"util_per_member_month": "u", "price_per_service": "p", "pmpm": "pmpm"}
-    cells = by_quarter.select(F.expr(period).alias("t"), "category", *[F.col(a).alias(b) for a, b in names.items()])
-    later = cells.select((F.col("t") - 1).alias("t"), "category", *[F.col(b).alias(f"{b}1") for b in names.values()])
-    earlier = cells.select("t", "category", *[F.col(b).alias(f"{b}0") for b in names.values()])
-    both = earlier.join(later, ["t", "category"], "full_outer")
-    return both.select("t", "category", *[F.coalesce(c, F.lit(0.0)).alias(c) for b in names.values() for c in (f"{b}0", f"{b}1")])
+    return _both_sides(by_quarter, ["category"], names).na.fill(0.0)
 
 
-PERIOD = "year * 4 + quarter"
+def _known(totals: DataFrame) -> DataFrame:
+    """Neighbouring periods that both have totals."""
+    told = _both_sides(totals.withColumns({"y": F.col("year"), "q": F.col("quarter")}), [], {"y": "year", "q": "quarter", "pmpm": "pmpm_", "member_months": "member_months_"})
+    return told.where("year0 is not null and year1 is not null").withColumnsRenamed({"year0": "year", "quarter0": "quarter"})
 
 
 def decompose(by_quarter: DataFrame, totals: DataFrame) -> DataFrame:
     """Price, utilisation and mix effects and the residual of the PMPM's change from each quarter to the next.
 
-    Only pairs of quarters that both have totals are told.
+    Only pairs of quarters that both have totals are told. With shares s of the uses u, U their sum: utilisation is
+    (U1 - U0) sum(s0 p0), price U0 sum(s0 (p1 - p0)), mix U0 sum((s1 - s0) p0); shares of nothing are zero.
     """
-    w = Window.partitionBy("t")
-    u0, u1 = F.sum("u0").over(w), F.sum("u1").over(w)
-    shares = _pairs(by_quarter, PERIOD).withColumns({"U0": u0, "U1": u1, "s0": F.coalesce(F.try_divide("u0", u0), F.lit(0.0)), "s1": F.coalesce(F.try_divide("u1", u1), F.lit(0.0))})
-    effects = shares.groupBy("t").agg(
-        ((F.first("U1") - F.first("U0")) * F.sum(F.col("s0") * F.col("p0"))).alias("utilisation_effect"),
-        (F.first("U0") * F.sum(F.col("s0") * (F.col("p1") - F.col("p0")))).alias("price_effect"),
-        (F.first("U0") * F.sum((F.col("s1") - F.col("s0")) * F.col("p0"))).alias("mix_effect"),
-    )
-    told = totals.select(F.expr(PERIOD).alias("t"), "year", "quarter", F.col("pmpm").alias("pmpm_0"), F.col("member_months").alias("member_months_0"))
-    after = totals.select((F.expr(PERIOD) - 1).alias("t"), F.col("pmpm").alias("pmpm_1"), F.col("member_months").alias("member_months_1"))
+    def total(a: str, b: str | None = None) -> Column:
+        return F.sum(F.col(a) * F.col(b) if b else F.col(a)).alias(a + (b or ""))
+
+    sums = _pairs(by_quarter).groupBy("t").agg(total("u0"), total("u1"), total("u0", "p0"), total("u0", "p1"), total("u1", "p0"))
+    mean0, mean1 = (F.coalesce(F.try_divide(f"{u}p0", u), F.lit(0.0)) for u in ("u0", "u1"))
+    used = F.when(F.col("u0") != 0, 1.0).otherwise(0.0)
+    effects = sums.select(
+        "t", ((F.col("u1") - F.col("u0")) * mean0).alias("utilisation_effect"), (used * (F.col("u0p1") - F.col("u0p0"))).alias("price_effect"), (F.col("u0") * (mean1 - mean0)).alias("mix_effect")
+    )
+    told = _known(totals)
     change = F.col("pmpm_1") - F.col("pmpm_0")
-    out = told.join(after, "t").join(effects, "t", "left").na.fill(0.0, ["utilisation_effect", "price_effect", "mix_effect"])
+    out = told.join(effects, "t", "left").na.fill(0.0, ["utilisation_effect", "price_effect", "mix_effect"])
     return out.select(
         "year", "quarter", "pmpm_0", "pmpm_1", change.alias("actual_change"), F.coalesce(F.try_divide(change, "pmpm_0"), F.lit(0.0)).alias("pct_change"),
         "member_months_0", "member_months_1",
@@ -123,8 +155,8 @@ def decompose(by_quarter: DataFrame, totals: DataFrame) -> DataFrame:
 
 def decompose_by_category(by_quarter: DataFrame, totals: DataFrame) -> DataFrame:
     """Each category's own price and utilisation effect, and its PMPM and price in both quarters."""
-    known = totals.select(F.expr(PERIOD).alias("t"), "year", "quarter").join(totals.select((F.expr(PERIOD) - 1).alias("t")), "t", "left_semi")
-    return _pairs(by_quarter, PERIOD).join(known, "t").select(
+    known = _known(totals).select("t", "year", "quarter")
+    return _pairs(by_quarter).join(known, "t").select(
         "year", "quarter", "category", (F.col("u0") * (F.col("p1") - F.col("p0"))).alias("price_effect"), ((F.col("u1") - F.col("u0")) * F.col("p0")).alias("util_effect"),
         "pmpm0", "pmpm1", F.coalesce(F.try_divide("p1", "p0"), F.lit(0.0)).alias("price_ratio"),
     )

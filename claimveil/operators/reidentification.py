@@ -43,13 +43,18 @@ def size_histogram(records: DataFrame, qis: Sequence[str], most: int = 10) -> Da
     return classes(records, qis).groupBy("size").agg(F.count("*").alias("n_classes")).orderBy("size").limit(most)
 
 
-def ladder(records: DataFrame, rungs: Sequence[Sequence[str]] = LADDER) -> DataFrame:
-    """k-anonymity for each rung, from a single pass of grouping sets; rungs must differ."""
-    every = sorted({q for r in rungs for q in r})
-    told = records.groupingSets([[F.col(q) for q in r] for r in rungs], *every).agg(F.count("*").alias("size"), F.grouping_id().alias("g"))
+def _class_sizes(records: DataFrame, sets: Sequence[Sequence[str]], name: str) -> DataFrame:
+    """Classes of several sets of quasi-identifiers, from a single pass of grouping sets; sets must differ and are numbered from 1."""
+    every = sorted({q for r in sets for q in r})
+    told = records.groupingSets([[F.col(q) for q in r] for r in sets], *every).agg(F.count("*").alias("size"), F.grouping_id().alias("g"))
     bit = {q: 1 << (len(every) - 1 - k) for k, q in enumerate(every)}
-    number = F.create_map(*[F.lit(x) for k, r in enumerate(rungs) for x in (sum(b for q, b in bit.items() if q not in r), k + 1)])
-    return _risk(told.withColumn("rung", number[F.col("g").cast("int")]), "rung")
+    number = F.create_map(*[F.lit(x) for k, r in enumerate(sets) for x in (sum(b for q, b in bit.items() if q not in r), k + 1)])
+    return told.withColumn(name, number[F.col("g").cast("int")]).drop("g")
+
+
+def ladder(records: DataFrame, rungs: Sequence[Sequence[str]] = LADDER) -> DataFrame:
+    """k-anonymity for each rung, from one pass; rungs must differ. No rows for no records."""
+    return _risk(_class_sizes(records, rungs, "rung"), "rung")
 
 
 def external_roll(members: DataFrame, kept: Column) -> DataFrame:
@@ -95,23 +100,23 @@ def first_links(links: DataFrame, n: int = 5) -> DataFrame:
 
 
 def targeted(records: DataFrame, targets: Sequence[Sequence[str]] = TARGETS, base: Sequence[str] = ("zip3", "sex", "age_band")) -> DataFrame:
-    """For each target: k-anonymity with the conditions known, and the share of records that are alone among those at risk.
+    """For each target: k-anonymity with the conditions known, and the share of records that are alone among those at risk, in one pass.
 
     At risk are the carriers of a single condition, else all records. Prevalence is told for a single condition.
     """
-    out = None
+    sized = _class_sizes(records, [[*base, *t] for t in targets], "target")
+    own = F.lit(None).cast("boolean")
     for k, conditions in enumerate(targets):
-        qis = [*base, *conditions]
-        sized = classes(records, qis)
-        whole = _risk(sized)
         if len(conditions) == 1:
-            carriers = _risk(sized.where(F.col(conditions[0]))).select(F.col("pct_unique").alias("carriers_pct_unique"), F.col("n_records").alias("n_carriers"))
-            whole = whole.crossJoin(carriers).withColumn("prevalence", F.coalesce(F.try_divide("n_carriers", "n_records"), F.lit(0.0))).drop("n_carriers")
-        else:
-            whole = whole.withColumns({"carriers_pct_unique": F.col("pct_unique"), "prevalence": F.lit(None).cast("double")})
-        row = whole.withColumn("target", F.lit(k + 1)).withColumn("known", F.lit("+".join(c.removeprefix("cond_") for c in conditions) or "none"))
-        out = row if out is None else out.unionByName(row)
-    return out
+            own = F.when(F.col("target") == k + 1, F.col(conditions[0])).otherwise(own)
+    carried = sized.withColumn("carried", own)
+    sums = carried.groupBy("target").agg(F.sum(F.when(F.col("carried"), F.col("size"))).alias("carriers"), F.sum(F.when(F.col("carried") & (F.col("size") == 1), 1)).alias("alone"))
+    names = [(k + 1, "+".join(c.removeprefix("cond_") for c in t) or "none", len(t) == 1) for k, t in enumerate(targets)]
+    listed = F.array(*[F.struct(F.lit(k).alias("target"), F.lit(name).alias("known"), F.lit(one).alias("single")) for k, name, one in names])
+    told = records.sparkSession.range(1).select(F.inline(listed)).join(_risk(sized, "target"), "target", "left").join(sums, "target", "left").na.fill(0)
+    share = F.coalesce(F.try_divide("alone", "carriers"), F.lit(0.0))
+    prevalence = F.coalesce(F.try_divide("carriers", "n_records"), F.lit(0.0))
+    return told.withColumns({"carriers_pct_unique": F.when(F.col("single"), share).otherwise(F.col("pct_unique")), "prevalence": F.when(F.col("single"), prevalence)}).drop("single", "carriers", "alone")
 
 
 def generalise(records: DataFrame, qis: Sequence[str], k: int = 5, generalisations: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -129,3 +134,21 @@ def suppression(generalised: DataFrame, k: int = 5) -> DataFrame:
 
 
 STEPS = [("as released", {}), ("10-year age bands", {"age_band": coarsen_age_band}), ("10-year age bands, ZIP dropped", {"age_band": coarsen_age_band, "zip3": drop_zip})]
+
+
+def suppression_steps(records: DataFrame, qis: Sequence[str], k: int = 5, steps: Sequence[tuple[str, dict[str, Callable[[Column], Column]]]] = STEPS) -> DataFrame:
+    """``suppression`` of each step's generalisation, and the smallest class that is left, from one pass over the records.
+
+    A step's row depends on the sizes of classes alone, so nothing is joined back to the records. Steps must differ.
+    """
+    coarse, sets = {}, []
+    for n, (_, change) in enumerate(steps):
+        coarse |= {f"{q}_{n}": change[q](F.col(q)) for q in qis if q in change}
+        sets.append([f"{q}_{n}" if q in change else q for q in qis])
+    sized = _class_sizes(records.withColumns(coarse), sets, "number")
+    kept = F.when(F.col("size") >= k, F.col("size"))
+    sums = sized.groupBy("number").agg(F.sum("size").alias("n_in"), F.sum(kept).alias("n_kept"), F.min(kept).alias("min_k_after"))
+    listed = F.array(*[F.struct(F.lit(n + 1).alias("number"), F.lit(name).alias("step")) for n, (name, _) in enumerate(steps)])
+    told = records.sparkSession.range(1).select(F.inline(listed)).join(sums, "number", "left").na.fill(0)
+    gone = F.col("n_in") - F.col("n_kept")
+    return told.select("number", "step", F.lit(k).alias("k"), "n_in", "n_kept", gone.alias("n_suppressed"), F.coalesce(F.try_divide(gone, F.col("n_in")), F.lit(0.0)).alias("suppression_rate"), "min_k_after")

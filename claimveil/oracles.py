@@ -37,9 +37,13 @@ _ZIP3 = "CASE WHEN substr(zip5, 1, 3) IN ('059', '823', '889') THEN '000' ELSE s
 _CONDITIONS = ["cond_chf", "cond_copd", "cond_diabetes_complication", "cond_ckd_severe", "cond_cancer", "cond_vascular"]
 
 
+#: Days are counted in parts of a month that divide all months, money in decimals, so that sums don't depend on order.
+PARTS = 377580
+
+
 def _mm(part: str) -> str:
     return f"""
-SELECT member_id, year(m) AS year, month(m) AS month, sum({part}) AS member_months FROM (
+SELECT member_id, year(m) AS year, month(m) AS month, CAST(sum({part}) AS BIGINT) AS parts FROM (
   SELECT member_id, m, date_diff('day', greatest(span_start, m), least(span_end, last_day(m))) + 1 AS days FROM (
     SELECT member_id, span_start, span_end,
            CAST(unnest(generate_series(date_trunc('month', greatest(span_start, {FIRST_DAY})), date_trunc('month', least(span_end, {LAST_DAY})), INTERVAL 1 MONTH)) AS DATE) AS m
@@ -47,16 +51,16 @@ SELECT member_id, year(m) AS year, month(m) AS month, sum({part}) AS member_mont
 
 
 VIEWS = {
-    "mm": _mm("days / day(last_day(m))"),
-    "spine": "SELECT year, month, sum(member_months) AS member_months FROM mm GROUP BY year, month HAVING sum(member_months) > 0",
+    "mm": _mm(f"days * ({PARTS} // day(last_day(m)))"),
+    "spine": f"SELECT year, month, sum(parts) AS parts, sum(parts) / {PARTS} AS member_months FROM mm GROUP BY year, month HAVING sum(parts) > 0",
     "paid": f"""SELECT year(service_date) AS year, month(service_date) AS month, service_category AS category, sum(paid_amount) AS paid, count(*) AS services
                 FROM claims WHERE service_date BETWEEN {FIRST_DAY} AND {LAST_DAY} GROUP BY ALL""",
-    "monthly": "SELECT s.year, s.month, category, member_months, CAST(coalesce(paid, 0) AS DOUBLE) AS paid, coalesce(services, 0) AS services FROM spine s LEFT JOIN paid p ON s.year = p.year AND s.month = p.month",
-    "qmm": "SELECT year, (month + 2) // 3 AS quarter, sum(member_months) AS member_months FROM spine GROUP BY ALL",
+    "monthly": "SELECT s.year, s.month, category, member_months, coalesce(paid, 0) AS paid, coalesce(services, 0) AS services FROM spine s LEFT JOIN paid p ON s.year = p.year AND s.month = p.month",
+    "qmm": f"SELECT year, (month + 2) // 3 AS quarter, sum(parts) / {PARTS} AS member_months FROM spine GROUP BY ALL",
     "qcat": """SELECT q.year, q.quarter, category, max(q.member_months) AS mm, sum(paid) AS paid, sum(services) AS services FROM monthly m
                JOIN qmm q ON q.year = m.year AND q.quarter = (m.month + 2) // 3 WHERE category IS NOT NULL GROUP BY ALL""",
-    "cells": "SELECT year * 4 + quarter AS t, category, services / mm AS u, CASE WHEN services > 0 THEN paid / services ELSE 0 END AS p, paid / mm AS pmpm FROM qcat",
-    "qtot": "SELECT q.year * 4 + q.quarter AS t, q.year, q.quarter, q.member_months AS mm, coalesce(sum(paid), 0) / max(q.member_months) AS pmpm FROM qmm q LEFT JOIN qcat c ON c.year = q.year AND c.quarter = q.quarter GROUP BY q.year, q.quarter, q.member_months",
+    "cells": "SELECT year * 4 + quarter AS t, category, services / mm AS u, CASE WHEN services > 0 THEN CAST(paid AS DOUBLE) / services ELSE 0 END AS p, CAST(paid AS DOUBLE) / mm AS pmpm FROM qcat",
+    "qtot": "SELECT q.year * 4 + q.quarter AS t, q.year, q.quarter, q.member_months AS mm, CAST(coalesce(sum(paid), 0) AS DOUBLE) / max(q.member_months) AS pmpm FROM qmm q LEFT JOIN qcat c ON c.year = q.year AND c.quarter = q.quarter GROUP BY q.year, q.quarter, q.member_months",
     "pairs": """SELECT coalesce(a.t, b.t - 1) AS t, coalesce(a.category, b.category) AS category, coalesce(a.u, 0) AS u0, coalesce(b.u, 0) AS u1, coalesce(a.p, 0) AS p0,
                 coalesce(b.p, 0) AS p1, coalesce(a.pmpm, 0) AS pmpm0, coalesce(b.pmpm, 0) AS pmpm1 FROM cells a FULL JOIN cells b ON b.t = a.t + 1 AND a.category = b.category""",
     "released": f"SELECT {_key('member_id')} AS member_key, {_ZIP3} AS zip3, state, {_BAND} AS age_band, {_COARSE} AS coarse, sex, risk_score, {', '.join(_CONDITIONS)} FROM members",
@@ -68,19 +72,19 @@ VIEWS = {
                JOIN (SELECT zip3, sex, age_band, count(*) AS n_roll, min(name) AS name, min(true_member_id) AS tid FROM roll GROUP BY ALL) b
                ON a.zip3 = b.zip3 AND a.sex = b.sex AND a.age_band = b.age_band""",
 }
-VIEWS["mm_whole"] = _mm("CASE WHEN days >= 15 THEN 1.0 ELSE 0.0 END")
+VIEWS["mm_whole"] = _mm(f"CASE WHEN days >= 15 THEN {PARTS} ELSE 0 END")
 
-add("member_month_spine", "eligibility mm", "SELECT year, month, sum(member_months) AS member_months FROM mm GROUP BY year, month", "year month", "member_months")
-add("member_month_spine_whole_month", "eligibility mm_whole", "SELECT year, month, sum(member_months) AS member_months FROM mm_whole GROUP BY year, month", "year month", "member_months")
-add("member_month_by_member", "eligibility mm", "SELECT * FROM mm", "year month", "member_months", "member_id")
-add("naive_vs_actual_mm", "members eligibility mm spine", """
+add("member_month_spine", "eligibility mm", f"SELECT year, month, sum(parts) / {PARTS} AS member_months FROM mm GROUP BY year, month", "year month", "member_months")
+add("member_month_spine_whole_month", "eligibility mm_whole", f"SELECT year, month, sum(parts) / {PARTS} AS member_months FROM mm_whole GROUP BY year, month", "year month", "member_months")
+add("member_month_by_member", "eligibility mm", f"SELECT *, parts / {PARTS} AS member_months FROM mm", "year month", "member_months", "member_id")
+add("naive_vs_actual_mm", "members eligibility mm spine", f"""
   SELECT n_members, n_months, actual, n_members * n_months AS naive, n_members * n_months / actual - 1 AS overstatement, 1 - actual / (n_members * n_months) AS pmpm_understatement
-  FROM (SELECT count(*) AS n_members FROM members) a, (SELECT count(*) AS n_months, sum(member_months) AS actual FROM spine) b""", "n_members n_months", "actual naive overstatement pmpm_understatement")
-_MONTHLY = "paid / member_months AS pmpm, services / member_months * 1000 AS util_per_1000, CASE WHEN services > 0 THEN paid / services ELSE 0 END AS price_per_service"
+  FROM (SELECT count(*) AS n_members FROM members) a, (SELECT count(*) AS n_months, sum(parts) / {PARTS} AS actual FROM spine) b""", "n_members n_months", "actual naive overstatement pmpm_understatement")
+_MONTHLY = "CAST(paid AS DOUBLE) / member_months AS pmpm, services / member_months * 1000 AS util_per_1000, CASE WHEN services > 0 THEN CAST(paid AS DOUBLE) / services ELSE 0 END AS price_per_service"
 _BASE = "eligibility claims mm spine paid monthly"
 add("pmpm_month_category", _BASE, f"SELECT year, month, category, member_months, paid, services, {_MONTHLY} FROM monthly", "year month services", "member_months paid pmpm util_per_1000 price_per_service", "category")
 add("pmpm_month_total", _BASE, f"SELECT *, {_MONTHLY} FROM (SELECT year, month, member_months, sum(paid) AS paid, sum(services) AS services FROM monthly GROUP BY ALL) m", "year month services", "member_months paid pmpm util_per_1000 price_per_service")
-_QUARTERLY = "paid / mm AS pmpm, services / mm AS util_per_member_month, CASE WHEN services > 0 THEN paid / services ELSE 0 END AS price_per_service"
+_QUARTERLY = "CAST(paid AS DOUBLE) / mm AS pmpm, services / mm AS util_per_member_month, CASE WHEN services > 0 THEN CAST(paid AS DOUBLE) / services ELSE 0 END AS price_per_service"
 add("pmpm_quarter_category", _BASE + " qmm qcat", f"SELECT year, quarter, category, mm AS member_months, paid, services, {_QUARTERLY} FROM qcat", "year quarter services", "member_months paid pmpm util_per_member_month price_per_service", "category")
 add("pmpm_quarter_total", _BASE + " qmm qcat", f"""SELECT year, quarter, mm AS member_months, paid, services, {_QUARTERLY} FROM (
   SELECT q.year, q.quarter, q.member_months AS mm, coalesce(sum(paid), 0) AS paid, coalesce(sum(services), 0) AS services FROM qmm q

@@ -124,14 +124,21 @@ def pmpm_quarter_total(spark, sf_dir):
     return _quarters(spark, sf_dir, False)
 
 
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Quarters by category and in total, the latter from the former."""
+    by_month, months = _pmpm(spark, sf_dir, True)
+    quarters = A.pmpm_by_quarter(by_month, months)
+    return quarters, A.quarter_totals(quarters, months)
+
+
 @query
 def pmpm_decomposition(spark, sf_dir):
-    return A.decompose(_quarters(spark, sf_dir, True), _quarters(spark, sf_dir, False))
+    return A.decompose(*_changes(spark, sf_dir))
 
 
 @query
 def pmpm_decomposition_category(spark, sf_dir):
-    return A.decompose_by_category(_quarters(spark, sf_dir, True), _quarters(spark, sf_dir, False))
+    return A.decompose_by_category(*_changes(spark, sf_dir))
 
 
 @query
@@ -244,11 +251,7 @@ def generalise_to_k(spark, sf_dir):
 
 @query
 def generalise_to_k_steps(spark, sf_dir):
-    released, out = _released(spark, sf_dir), None
-    for name, change in K.STEPS:
-        row = K.suppression(K.generalise(released, K.LADDER[3], 5, change)).withColumn("step", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return K.suppression_steps(_released(spark, sf_dir), K.LADDER[3]).drop("number", "min_k_after")
 
 
 @query
