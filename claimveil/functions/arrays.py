@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of the chunks that a text is cut into before parts of it are taken.
-CHUNK = 4096
+#: Characters of the chunks that a text is cut into before parts of it are taken, and elements of an array that is short.
+CHUNK, SHORT = 4096, 16
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,7 +43,7 @@ def running(numbers: Column, join: Callable[[Column, Column], Column] = add) ->
         inner = F.transform(blocks(x), lambda b: scan(b, lambda v: v, lambda before, now: now))
         return bind(inner, lambda b: F.flatten(F.zip_with(b, scan(b, lambda v: F.element_at(v, -1), lambda before, now: before), lambda v, base: F.transform(v, lambda n: join(n, base)))))
 
-    return bind(numbers, lambda x: F.when(F.size(x) > 0, joined(x)).otherwise(F.array().cast("array<int>")))
+    return bind(numbers, lambda x: F.when(F.size(x) > SHORT, joined(x)).otherwise(scan(x, lambda v: v, lambda before, now: now)))
 
 
 def matches(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:

@@ -5,59 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimveil.functions import arrays
 from claimveil.sources import lexicon as L
 
 SPAN = "array<struct<start:int,end:int,type:string,value:string>>"
 
 
+#: Candidates of a text up to which they are packed in one list.
+FEW = 64
+
+
 def _span(start: Column, value: Column, kind: str) -> Column:
     return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.lit(kind).alias("type"), value.alias("value"))
 
 
-def matches(text: Column, pattern: str, kind: str, groups: tuple[int, ...] = (), parts: int = 0, drop: list[str] | None = None) -> Column:
+def matches(text: Column, pattern: str, kind: str, groups: tuple[int, ...] = (), parts: int = 0, drop: list[str] | None = None, sign: str = "") -> Column:
     """Spans of all matches of a pattern, from the left, in code points.
 
-    Match i begins after the first i+1 pieces between matches and the i matches before it. With groups, which must tile the
-    match, each named group is a span of its own; words in drop are left out.
+    With groups, which must tile the match, each named group is a span of its own; words in drop are left out. sign: a
+    string that every match holds, looked for first.
     """
     full = "(?U)" + pattern
-    n = max(parts, max(groups, default=0))
-    told = [F.split(text, full, -1).alias("gap"), F.regexp_extract_all(text, F.lit(full), F.lit(0)).alias("g0")]
-    told += [F.regexp_extract_all(text, F.lit(full), F.lit(k)).alias(f"g{k}") for k in range(1, n + 1)]
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gap"])
-        found = state["spans"]
+    def of(x: Column) -> Column:
         if not groups:
-            found = F.when(x["g0"].isNotNull(), F.array_append(found, _span(begin, x["g0"], kind))).otherwise(found)
-        at = begin
-        for k in range(1, n + 1):
+            return F.array(_span(x["start"], x["match"], kind))
+        at, told = x["start"], []
+        for k in range(1, max(parts, *groups) + 1):
+            value = F.regexp_extract(x["match"], full, k)
             if k in groups:
-                good = x[f"g{k}"].isNotNull() & (~x[f"g{k}"].isin(drop) if drop else F.lit(True))
-                found = F.when(good, F.array_append(found, _span(at, x[f"g{k}"], kind))).otherwise(found)
-            at = at + F.length(x[f"g{k}"])
-        return F.struct((begin + F.coalesce(F.length(x["g0"]), F.lit(0))).alias("at"), found.alias("spans"))
+                told.append(_span(at, value, kind))
+            at = at + F.length(value)
+        return F.filter(F.array(*told), lambda s: ~s["value"].isin(drop)) if drop else F.array(*told)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    spans = F.aggregate(F.arrays_zip(*told), start, step, lambda s: s["spans"])
-    return F.when(text.rlike(full), spans).otherwise(F.array().cast(SPAN))
+    found = F.flatten(F.transform(arrays.matches(text, full), of)) if groups else F.transform(arrays.matches(text, full), lambda x: _span(x["start"], x["match"], kind))
+    there = text.contains(sign) & text.rlike(full) if sign else text.rlike(full)
+    return F.when(there, found.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def detect(text: Column) -> Column:
-    """Spans of identifiers in a text, by start; of two that overlap, the one found by the earlier rule. Null text: none."""
-    text = F.coalesce(text, F.lit(""))
-    found = [matches(text, pattern, kind) for kind, pattern in L.PATTERNS]
-    for pattern, groups in L.CONTEXTS:
-        found.append(matches(text, pattern, "name", groups, pattern.count("(") - pattern.count("(?:"), L.STOP_WORDS))
-    found.append(matches(text, r"\b(?:" + "|".join(L.GAZETTEER_CITIES) + r")\b", "address"))
-    names = sorted({*L.SURNAMES_KNOWN, *L.SURNAME_DECOYS, *L.FIRST_KNOWN, *L.FIRST_DECOYS} - set(L.STOP_WORDS))
-    found.append(matches(text, r"\b(?:" + "|".join(names) + r")\b", "name"))
+def one_of(words: list[str]) -> str:
+    """A pattern for any of some words, told apart by their first letters first."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    return r"\b(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + r")\b"
+
+
+def _packed(candidates: Column) -> Column:
+    """Of candidates in order of priority, those that overlap none taken before; by start."""
 
     def free(taken: Column, x: Column) -> Column:
         clash = F.exists(taken, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
         return F.when(clash, taken).otherwise(F.array_append(taken, x))
 
-    return F.array_sort(F.aggregate(F.concat(*found), F.array().cast(SPAN), free))
+    return F.array_sort(F.aggregate(candidates, F.array().cast(SPAN), free))
+
+
+def _packed_apart(candidates: Column) -> Column:
+    """The same for many candidates: where none reaches over a place in the text, what lies before and after is packed apart."""
+    spans = F.transform(candidates, lambda x, i: F.struct(x["start"].alias("start"), i.alias("rank"), x.alias("span")))
+
+    def clusters(by_start: Column) -> Column:
+        far = arrays.running(F.transform(by_start, lambda x: x["span"]["end"]), lambda a, b: F.greatest(a, b))
+        first = lambda reach: F.filter(F.transform(by_start, lambda x, i: F.when(x["start"] >= F.coalesce(F.get(reach, i - 1), F.lit(0)), i)), lambda i: i.isNotNull())
+
+        def cut(begins: Column) -> Column:
+            size = lambda k: F.coalesce(F.get(begins, k + 1), F.size(by_start)) - F.get(begins, k)
+            of = lambda b, k: F.transform(F.array_sort(F.transform(F.slice(by_start, b + 1, size(k)), lambda x: F.struct(x["rank"], x["span"]))), lambda x: x["span"])
+            return F.flatten(F.transform(begins, lambda b, k: F.when(size(k) == 1, F.array(F.get(by_start, b)["span"])).otherwise(_packed(of(b, k)))))
+
+        return arrays.bind(arrays.bind(far, first), cut)
+
+    return arrays.bind(F.array_sort(spans), clusters)
+
+
+def detect(text: Column) -> Column:
+    """Spans of identifiers in a text, by start; of two that overlap, the one found by the earlier rule. Null text: none."""
+    text = F.coalesce(text, F.lit(""))
+    found = [matches(text, pattern, kind, sign=L.SIGNS.get(kind, "")) for kind, pattern in L.PATTERNS]
+    for pattern, groups in L.CONTEXTS:
+        found.append(matches(text, pattern, "name", groups, pattern.count("(") - pattern.count("(?:"), L.STOP_WORDS))
+    found.append(matches(text, one_of(L.GAZETTEER_CITIES), "address"))
+    names = {*L.SURNAMES_KNOWN, *L.SURNAME_DECOYS, *L.FIRST_KNOWN, *L.FIRST_DECOYS} - set(L.STOP_WORDS)
+    found.append(matches(text, one_of(sorted(names)), "name"))
+    return arrays.bind(F.concat(*found), lambda c: F.when(F.size(c) > FEW, _packed_apart(c)).otherwise(_packed(c)))
 
 
 def with_spans(notes: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:

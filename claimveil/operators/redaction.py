@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimveil.functions import arrays
 from claimveil.functions.scalar import age_band, parse_date, patient_offset, pseudonym, shift_date, zip3, zip_in_text
 from claimveil.operators.detection import with_spans
 from claimveil.sources.lexicon import MASKS
@@ -28,12 +31,16 @@ def redact(notes: DataFrame, salt: str, text: str = "text", key: str = "member_i
     found = with_spans(notes, text)
     offset = patient_offset(F.col(key), salt)
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.substring(F.col(text), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(F.concat(state["out"], kept, replacement(s, offset, salt)).alias("out"), s["end"].alias("at"))
+    body = F.col(text)
+    before = lambda i: F.coalesce(F.get(F.col("spans"), i - 1)["end"], F.lit(0))
+
+    def joined(take: Callable[[Column, Column], Column]) -> Column:
+        pieces = F.transform("spans", lambda s, i: F.concat(take(before(i), s["start"]), replacement(s, offset, salt)))
+        return F.array_join(F.concat(pieces, F.array(take(F.element_at("spans", -1)["end"], F.length(body)))), "")
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
+    short = joined(lambda a, b: F.substring(body, a + 1, b - a))
+    long = arrays.bind(arrays.chunks(body), lambda c: joined(lambda a, b: arrays.part(c, a, b)))
+    whole = F.when(body.isNull() | (F.size("spans") == 0), body).when(F.length(body) <= arrays.CHUNK, short).otherwise(long)
     return found.withColumn(name, whole)
 
 

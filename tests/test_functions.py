@@ -1,9 +1,13 @@
 import datetime
 import hashlib
+import itertools
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from claimveil.functions import arrays
 from claimveil.functions import scalar as S
 
 SALT = "test-salt"
@@ -58,3 +62,23 @@ def test_months(spark):
     a, b = (F.lit(d).cast("date") for d in ("2023-11-30", "2024-02-01"))
     assert [d.month for d in one(spark, S.months_between(a, b))] == [11, 12, 1, 2]
     assert one(spark, S.months_between(b, a)) == [] and one(spark, S.days_in_month(b)) == 29
+
+
+def test_running_and_matches(spark):
+    rnd = random.Random(1)
+    rows = [(i, [rnd.randint(0, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 15, 16, 17, 18, 100, 3000])]
+    x = F.col("a")
+    for r in spark.createDataFrame(rows, "i int, a array<int>").select("a", arrays.running(x).alias("sums"), arrays.running(x, F.greatest).alias("tops")).collect():
+        assert r.sums == list(itertools.accumulate(r.a)) and r.tops == list(itertools.accumulate(r.a, max))
+    texts = ["x😀 ab12 é34 5", "", "no", "12", "😀" * 500 + "77 8" * 300]
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select("t", arrays.matches(F.col("t"), "([0-9])([0-9]*)", (2,)).alias("m"))
+    for r in told.collect():
+        assert [tuple(m) for m in r.m] == [(m.start(), m.end(), m[0], m[2]) for m in re.finditer("([0-9])([0-9]*)", r.t)]
+
+
+def test_part_of_a_long_text(spark):
+    text = "".join(random.Random(2).choice("aé😀") for _ in range(10_000))
+    places = [(0, 0), (0, 5), (4090, 4100), (4096, 8192), (0, 10_000), (3000, 9000), (8191, 8193), (9999, 10_000), (5, 5)]
+    rows = spark.createDataFrame([(text, a, b) for a, b in places], "t string, a int, b int")
+    for r in rows.withColumn("p", arrays.bind(arrays.chunks(F.col("t")), lambda c: arrays.part(c, F.col("a"), F.col("b")))).collect():
+        assert r.p == text[r.a : r.b]

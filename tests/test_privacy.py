@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,34 @@ def test_no_python_on_executors(spark):
     notes = spark.createDataFrame([("n", "m", "t")], "note_id string, member_id string, text string")
     plan = redaction.redact(notes, SALT)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|NestedLoop|Cartesian", plan)
+
+
+def test_many_identifiers_in_a_long_text(spark):
+    """A megabyte of matches takes seconds, and packing in clusters gives what one list gives."""
+    part = "Patient Ann Lee at 12 Oak Ave Dr. Smith 123-45-6789 for Mary Jones, 45501 Springfield 10.0.0.1 jane@x.org "
+    long = part * 9000
+    rows = spark.createDataFrame([(1, part, "m"), (2, long, "m")], "note_id int, text string, member_id string")
+    began = time.time()
+    told = {r.note_id: r for r in redaction.redact(rows, "salt").collect()}
+    assert time.time() - began < 60
+    one = [(s.start, s.end, s.type, s.value) for s in told[1].spans]
+    assert len(told[2].spans) == 9000 * len(one) and told[2].clean == told[1].clean * 9000
+    assert [(s.start, s.end, s.type, s.value) for s in told[2].spans[-len(one) :]] == [(a + 8999 * len(part), b + 8999 * len(part), t, v) for a, b, t, v in one]
+
+
+def test_packing_in_clusters(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(40):
+        spans = []
+        for _ in range(rnd.randint(0, 60)):
+            a = rnd.randint(0, 300)
+            spans.append((a, a + rnd.randint(1, 25), rnd.choice("xyz"), str(len(spans))))
+        rows.append((i, spans))
+    c = spark.createDataFrame(rows, "i int, c " + detection.SPAN)
+    for r in c.select("i", detection._packed(F.col("c")).alias("a"), detection._packed_apart(F.col("c")).alias("b")).collect():
+        taken = []
+        for s in rows[r.i][1]:
+            if all(s[1] <= t[0] or t[1] <= s[0] for t in taken):
+                taken.append(s)
+        assert [tuple(x) for x in r.a] == sorted(taken) == [tuple(x) for x in r.b]
