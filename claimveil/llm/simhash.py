@@ -4,6 +4,12 @@
 with that bit's place left out, the halves are equal. So each half is indexed 32 times, each time without one of its
 bits, and equal variants are the only candidates; all 64 bits are then compared. Only distinct fingerprints take part, as
 packed arrays of eight bytes a variant, so copies cost nothing.
+
+Three bits of 64 only find texts that are nearly the same. ``similar_documents`` finds those whose shingles agree to a given
+similarity: its fingerprints are longer (LONG words of 64 bits), so that the share of bits that differ tells the similarity,
+and are cut into segments of SEGMENT bits, of which two similar texts' fingerprints have some that differ by at most one bit.
+Two segments that do have one half in common: a segment goes to the index twice, by either half, and there the other half's
+variants, each without one bit, give the candidates. All bits are then compared.
 """
 
 from __future__ import annotations
@@ -175,5 +181,153 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return prints.join(cut(alone), "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Words of 64 bits in a long fingerprint, bits of a segment, and fingerprints that one part of its index holds at most, on average.
+LONG, SEGMENT, LONG_PART = 8, 24, 1 << 18
+#: Fingerprints with the same variant that are compared pair by pair; more are compared with those that others are close to.
+RUN = 32
+
+
+def long_fingerprint(text: bytes, words: int = 5) -> bytes:
+    """SimHash of 64 LONG bits: shingles of so many words of the lower-cased (A-Z) bytes, with repeats; a bit is one if over half have it.
+
+    A shingle's hash is a polynomial of its words' XXH64, mixed once more for each 64 bits. Fewer words: the whole sequence;
+    none: zero.
+    """
+    parts = text.lower().split()
+    if not parts:
+        return bytes(8 * LONG)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    n = max(1, len(w) - words + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(words, len(w))):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
+    ones = np.zeros(64 * LONG, np.int64)
+    for a in range(0, n, 255):  # counts of so many shingles fit in a byte
+        z = h[a : a + 255, None] + np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").tobytes()
+
+
+def bits_apart(similarity: float) -> int:
+    """Up to how many bits two long fingerprints of texts that similar (Jaccard) differ, with one standard deviation for chance.
+
+    Shingle sets of Jaccard similarity s have a cosine of 2 s / (1 + s), and a bit differs with the angle's share of 180 degrees.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * LONG * share + np.sqrt(64 * LONG * share * (1 - share)))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def long_links_in(values: np.ndarray, keys: np.ndarray, most: int, sets: Forest) -> None:
+    """Joins fingerprints (rows of 64-bit words) that share a key and differ by at most so many bits.
+
+    Short runs of a key are compared pair by pair. In a longer one, each fingerprint is close to a pivot or becomes one, so a
+    large group costs little more than its size; where several sets are left, members of all but the largest are compared
+    with every other.
+    """
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+    lengths = np.diff(np.append(starts, len(order)))
+    reach = np.repeat(np.where(lengths <= RUN, starts + lengths, 0), lengths)
+    at, step = np.flatnonzero(reach - np.arange(len(order)) > 1), 1
+    while len(at):
+        a, b = order[at], order[at + step]
+        near = _apart(values[a], values[b]) <= most
+        sets.join(a[near], b[near])
+        step += 1
+        at = at[at + step < reach[at]]
+    for s, n in zip(starts[lengths > RUN], lengths[lengths > RUN]):
+        run = order[s : s + n]
+        mine, open_ = values[run], np.ones(n, bool)
+        while open_.any():
+            pivot = int(open_.argmax())
+            near = np.flatnonzero(_apart(mine, mine[pivot]) <= most)
+            sets.join(np.full(len(near), run[pivot]), run[near])
+            open_[near] = False
+        root = sets.find(run)
+        names, where, count = np.unique(root, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero(where != count.argmax()):
+            near = np.flatnonzero(_apart(mine, mine[k]) <= most)
+            sets.join(np.full(len(near), run[k]), run[near])
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, component_id)`` for every row of docs: the smallest doc_id reachable over links of texts at least that similar.
+
+    Similarity is that of sets of shingles, as long fingerprints tell it; see the README for what is found at which. Null
+    and empty texts, and those of spaces alone, are one group. Rows without a doc_id take part as well and get their
+    component's smallest doc_id (null if all lack one); repeated ids and rows stay as they are; very long texts count whole;
+    an empty table gives none. Other columns are not read.
+    """
+    most, segments = bits_apart(similarity), 64 * LONG // SEGMENT
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([long_fingerprint(t, words) for t in texts_of(b, 1)], pa.binary())], ["doc_id", "print"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(prints_of, "doc_id long, print binary")
+    rows = cut(rows.withColumn("node", F.xxhash64("print")))
+    distinct = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print")))
+    parts = max(1, -(-distinct.count() // LONG_PART))
+    record = np.dtype([("node", "<i8"), ("words", "<u8", (LONG,))])
+
+    def segment(data: np.ndarray, k: int) -> np.ndarray:
+        """The k-th segment of each fingerprint."""
+        at = data["words"].view(np.uint8).reshape(len(data), -1)[:, k * SEGMENT // 8 : (k + 1) * SEGMENT // 8].astype(np.uint64)
+        return at[:, 0] | at[:, 1] << np.uint64(8) | at[:, 2] << np.uint64(16)
+
+    half, low = np.uint64(SEGMENT // 2), np.uint64((1 << SEGMENT // 2) - 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = np.zeros(len(b), record)
+            data["node"] = b.column(0).to_numpy()
+            data["words"] = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, LONG)
+            keys, blobs = [], []
+            for k in range(segments):
+                value = segment(data, k)
+                for side, common in enumerate((value & low, value >> half)):
+                    part = _spread(common) % np.uint64(parts)
+                    order = np.argsort(part, kind="stable")
+                    ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+                    for p in np.flatnonzero(np.diff(ends)).tolist():
+                        keys.append((2 * k + side) * parts + p)
+                        blobs.append(data[order[ends[p] : ends[p + 1]]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), packed(blobs)], ["part", "prints"])
+
+    def verify(group: pa.Table) -> pa.Table:
+        k, side = divmod(group.column("part")[0].as_py() // parts, 2)
+        data = np.concatenate([np.frombuffer(x, record) for x in group.column("prints").to_pylist()])
+        data = data[np.argsort(data["node"])]
+        values, sets = np.ascontiguousarray(data["words"]), Forest(len(data))
+        value = segment(data, k)
+        common, other = (value & low, value >> half) if side == 0 else (value >> half, value & low)
+        for bit in range(SEGMENT // 2):
+            long_links_in(values, common << half | _drop_bit(other, bit), most, sets)
+        root = sets.roots()
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": pa.array(data["node"][member]), "v": pa.array(data["node"][root[member]])})
+
+    links = distinct.select("node", "print").mapInArrow(deal, "part long, prints binary").groupBy("part").applyInArrow(verify, "u long, v long")
+    return _named(rows.select("doc_id", "node"), distinct.select("node", "least"), links)
+
+
+def _named(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the smallest id of their node's component; a node without links is a component."""
+    sets = connected_components(links).withColumnRenamed("node", "linked")
+    named = sets.join(distinct, sets.linked == distinct.node).select("node", "component", "least")
+    names = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
+    other = named.join(names, "component").select(F.col("node").alias("linked"), "component_id", F.lit(True).alias("found"))
+    alone = distinct.join(cut(other), F.col("node") == F.col("linked"), "left").select("node", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(cut(alone), "node").select("doc_id", "component_id")
+
+
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

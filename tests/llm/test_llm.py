@@ -183,6 +183,79 @@ def test_simhash_links_all_within_three_bits():
     assert len(u) == len(run) - 1 and set(v.tolist()) == {0}
 
 
+def plain_long_fingerprint(text, n=5):
+    told, mask = (text or "").encode().lower().split(), (1 << 64) - 1
+    if not told:
+        return 0
+    ones, shingles = collections.Counter(), [told[i : i + n] for i in range(max(1, len(told) - n + 1))]
+    for s in shingles:
+        h = 0
+        for w in s:
+            h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(w)) & mask
+        for k in range(simhash.LONG):
+            z = (h + (k + 1) * 0xD1342543DE82EF95) & mask
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+            z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+            z ^= z >> 31
+            ones.update(64 * k + b for b in range(64) if z >> b & 1)
+    return sum(1 << b for b, c in ones.items() if 2 * c > len(shingles))
+
+
+def test_long_fingerprint():
+    for t in [r[1] for r in corpus(n=12)] + ["a b", "A B c d e", "x " * 600]:
+        assert int.from_bytes(simhash.long_fingerprint((t or "").encode()), "little") == plain_long_fingerprint(t)
+
+
+def edited(rnd, words_, vocabulary, share):
+    out = list(words_)
+    for j in rnd.sample(range(len(out)), max(1, int(share * len(out)))):
+        out[j] = rnd.choice(vocabulary)
+    return out
+
+
+def test_similar_documents(spark, docs, empty):
+    """Pairs of similarity 0.85 and more are found, those under 0.65 and unrelated texts aren't; a large group stays one."""
+    rnd, rows, pairs = random.Random(17), [], []
+    vocabulary = [f"w{k}" for k in range(2000)]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for i in range(300):
+        a = [rnd.choice(vocabulary) for _ in range(rnd.choice([80, 200]))]
+        b = edited(rnd, a, vocabulary, rnd.choice([0.01, 0.02, 0.08]))
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        pairs.append(jaccard(shingles(a), shingles(b)))
+    base = [rnd.choice(vocabulary) for _ in range(150)]
+    rows += [(10_000 + k, " ".join(edited(rnd, base, vocabulary, 0.007))) for k in range(400)]
+    rows += [(20_000, None), (20_001, ""), (None, " "), (None, rows[0][1]), (20_002, rows[0][1])]
+    table = frame(spark, [(i, t, "en", "s", 0) for i, t in rows]).repartition(5)
+    got = collections.defaultdict(set)
+    for r in simhash.similar_documents(table).collect():
+        got[r.doc_id].add(r.component_id)
+    near = [got[2 * i + 1] == {2 * i} for i, j in enumerate(pairs) if j >= 0.85]
+    far = [got[2 * i + 1] == {2 * i} for i, j in enumerate(pairs) if j < 0.65]
+    assert len(near) > 100 and sum(near) >= 0.95 * len(near) and len(far) > 50 and sum(far) <= 0.05 * len(far)
+    assert all(got[10_000 + k] == {10_000} for k in range(400)) and got[20_000] == got[20_001] == {20_000} and got[20_002] == {0} and got[None] == {0, 20_000}
+    assert all(got[2 * i] == {2 * i} for i in range(300))
+    assert simhash.similar_documents(empty).count() == 0 and simhash.similar_documents(docs).count() == docs.count()
+
+
+def test_long_runs_lose_no_link():
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 1 << 63, (6, simhash.LONG), dtype=np.uint64)
+    values = base[rng.integers(0, 6, 300)]
+    for _ in range(30):  # up to 30 bits from their bases: some pairs within 45, some not
+        values[np.arange(300), rng.integers(0, simhash.LONG, 300)] ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+    want = common.Forest(300)
+    a, b = np.nonzero(np.bitwise_count(values[:, None] ^ values[None]).sum(2) <= 45)
+    want.join(a, b)
+    for keys in (np.zeros(300, np.uint64), np.arange(300, dtype=np.uint64) // np.uint64(20)):
+        got, inside = common.Forest(300), keys[a] == keys[b]
+        simhash.long_links_in(values, keys, 45, got)
+        plain = common.Forest(300)
+        plain.join(a[inside], b[inside])
+        assert (got.roots() == plain.roots()).all()
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(5, None), (7, 7)]

@@ -11,7 +11,7 @@ import pytest
 import corpus_pipeline
 from claimveil.llm import mixing, quality, simhash
 from claimveil.llm.common import fresh_dir
-from tests.llm.test_llm import SCHEMA, SECRETS, corpus, plain_fingerprint
+from tests.llm.test_llm import SCHEMA, SECRETS, corpus, plain_long_fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -40,11 +40,11 @@ def test_stages(spark, folder):
             want = {i for i, r in before.items() if model.predict(np.array([quality.statistics((r.text or "").encode())]))[0] >= quality.THRESHOLD}
             assert {r.doc_id for r in after} == want and not any(i >= 600 for i in want)
         elif number == 2:
-            prints = {i: plain_fingerprint(r.text) for i, r in before.items()}
+            prints = {i: plain_long_fingerprint(r.text) for i, r in before.items()}
             group = {i: {i} for i in prints}
             for i in prints:
                 for j in prints:
-                    if i < j and (prints[i] ^ prints[j]).bit_count() <= 3 and group[i] is not group[j]:
+                    if i < j and (prints[i] ^ prints[j]).bit_count() <= simhash.bits_apart(0.8) and group[i] is not group[j]:
                         group[i] |= group[j]
                         for k in group[j]:
                             group[k] = group[i]
