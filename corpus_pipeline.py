@@ -23,13 +23,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest doc_id.
+    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id.
 
-    Texts without words have one fingerprint and are one group. Rows without a doc_id go if their group has a document
-    with one; repeated ids stay.
+    Texts without words, null ones included, have one fingerprint and are one group. Rows without a doc_id go if their group
+    has a document with one; repeated ids stay. Columns stay as they are; an empty table gives none.
     """
     ship_path(spark)
-    named = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    named = simhash.similar_documents(docs).where("doc_id <=> component_id").select("doc_id").distinct()
     return docs.join(named, docs.doc_id.eqNullSafe(named.doc_id), "left_semi")
 
 
