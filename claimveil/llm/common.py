@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,23 +21,38 @@ WORD = f"[^{SPACE}]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by a path that only Spark needs to understand."""
-    ship_path(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_path(spark: SparkSession) -> None:
-    """Lets Python workers that start from now on import this package where they share the driver's disk."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+def ship(spark: SparkSession) -> None:
+    """Gives this package to all Python workers, as an archive that Spark fetches for them; once for a session's context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_claimveil_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    at = fresh_dir(spark, "code") + "/claimveil.zip"
+    store, path = fs.FileSystem.from_uri(at)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(data.getvalue())
+    sc.addPyFile(at)
+    sc._claimveil_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Without one only a local session has such a folder, the warehouse's."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="claimveil-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
         spark.conf.set("spark.checkpoint.dir", at)
     return at if "://" in at or at.startswith("file:") else "file://" + os.path.abspath(at)
 

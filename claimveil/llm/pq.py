@@ -13,6 +13,7 @@ bundle go, and only counts and a spanning forest of the links leave it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,12 +145,12 @@ def hits_in(index: Index, center: int, x: np.ndarray, y: np.ndarray, limit: floa
 def near_duplicates(vectors: DataFrame, limit: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of vectors.
 
-    Rows link where the cosine in double precision is at least the limit. n_links counts the
-    other rows linked directly, copies each for itself; component_id is the smallest id reachable; kept: it is the row's own.
-    Rows without an id, and vectors that are null, empty, zero or hold a null or non-finite component, link with nothing.
-    Repeated rows are rows of their own. Vectors have one length. An empty table gives none. Other columns are not read.
+    Rows link where the cosine in double precision is at least the limit. n_links counts the other rows linked directly,
+    copies each for itself; component_id is the smallest id reachable; kept: it is the row's own. Rows without an id, and
+    vectors that are null, empty, zero or hold a null or non-finite component, link with nothing. Vectors link with those of
+    their own length alone; each length is indexed by itself, so there should be few. Repeated rows are rows of their own. An
+    empty table gives none. Other columns are not read.
     """
-    spark = vectors.sparkSession
     e = F.col("embedding")
     whole = F.coalesce(
         F.col("vec_id").isNotNull() & (F.size(e) > 0)
@@ -157,18 +158,27 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.9, vec_id: str = "vec_i
         F.lit(False),
     )
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).withColumn("whole", whole)
-    classes = cut(rows.where("whole").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    n = classes.count()
     lone = rows.where(~F.col("whole")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not n:
-        return lone.withColumn("kept", F.col("vec_id").isNotNull())
+    classes = cut(rows.where("whole").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    sizes = {r.size: r.n for r in classes.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).collect()}  # a row for each length
+    kind = "<f4" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "<f8"
+    told = [_linked(classes.where(F.size("embedding") == size) if len(sizes) > 1 else classes, n, limit, kind) for size, n in sorted(sizes.items())]
+    if told:
+        linked = rows.where("whole").join(cut(reduce(DataFrame.union, told)), "embedding").select("vec_id", "n_links", "component_id")
+        lone = linked.union(lone)
+    return lone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked(classes: DataFrame, n: int, limit: float, kind: str) -> DataFrame:
+    """``(embedding, n_links, component_id)`` of n distinct vectors of one length, ``(embedding, id, copies)``."""
+    spark = classes.sparkSession
     most = SAMPLE / n
     few = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, most) * (1 << 30))).orderBy("id").select("embedding").toArrow()
     if not len(few):
         few = classes.orderBy("id").limit(SAMPLE).select("embedding").toArrow()
     sample = _unit(np.array(few.column(0).to_pylist(), np.float64))
     sent = spark.sparkContext.broadcast(Index(sample, int(min(LISTS, max(1, np.sqrt(n))))))  # 4,096 centroids at most
-    kind, reach = "<f4" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "<f8", np.arccos(np.clip(limit, -1, 1)) + SLACK
+    reach = np.arccos(np.clip(limit, -1, 1)) + SLACK
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -235,11 +245,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.9, vec_id: str = "vec_i
     sets = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     told = classes.join(counts, "id", "left").join(sets.withColumnRenamed("node", "id"), "id", "left")
-    told = told.select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
-    linked = rows.where("whole").join(cut(told), "embedding").select("vec_id", "n_links", "component_id")
-    return linked.union(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return told.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
 
 
 def op10_pq_near_dedup(spark, sf_dir: str) -> DataFrame:

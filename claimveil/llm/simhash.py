@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 #: Words of 64 bits in a long fingerprint, bits of a segment, and fingerprints that one part of its index holds at most, on average.
-LONG, SEGMENT, LONG_PART = 8, 24, 1 << 18
+LONG, SEGMENT, LONG_PART = 8, 24, 1 << 16
 #: Fingerprints with the same variant that are compared pair by pair; more are compared with those that others are close to.
 RUN = 32
 

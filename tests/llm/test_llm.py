@@ -665,6 +665,10 @@ def test_pq(spark):
     assert sum(found[i] for i in brute) >= 0.9 * sum(brute.values())
     assert all(r.n_links == 0 and r.component_id == r.vec_id for r in got if r.vec_id is None or r.vec_id >= 2000)
     assert pq.near_duplicates(table.where("vec_id < 0")).count() == 0
+    odd = table.union(spark.createDataFrame([(5000, [1.0, 0.0], 0, 1), (5001, [1.0, 0.1], 0, 1), (5002, [0.0, 1.0], 0, 1), (5003, [3.0], 0, 1), (5003, [3.0], 0, 1)], table.schema))
+    again = pq.near_duplicates(odd).collect()  # vectors of other lengths meet each other alone
+    assert collections.Counter(tuple(r) for r in again if (r.vec_id or 0) < 5000) == collections.Counter(map(tuple, got))
+    assert sorted(tuple(r) for r in again if (r.vec_id or 0) >= 5000) == [(5000, 1, 5000, True), (5001, 1, 5000, False), (5002, 0, 5002, True), (5003, 1, 5003, True), (5003, 1, 5003, True)]
     assert pq.near_duplicates(table.where("vec_id = 2000")).count() == 1
 
 
