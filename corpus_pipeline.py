@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimveil.llm import mixing, packing, quality, secret_scan, simhash
-from claimveil.llm.common import fresh_dir, ship_path, table, unused, word_count
+from claimveil.llm.common import fresh_dir, ship, table, unused, word_count
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a score of at least the classifier's threshold; learned from the labels beside the input."""
-    ship_path(spark)
+    """Keeps documents with a score of at least the classifier's threshold; learned from the labels beside the input.
+
+    Null texts are scored like empty ones; repeated rows and null ids stay if their score does. Columns stay as they are,
+    whatever their names; without labels all documents have the same score; an empty table gives none.
+    """
+    ship(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     score = unused(docs, "score")
     return quality.score(docs, model, name=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
@@ -28,13 +32,17 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Texts without words, null ones included, have one fingerprint and are one group. Rows without a doc_id go if their group
     has a document with one; repeated ids stay. Columns stay as they are; an empty table gives none.
     """
-    ship_path(spark)
+    ship(spark)
     named = simhash.similar_documents(docs).where("doc_id <=> component_id").select("doc_id").distinct()
     return docs.join(named, docs.doc_id.eqNullSafe(named.doc_id), "left_semi")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of every secret in the texts; n_chars follows."""
+    """Puts a mark in the place of every secret in the texts; n_chars follows.
+
+    All documents stay, repeated ones and those without an id or text too, and other columns as they are; an empty table
+    gives none.
+    """
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")).select(*docs.columns)
 
@@ -42,7 +50,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each document as many times as the mix takes it; those taken not at all go.
 
-    Rows of one id and size are taken equally often.
+    Rows of one id and size are taken equally often. Null sources are a source; texts without words are not taken. Columns
+    stay as they are, whatever their names; an empty table gives none.
     """
     key, size, copies = (unused(docs, x) for x in ("mixed_id", "mixed_size", "mixed_copies"))
     mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
@@ -51,8 +60,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes; repeated documents are packed once for each time."""
-    ship_path(spark)
+    """Where each piece of each document goes; repeated documents are packed once for each time.
+
+    Null and empty texts are one piece of one id; rows without an id are packed as well. An empty table gives none.
+    """
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
