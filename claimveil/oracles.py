@@ -5,7 +5,7 @@ For notes the answer has a closed form: each template's fields are known, and wi
 
 from __future__ import annotations
 
-from claimveil.queries import END, SALT, START
+from claimveil.queries import END, GENERATED, SALT, START
 from claimveil.sources import adapters as X
 from claimveil.sources import lexicon as L
 
@@ -259,3 +259,121 @@ def _quoted(x: object) -> str:
 
 add("safe_harbor_catalogue", "", "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_quoted, r))})" for r in L.SAFE_HARBOR) + ") v(n, identifier, present, detection, transformation, residual_risk)",
     "n", "", "identifier present detection transformation residual_risk")
+
+
+# The generator. Draws are told by the md5 of a seed and names, as numbers in [0, 1).
+def _u(*keys: str) -> str:
+    return f"(CAST(('0x' || substr(md5(concat_ws(':', '17', {', '.join(keys)})), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def _draw(u: str, low: int, high: int) -> str:
+    return f"CAST(floor({u} * {high - low + 1}) + {low} AS BIGINT)"
+
+
+def _choice(u: str, values: list) -> str:
+    return f"([{', '.join(map(_quoted, values))}])[{_draw(u, 1, len(values))}]"
+
+
+def _normal(u: str, v: str) -> str:
+    return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
+
+
+def _own(name: str, low: int, high: int) -> str:
+    """A member's own number."""
+    return _draw(_u("id", f"'{name}'"), low, high)
+
+
+def _people() -> str:
+    drawn = ", ".join(f"{_u('id', f_)} AS u_{f_.strip(chr(39))}" for f_ in ("'unseen'", "'first'", "'last'", "'city'", "'small'", "'zip'"))
+    flags = ", ".join(f"{_u('id', f_)} < 0.02 + age / 1400 AS cond_{c}" for c, f_ in ((c, f"'cond_{c}'") for c in L.CONDITIONS))
+    age = f"greatest(0, least(94, CAST(trunc(52 + 20 * {_normal(_u('id', repr('age1')), _u('id', repr('age2')))}) AS BIGINT)))"
+    risk = " + ".join(f"CASE WHEN cond_{c} THEN {w} ELSE 0 END" for c, (_, _, w) in L.CONDITIONS.items())
+    name = lambda u, known, unseen: f"CASE WHEN u_unseen < 0.3 THEN {_choice(u, unseen)} ELSE {_choice(u, known)} END"
+    place = lambda k: _choice("u_city", [c[k] for c in L.CITIES])
+    return f"""
+SELECT id, concat({_choice(_u("id", "'plan'"), ["H", "P"])}, {_own("member", 1, 9)}, lpad(CAST(id AS VARCHAR), 8, '0')) AS member_id, age, {_choice(_u("id", "'sex'"), ["F", "M"])} AS sex,
+       first_name, last_name, concat({_own("house", 1, 9999)}, ' ', {_choice(_u("id", "'street'"), L.STREETS)}) AS street, {place(0)} AS city, {place(1)} AS state,
+       CASE WHEN u_small < 0.08 THEN {_choice("u_zip", L.SMALL_ZIPS)} ELSE {place(2)} END AS zip5,
+       concat('(', {_own("p1", 200, 989)}, ') ', {_own("p2", 200, 999)}, '-', {_own("p3", 1000, 9999)}) AS phone,
+       concat(lower(first_name), '.', lower(last_name), {_own("mail", 1, 99)}, '@example.com') AS email,
+       concat({_own("s1", 100, 899)}, '-', {_own("s2", 10, 99)}, '-', {_own("s3", 1000, 9999)}) AS ssn, concat('MRN', {_own("mrn", 1000000, 9999999)}) AS mrn,
+       concat('ACCT-', {_own("account", 100000, 999999)}) AS account_number, u_unseen >= 0.3 AS name_in_gazetteer, {", ".join(_CONDITIONS)},
+       round(0.6 + age / 250 + {risk}, 3) AS risk_score
+FROM (SELECT *, {flags}, {name("u_first", L.FIRST_KNOWN, L.FIRST_UNSEEN)} AS first_name, {name("u_last", L.SURNAMES_KNOWN, L.SURNAMES_UNSEEN)} AS last_name
+      FROM (SELECT range AS id, {drawn.replace("(':', '17', id", "(':', '17', range")}, {age.replace("'17', id", "'17', range")} AS age FROM range({GENERATED})) a) b"""
+
+
+def _day(base: str, name: str, low: int, high: int, sign: str = "+") -> str:
+    return f"{base} {sign} CAST({_own(name, low, high)} AS INTEGER)"
+
+
+_FROM, _TO, _CUT = (f"DATE '{x}'" for x in (L.START, L.END, L.SHOCK_CUT))
+_FIELD = {c: c for c in ("mrn", "phone", "email", "ssn", "member_id", "street", "city", "state", "zip5", "account_number")} | {"first": "first_name", "last": "last_name"}
+
+
+def _of_note(name: str, low: int, high: int) -> str:
+    return _draw(_u("id", "k", f"'{name}'"), low, high)
+
+
+_FIELD |= {
+    "provider_last": _choice(_u("id", "k", "'provider'"), L.SURNAMES_KNOWN + L.SURNAMES_UNSEEN),
+    "date": f"strftime({_FROM} + CAST(floor({_u('id', 'k', repr('date'))} * ({_TO} - {_FROM})) AS INTEGER), '%m/%d/%Y')",
+    "url": f"concat('https://portal.example.com/case/', {_of_note('url', 10_000, 99_999)})",
+    "ip": f"concat_ws('.', {_of_note('i1', 10, 220)}, {_of_note('i2', 0, 255)}, {_of_note('i3', 0, 255)}, {_of_note('i4', 1, 254)})",
+} | {f: _choice(_u("id", "k", f"'{f}'"), values) for f, values in (("drug", L.DRUGS), ("dept", L.DEPARTMENTS), ("month", L.MONTHS), ("month2", L.MONTHS), ("payer", L.PAYERS))}
+_PARTS = [X.pieces(t) for t in L.NOTE_TEMPLATES]
+
+
+def _piece(piece: tuple[str, str | None]) -> str:
+    return piece[1] if piece[1] else _quoted(piece[0])
+
+
+def _planted() -> str:
+    rows = []
+    for t, parts in enumerate(_PARTS):
+        for k, (_, field) in enumerate(parts):
+            if field in L.FIELD_TYPES:
+                before = " + ".join(f"length({_piece(p)})" for p in parts[:k]) or "0"
+                rows.append(f"SELECT note_id, {before} AS s, '{L.FIELD_TYPES[field]}' AS type, {field} AS value FROM written WHERE template = {t}")
+    return 'SELECT note_id, s AS "start", s + length(value) AS "end", type, value FROM (' + " UNION ALL ".join(rows) + ") x"
+
+
+VIEWS["people"] = _people()
+VIEWS["covered"] = f"""
+  SELECT id, member_id, i, a, CASE WHEN shocked THEN least(b, {_CUT}) ELSE b END AS b FROM (
+    SELECT *, 1 AS i, CASE WHEN kind >= 0.62 AND kind < 0.75 THEN {_day(_FROM, "late", 30, 400)} ELSE {_FROM} END AS a,
+           CASE WHEN kind < 0.75 THEN {_TO} WHEN kind < 0.87 THEN {_day(_TO, "early", 30, 400, "-")} ELSE gap END AS b FROM kinds
+    UNION ALL SELECT *, 2, again, {_TO} FROM kinds WHERE kind >= 0.87 AND again < {_TO}) x
+  WHERE NOT (shocked AND a >= {_CUT})"""
+VIEWS["kinds"] = f"""
+  SELECT *, gap + CAST({_own("again", 40, 200)} AS INTEGER) AS again FROM (
+    SELECT id, member_id, {_u("id", "'kind'")} AS kind, {_u("id", "'shock'")} < {L.SHOCK_DROP} AS shocked, {_day(_FROM, "gap", 90, 500)} AS gap FROM people) x"""
+VIEWS["days"] = "SELECT id, sum(b - a) AS days, list(a ORDER BY i) AS starts, list(b ORDER BY i) AS ends FROM covered GROUP BY id HAVING sum(b - a) > 0"
+VIEWS["rates"] = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {r}, {p})" for c, (r, p) in L.CATEGORIES.items()) + ") v(c, rate, price)"
+VIEWS["means"] = f"""
+  SELECT p.id, member_id, c, price, starts, ends, CAST(rate AS DOUBLE) * risk_score * days / 365 AS mean, {_u("p.id", "c", "'n'")} AS u, {_u("p.id", "c", "'m'")} AS v
+  FROM people p JOIN days d ON d.id = p.id CROSS JOIN rates"""
+VIEWS["counted"] = f"""
+  SELECT id, member_id, c, price, starts, ends, count(*) FILTER (u >= upto) AS n FROM (
+    SELECT *, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY id, c ORDER BY k) AS upto FROM (SELECT *, unnest(range(0, 120)) AS k FROM means WHERE mean <= 30) x) y
+  GROUP BY ALL
+  UNION ALL SELECT id, member_id, c, price, starts, ends, greatest(0, CAST(trunc(mean + {_normal("u", "v")} * sqrt(mean)) AS BIGINT)) FROM means WHERE mean > 30"""
+_OF = lambda name: _u("id", "c", "k", f"'{name}'")
+VIEWS["billed"] = f"""
+  SELECT *, a + CAST(floor({_OF("day")} * (b - a)) AS INTEGER) AS d FROM (
+    SELECT id, member_id, c, price, k, starts[s] AS a, ends[s] AS b FROM (
+      SELECT *, CAST(floor({_OF("span")} * len(starts)) + 1 AS BIGINT) AS s FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM counted WHERE n > 0) x) y) z
+  WHERE b - a > 1"""
+VIEWS["written"] = f"""
+  SELECT concat('N', lpad(CAST(id AS VARCHAR), 8, '0'), k) AS note_id, member_id AS owner, {", ".join(f"{sql} AS {f}" for f, sql in _FIELD.items())}, {_of_note("template", 0, len(L.NOTE_TEMPLATES) - 1)} AS template
+  FROM (SELECT p.*, unnest(range(1, ([0, 0, 0, 1, 1, 2])[{_draw(_u("p.id", "'notes'"), 1, 6)}] + 1)) AS k FROM people p JOIN days d ON d.id = p.id) x"""
+
+_MEMBER = "member_id sex first_name last_name street city state zip5 phone email ssn mrn account_number name_in_gazetteer " + " ".join(_CONDITIONS)
+add("generate_members", "people", "SELECT * FROM people", "age", "risk_score", _MEMBER)
+add("generate_eligibility", "people kinds covered", "SELECT member_id, CAST(a AS VARCHAR) AS span_start, CAST(b AS VARCHAR) AS span_end FROM covered", "", "", "member_id span_start span_end")
+add("generate_claims", "people kinds covered days rates means counted billed", f"""
+  SELECT concat('C', lpad(CAST(id AS VARCHAR), 9, '0'), substr(c, 1, 2), lpad(CAST(k AS VARCHAR), 4, '0')) AS claim_id, member_id, CAST(d AS VARCHAR) AS service_date, c AS service_category, 1 AS units,
+         floor(CAST(price AS DOUBLE) * (0.55 + {_OF("price")} * 1.05) * CASE WHEN c = 'inpatient' AND year(d) * 4 + quarter(d) >= {L.SHOCK_START[0] * 4 + L.SHOCK_START[1]} THEN CAST({L.SHOCK_PRICE} AS DOUBLE) ELSE 1 END * 100 + 0.5) / 100 AS paid_amount,
+         concat('1', {_draw(_OF("npi"), 100_000_000, 999_999_999)}) AS provider_npi FROM billed""", "units", "paid_amount", "claim_id member_id service_date service_category provider_npi")
+add("generate_notes", "people kinds covered days written", "SELECT note_id, owner AS member_id, CASE template " + " ".join(f"WHEN {t} THEN concat({', '.join(map(_piece, parts))})" for t, parts in enumerate(_PARTS)) + " END AS text FROM written", "", "", "note_id member_id text")
+add("generate_truth_spans", "people kinds covered days written", _planted(), "start end", "", "note_id type value")

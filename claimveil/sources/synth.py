@@ -12,8 +12,9 @@ from claimveil.sources.adapters import pieces
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """A number in [0, 1) that depends on the seed and the keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.lit(k) if isinstance(k, str) else k for k in keys]), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """A number in [0, 1) that depends on the seed and the keys alone: 52 bits of the md5 of their text."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.lit(k) if isinstance(k, str) else k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def between(u: Column, low: int, high: int) -> Column:
@@ -29,15 +30,18 @@ def normal(u: Column, v: Column) -> Column:
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
 
 
-def poisson(u: Column, v: Column, mean: Column, most: int = 120) -> Column:
-    """A Poisson number by its inverse distribution; over a mean of 30 a rounded-down normal one, not below zero."""
+def poisson(u: Column, v: Column, mean: Column) -> Column:
+    """A Poisson number by its inverse distribution; over a mean of 30 a rounded-down normal one, not below zero.
+
+    The distribution is summed up to ten standard deviations over the mean and a dozen more, beyond which a double has no part of it.
+    """
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
 
     def step(s: Column, k: Column) -> Column:
         p = s["p"] * mean / k
         return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), (s["n"] + (u >= s["sum"]).cast("int")).alias("n"))
 
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["n"])
+    small = F.aggregate(F.sequence(F.lit(1), F.ceil(mean + 10 * F.sqrt(mean)).cast("int") + 12), start, step, lambda s: s["n"])
     large = F.greatest(F.lit(0), (mean + normal(u, v) * F.sqrt(mean)).cast("int"))
     return F.when(mean <= 0, 0).when(mean > 30, large).otherwise(small)
 
