@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,7 +68,8 @@ def external_roll(members: DataFrame, kept: Column) -> DataFrame:
 
 def hash_kept(column: str, coverage: float, seed: int) -> Column:
     """A condition that holds for about that share of values, always for the same ones."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1_000_000)) < int(coverage * 1_000_000)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52) <= coverage
 
 
 def linkage(released: DataFrame, roll: DataFrame, qis: Sequence[str], id_field: str = "member_key") -> DataFrame:
@@ -87,6 +89,14 @@ def attack(released: DataFrame, roll: DataFrame, qis: Sequence[str], id_field: s
     return sizes.crossJoin(links).withColumn("rate", F.coalesce(F.try_divide("n_reidentified", "n_released"), F.lit(0.0)))
 
 
+def attack_rungs(released: DataFrame, roll: DataFrame, rungs: Sequence[tuple[int, Sequence[str]]], id_field: str = "member_key") -> DataFrame:
+    """``attack`` for each numbered set of quasi-identifiers, and whether it is the best: the first with most records identified."""
+    rows = [attack(released, roll, qis, id_field).withColumn("rung", F.lit(n)) for n, qis in rungs]
+    told = reduce(DataFrame.unionByName, rows)
+    best = told.agg(F.max_by(F.col("rung"), F.struct("n_reidentified", -F.col("rung"))).alias("best"))
+    return told.crossJoin(best).withColumn("is_best", F.col("rung") == F.col("best")).drop("best")  # one row
+
+
 def verify(links: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """How many of the certain links are right; crosswalk: (member_key, member_id). A key that it lacks counts as wrong."""
     told = links.where("true_member_id is not null").select("released", "true_member_id").join(crosswalk, F.col("released") == F.col("member_key"), "left")

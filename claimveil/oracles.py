@@ -167,9 +167,81 @@ add("generalise_to_k_steps", _MR, " UNION ALL ".join(f"""SELECT '{name}' AS step
   coalesce(count(*) FILTER (NOT kept) / count(*), 0) AS suppression_rate FROM (SELECT count(*) OVER (PARTITION BY {by}) >= 5 AS kept FROM released) x"""
   for name, by in (("as released", "zip3, sex, age_band"), ("10-year age bands", "zip3, sex, coarse"), ("10-year age bands, ZIP dropped", "sex, coarse"))),
   "k n_in n_kept n_suppressed", "suppression_rate", "step")
-_SEEN = {"email": r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "ip": r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "phone": r"\(?\b\d{3}\)?[-. ]\s?\d{3}[-. ]\d{4}\b"}
-add("detect_counts_documents", "", "SELECT type, sum(c) AS n, count(*) AS n_documents FROM (" + " UNION ALL ".join(
-  f"SELECT doc_id, '{kind}' AS type, len(regexp_extract_all(text, '{p}')) AS c FROM documents" for kind, p in _SEEN.items()) + ") x WHERE c > 0 GROUP BY type", "n n_documents", "", "type")
+add("external_roll_hashed", "members", f"""SELECT concat(first_name, ' ', last_name) AS name, zip5, state, age, sex, member_id AS true_member_id, substr(zip5, 1, 3) AS zip3, {_BAND} AS age_band FROM members
+  WHERE CAST(('0x' || substr(md5(concat('99:', member_id)), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) <= 0.85""", "age", "", "name zip5 state sex true_member_id zip3 age_band")
+
+
+def _rung(n: int, qis: str) -> str:
+    return f"""SELECT {n} AS rung, (SELECT count(*) FROM released) AS n_released, (SELECT count(*) FROM roll) AS n_roll, count(*) FILTER (b.n = 1) AS n_reidentified,
+      count(*) FILTER (b.n > 1) AS n_unique_but_ambiguous_in_roll FROM (SELECT {qis} FROM released GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT {qis}, count(*) AS n FROM roll GROUP BY ALL) b USING ({qis})"""
+
+
+add("attack_rungs", "members released roll", f"""SELECT *, n_reidentified / n_released AS rate, rung = arg_max(rung, n_reidentified * 10 - rung) OVER () AS is_best
+  FROM ({" UNION ALL ".join(_rung(n, q) for n, q in ((3, "state, sex, age_band"), (4, _DEMO), (5, _DEMO)))}) r""", "rung n_released n_roll n_reidentified n_unique_but_ambiguous_in_roll", "rate", "is_best")
+add("effects_ordered", _CHANGES, """SELECT *, row_number() OVER (PARTITION BY year, quarter ORDER BY floor(abs(price_effect) * 1e6 + 0.5) DESC, category) AS place FROM (
+  SELECT a.year, a.quarter, category, u0 * (p1 - p0) AS price_effect FROM pairs JOIN qtot a ON a.t = pairs.t JOIN qtot b ON b.t = a.t + 1) x""", "year quarter place", "price_effect", "category")
+
+# Any texts. They are first told in ASCII, character by character: letters of other scripts as word characters, spaces as
+# spaces, all else as a sign; so these regular expressions see the same words as Unicode's rules. Rules follow each other,
+# and each keeps what overlaps nothing kept before; a rule's own matches never overlap.
+_SPACES, _WORDS = r"[\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", r"\pL\pM\p{Nd}\p{Nl}\p{Pc}"
+
+
+def _rules() -> list[tuple[str, str, tuple[int, ...], int]]:
+    """Type, pattern, named groups and number of groups of each rule."""
+    names = {*L.SURNAMES_KNOWN, *L.SURNAME_DECOYS, *L.FIRST_KNOWN, *L.FIRST_DECOYS} - set(L.STOP_WORDS)
+    words = [("address", rf"\b(?:{'|'.join(L.GAZETTEER_CITIES)})\b"), ("name", rf"\b(?:{'|'.join(sorted(names))})\b")]
+    plain = [(kind, p, (), 0) for kind, p in L.PATTERNS]
+    return plain + [("name", p, g, p.count("(") - p.count("(?:")) for p, g in L.CONTEXTS] + [(kind, p, (), 0) for kind, p in words]
+
+
+def _candidates(rank: int, kind: str, pattern: str, groups: tuple[int, ...], n: int) -> str:
+    p = pattern.replace("'", "''")
+    parts = "".join(f", unnest(regexp_extract_all(t, '{p}', {k})) AS g{k}" for k in range(1, n + 1))
+    found = f"""SELECT doc_id, sum(length(gap)) OVER o + sum(length(m)) OVER o - length(m) AS s, m{''.join(f', g{k}' for k in range(1, n + 1))} FROM (
+      SELECT doc_id, unnest(range(len(ms))) AS i, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m{parts} FROM (
+        SELECT doc_id, t, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms FROM ascii) x) y WINDOW o AS (PARTITION BY doc_id ORDER BY i)"""
+    if not groups:
+        return f"SELECT doc_id, {rank} AS rank, '{kind}' AS type, s, s + length(m) AS e FROM ({found}) f"
+    stops, rows = "', '".join(L.STOP_WORDS), []
+    for k in groups:
+        before = " + ".join(["s", *[f"length(g{j})" for j in range(1, k)]])
+        rows.append(f"SELECT doc_id, {rank} AS rank, '{kind}' AS type, {before} AS s, {before} + length(g{k}) AS e FROM ({found}) f WHERE g{k} NOT IN ('{stops}')")
+    return " UNION ALL ".join(rows)
+
+
+def _texts(source: str, told: str) -> str:
+    """SQL over spans(doc_id, text, type, s, e) of the texts (doc_id, text) that source tells."""
+    rules = _rules()
+    views = [
+        f"texts AS MATERIALIZED ({source})",
+        f"ascii AS MATERIALIZED (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{_SPACES}', ' ', 'g'), '[^\\x00-\\x7f{_WORDS}]', chr(1), 'g'), '[^\\x00-\\x7f]', '_', 'g') AS t FROM texts WHERE text IS NOT NULL)",
+    ]
+    for k, rule in enumerate(rules):
+        views.append(f"c{k} AS MATERIALIZED ({_candidates(k, *rule)})")
+        kept = f"SELECT * FROM c{k} c WHERE NOT EXISTS (SELECT 1 FROM k{k - 1} x WHERE x.doc_id = c.doc_id AND x.s < c.e AND c.s < x.e)" if k else "SELECT * FROM c0"
+        views.append(f"k{k} AS MATERIALIZED ({f'SELECT * FROM k{k - 1} UNION ALL ' if k else ''}{kept})")
+    views.append(f"spans AS (SELECT k.doc_id, text, type, s, e, substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS value FROM k{len(rules) - 1} k JOIN texts USING (doc_id))")
+    return f"WITH {', '.join(views)} {told}"
+
+
+def _becomes() -> str:
+    masks = " ".join(f"WHEN '{kind}' THEN '{mask}'" for kind, mask in L.MASKS.items())
+    day = f"coalesce(strftime(CAST(try_strptime(value, ['%Y-%m-%d', '%m/%d/%Y']) AS DATE) + CAST({_days('doc_id')} AS INTEGER), '%m/%d/%Y'), '[DATE]')"
+    area = "CASE WHEN substr(value, 1, 3) IN ('059', '823', '889') THEN '000XX' ELSE concat(substr(value, 1, 3), 'XX') END"
+    keys = " ".join(f"WHEN '{kind}' THEN {_key('value', prefix)}" for kind, prefix in (("name", "NAME"), ("mrn", "MRN"), ("member_id", "MBR")))
+    return f"CASE type {masks} {keys} WHEN 'zip' THEN {area} WHEN 'date' THEN {day} ELSE '[REDACTED]' END"
+
+
+_REDACTED = f"""
+  SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN n IS NULL THEN t.text ELSE concat(head, substr(t.text, CAST(last + 1 AS BIGINT))) END) AS clean_sha256
+  FROM texts t LEFT JOIN (
+    SELECT doc_id, count(*) AS n, max(e) AS last, string_agg(concat(substr(text, CAST(before + 1 AS BIGINT), CAST(s - before AS BIGINT)), {_becomes()}), '' ORDER BY s) AS head
+    FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans) p GROUP BY doc_id) r USING (doc_id)"""
+_DOCUMENTS = "SELECT doc_id, text FROM documents"
+ORACLES["detect_counts_documents"] = _texts(_DOCUMENTS, "SELECT type, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM spans GROUP BY type")
+ORACLES["redact_documents"] = _texts(_DOCUMENTS, _REDACTED)
+ORACLES["redact_odd_notes"] = _texts(X.ODD_NOTES, _REDACTED)
 
 # Notes. Which fields are found, by template: names beside a context always, others if the gazetteer has them.
 _NAMES = "', '".join([*L.SURNAMES_KNOWN, *L.FIRST_KNOWN])
@@ -253,6 +325,15 @@ add("score_by_type", "truth detected outcomes", """SELECT type, sum(tp) AS tp, s
 add("score_overall", "truth detected outcomes", "SELECT sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(tp + fn) AS n_truth, sum(tp) / nullif(sum(tp + fn), 0) AS recall FROM outcomes", "tp fn fp n_truth", "recall")
 
 
+add("score_by_type_ordered", "truth detected outcomes", """SELECT type, row_number() OVER (ORDER BY sum(tp + fn) DESC, type) AS place, sum(tp + fn) AS n_truth, sum(tp) / sum(tp + fn) AS recall
+  FROM outcomes GROUP BY type HAVING sum(tp + fn) > 0""", "place n_truth", "recall", "type")
+add("pipeline_counters", "members eligibility claims notes truth", " UNION ALL ".join([
+  *[f"SELECT '{t}' AS counter, count(*) AS n FROM {t}" for t in ("members", "eligibility", "claims", "notes", "truth")],
+  f"SELECT 'unseen_names', count(*) FROM members WHERE first_name IN ('{(chr(39) + ', ' + chr(39)).join(L.FIRST_UNSEEN)}') OR last_name IN ('{(chr(39) + ', ' + chr(39)).join(L.SURNAMES_UNSEEN)}')",
+  "SELECT 'small_zip', count(*) FROM members WHERE substr(zip5, 1, 3) IN ('059', '823', '889')", "SELECT 'age_90_plus', count(*) FROM members WHERE age >= 90",
+]), "n", "", "counter")
+
+
 def _quoted(x: object) -> str:
     return str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimveil.functions import scalar as S
@@ -257,7 +258,7 @@ def generalise_to_k_steps(spark, sf_dir):
 @query
 def detect_counts_documents(spark, sf_dir):
     spans = detection.with_spans(detection.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
-    told = detection.spans_of(spans, "doc_id").where(F.col("type").isin("email", "ip", "phone"))
+    told = detection.spans_of(spans, "doc_id")
     return told.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
@@ -277,10 +278,19 @@ def redact_notes(spark, sf_dir):
     return _redacted(spark, sf_dir).select("note_id", "clean")
 
 
+def _digests(docs: DataFrame) -> DataFrame:
+    told = redaction.redact(detection.spread(docs.select("doc_id", F.col("doc_id").cast("string").alias("key"), "text"), "doc_id"), SALT, key="key")
+    return told.select("doc_id", F.size("spans").alias("n_spans"), F.sha2("clean", 256).alias("clean_sha256"))
+
+
 @query
 def redact_documents(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
-    return redaction.redact(detection.spread(docs, "doc_id"), SALT, key="key").select("doc_id", F.size("spans").alias("n_spans"), F.sha2("clean", 256).alias("clean_sha256"))
+    return _digests(_table(spark, sf_dir, "documents"))
+
+
+@query
+def redact_odd_notes(spark, sf_dir):
+    return _digests(_table(spark, sf_dir, "odd_notes"))
 
 
 @query
@@ -293,6 +303,42 @@ def score_overall(spark, sf_dir):
     return scoring.overall(_scored(spark, sf_dir))
 
 
+@query
+def score_by_type_ordered(spark, sf_dir):
+    """In the order in which types are told: most planted first, those never planted left out."""
+    order = Window.orderBy(F.desc("n_truth"), "type")  # a row for each type
+    return _scored(spark, sf_dir).where("n_truth > 0").select(F.row_number().over(order).alias("place"), "type", "n_truth", "recall")
+
+
+@query
+def pipeline_counters(spark, sf_dir):
+    members = _table(spark, sf_dir, "members")
+    seen = F.col("first_name").isin(L.FIRST_KNOWN) & F.col("last_name").isin(L.SURNAMES_KNOWN)
+    rows = [_table(spark, sf_dir, t).agg(F.lit(t).alias("counter"), F.count("*").alias("n")) for t in ("members", "eligibility", "claims", "notes", "truth")]
+    for name, which in (("unseen_names", ~seen), ("small_zip", S.is_small_zip3(F.substring("zip5", 1, 3))), ("age_90_plus", F.col("age") >= 90)):
+        rows.append(members.agg(F.lit(name).alias("counter"), F.count_if(which).alias("n")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def effects_ordered(spark, sf_dir):
+    """Categories of each change by the size of their price effect."""
+    order = Window.partitionBy("year", "quarter").orderBy(F.desc(F.floor(F.abs("price_effect") * 1e6 + 0.5)), "category")
+    told = A.decompose_by_category(*_changes(spark, sf_dir))
+    return told.select("year", "quarter", F.row_number().over(order).alias("place"), "category", "price_effect")
+
+
+@query
+def attack_rungs(spark, sf_dir):
+    sets = [(k + 1, [q for q in K.LADDER[k] if not q.startswith("cond_")]) for k in (2, 3, 4)]
+    return K.attack_rungs(_released(spark, sf_dir), _roll(spark, sf_dir), sets)
+
+
+@query
+def external_roll_hashed(spark, sf_dir):
+    return K.external_roll(_table(spark, sf_dir, "members"), K.hash_kept("member_id", 0.85, 99))
+
+
 @query
 def safe_harbor_catalogue(spark, sf_dir):
     return spark.createDataFrame(L.SAFE_HARBOR, "n int, identifier string, present boolean, detection string, transformation string, residual_risk string")

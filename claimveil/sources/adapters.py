@@ -83,6 +83,19 @@ NOTES = (
 )
 
 
+#: Notes with written dates of other forms, dates that don't exist, openings by name, and words that only stand where names do.
+ODD_TEMPLATES = [
+    "{first} {last} requests records of {iso}; next visit 2024-13-40.", "{first} {last} seen 02/30/2024, again {plain} or 03-14-2024.",
+    "{first} {last} filed with Case Note on {iso} by Dr. {provider_last}", "auto Foo Bar for Prior Auth, to {first} {last} on {plain}",
+]
+FIELDS |= {"iso": f"concat('', {_DAY})", "plain": f"concat(month({_DAY}), '/', day({_DAY}), '/', year({_DAY}))"}
+ODD_NOTES = (
+    "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 "
+    + " ".join(f"WHEN {t} THEN concat({', '.join(map(sql_of, pieces(text)))})" for t, text in enumerate(ODD_TEMPLATES))
+    + " END AS text FROM orders"
+)
+
+
 def truth_sql() -> str:
     """``(note_id, start, end, type, value)`` of every planted identifier."""
     rows = []
@@ -109,7 +122,7 @@ def truth_inline() -> str:
 
 
 TRUTH = truth_sql()
-SOURCES = {"members": (MEMBERS, ("customer", "nation")), "eligibility": (ELIGIBILITY, ("orders",)), "claims": (CLAIMS, ("lineitem", "orders", "part")), "notes": (NOTES, ("orders",)), "truth": (TRUTH, ("orders",))}
+SOURCES = {"members": (MEMBERS, ("customer", "nation")), "eligibility": (ELIGIBILITY, ("orders",)), "claims": (CLAIMS, ("lineitem", "orders", "part")), "notes": (NOTES, ("orders",)), "truth": (TRUTH, ("orders",)), "odd_notes": (ODD_NOTES, ("orders",))}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
