@@ -1,8 +1,10 @@
 """A run-length index of many short texts: their Burrows-Wheeler transform in runs, with suffixes sampled at the runs' ends.
 
-How far a suffix agrees with the one before it in order needs comparing only where a run begins: inside a run both suffixes
-follow equal bytes, so each agrees one byte less than the suffix that begins one byte earlier. Matching statistics thus
-stream over the texts from the run ends, and rows that agree long enough form the occurrences of one long string.
+Inside a run the suffixes of two neighbouring rows follow equal bytes, so the suffixes that begin one byte earlier are
+neighbours too. Which suffix comes before (or after) another in order, and on how many bytes the two agree, is therefore
+known wherever a run begins, and from there streams over the texts one byte at a time: the neighbour moves on with the
+suffix and the agreement falls by one. The index keeps nothing but the runs and their sampled ends; the order of all suffixes
+is only made to find them. Rows that agree on enough bytes are the occurrences of one long string.
 """
 
 from __future__ import annotations
@@ -21,25 +23,24 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Index of texts (bytes without 0xFF, as UTF-8 is); each ends by itself, and equal suffixes keep the texts' order."""
+    """Index of texts of any bytes; each ends by itself, and equal suffixes keep the texts' order."""
 
     def __init__(self, texts: list[bytes]):
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         t = np.frombuffer(b"".join(texts), np.uint8)
-        if len(t) and t.max() == 255:
-            raise ValueError("0xFF is no byte of a text")
         n = self.n = len(t)
-        self.text = t
         self.ends = np.repeat(self.starts + self.lengths, self.lengths)
         left = self.ends - np.arange(n)
-        symbols = np.concatenate((t + np.uint8(1), np.zeros(8, np.uint8))).astype(np.uint64)
+        # zero is a text's end, so a byte takes nine bits where there is one that would need a ninth
+        self.bits = 9 if n and t.max() == 255 else 8
+        symbols = np.concatenate((t.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)))
         word = np.zeros(n, np.uint64)
-        for k in range(8):
-            word |= np.where(left > k, symbols[k : k + n], np.uint64(0)) << np.uint64(56 - 8 * k)
+        for k in range(64 // self.bits):
+            word |= np.where(left > k, symbols[k : k + n], np.uint64(0)) << np.uint64(64 - self.bits * (k + 1))
         self.word = word
         #: Ranks by the first 8, 24, 72, ... bytes (8, 16, 32, ... in a large index), until they reach the longest text's end.
-        self.levels = [(8, _ranks(word))]
+        self.levels = [(64 // self.bits, _ranks(word))]
         self.factor, bits = (3, 21) if n < 1 << 21 else (2, 32)
         while n and self.levels[-1][0] < self.lengths.max():
             size, rank = self.levels[-1]
@@ -51,19 +52,21 @@ class RunLengthIndex:
                 joined = joined << bits | following
             self.levels.append((self.factor * size, _ranks(joined)))
         place = np.sort(self.levels[-1][1] << 32 | np.arange(n)) if n else np.zeros(0, np.int64)
-        self.suffixes = place & 0xFFFFFFFF
+        order = place & 0xFFFFFFFF
         previous = np.concatenate((np.full(min(n, 1), -1, np.int16), t[:-1].astype(np.int16)))
         previous[self.starts[self.starts < n]] = -1
-        before = previous[self.suffixes]
+        before = previous[order]
         #: Runs of the transform: first rows, bytes (-1: a text begins), and the suffixes at both ends.
         self.run_starts = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] < 0)))) if n else np.zeros(0, np.int64)
         self.heads = before[self.run_starts]
         last = np.append(self.run_starts[1:], n) - 1 if n else self.run_starts
-        self.samples = np.stack([self.suffixes[self.run_starts], self.suffixes[last]], 1) if n else np.zeros((0, 2), np.int64)
-        self.agreement = self._agreement()
+        self.samples = np.stack([order[self.run_starts], order[last]], 1) if n else np.zeros((0, 2), np.int64)
+        #: On how many bytes a run's first suffix agrees with the last one of the run before.
+        self.agree = self._agree(self.samples[1:, 0], self.samples[:-1, 1])
+        del self.word, self.levels, self.ends
 
     def _agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes on which suffixes a and b agree."""
+        """Bytes on which suffixes a and b agree; only while the index is made."""
         most = np.minimum(self.ends[a] - a, self.ends[b] - b)
         done = np.zeros(len(a), np.int64)
         for size, rank in reversed(self.levels):
@@ -74,41 +77,62 @@ class RunLengthIndex:
         inside = done < most
         differ = self.word[np.where(inside, a + done, a)] ^ self.word[np.where(inside, b + done, b)]
         same = np.zeros(len(a), np.int64)
-        for k in range(1, 8):
-            same += (differ >> np.uint64(64 - 8 * k)) == 0
+        for k in range(1, 64 // self.bits):
+            same += (differ >> np.uint64(64 - self.bits * k)) == 0
         return np.minimum(done + np.where(inside, same, 0), most)
 
-    def _agreement(self) -> np.ndarray:
-        """For each place in the texts, on how many bytes its suffix agrees with the one before it in order."""
-        out = np.zeros(self.n, np.int64)
-        if not self.n:
-            return out
-        rows = self.run_starts[self.run_starts > 0]
-        known = np.zeros(self.n, bool)
-        out[self.suffixes[rows]] = self._agree(self.suffixes[rows], self.suffixes[rows - 1])
-        known[self.suffixes[self.run_starts]] = True
-        at = np.maximum.accumulate(np.where(known, np.arange(self.n), 0))
-        return np.maximum(out[at] - (np.arange(self.n) - at), 0)
+    def _stream(self, at: np.ndarray, neighbour: np.ndarray, agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place in the texts, its suffix's neighbour and their agreement, from those at sampled places; texts' beginnings are sampled."""
+        known = np.full(self.n, -1, np.int64)
+        known[at] = np.arange(len(at))
+        here = np.maximum.accumulate(np.where(known >= 0, np.arange(self.n), 0))
+        gone = np.arange(self.n) - here
+        return neighbour[known[here]] + gone, np.maximum(agree[known[here]] - gone, 0)
+
+    def predecessors(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, which suffix comes before its own in order, and on how many bytes they agree; agreement 0: perhaps none."""
+        return self._stream(self.samples[:, 0], np.append(0, self.samples[:-1, 1]), np.append(0, self.agree))
 
     def matching_statistics(self) -> np.ndarray:
         """For each place, the longest match of its suffix with any other suffix."""
-        rows = self.agreement[self.suffixes]
+        if not self.n:
+            return np.zeros(0, np.int64)
+        before, out = self.predecessors()
+        agree = out.copy()
+        told = np.flatnonzero(agree)
+        np.maximum.at(out, before[told], agree[told])
+        return out
+
+    @property
+    def suffixes(self) -> np.ndarray:
+        """All suffixes in order, step by step from the last one's sample."""
         out = np.zeros(self.n, np.int64)
-        out[self.suffixes] = np.maximum(rows, np.append(rows[1:], 0)) if self.n else rows
+        if self.n:
+            before, _ = self.predecessors()
+            out[-1] = self.samples[-1, 1]
+            for row in range(self.n - 1, 0, -1):
+                out[row - 1] = before[out[row]]
         return out
 
     def least(self, values: np.ndarray, length: int) -> np.ndarray:
         """For each place, the least value of a text that holds the string of so many bytes that starts there.
 
-        values: one for each text. Places with fewer bytes left give their own text's.
+        values: one for each text. Places with fewer bytes left give their own text's. Every suffix that agrees with the one
+        before it on so many bytes points there; the first of such a chain stands for all of it.
         """
-        own = np.repeat(values, self.lengths)
+        out = np.repeat(values, self.lengths)
         if not self.n:
-            return own
-        # two rows that agree on so many bytes both have them, so short suffixes stay alone
-        first = np.flatnonzero(self.agreement[self.suffixes] < length)
-        first = first if len(first) and first[0] == 0 else np.concatenate(([0], first))
-        group = np.minimum.reduceat(own[self.suffixes], first)
-        out = np.empty(self.n, own.dtype)
-        out[self.suffixes] = np.repeat(group, np.diff(np.append(first, self.n)))
+            return out
+        before, agree = self.predecessors()
+        linked = np.flatnonzero(agree >= length)
+        first = np.arange(self.n)
+        first[linked] = before[linked]
+        while len(linked):  # a chain of k is walked in log2(k) rounds
+            further = first[first[linked]]
+            moved = further != first[linked]
+            first[linked] = further
+            linked = linked[moved]
+        linked = np.flatnonzero(agree >= length)
+        np.minimum.at(out, first[linked], out[linked])
+        out[linked] = out[first[linked]]
         return out

@@ -3,12 +3,14 @@
 Every window of LENGTH bytes is named by the smallest hash of its KEY-byte strings, so equal windows have equal names, and
 neighbouring windows mostly share theirs: a run of windows of one name is a segment. (1) Documents, dealt into chunks,
 send their segments' names to parts of a name table, which (2) answers with the names that occur in several documents.
-(3) Segments of these names go, each distinct one once a chunk, to index parts. There (4) segments of a name that occurs
-with different texts form a run-length index, which tells for each window the smallest document that holds it. (5) Chunks
-remove what starts in a smaller document. Names and segments travel as packed arrays; documents are dealt once.
+(3) Segments of these names go, each distinct one once a chunk, to index parts. There (4) they form run-length indexes, which
+tell for each window the smallest document that holds it. (5) Chunks remove what starts in a smaller document. Names and
+segments travel as packed arrays; documents are dealt once. Segments count as equal by their bytes, fingerprints only bring
+them together.
 
 A name whose distinct segments come to over HOT bytes would make one part large. The name table finds these names, and their
 segments fall into windows that go each by its own fingerprint, so they spread over all parts and equal windows still meet.
+These windows travel without their bytes and count as equal by 96 bits of two hashes, beside the part.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ CHUNK, NAMES, PART = 6 << 20, 32 << 20, 4 << 20
 HOT = 1 << 20
 #: Windows in a segment at most, and bytes of documents that are hashed at a time.
 WINDOWS, SLICE = 200, 1 << 20
-BASE = 0x100000001B3
+BASE, OTHER = 0x100000001B3, 0x9E3779B97F4A7C15
 LAST = np.iinfo(np.int64).max
 
 
@@ -87,10 +89,10 @@ class Segments:
         """64-bit fingerprints of some segments' whole texts, with their names and lengths mixed in."""
         return self.prints(self.first[at], self.windows[at] + length - 1, self.name[at])
 
-    def prints(self, first: np.ndarray, size: np.ndarray, name: np.ndarray) -> np.ndarray:
+    def prints(self, first: np.ndarray, size: np.ndarray, name: np.ndarray, base: int = BASE) -> np.ndarray:
         """64-bit fingerprints of strings, with their names and lengths mixed in."""
         n = len(self.data)
-        power, inverse = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
+        power, inverse = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
         power[0] = inverse[0] = 1
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[:n], out=total[1:])
@@ -129,23 +131,24 @@ class _Repeats:
             alone = np.isin(s.name[mine], hot)
             mine, alone = mine[~alone], mine[alone]
             windows = _spread(s.first[alone], s.windows[alone]).astype(np.int64)
-            prints = s.prints(windows, np.full(len(windows), length), np.zeros(len(windows), np.uint64))
+            fixed, unnamed = np.full(len(windows), length), np.zeros(len(windows), np.uint64)
+            prints = s.prints(windows, fixed, unnamed) if len(windows) else unnamed
+            more = s.prints(windows, fixed, unnamed, OTHER) if len(windows) else unnamed
             keys += [s.keys(mine, length), prints]
-            names += [s.name[mine], _placed(prints, parts)]
+            names += [s.name[mine], _placed(prints, parts) & ~np.uint64(0xFFFFFFFF) | more >> np.uint64(32)]
             single += [np.zeros(len(mine), bool), np.ones(len(windows), bool)]
             doc, first = np.concatenate([s.doc[mine], np.repeat(s.doc[alone], s.windows[alone])]), np.concatenate([s.first[mine], windows])
             owners.append(own[doc])
             self.slices.append((a, own, s.data, s.begins, s.ends, doc, first, np.concatenate([s.windows[mine], np.ones(len(windows), np.int64)])))
         keys, names, owners = np.concatenate(keys), np.concatenate(names), np.concatenate(owners)
-        order = np.lexsort((owners, keys, names >> np.uint64(32)))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (names[order][1:] >> np.uint64(32) != names[order][:-1] >> np.uint64(32))
+        data = np.concatenate([np.zeros(0, np.uint8), *(x[2] for x in self.slices)])
+        bases = np.cumsum([0, *(len(x[2]) for x in self.slices)])
+        first = np.concatenate([np.zeros(0, np.int64), *(x[6] + base for x, base in zip(self.slices, bases))])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(x[7] for x in self.slices)]) + length - 1
         #: Of each distinct segment: an occurrence, fingerprint, name and smallest document; of each occurrence its segment.
-        self.occurrence = order[fresh]
+        self.occurrence, self.number, keys = _distinct(names >> np.uint64(32), keys, owners, first, sizes, data)
         self.key, self.name, self.least = keys[self.occurrence], names[self.occurrence], owners[self.occurrence]
         self.single = np.concatenate(single)[self.occurrence]
-        self.number = np.empty(len(order), np.int64)
-        self.number[order] = np.cumsum(fresh) - 1
         self.ends = np.searchsorted(self.name >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
     def texts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +176,33 @@ def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(names: np.ndarray, keys: np.ndarray, least: np.ndarray, begins: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings told apart by name and fingerprint, and equal ones compared by their bytes.
+
+    Returns of each distinct string the place of its least occurrence, in order of name and fingerprint; of each occurrence
+    its string's number; and the fingerprints, changed where strings that differ had the same.
+    """
+    while True:
+        order = np.lexsort((least, keys, names))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (names[order][1:] != names[order][:-1])
+        mine, number = order[fresh], np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        again = order[~fresh]
+        like = mine[number[again]]
+        bad = sizes[again] != sizes[like]
+        told = np.flatnonzero(~bad & (sizes[again] > 0))
+        for a, b in slices(sizes[again[told]].tolist(), SLICE):
+            x, y = again[told[a:b]], like[told[a:b]]
+            same = data[_spread(begins[x], sizes[x])] == data[_spread(begins[y], sizes[y])]
+            bad[told[a:b]] = ~np.logical_and.reduceat(same, np.cumsum(sizes[x]) - sizes[x])
+        if not bad.any():
+            return mine, number, keys
+        keys = keys.copy()
+        for k in again[bad].tolist():
+            keys[k] ^= np.uint64(int.from_bytes(hashlib.blake2b(data[begins[k] : begins[k] + sizes[k]].tobytes(), digest_size=8).digest(), "little") | 1)
+
+
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays after their lengths in bytes, pressed."""
     raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
@@ -211,16 +241,15 @@ def _heavy(names: np.ndarray, sizes: np.ndarray, found: list[Segments], least: i
 def _owners(names: np.ndarray, least: np.ndarray, sizes: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
     """For the windows of distinct segments, which lie side by side in the order of their names, the smallest document each.
 
-    Where a name has one text only, all its windows are that text's. The others are indexed in pieces of whole names.
+    Equal windows have equal names, so whole names are indexed together, as many as make some SLICE of bytes.
     """
     windows = sizes - length + 1
     out = np.repeat(least, windows)
     before, begin = np.cumsum(windows) - windows, np.cumsum(sizes) - sizes
-    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(names)))
-    groups = np.flatnonzero(count > 1)
-    longest = np.maximum.reduceat(sizes, first)[groups] if len(first) else groups
-    groups = groups[np.argsort(longest, kind="stable")]  # few long segments don't make the others' ranks dearer
+    longest = np.maximum.reduceat(sizes, first) if len(first) else first
+    groups = np.argsort(longest, kind="stable")  # few long segments don't make the others' ranks dearer
     total = np.add.reduceat(sizes, first) if len(first) else sizes
     for a, b in slices(total[groups].tolist(), SLICE):
         at = _spread(first[groups[a:b]], count[groups[a:b]])
@@ -236,7 +265,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     Texts are UTF-8 bytes (null: empty), strings don't cross documents, and are judged on the input. Returns for every row
     ``(doc_id, kept binary, spans array<struct<start, end>>)``, spans being the maximal removed runs of bytes, or, for output
     "digest", ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``. Rows of one id don't remove from each other; rows
-    without an id come after all others and remove from none. An empty table gives none. Other columns are not read.
+    without an id come after all others and remove from none. Very long texts are read whole, by one task each. An empty
+    table gives none. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -308,12 +338,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
         counts = [len(x[0]) for x in sent]
         names, keys, least, sizes, body = (np.concatenate(x) for x in zip(*sent))
         sizes, sent = sizes.astype(np.int64), None
-        order = np.lexsort((least, keys, names))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (names[order][1:] != names[order][:-1])
-        mine, number = order[fresh], np.empty(len(order), np.int64)
-        number[order] = np.cumsum(fresh) - 1
-        body = body[_spread((np.cumsum(sizes) - sizes)[mine], sizes[mine])]
+        begin = np.cumsum(sizes) - sizes
+        mine, number, _ = _distinct(names, keys, least, begin, sizes, body)
+        body = body[_spread(begin[mine], sizes[mine])]
         windows, whole = np.maximum(sizes[mine] - length + 1, 1), sizes[mine] > 0
         owner = np.repeat(least[mine], windows)
         owner[np.repeat(whole, windows)] = _owners(names[mine][whole], least[mine][whole], sizes[mine][whole], body, length)

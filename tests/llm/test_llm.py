@@ -121,10 +121,26 @@ def test_hot_name_is_spread(spark, monkeypatch):
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50) and sum(r.n_removed for r in got) > 0
 
 
+def test_equal_fingerprints_are_told_apart_by_bytes():
+    rnd = random.Random(20)
+    strings = [bytes(rnd.choices(b"ab", k=rnd.randint(0, 6))) for _ in range(200)]
+    data, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings])
+    names, least = np.array([rnd.randint(0, 2) for _ in strings], np.uint64), np.array([rnd.randint(0, 50) for _ in strings])
+    for keys in (np.zeros(200, np.uint64), np.arange(200, dtype=np.uint64) % np.uint64(3), np.array([zlib.crc32(x) for x in strings], np.uint64)):
+        mine, number, fixed = substring_dedup._distinct(names, keys, least, np.cumsum(sizes) - sizes, sizes, data)
+        plain = collections.defaultdict(list)
+        for i, x in enumerate(strings):
+            plain[names[i], keys[i] if not x else 0, x].append(i)
+        assert all(strings[mine[number[i]]] == x and names[mine[number[i]]] == names[i] for i, x in enumerate(strings))
+        assert len({(names[m], fixed[m]) for m in mine}) == len(mine)
+        if len(set(keys.tolist())) > 3:
+            assert all(least[mine[number[g[0]]]] == min(least[g]) for g in plain.values()) and len(mine) == len(plain)
+
+
 def test_run_length_index():
     rnd = random.Random(0)
     for trial in range(60):
-        letters = [b"a", b"ab", b"abc", b"\0a"][trial % 4]
+        letters = [b"a", b"ab", b"abc", b"\0a", b"\xff\xfe\0", b"\xffa"][trial % 6]
         texts = [bytes(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(rnd.randint(0, 6))]
         index = rindex.RunLengthIndex(texts)
         suffixes = [(t[i:], k) for k, t in enumerate(texts) for i in range(len(t))]
