@@ -2,7 +2,8 @@
 
 Weights come from the follow-the-regularised-leader rule with elastic-net penalties, which leaves most of them zero; a
 temperature, fitted on rows that the weights have not seen, turns their sums into probabilities. Document frequencies are
-counted over all rows with a language that may be learned from; weights are fitted on at most ``SAMPLE`` of them.
+counted over all rows with a language that may be learned from; weights are fitted on some ``SAMPLE`` of them, or fewer if
+they are long.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from .common import crc32_mod, table
 
 #: n-grams of 1 to GRAMS characters are hashed to so many features.
 GRAMS, FEATURES = 3, 1 << 15
-#: Rows that weights and temperature are fitted on: so many over all languages, evenly dealt, as far as there are any.
-SAMPLE = 12_000
+#: What weights and temperature are fitted on: so many rows, and bytes of text, over all languages on average, evenly dealt.
+SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
+#: Languages that a model tells apart at most, the most frequent ones.
+LANGUAGES = 512
 SLOT = 512
 
 
@@ -112,19 +115,23 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """A model of the languages in docs; rows without text or language are left out."""
+    """A model of the languages in docs; rows without text or language are left out, as are languages beyond the LANGUAGES most frequent.
+
+    Repeated rows count each time; without rows the model knows no language. Very long texts count whole.
+    """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: (r["n"], r["size"]) for r in found.collect()}
     languages = sorted(counts)
-    idf = np.log((1 + sum(counts.values())) / (1 + document_frequencies(rows.select("text")))) + 1
+    idf = np.log((1 + sum(n for n, _ in counts.values())) / (1 + document_frequencies(rows.select("text")))) + 1
     model = Model(languages, idf)
     if not languages:
         return model
-    each = sample / len(languages)
     picked: Column = F.lit(False)
-    for name, n in counts.items():
-        # a Bernoulli sample by a hash of the id: the bound holds on average, to some hundredths
-        picked = picked | ((F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < int(min(1.0, each / n) * (1 << 30))))
+    for name, (n, size) in counts.items():
+        # a Bernoulli sample by a hash of the id and text: the bounds hold on average, to some hundredths
+        share = min(1.0, sample / len(languages) / n, SAMPLE_BYTES / len(languages) / max(size, 1))
+        picked = picked | ((F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id", F.lit("lang"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 30)) < int(share * (1 << 30))))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +150,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with ``lang_pred`` and ``score``; `und` and 0 for null texts and those without a letter."""
+    """docs with ``lang_pred`` and ``score``; `und` and 0 for null texts and those without a letter.
+
+    Columns of these names, and the text, give way; other columns and repeated rows stay. An empty table gives none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 0.13 MB a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

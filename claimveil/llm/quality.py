@@ -109,9 +109,10 @@ class Trees:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Trees:
     """Trees from at most so many labelled rows of docs whose id's crc32 is not divisible by 5.
 
-    Rows without an id or a label are left out; an id that several rows or labels have counts each time.
+    Rows without an id or a label are left out. An id counts once for each of its labels, with the smallest statistics where
+    several rows have it, so repeated ids don't make the sample larger. Very long texts count whole.
     """
-    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("label")).where((crc32_mod("doc_id", 5) != 0) & F.col("label").isNotNull() & F.col("id").isNotNull())
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("label")).where((crc32_mod("doc_id", 5) != 0) & F.col("label").isNotNull() & F.col("id").isNotNull()).distinct()
     picked = known.orderBy(F.xxhash64("id", F.lit("quality")), "id", "label").limit(sample)  # so few rows that they can be sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "label", "x"])
 
     found = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id")).join(F.broadcast(picked), "id").select("text", "id", "label")
-    rows = sorted(map(tuple, found.mapInArrow(run, "id long, label double, x array<double>").collect()))
+    told = found.mapInArrow(run, "id long, label double, x array<double>").groupBy("id", "label").agg(F.min("x").alias("x"))
+    rows = sorted(map(tuple, told.collect()))
     x = np.array([r[2] for r in rows]).reshape(len(rows), len(statistics(b"")))
     return Trees().fit(x, np.array([r[1] for r in rows]))
 
 
 def score(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:
-    """docs, all columns kept, with the probability of label 1 for every text; null texts count as empty."""
+    """docs, all columns kept, with the probability of label 1 for every text; null texts count as empty, an empty table gives none."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # under 0.2 MB
     at = docs.columns.index(text)
 

@@ -311,6 +311,54 @@ def test_language(spark, empty):
     assert none.languages == [] and langid.identify(table.select("doc_id", "text"), none).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_model_step_by_step():
+    """Values, FTRL updates and temperature against loops over single weights."""
+    rng = np.random.default_rng(21)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)).astype(np.uint16), rng.integers(1, 9, 6).astype(np.uint32)) for _ in range(30)]
+    labels, idf = rng.integers(0, 3, 30), rng.uniform(1, 4, langid.FEATURES)
+    model = langid.Model(["a", "b", "c"], idf)
+    model.fit(rows, labels, epochs=2, batch=4)
+    values = []
+    for at, count in rows:
+        v = {int(i): (1 + math.log(c)) * idf[i] for i, c in zip(at, count)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        values.append({i: x / norm for i, x in v.items()} | {langid.FEATURES: 1.0})
+    z, n, w = (collections.defaultdict(float) for _ in range(3))
+
+    def likely(v, t=1.0):
+        logits = [sum(x * w[i, k] for i, x in v.items()) / t for k in range(3)]
+        e = [math.exp(x - max(logits)) for x in logits]
+        return [x / sum(e) for x in e]
+
+    for epoch in range(2):
+        order = np.random.default_rng(epoch).permutation(30)
+        for a in range(0, 30, 4):
+            part, g = order[a : a + 4], collections.defaultdict(float)
+            for j in part:
+                p = likely(values[j])
+                for i, x in values[j].items():
+                    for k in range(3):
+                        g[i, k] += x * (p[k] - (k == labels[j])) / len(part)
+            for key, x in g.items():
+                z[key] += x - (math.sqrt(n[key] + x * x) - math.sqrt(n[key])) / model.alpha * w[key]
+                n[key] += x * x
+            for key in z:
+                sign = math.copysign(1, z[key])
+                w[key] = -(z[key] - sign * model.l1) / ((model.beta + math.sqrt(n[key])) / model.alpha + model.l2) if abs(z[key]) > model.l1 else 0.0
+    assert all(abs(model.weights[i, k] - x) < 1e-4 for (i, k), x in w.items()) and any(w.values())
+    for j, (at, count) in enumerate(rows):
+        assert np.allclose(langid._softmax(model.logits(at, count)[None])[0], likely(values[j]), atol=1e-4)
+    model.calibrate(rows, labels)
+    loss = lambda t: -sum(math.log(likely(v, t)[k] + 1e-12) for v, k in zip(values, labels))
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.02, 5, 120))) + 1e-3
+
+
+def test_language_count_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(i, "abc " * (i % 7 + 1), f"l{min(i % 10, 5)}", "s", 0) for i in range(200)]
+    assert langid.train(frame(spark, rows)).languages == ["l0", "l1", "l5"]
+
+
 def test_document_frequencies(spark):
     texts = ["ab", "abc", None, "ab"]
     want = np.zeros(langid.FEATURES, np.int64)
@@ -331,6 +379,41 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.train(empty, labels.limit(0)), name="q").count() == 0
 
 
+def test_trees_grow_by_the_best_split():
+    """Rounds of trees against a search through all splits of all nodes."""
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(200, 3)).round(1)
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=200) * 0.3 > 0).astype(float)
+    trees = quality.Trees(rounds=3, depth=2, bins=8, least=2.0).fit(x, y)
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, 9)[1:-1])) for c in x.T]
+    score = np.full(200, math.log(y.mean() / (1 - y.mean())))
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-score))
+        g, h, leaves = p - y, p * (1 - p), [np.arange(200)]
+        worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+        for _ in range(2):
+            grown = []
+            for rows in leaves:
+                best = (1e-6, None)
+                for f in range(3):
+                    for e in edges[f]:
+                        left, right = rows[x[rows, f] <= e], rows[x[rows, f] > e]
+                        if h[left].sum() >= 2 and h[right].sum() >= 2 and (gain := worth(left) + worth(right) - worth(rows)) > best[0] + 1e-12:
+                            best = (gain, (left, right))
+                grown += best[1] if best[1] else (rows,)
+            leaves = grown
+        for rows in leaves:
+            score[rows] -= 0.15 * g[rows].sum() / (h[rows].sum() + 1.0)
+    assert np.allclose(trees.predict(x), 1 / (1 + np.exp(-score)))
+
+
+def test_quality_sample_is_bounded_by_ids(spark):
+    rows = [(1, words(random.Random(k), 5), "en", "s", 0) for k in range(50)] + [(2, "good text here", "en", "s", 0), (3, "bad bad", "en", "s", 0)]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(frame(spark, rows), labels)
+    assert 0 < model.predict(np.zeros((1, 28)))[0] < 1 and abs(model.base - math.log(2)) < 1.5
+
+
 def test_flat_trees_follow_a_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 4))
