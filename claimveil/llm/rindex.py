@@ -12,14 +12,22 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1."""
-    order = np.argsort(keys)
-    sorted_keys = keys[order]
-    fresh = np.concatenate(([1], (sorted_keys[1:] != sorted_keys[:-1]).astype(np.int64)))
+def _ordered(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their keys, equal ones by place; and dense ranks from 1. wide: bits of a place.
+
+    Key and place are sorted as one number where they fit in one.
+    """
+    if len(keys) and int(keys.max()).bit_length() + wide <= 63:
+        both = np.sort(keys << wide | np.arange(len(keys)))
+        order, sorted_keys = both & ((1 << wide) - 1), both >> wide
+    else:
+        order = np.argsort(keys, kind="stable")
+        sorted_keys = keys[order]
+    fresh = np.ones(len(keys), np.int64)
+    fresh[1:] = sorted_keys[1:] != sorted_keys[:-1]
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(fresh)
-    return out
+    return order, out
 
 
 class RunLengthIndex:
@@ -31,28 +39,26 @@ class RunLengthIndex:
         t = np.frombuffer(b"".join(texts), np.uint8)
         n = self.n = len(t)
         self.ends = np.repeat(self.starts + self.lengths, self.lengths)
-        left = self.ends - np.arange(n)
-        # zero is a text's end, so a byte takes nine bits where there is one that would need a ninth
-        self.bits = 9 if n and t.max() == 255 else 8
-        symbols = np.concatenate((t.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)))
-        word = np.zeros(n, np.uint64)
-        for k in range(64 // self.bits):
-            word |= np.where(left > k, symbols[k : k + n], np.uint64(0)) << np.uint64(64 - self.bits * (k + 1))
-        self.word = word
-        #: Ranks by the first 8, 24, 72, ... bytes (8, 16, 32, ... in a large index), until they reach the longest text's end.
-        self.levels = [(64 // self.bits, _ranks(word))]
-        self.factor, bits = (3, 21) if n < 1 << 21 else (2, 32)
+        left, wide = self.ends - np.arange(n), max(1, n.bit_length())
+        # bytes that occur are numbered from 1, zero is a text's end; the fewer there are, the more go into a word
+        there = np.bincount(t, minlength=256) > 0
+        self.bits = max(1, int(there.sum()).bit_length())
+        self.per = max(1, (63 - wide) // self.bits)
+        padded = np.concatenate((np.cumsum(there)[t], np.zeros(self.per, np.int64)))
+        self.word = np.zeros(n, np.int64)
+        for k in range(self.per):
+            self.word <<= self.bits
+            self.word |= padded[k : k + n] if k == 0 else np.where(left > k, padded[k : k + n], 0)
+        order, rank = _ordered(self.word, wide)
+        #: Ranks by the first few bytes, twice as many, and so on, until they reach the longest text's end.
+        self.levels = [(self.per, rank)]
         while n and self.levels[-1][0] < self.lengths.max():
             size, rank = self.levels[-1]
-            joined = rank
-            for k in range(1, self.factor):
-                following = np.zeros(n, np.int64)
-                following[: max(n - k * size, 0)] = rank[k * size :]
-                following[left <= k * size] = 0
-                joined = joined << bits | following
-            self.levels.append((self.factor * size, _ranks(joined)))
-        place = np.sort(self.levels[-1][1] << 32 | np.arange(n)) if n else np.zeros(0, np.int64)
-        order = place & 0xFFFFFFFF
+            following = np.zeros(n, np.int64)
+            following[: max(n - size, 0)] = rank[size:]
+            following[left <= size] = 0
+            order, rank = _ordered(rank << wide | following, wide)
+            self.levels.append((2 * size, rank))
         previous = np.concatenate((np.full(min(n, 1), -1, np.int16), t[:-1].astype(np.int16)))
         previous[self.starts[self.starts < n]] = -1
         before = previous[order]
@@ -68,18 +74,20 @@ class RunLengthIndex:
     def _agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes on which suffixes a and b agree; only while the index is made."""
         most = np.minimum(self.ends[a] - a, self.ends[b] - b)
-        done = np.zeros(len(a), np.int64)
+        done, longest = np.zeros(len(a), np.int64), int(most.max(initial=0))
         for size, rank in reversed(self.levels):
-            for _ in range(self.factor - 1):
-                fits = done + size <= most
-                x, y = np.where(fits, a + done, a), np.where(fits, b + done, b)
-                done += size * (fits & (rank[x] == rank[y]))
-        inside = done < most
-        differ = self.word[np.where(inside, a + done, a)] ^ self.word[np.where(inside, b + done, b)]
-        same = np.zeros(len(a), np.int64)
-        for k in range(1, 64 // self.bits):
-            same += (differ >> np.uint64(64 - self.bits * k)) == 0
-        return np.minimum(done + np.where(inside, same, 0), most)
+            if size <= longest:
+                fits = np.flatnonzero(done + size <= most)
+                at = done[fits]
+                done[fits] += size * (rank[a[fits] + at] == rank[b[fits] + at])
+        inside = np.flatnonzero(done < most)
+        at = done[inside]
+        differ = self.word[a[inside] + at] ^ self.word[b[inside] + at]
+        same = np.zeros(len(inside), np.int64)
+        for k in range(1, self.per):
+            same += (differ >> self.bits * (self.per - k)) == 0
+        done[inside] = np.minimum(at + same, most[inside])
+        return done
 
     def _stream(self, at: np.ndarray, neighbour: np.ndarray, agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each place in the texts, its suffix's neighbour and their agreement, from those at sampled places; texts' beginnings are sampled."""

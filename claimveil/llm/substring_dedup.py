@@ -32,8 +32,8 @@ LENGTH, KEY = 50, 24
 CHUNK, NAMES, PART = 6 << 20, 32 << 20, 4 << 20
 #: Bytes of one name's distinct segments from which its windows go by themselves; it may reach twice that unnoticed.
 HOT = 1 << 20
-#: Windows in a segment at most, and bytes of documents that are hashed at a time.
-WINDOWS, SLICE = 200, 1 << 20
+#: Windows in a segment at most, and bytes of documents that are hashed, or of names that are indexed, at a time: what a core's cache holds.
+WINDOWS, SLICE, INDEX = 200, 1 << 17, 1 << 16
 BASE, OTHER = 0x100000001B3, 0x9E3779B97F4A7C15
 LAST = np.iinfo(np.int64).max
 
@@ -241,7 +241,7 @@ def _heavy(names: np.ndarray, sizes: np.ndarray, found: list[Segments], least: i
 def _owners(names: np.ndarray, least: np.ndarray, sizes: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
     """For the windows of distinct segments, which lie side by side in the order of their names, the smallest document each.
 
-    Equal windows have equal names, so whole names are indexed together, as many as make some SLICE of bytes.
+    Equal windows have equal names, so whole names are indexed together, as many as make some INDEX of bytes.
     """
     windows = sizes - length + 1
     out = np.repeat(least, windows)
@@ -251,7 +251,7 @@ def _owners(names: np.ndarray, least: np.ndarray, sizes: np.ndarray, body: np.nd
     longest = np.maximum.reduceat(sizes, first) if len(first) else first
     groups = np.argsort(longest, kind="stable")  # few long segments don't make the others' ranks dearer
     total = np.add.reduceat(sizes, first) if len(first) else sizes
-    for a, b in slices(total[groups].tolist(), SLICE):
+    for a, b in slices(total[groups].tolist(), INDEX):
         at = _spread(first[groups[a:b]], count[groups[a:b]])
         index = RunLengthIndex([body[begin[k] : begin[k] + sizes[k]].tobytes() for k in at.tolist()])
         owner = index.least(least[at], length)
