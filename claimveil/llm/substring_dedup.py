@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(shuffles(spark), -(-size // CHUNK))
     tables = max(1, -(-size // NAMES))
-    parts = tables * (NAMES // PART)
+    parts = tables * max(NAMES // PART, -(-shuffles(spark) // tables))
     chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).cast("int")
     dealt = rows.withColumn("chunk", chunk).repartition(chunks, "chunk")
 
