@@ -33,7 +33,7 @@ MAGIC = b"TOK2"
 #: Bytes of text that one shard holds on average, and documents and bytes of ids at most.
 SHARD, MOST_DOCS, MOST_BYTES = 16 << 20, 1 << 16, 32 << 20
 #: Documents whose places are read together, and bytes of text that are encoded together.
-BLOCK, SLICE = 4096, 8 << 20
+BLOCK, SLICE = 4096, 4 << 20
 MANIFEST = "first_id long, last_id long, n_docs long, n_ids long, path string"
 
 

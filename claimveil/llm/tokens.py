@@ -32,7 +32,7 @@ STOP = r"[^A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}][.,]"
 #: Distinct pieces that a worker keeps, and their bytes; beyond them it begins again, which costs time and changes nothing.
 KEPT, KEPT_BYTES = 200_000, 32 << 20
 #: Pieces that are encoded in one line, and bytes of text that are cut at a time.
-TOGETHER, SLICE = 64, 8 << 20
+TOGETHER, SLICE = 64, 4 << 20
 
 
 def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
