@@ -13,6 +13,8 @@ def test_jobs(spark, tmp_path):
     found = attack.main(spark, str(tmp_path), 300)
     assert len(found["ladder"]) == 6 and len(found["linkage"]) == 3 and all(s["min_k_after"] in (0, *range(5, 301)) for s in found["generalise"])
     assert all(r["n_checked"] == r["n_correct"] for r in found["linkage"])
+    shown, attacked = pipeline.report(told), attack.report(found)
+    assert f"{told['counts']['claims']:,} claims" in shown and "top 50%" in shown and attacked.count("suppressed") == 3
     assert "date_offset_days" not in spark.read.parquet(f"{tmp_path}/released").columns
 
 
