@@ -24,7 +24,7 @@ CAPACITY = 2048
 #: Pieces that one group packs on average.
 GROUP = 200_000
 #: Bytes of text that are encoded together; a longer text alone.
-SLICE = 4 << 20
+SLICE = 8 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
