@@ -209,7 +209,8 @@ def _sql_matches(kind: str, rank: int, pattern: str, group: int) -> str:
 
 _ALL = [*((k, r, p, g) for r, (k, (p, g, _)) in enumerate(KINDS.items())), ("entropy", 3, f"{BODY}+", 0)]
 _LEAST = " ".join(f"WHEN '{k}' THEN {n}" for k, (_, _, n) in KINDS.items())
-_ALLOW = " OR ".join(f"regexp_matches(w, '{p}')" for p in ALLOWED)
+_ALLOW = " OR ".join(f"regexp_matches(w, '{p}')" for p in ALLOWED if p != SAMPLES)
+_ONE_CASE = "regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 2 AND " + str(WINDOW - 2)
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(_sql_matches(*x) for x in _ALL)}),
@@ -222,9 +223,12 @@ placed AS (
   SELECT doc_id, s, w, CASE WHEN regexp_matches(w, '{LIMITS[0][0]}') THEN {LIMITS[0][1]} WHEN regexp_matches(w, '{LIMITS[1][0]}') THEN {LIMITS[1][1]} ELSE {LIMITS[2][1]} END AS bits
   FROM placed WHERE kind = 'entropy' AND length(w) >= {WINDOW} AND regexp_matches(w, '[0-9]') AND NOT ({_ALLOW})
 ), windows AS (
-  SELECT doc_id, s, bits, k, substr(w, k + 1, {WINDOW}) AS v FROM (SELECT *, unnest(generate_series(0, length(w) - {WINDOW})) AS k FROM words) x
+  SELECT doc_id, s, w, bits, k, substr(w, k + 1, {WINDOW}) AS v FROM (SELECT *, unnest(generate_series(0, length(w) - {WINDOW})) AS k FROM words) x
+), classed AS (
+  SELECT doc_id, s, k, v, CASE WHEN {_ONE_CASE} THEN {LIMITS[0][1]} WHEN regexp_matches(w, '{SAMPLES}') THEN log2({WINDOW}) + 1
+         WHEN regexp_matches(v, '[^A-Za-z0-9]') THEN bits ELSE least(bits, {LIMITS[1][1]}) END AS bits FROM windows
 ), letters AS (
-  SELECT doc_id, s, bits, k, c, count(*) AS n FROM (SELECT *, unnest(string_split(v, '')) AS c FROM windows) x GROUP BY ALL
+  SELECT doc_id, s, bits, k, c, count(*) AS n FROM (SELECT *, unnest(string_split(v, '')) AS c FROM classed) x GROUP BY ALL
 ), high AS (
   SELECT doc_id, s, k FROM letters GROUP BY doc_id, s, k, bits HAVING -sum(n / {WINDOW} * log2(n / {WINDOW})) >= bits - 1e-9
 ), random AS (

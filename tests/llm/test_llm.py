@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import string
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -665,6 +667,21 @@ def test_entropy_after_a_key_or_path(spark):
     assert not any("entropy" in x for x in told[len(texts) :])
 
 
+def test_secrets_and_their_sql_agree(spark):
+    """Windows of all classes, glued to keys, paths and sample words."""
+    rnd = random.Random(17)
+    kinds = ["0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEF", string.ascii_letters + string.digits, secret_scan.ALPHABET, "0123456789", string.ascii_letters]
+    glue = ["", "id=", "/keys/", "x_", "/example/", "token: ", "AKIA", " ", "é"]
+    texts = SECRETS + ["".join(rnd.choice(glue) + "".join(rnd.choices(rnd.choice(kinds), k=rnd.randint(3, 40))) for _ in range(rnd.randint(1, 5))) for _ in range(400)]
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = frame(spark, docs).transform(secret_scan.report).collect()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [d[:2] for d in docs])
+    assert sorted(tuple(r) for r in got) == sorted(db.execute(secret_scan.ORACLE).fetchall())
+    assert sum("entropy" in r.spans for r in got) > 100
+
+
 def test_secrets_in_long_texts(spark):
     """A megabyte of matches, and one string of a megabyte, in seconds."""
     rnd = random.Random(16)
