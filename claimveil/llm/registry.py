@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pq, secret_scan, substring_dedup, topk
+from . import mixing, pq, secret_scan, substring_dedup, topk, window_dedup
 from .langid import op3_language_id
 from .mixing import op6_pareto_mixing
 from .packing import op9_best_fit_packing
@@ -17,6 +17,7 @@ from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .token_store import op4_token_output
 from .topk import op5_exact_top_k
+from .window_dedup import op13_window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pq_near_dedup": op10_pq_near_dedup,
+    "op13_window_dedup": op13_window_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE,
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op6_pareto_mixing": mixing.ORACLE,
     "op8_secret_scan": secret_scan.ORACLE,
     "op10_pq_near_dedup": pq.ORACLE,
+    "op13_window_dedup": window_dedup.ORACLE,
 }
