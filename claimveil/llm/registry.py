@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pq, secret_scan, substring_dedup, topk, window_dedup
+from . import collocations, mixing, pq, secret_scan, substring_dedup, topk, window_dedup
+from .collocations import op12_collocations
 from .langid import op3_language_id
 from .mixing import op6_pareto_mixing
 from .packing import op9_best_fit_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pq_near_dedup": op10_pq_near_dedup,
+    "op12_collocations": op12_collocations,
     "op13_window_dedup": op13_window_dedup,
 }
 ORACLES: dict[str, str] = {
@@ -38,5 +40,6 @@ ORACLES: dict[str, str] = {
     "op6_pareto_mixing": mixing.ORACLE,
     "op8_secret_scan": secret_scan.ORACLE,
     "op10_pq_near_dedup": pq.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_window_dedup": window_dedup.ORACLE,
 }

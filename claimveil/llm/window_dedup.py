@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship, shuffles, slices, table
+from .hash_parts import ANSWERS, LOW, answer, by_part, flags_of, numbers_of, steps_of
 
 WINDOW = 20
 #: Bytes of text in a chunk and in a part of the hash space, on average; bytes that are hashed at a time.
@@ -29,7 +30,6 @@ CHUNK, PART, SLICE = 12 << 20, 24 << 20, 1 << 20
 BASES = [(0x100000001B3, 0x9E3779B97F4A7C15), (0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F)]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -108,39 +108,6 @@ def _second(texts: list[bytes], length: int) -> np.ndarray:
     return np.concatenate(told)
 
 
-def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parts that sorted keys fall into, and where each part's begin and end."""
-    ends = np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(32))
-    ends = np.append(ends, len(keys))
-    return np.flatnonzero(np.diff(ends)), ends
-
-
-def _steps(low: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as the steps between them, in as few bytes each as the largest needs."""
-    steps = np.diff(low, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _numbers(data: bytes) -> np.ndarray:
-    wide = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
-    wide[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
-    return np.cumsum(wide.view("<u8").ravel())
-
-
-def _flags(group: pa.Table, name: str) -> list[np.ndarray]:
-    """A chunk's answers by part."""
-    told = zip(group.column("part").to_pylist(), group.column(name).to_pylist(), group.column("n").to_pylist())
-    return [np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) for _, bits, n in sorted(told)]
-
-
-def _answers(group: pa.Table, flags: list[np.ndarray]) -> pa.Table:
-    return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary()), "n": pa.array([len(f) for f in flags], pa.int32())})
-
-
-ANSWERS = "chunk int, part int, bits binary, n int"
-
-
 def in_chunks(docs: DataFrame, chunks: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, text binary, chunk)``: documents in so many chunks whose numbers follow the ids, rows without an id in further ones.
 
@@ -180,23 +147,23 @@ def remove_repeated_windows(docs: DataFrame, length: int = WINDOW, text: str = "
         """The chunk's distinct hashes by part."""
         here = group.column("chunk")[0].as_py()
         keys = np.unique(_hashed(_rows(group)[1], parts, length))
-        full, ends = _by_part(keys, parts)
-        blobs = [_steps(keys[ends[p] : ends[p + 1]] & LOW) for p in full]
+        full, ends = by_part(keys, parts)
+        blobs = [steps_of(keys[ends[p] : ends[p + 1]] & LOW) for p in full]
         return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array([here] * len(full), pa.int32()), "hashes": pa.array(blobs, pa.binary())})
 
     def count(group: pa.Table) -> pa.Table:
         """For each chunk's hashes, whether several chunks have them."""
-        sent = [_numbers(x) for x in group.column("hashes").to_pylist()]
+        sent = [numbers_of(x) for x in group.column("hashes").to_pylist()]
         told, n = np.unique(np.concatenate(sent), return_counts=True)
         many = np.append(told[n > 1], np.uint64(1 << 40))  # no hash
-        return _answers(group, [many[np.searchsorted(many, x)] == x for x in sent])
+        return answer(group, [many[np.searchsorted(many, x)] == x for x in sent])
 
     def send_again(group: pa.Table, answers: pa.Table) -> pa.Table:
         """The chunk's windows that several chunks have, with both hashes, by part."""
         here = answers.column("chunk")[0].as_py() if len(answers) else -1
         keys, more = _distinct(*_repeated(_rows(group)[1], answers)[:2])[:2]
-        full, ends = _by_part(keys, parts)
-        blobs = [zlib.compress(_steps(keys[ends[p] : ends[p + 1]] & LOW), 1) for p in full]
+        full, ends = by_part(keys, parts)
+        blobs = [zlib.compress(steps_of(keys[ends[p] : ends[p + 1]] & LOW), 1) for p in full]
         tails = [more[ends[p] : ends[p + 1]].tobytes() for p in full]
         return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array([here] * len(full), pa.int32()), "hashes": pa.array(blobs, pa.binary()), "more": pa.array(tails, pa.binary())})
 
@@ -204,14 +171,14 @@ def remove_repeated_windows(docs: DataFrame, length: int = WINDOW, text: str = "
         """Hashes of the windows that several chunks have, and which these are."""
         keys = _hashed(texts, parts, length)
         told, back = np.unique(keys, return_inverse=True)
-        flags = np.concatenate([np.zeros(0, bool), *_flags(answers, "bits")])
+        flags = np.concatenate([np.zeros(0, bool), *flags_of(answers, "bits")])
         which = np.flatnonzero(flags[back]) if len(told) else np.zeros(0, np.int64)
         return keys[which], _second(texts, length)[which], which
 
     def decide(group: pa.Table) -> pa.Table:
         """For each chunk's windows, whether an earlier chunk has them."""
         chunk = np.array(group.column("chunk").to_pylist())
-        low = [_numbers(zlib.decompress(x)) for x in group.column("hashes").to_pylist()]
+        low = [numbers_of(zlib.decompress(x)) for x in group.column("hashes").to_pylist()]
         more = [np.frombuffer(x, np.uint64) for x in group.column("more").to_pylist()]
         sizes = [len(x) for x in low]
         owner = np.repeat(chunk, sizes)
@@ -220,7 +187,7 @@ def remove_repeated_windows(docs: DataFrame, length: int = WINDOW, text: str = "
         again = np.zeros(len(order), bool)
         same = (low[order][1:] == low[order][:-1]) & (more[order][1:] == more[order][:-1])
         again[order[1:]] = same
-        return _answers(group, np.split(again, np.cumsum(sizes)[:-1]))
+        return answer(group, np.split(again, np.cumsum(sizes)[:-1]))
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = _rows(group)
@@ -231,7 +198,7 @@ def remove_repeated_windows(docs: DataFrame, length: int = WINDOW, text: str = "
         gone = ~_distinct(keys, more)[3]  # an earlier place of this chunk
         sent, other, which = _repeated(texts, first.drop_columns("bits").rename_columns(["chunk", "part", "bits", "n"]))
         _, _, number, _ = _distinct(sent, other)
-        flags = np.concatenate([np.zeros(0, bool), *_flags(told, "bits")])
+        flags = np.concatenate([np.zeros(0, bool), *flags_of(told, "bits")])
         gone[which] |= flags[number] if len(number) else False
         out, at = [], 0
         for a, b, w in _slices(texts):
