@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, mixing, pq, secret_scan, substring_dedup, topk, window_dedup
+from . import collocations, mixing, pq, prefix_trie, secret_scan, substring_dedup, topk, window_dedup
 from .collocations import op12_collocations
 from .langid import op3_language_id
 from .mixing import op6_pareto_mixing
 from .packing import op9_best_fit_packing
 from .pq import op10_pq_near_dedup
+from .prefix_trie import op11_prefix_trie
 from .quality import op7_quality_classifier
 from .secret_scan import op8_secret_scan
 from .simhash import op2_simhash_near_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pq_near_dedup": op10_pq_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
     "op13_window_dedup": op13_window_dedup,
 }
@@ -40,6 +42,7 @@ ORACLES: dict[str, str] = {
     "op6_pareto_mixing": mixing.ORACLE,
     "op8_secret_scan": secret_scan.ORACLE,
     "op10_pq_near_dedup": pq.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_collocations": collocations.ORACLE,
     "op13_window_dedup": window_dedup.ORACLE,
 }
