@@ -58,9 +58,13 @@ def is_small_zip3(zip3: Column) -> Column:
     return F.coalesce(people[zip3], F.lit(DEFAULT_ZIP3_POPULATION)) <= SMALL_ZIP3_POPULATION
 
 
+def area_of(zip5: Column) -> Column:
+    return F.substring(zip5.cast("string"), 1, 3)
+
+
 def zip3(zip5: Column) -> Column:
     """The first three digits, 000 for a small area."""
-    first = F.substring(zip5.cast("string"), 1, 3)
+    first = area_of(zip5)
     return F.when(is_small_zip3(first), F.lit("000")).otherwise(first)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimveil.functions import arrays
+from claimveil.functions.joins import checked
+from claimveil.operators.spans import clusters
 from claimveil.sources import lexicon as L
 
 SPAN = "array<struct<start:int,end:int,type:string,value:string>>"
@@ -13,6 +17,8 @@ SPAN = "array<struct<start:int,end:int,type:string,value:string>>"
 
 #: Candidates of a text up to which they are packed in one list.
 FEW = 64
+#: Bytes of a table, by Spark's estimate, up to which ``spread`` may deal its rows out.
+DEALT = 256 << 20
 
 
 def _span(start: Column, value: Column, kind: str) -> Column:
@@ -79,18 +85,73 @@ def _packed_apart(candidates: Column) -> Column:
     return arrays.bind(F.array_sort(spans), clusters)
 
 
-def detect(text: Column) -> Column:
-    """Spans of identifiers in a text, by start; of two that overlap, the one found by the earlier rule. Null text: none."""
-    text = F.coalesce(text, F.lit(""))
+def rules(text: Column) -> list[Column]:
+    """Spans by each pattern and each context, in order of priority; gazetteers come after them."""
     found = [matches(text, pattern, kind, sign=L.SIGNS.get(kind, "")) for kind, pattern in L.PATTERNS]
     for pattern, groups in L.CONTEXTS:
         found.append(matches(text, pattern, "name", groups, pattern.count("(") - pattern.count("(?:"), L.STOP_WORDS))
+    return found
+
+
+def detect(text: Column) -> Column:
+    """Spans of identifiers in a text, by start; of two that overlap, the one found by the earlier rule. Null text: none."""
+    text = F.coalesce(text, F.lit(""))
+    found = rules(text)
     found.append(matches(text, one_of(L.GAZETTEER_CITIES), "address"))
     names = {*L.SURNAMES_KNOWN, *L.SURNAME_DECOYS, *L.FIRST_KNOWN, *L.FIRST_DECOYS} - set(L.STOP_WORDS)
     found.append(matches(text, one_of(sorted(names)), "name"))
     return arrays.bind(F.concat(*found), lambda c: F.when(F.size(c) > FEW, _packed_apart(c)).otherwise(_packed(c)))
 
 
+#: Words that a gazetteer may hold: a capital and small letters.
+TOKEN = r"\b[A-Z][a-z]+\b"
+
+
+def gazetteer(names: DataFrame | None = None, cities: DataFrame | None = None, word: str = "word") -> DataFrame:
+    """``(word, type)`` for ``detect_rows``, from tables of names and of cities; stop words, short names and what isn't a capitalised word are left out."""
+    told = []
+    if cities is not None:
+        told.append(cities.select(F.col(word).alias("word"), F.lit("address").alias("type")))
+    if names is not None:
+        known = names.select(F.col(word).alias("word"), F.lit("name").alias("type"))
+        told.append(known.where((F.length("word") > 2) & ~F.col("word").isin(L.STOP_WORDS)))
+    return reduce(DataFrame.union, told).where(F.col("word").rlike("^[A-Z][a-z]+$")).distinct()
+
+
+def own_gazetteer(spark: SparkSession) -> DataFrame:
+    """The lists that ``detect`` knows."""
+    names = {*L.SURNAMES_KNOWN, *L.SURNAME_DECOYS, *L.FIRST_KNOWN, *L.FIRST_DECOYS}
+    listed = [spark.createDataFrame([(w,) for w in sorted(x)], "word string") for x in (names, set(L.GAZETTEER_CITIES))]
+    return gazetteer(*listed)
+
+
+def detect_rows(notes: DataFrame, words: DataFrame | None = None, key: str = "note_id", text: str = "text") -> DataFrame:
+    """``(key, start, end, type, value)``: what ``detect`` finds, for any gazetteer, and without an array of a text's candidates.
+
+    Every rule makes rows of its own from a text; capitalised words meet the table ``words`` ``(word, type)`` in a join, which is
+    broadcast only if the plan says it is small. Candidates that nothing overlaps are taken as they are, those of a cluster are packed by priority.
+    Rows of one key are one text, so keys must differ; a null text has no spans.
+    """
+    words = own_gazetteer(notes.sparkSession) if words is None else words
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = [*rules(body), matches(body, TOKEN, "token")]
+    cases = F.when(F.col("rule") == 0, found[0])
+    for k, x in enumerate(found[1:], 1):
+        cases = cases.when(F.col("rule") == k, x)
+    dealt = notes.select(key, F.coalesce(text, F.lit("")).alias(text), F.explode(F.sequence(F.lit(0), F.lit(len(found) - 1))).alias("rule"))
+    rows = dealt.select(key, "rule", F.inline_outer(cases)).where("type is not null")
+    tokens = rows.where("type = 'token'").drop("type", "rule")
+    known = checked(words.select(F.col("word"), F.col("type"), F.when(F.col("type") == "address", len(found)).otherwise(len(found) + 1).alias("rule")))
+    listed = tokens.join(known, F.col("value") == F.col("word")).select(key, "rule", "start", "end", "type", "value")
+    candidates = clusters(rows.where("type != 'token'").select(key, "rule", "start", "end", "type", "value").union(listed), key, F.col("start"), F.col("end"))
+    own = Window.partitionBy(key, "cluster")
+    sized = candidates.withColumn("n", F.count("*").over(own))
+    span = F.struct("start", "end", "type", "value")
+    packed = sized.where("n > 1").groupBy(key, "cluster").agg(F.array_sort(F.collect_list(F.struct("rule", "start", span.alias("span")))).alias("c"))
+    packed = packed.select(key, F.inline(_packed(F.transform("c", lambda x: x["span"].cast(SPAN[6:-1])))))
+    return sized.where("n = 1").select(key, "start", "end", "type", "value").union(packed)
+
+
 def with_spans(notes: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
     """notes with their detected spans; works on a stream as well, since every row is on its own."""
     return notes.withColumn(name, detect(F.col(text)))
@@ -103,6 +164,8 @@ def spans_of(notes: DataFrame, key: str = "note_id", spans: str = "spans") -> Da
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df itself, or dealt out by a key where a few small files would leave cores without work."""
+    """df itself, or dealt out by a key where files so small that they take one read would leave cores without work; larger texts are never shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > DEALT or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)

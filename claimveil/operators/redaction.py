@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimveil.functions import arrays
-from claimveil.functions.scalar import age_band, parse_date, patient_offset, pseudonym, shift_date, zip3, zip_in_text
+from claimveil.functions.joins import checked
+from claimveil.functions.scalar import age_band, area_of, parse_date, patient_offset, pseudonym, shift_date, zip3, zip_in_text
 from claimveil.operators.detection import with_spans
-from claimveil.sources.lexicon import MASKS
+from claimveil.sources.lexicon import MASKS, SMALL_ZIP3_POPULATION
 
 
 def replacement(span: Column, offset: Column, salt: str) -> Column:
@@ -44,6 +45,18 @@ def redact(notes: DataFrame, salt: str, text: str = "text", key: str = "member_i
     return found.withColumn(name, whole)
 
 
+def with_areas(rows: DataFrame, areas: DataFrame, zip5: str = "zip5", name: str = "zip3", most: int = SMALL_ZIP3_POPULATION) -> DataFrame:
+    """rows with the first three digits of a ZIP code, 000 for areas of at most so many people by a table ``(zip3, people)``.
+
+    Areas that the table lacks, or tells no number for, count as large; of an area that it tells twice the numbers add up. The table
+    is broadcast if the plan says that it is small, else both sides are shuffled. A null ZIP code stays null; repeated rows stay.
+    """
+    small = areas.groupBy(F.col("zip3").alias("_zip3")).agg(F.sum("people").alias("_people")).where(F.col("_people") <= most).select("_zip3")
+    area = area_of(F.col(zip5))
+    told = rows.withColumn("_area", area).join(checked(small), F.col("_area") == F.col("_zip3"), "left")
+    return told.withColumn(name, F.when(F.col("_zip3").isNotNull(), F.lit("000")).otherwise(F.col("_area"))).drop("_area", "_zip3")
+
+
 def deidentify_members(members: DataFrame, salt: str) -> DataFrame:
     """Six columns: a key that the notes' pseudonyms match, ZIP area, state, age band, sex and the days dates are shifted by."""
     return members.select(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +43,13 @@ def size_histogram(records: DataFrame, qis: Sequence[str], most: int = 10) -> Da
     return classes(records, qis).groupBy("size").agg(F.count("*").alias("n_classes")).orderBy("size").limit(most)
 
 
-def _class_sizes(records: DataFrame, sets: Sequence[Sequence[str]], name: str) -> DataFrame:
-    """Classes of several sets of quasi-identifiers, from a single pass of grouping sets; sets must differ and are numbered from 1."""
+def _by_sets(records: DataFrame, sets: Sequence[Sequence[str]], name: str, *more: Column) -> DataFrame:
+    """Groups by several sets of columns from a single pass of grouping sets, with their number and further sums; sets must differ and are numbered from 1.
+
+    Columns that a set lacks are null in its groups.
+    """
     every = sorted({q for r in sets for q in r})
-    told = records.groupingSets([[F.col(q) for q in r] for r in sets], *every).agg(F.count("*").alias("size"), F.grouping_id().alias("g"))
+    told = records.groupingSets([[F.col(q) for q in r] for r in sets], *every).agg(F.count("*").alias("size"), *more, F.grouping_id().alias("g"))
     bit = {q: 1 << (len(every) - 1 - k) for k, q in enumerate(every)}
     number = F.create_map(*[F.lit(x) for k, r in enumerate(sets) for x in (sum(b for q, b in bit.items() if q not in r), k + 1)])
     return told.withColumn(name, number[F.col("g").cast("int")]).drop("g")
@@ -55,7 +57,7 @@ def _class_sizes(records: DataFrame, sets: Sequence[Sequence[str]], name: str) -
 
 def ladder(records: DataFrame, rungs: Sequence[Sequence[str]] = LADDER) -> DataFrame:
     """k-anonymity for each rung, from one pass; rungs must differ. No rows for no records."""
-    return _risk(_class_sizes(records, rungs, "rung"), "rung")
+    return _risk(_by_sets(records, rungs, "rung"), "rung")
 
 
 def external_roll(members: DataFrame, kept: Column) -> DataFrame:
@@ -89,12 +91,31 @@ def attack(released: DataFrame, roll: DataFrame, qis: Sequence[str], id_field: s
     return sizes.crossJoin(links).withColumn("rate", F.coalesce(F.try_divide("n_reidentified", "n_released"), F.lit(0.0)))
 
 
+def linkage_sets(released: DataFrame, roll: DataFrame, sets: Sequence[Sequence[str]], id_field: str = "member_key") -> DataFrame:
+    """``linkage`` for several different sets of quasi-identifiers at once, numbered from 1 in ``set``: one pass over each side and one join."""
+    every = sorted({q for r in sets for q in r})
+    alone = _by_sets(released, sets, "set", F.min(id_field).alias("released")).where("size = 1").drop("size")
+    known = _by_sets(roll, sets, "r_set", F.min("name").alias("guessed_name"), F.min("true_member_id").alias("true_member_id")).withColumnRenamed("size", "n_roll")
+    known = known.withColumnsRenamed({q: f"r_{q}" for q in every})
+    hit = F.col("n_roll") == 1
+    told = alone.join(known, [alone["set"] == known["r_set"], *[alone[q].eqNullSafe(known[f"r_{q}"]) for q in every]])
+    return told.select("set", "released", *every, "n_roll", F.when(hit, F.col("guessed_name")).alias("guessed_name"), F.when(hit, F.col("true_member_id")).alias("true_member_id"))
+
+
 def attack_rungs(released: DataFrame, roll: DataFrame, rungs: Sequence[tuple[int, Sequence[str]]], id_field: str = "member_key") -> DataFrame:
-    """``attack`` for each numbered set of quasi-identifiers, and whether it is the best: the first with most records identified."""
-    rows = [attack(released, roll, qis, id_field).withColumn("rung", F.lit(n)) for n, qis in rungs]
-    told = reduce(DataFrame.unionByName, rows)
-    best = told.agg(F.max_by(F.col("rung"), F.struct("n_reidentified", -F.col("rung"))).alias("best"))
-    return told.crossJoin(best).withColumn("is_best", F.col("rung") == F.col("best")).drop("best")  # one row
+    """``attack`` for each numbered set of quasi-identifiers, and whether it is the best: the first with most records identified.
+
+    Rungs of the same columns are one attack. Both sides are grouped for all of them at once and counted once.
+    """
+    sets = list(dict.fromkeys(tuple(sorted(qis)) for _, qis in rungs))
+    links = linkage_sets(released, roll, sets, id_field).groupBy("set").agg(F.count_if(F.col("n_roll") == 1).alias("hits"), F.count_if(F.col("n_roll") > 1).alias("unsure"))
+    listed = F.array(*[F.struct(F.lit(n).alias("rung"), F.lit(sets.index(tuple(sorted(qis))) + 1).alias("set")) for n, qis in rungs])
+    sizes = released.agg(F.count("*").alias("n_released")).crossJoin(roll.agg(F.count("*").alias("n_roll")))  # one row each
+    told = sizes.select("*", F.inline(listed)).join(F.broadcast(links), "set", "left")  # a row for each rung
+    counts = [F.coalesce("hits", F.lit(0)).alias("n_reidentified"), F.coalesce("unsure", F.lit(0)).alias("n_unique_but_ambiguous_in_roll")]
+    rows = told.select("rung", "n_released", "n_roll", *counts).withColumn("rate", F.coalesce(F.try_divide("n_reidentified", "n_released"), F.lit(0.0)))
+    best = F.max_by("rung", F.struct("n_reidentified", -F.col("rung"))).over(Window.partitionBy())
+    return rows.withColumn("is_best", F.col("rung") == best)
 
 
 def verify(links: DataFrame, crosswalk: DataFrame) -> DataFrame:
@@ -114,7 +135,7 @@ def targeted(records: DataFrame, targets: Sequence[Sequence[str]] = TARGETS, bas
 
     At risk are the carriers of a single condition, else all records. Prevalence is told for a single condition.
     """
-    sized = _class_sizes(records, [[*base, *t] for t in targets], "target")
+    sized = _by_sets(records, [[*base, *t] for t in targets], "target")
     own = F.lit(None).cast("boolean")
     for k, conditions in enumerate(targets):
         if len(conditions) == 1:
@@ -155,7 +176,7 @@ def suppression_steps(records: DataFrame, qis: Sequence[str], k: int = 5, steps:
     for n, (_, change) in enumerate(steps):
         coarse |= {f"{q}_{n}": change[q](F.col(q)) for q in qis if q in change}
         sets.append([f"{q}_{n}" if q in change else q for q in qis])
-    sized = _class_sizes(records.withColumns(coarse), sets, "number")
+    sized = _by_sets(records.withColumns(coarse), sets, "number")
     kept = F.when(F.col("size") >= k, F.col("size"))
     sums = sized.groupBy("number").agg(F.sum("size").alias("n_in"), F.sum(kept).alias("n_kept"), F.min(kept).alias("min_k_after"))
     listed = F.array(*[F.struct(F.lit(n + 1).alias("number"), F.lit(name).alias("step")) for n, (name, _) in enumerate(steps)])

@@ -2,43 +2,128 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from claimveil.operators.spans import clusters
+
+
+def sweep(tolerance: int = 0) -> Callable[[list[tuple], list[tuple]], tuple[list[bool], list[int]]]:
+    """A function of one text's planted and detected ``(start, end, type)``, both in order: which planted ones are hit, which detected ones are spare.
+
+    Each planted span takes the first unused detection of its type whose ends are within the tolerance, or else the first unused
+    one that overlaps. The time grows with the number of spans: detections of a type and place are looked up, and a chain of those
+    still in play skips what is used or lies before all planted spans to come. Made here so that workers need nothing of this package.
+    """
+
+    def run(planted: list[tuple], found: list[tuple]) -> tuple[list[bool], list[int]]:
+        n = len(found)
+        at: dict[tuple, list[int]] = {}
+        for i in range(n - 1, -1, -1):
+            at.setdefault(found[i], []).append(i)  # the first one last, where it is taken from
+        used, after, before = [False] * n, list(range(1, n + 1)) + [0], list(range(-1, n))  # a ring through n, which is no span
+        near = range(-tolerance, tolerance + 1)
+
+        def unlink(i: int) -> None:
+            after[before[i]], before[after[i]] = after[i], before[i]
+
+        after[n], before[0] = 0, n
+        hits = []
+        for start, end, kind in planted:
+            hit = None
+            if tolerance > 3:  # too many places to look up: those that start near enough, in order
+                k = bisect.bisect_left(found, (start - tolerance,))
+                while k < n and found[k][0] <= start + tolerance:
+                    if not used[k] and abs(found[k][1] - end) <= tolerance and found[k][2] == kind:
+                        hit = k
+                        break
+                    k += 1
+            else:
+                for a in near:
+                    for b in near:
+                        same = at.get((start + a, end + b, kind))
+                        while same and used[same[-1]]:
+                            same.pop()
+                        if same and (hit is None or same[-1] < hit):
+                            hit = same[-1]
+            if hit is None:
+                i = after[n]
+                while i != n and found[i][0] < end:
+                    then = after[i]
+                    if found[i][1] > start:
+                        hit = i
+                        break
+                    unlink(i)  # it ends before this planted span starts, and so before all later ones
+                    i = then
+            if hit is not None:
+                used[hit] = True
+                if before[after[hit]] == hit and after[before[hit]] == hit:
+                    unlink(hit)
+            hits.append(hit is not None)
+        return hits, [i for i in range(n) if not used[i]]
 
-STATE = "struct<used:array<int>,told:array<struct<type:string,tp:int,fn:int,fp:int>>>"
+    return run
+
+
+def score_spans(found: DataFrame, truth: DataFrame, tolerance: int = 0, key: str = "note_id") -> DataFrame:
+    """``(key, type, tp, fn, fp)``, a row for each planted span and each detected one that matches none; both tables hold ``(key, start, end, type)``.
+
+    Planted and detected spans by (start, end, type); each planted one takes the first unused detection of its type whose ends are within
+    the tolerance, or else the first unused one that overlaps. A hit or miss counts for the planted type, a false alarm for the detected.
+    Spans are joined by position: those that nothing links are clusters of their own, and one planted span beside one detection
+    needs no order. Only larger clusters are matched in turn, by ``sweep``. A null key is a text like others; spans without a place are left out.
+    """
+    columns = [key, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type"]
+    both = found.select(*columns, F.lit(False).alias("planted")).union(truth.select(*columns, F.lit(True))).where("start is not null and end is not null")
+    # detections reach as far as the tolerance; a planted span of no length stands at its place
+    low = F.when(F.col("planted"), F.col("start")).otherwise(F.col("start") - tolerance)
+    high = F.when(F.col("planted"), F.greatest("end", "start")).otherwise(F.greatest("end", "start") + tolerance + 1)
+    placed = clusters(both, key, low, high)
+    own = Window.partitionBy(key, "cluster")
+    other = F.max(F.when(~F.col("planted"), F.struct("start", "end", "type"))).over(own)
+    planted = F.max(F.when(F.col("planted"), F.struct("start", "end", "type"))).over(own)
+    sized = placed.withColumns({"n_planted": F.count_if("planted").over(own), "n_found": F.count_if(~F.col("planted")).over(own), "t": planted, "d": other})
+    alone = (F.col("n_planted") == 0) | (F.col("n_found") == 0) | (F.col("n_planted") + F.col("n_found") == 2)
+    t, d = F.col("t"), F.col("d")
+    exact = (F.abs(d["start"] - t["start"]) <= tolerance) & (F.abs(d["end"] - t["end"]) <= tolerance) & (d["type"] == t["type"])
+    hit = F.coalesce(exact | ((d["start"] < t["end"]) & (t["start"] < d["end"])), F.lit(False))
+    told = sized.where(alone).withColumn("hit", hit).where(F.col("planted") | ~F.col("hit"))
+    flags = [(F.col("planted") & F.col("hit")), (F.col("planted") & ~F.col("hit")), ~F.col("planted")]
+    simple = told.select(key, "type", *[f.cast("int").alias(c) for f, c in zip(flags, ("tp", "fn", "fp"))])
+    run, kind = sweep(tolerance), StructType([found.schema[key]]).simpleString()[7:-1]
+
+    def match(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("start", "end", "type", "planted"))), key=lambda r: (r[0], r[1], r[2] or ""))
+        spans, found = [r[:3] for r in rows if r[3]], [r[:3] for r in rows if not r[3]]
+        hits, spare = run(spans, found)
+        told = [(t[2], int(h), int(not h), 0) for t, h in zip(spans, hits)] + [(found[i][2], 0, 0, 1) for i in spare]
+        keys = group.column(0).combine_chunks().take(pa.array([0] * len(told), pa.int64()))
+        return pa.table([keys, *[pa.array([r[k] for r in told], pa.int32() if k else pa.string()) for k in range(4)]], names=[group.column_names[0], "type", "tp", "fn", "fp"])
+
+    messy = sized.where(~alone).select(key, "cluster", "start", "end", "type", "planted")
+    return simple.union(messy.groupBy(key, "cluster").applyInArrow(match, f"{kind.replace(':', ' ', 1)}, type string, tp int, fn int, fp int"))
 
 
 def score_notes(notes: DataFrame, truth: DataFrame, tolerance: int = 0, key: str = "note_id", spans: str = "spans") -> DataFrame:
-    """``(key, type, tp, fn, fp)``, a row for each planted span and each detected one that matches none.
+    """``score_spans`` of notes that carry their detected spans."""
+    # an outer generator: for others Spark infers filters on the spans, and would detect again for each of them
+    return score_spans(notes.select(key, F.inline_outer(spans)).where("type is not null"), truth, tolerance, key)
+
 
-    Planted spans are taken by start; each takes the first unused detection of its type whose ends are within the tolerance,
-    or else the first unused one that overlaps. A hit or miss counts for the planted type, a false alarm for the detected.
+def totals(rows: DataFrame) -> DataFrame:
+    """Counts, recall and precision of each type and, where ``is_total``, of all types together, from one pass; no rows for no spans.
+
+    The total has no precision: a false alarm costs a word, a miss may tell a person, and the two are never averaged.
     """
-    planted = truth.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("truth"))  # a note's own few
-    joined = notes.select(key, spans).join(planted, key, "full_outer").select(
-        key, F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,type:string,value:string>>")).alias("found"),
-        F.coalesce("truth", F.array().cast("array<struct<start:int,end:int,type:string>>")).alias("truth"),
-    )
-    places = F.when(F.size("found") > 0, F.sequence(F.lit(0), F.size("found") - 1)).otherwise(F.array().cast("array<int>"))
-
-    def step(state: Column, t: Column) -> Column:
-        def first(fits) -> Column:
-            unused = F.filter(places, lambda i: ~F.array_contains(state["used"], i) & fits(F.col("found")[i]))
-            return F.try_element_at(unused, F.lit(1))
-
-        exact = first(lambda d: (F.abs(d["start"] - t["start"]) <= tolerance) & (F.abs(d["end"] - t["end"]) <= tolerance) & (d["type"] == t["type"]))
-        hit = F.coalesce(exact, first(lambda d: (d["start"] < t["end"]) & (t["start"] < d["end"])))
-        row = F.struct(t["type"].alias("type"), hit.isNotNull().cast("int").alias("tp"), hit.isNull().cast("int").alias("fn"), F.lit(0).alias("fp"))
-        used = F.when(hit.isNotNull(), F.array_append(state["used"], hit)).otherwise(state["used"])
-        return F.struct(used.alias("used"), F.array_append(state["told"], row).alias("told"))
-
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<type:string,tp:int,fn:int,fp:int>>").alias("told"))
-
-    def finish(state: Column) -> Column:
-        spare = F.filter(places, lambda i: ~F.array_contains(state["used"], i))
-        return F.concat(state["told"], F.transform(spare, lambda i: F.struct(F.col("found")[i]["type"].alias("type"), F.lit(0).alias("tp"), F.lit(0).alias("fn"), F.lit(1).alias("fp"))))
-
-    return joined.select(key, F.inline_outer(F.aggregate("truth", start, step, finish))).where("type is not null")
+    sums = rows.rollup("type").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fn", "fp")], (F.grouping("type") == 1).alias("is_total"))
+    n = F.col("tp") + F.col("fn")
+    precision = F.when(~F.col("is_total"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
+    return sums.select("is_total", "type", "tp", "fn", "fp", n.alias("n_truth"), F.try_divide("tp", n).alias("recall"), precision.alias("precision"))
 
 
 def by_type(rows: DataFrame) -> DataFrame:

@@ -178,6 +178,35 @@ def _rung(n: int, qis: str) -> str:
 
 add("attack_rungs", "members released roll", f"""SELECT *, n_reidentified / n_released AS rate, rung = arg_max(rung, n_reidentified * 10 - rung) OVER () AS is_best
   FROM ({" UNION ALL ".join(_rung(n, q) for n, q in ((3, "state, sex, age_band"), (4, _DEMO), (5, _DEMO)))}) r""", "rung n_released n_roll n_reidentified n_unique_but_ambiguous_in_roll", "rate", "is_best")
+_GAPS = "SELECT * REPLACE (nullif({zip3}, '000') AS zip3, nullif(age_band, '90+') AS age_band) FROM {name}"
+
+
+def _rung_with_gaps(n: int, qis: str) -> str:
+    same = " AND ".join(f"a.{q} IS NOT DISTINCT FROM b.{q}" for q in qis.split(", "))
+    return f"""SELECT {n} AS rung, (SELECT count(*) FROM released) AS n_released, (SELECT count(*) FROM roll) AS n_roll, count(*) FILTER (b.n = 1) AS n_reidentified,
+      count(*) FILTER (b.n > 1) AS n_unique_but_ambiguous_in_roll FROM (SELECT {qis} FROM ({_GAPS.format(zip3='zip3', name='released')}) x GROUP BY ALL HAVING count(*) = 1) a
+      JOIN (SELECT {qis}, count(*) AS n FROM ({_GAPS.format(zip3=_ZIP3, name='roll')}) x GROUP BY ALL) b ON {same}"""
+
+
+add("attack_rungs_with_gaps", "members released roll", f"""SELECT *, n_reidentified / n_released AS rate, rung = arg_max(rung, n_reidentified * 10 - rung) OVER () AS is_best
+  FROM ({" UNION ALL ".join(_rung_with_gaps(n, q) for n, q in ((1, "state"), (2, "state, sex"), (3, "state, sex, age_band"), (4, _DEMO), (5, _DEMO)))}) r""",
+  "rung n_released n_roll n_reidentified n_unique_but_ambiguous_in_roll", "rate", "is_best")
+
+
+def _hits(n: int, qis: str) -> str:
+    told = ", ".join(q if q in qis.split(", ") else f"NULL AS {q}" for q in ("age_band", "sex", "state", "zip3"))
+    return f"""SELECT {n} AS "set", released, {told}, n AS n_roll, CASE WHEN n = 1 THEN name END AS guessed_name, CASE WHEN n = 1 THEN id END AS true_member_id
+      FROM (SELECT {qis}, min(member_key) AS released FROM released GROUP BY {qis} HAVING count(*) = 1) a JOIN (SELECT {qis}, count(*) AS n, min(name) AS name, min(true_member_id) AS id FROM roll GROUP BY {qis}) b USING ({qis})"""
+
+
+add("linkage_sets", "members released roll", f"{_hits(1, _DEMO)} UNION ALL {_hits(2, 'state, sex, age_band')}", "set n_roll", "", "released age_band sex state zip3 guessed_name true_member_id")
+_SICK = ", ".join(_CONDITIONS)
+add("generalise_to_k_profile", _MR, " UNION ALL ".join(f"""SELECT {n} AS number, '{name}' AS step, 5 AS k, sum(size) AS n_in, coalesce(sum(size) FILTER (size >= 5), 0) AS n_kept, coalesce(sum(size) FILTER (size < 5), 0) AS n_suppressed,
+  coalesce(sum(size) FILTER (size < 5), 0) / sum(size) AS suppression_rate, coalesce(min(size) FILTER (size >= 5), 0) AS min_k_after FROM (SELECT count(*) AS size FROM released GROUP BY {by}, {_SICK}) x"""
+  for n, (name, by) in enumerate((("as released", "zip3, sex, age_band"), ("10-year age bands", "zip3, sex, coarse"), ("10-year age bands, ZIP dropped", "sex, coarse")), 1)),
+  "number k n_in n_kept n_suppressed min_k_after", "suppression_rate", "step")
+add("zip3_of_area_table", "members", """SELECT member_id, zip5, CASE WHEN substr(zip5, 1, 3) IN (SELECT substr(zip5, 1, 3) FROM members WHERE bucket < 10 GROUP BY 1 HAVING count(*) <= 20) THEN '000' ELSE substr(zip5, 1, 3) END AS zip3 FROM members""",
+  "", "", "member_id zip5 zip3")
 add("effects_ordered", _CHANGES, """SELECT *, row_number() OVER (PARTITION BY year, quarter ORDER BY floor(abs(price_effect) * 1e6 + 0.5) DESC, category) AS place FROM (
   SELECT a.year, a.quarter, category, u0 * (p1 - p0) AS price_effect FROM pairs JOIN qtot a ON a.t = pairs.t JOIN qtot b ON b.t = a.t + 1) x""", "year quarter place", "price_effect", "category")
 
@@ -210,15 +239,20 @@ def _candidates(rank: int, kind: str, pattern: str, groups: tuple[int, ...], n:
     return " UNION ALL ".join(rows)
 
 
-def _texts(source: str, told: str) -> str:
-    """SQL over spans(doc_id, text, type, s, e) of the texts (doc_id, text) that source tells."""
+def _texts(source: str, told: str, names: str | None = None) -> str:
+    """SQL over spans(doc_id, text, type, s, e) of the texts (doc_id, text) that source tells; names: SQL for the words that are names."""
     rules = _rules()
+    if names:
+        rules[-1] = ("name", r"\b[A-Z][a-z]+\b", (), 0)
     views = [
         f"texts AS MATERIALIZED ({source})",
         f"ascii AS MATERIALIZED (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{_SPACES}', ' ', 'g'), '[^\\x00-\\x7f{_WORDS}]', chr(1), 'g'), '[^\\x00-\\x7f]', '_', 'g') AS t FROM texts WHERE text IS NOT NULL)",
     ]
     for k, rule in enumerate(rules):
-        views.append(f"c{k} AS MATERIALIZED ({_candidates(k, *rule)})")
+        found = _candidates(k, *rule)
+        if names and k == len(rules) - 1:
+            found = found.replace(") f", f") f WHERE m IN ({names})")
+        views.append(f"c{k} AS MATERIALIZED ({found})")
         kept = f"SELECT * FROM c{k} c WHERE NOT EXISTS (SELECT 1 FROM k{k - 1} x WHERE x.doc_id = c.doc_id AND x.s < c.e AND c.s < x.e)" if k else "SELECT * FROM c0"
         views.append(f"k{k} AS MATERIALIZED ({f'SELECT * FROM k{k - 1} UNION ALL ' if k else ''}{kept})")
     views.append(f"spans AS (SELECT k.doc_id, text, type, s, e, substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS value FROM k{len(rules) - 1} k JOIN texts USING (doc_id))")
@@ -241,6 +275,11 @@ _REDACTED = f"""
 _DOCUMENTS = "SELECT doc_id, text FROM documents"
 ORACLES["detect_counts_documents"] = _texts(_DOCUMENTS, "SELECT type, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM spans GROUP BY type")
 ORACLES["redact_documents"] = _texts(_DOCUMENTS, _REDACTED)
+_STOPS = "', '".join(L.STOP_WORDS)
+ORACLES["detect_names_of_table"] = _texts(
+    _DOCUMENTS, "SELECT doc_id, type, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM spans GROUP BY doc_id, type",
+    f"SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations) x WHERE regexp_full_match(w, '[A-Z][a-z]{{2,}}') AND w NOT IN ('{_STOPS}')",
+)
 ORACLES["redact_odd_notes"] = _texts(X.ODD_NOTES, _REDACTED)
 
 # Notes. Which fields are found, by template: names beside a context always, others if the gazetteer has them.
@@ -322,6 +361,16 @@ add("detect_notes_by_type", "detected", "SELECT type, count(*) AS n_spans, count
 add("redact_notes", "", _clean(), "", "", "note_id clean")
 add("score_by_type", "truth detected outcomes", """SELECT type, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(tp + fn) AS n_truth, sum(tp) / nullif(sum(tp + fn), 0) AS recall,
   sum(tp) / nullif(sum(tp + fp), 0) AS precision FROM outcomes GROUP BY type""", "tp fn fp n_truth", "recall precision", "type")
+ORACLES["score_relational"] = ORACLES["score_by_type"]
+add("score_within_tolerance", "truth detected", """SELECT type, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(tp + fn) AS n_truth, sum(tp) / nullif(sum(tp + fn), 0) AS recall,
+  sum(tp) / nullif(sum(tp + fp), 0) AS precision FROM (
+    SELECT t.type, CAST(count(d.note_id) > 0 AS INT) AS tp, CAST(count(d.note_id) = 0 AS INT) AS fn, 0 AS fp
+    FROM truth t LEFT JOIN detected d ON d.note_id = t.note_id AND d."start" < t."end" AND t."start" < d."end" GROUP BY t.note_id, t."start", t."end", t.type
+    UNION ALL SELECT d.type, 0, 0, 1 FROM detected d LEFT JOIN truth t ON d.note_id = t.note_id AND d."start" < t."end" AND t."start" < d."end" WHERE t.note_id IS NULL) x GROUP BY type""",
+  "tp fn fp n_truth", "recall precision", "type")
+add("score_totals", "truth detected outcomes", """SELECT grouping(type) = 1 AS is_total, type, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(tp + fn) AS n_truth, sum(tp) / nullif(sum(tp + fn), 0) AS recall,
+  CASE WHEN grouping(type) = 0 THEN sum(tp) / nullif(sum(tp + fp), 0) END AS precision FROM outcomes GROUP BY ROLLUP (type)""", "tp fn fp n_truth", "recall precision", "is_total type")
+ORACLES["detect_rows_notes"] = ORACLES["detect_spans"]
 add("score_overall", "truth detected outcomes", "SELECT sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(tp + fn) AS n_truth, sum(tp) / nullif(sum(tp + fn), 0) AS recall FROM outcomes", "tp fn fp n_truth", "recall")
 
 

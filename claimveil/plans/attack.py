@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimveil.functions.scalar import age_band, pseudonym, risk_band, zip3
 from claimveil.operators import reidentification as K
+from claimveil.plans.files import write_file
 from claimveil.plans.pipeline import SALT, side_by_side, written
 from claimveil.sources import synth
 
@@ -38,7 +39,7 @@ def rungs(extract: DataFrame, roll: DataFrame, walk: DataFrame) -> list[dict]:
 
 
 def main(spark: SparkSession, out: str, n_members: int = 8000, seed: int = 17, coverage: float = 0.85) -> dict:
-    """Writes the extract, the roll and ``reidentification`` as JSON under ``out``; returns what that holds."""
+    """Writes the extract, the roll and ``reidentification`` as JSON under ``out``, a folder and a single file; returns what that holds."""
     members = written(spark, out, {"members": synth.members(spark, n_members, seed).drop("id")})["members"]
     made = written(spark, out, {"released": released(members), "roll": K.external_roll(members, K.hash_kept("member_id", coverage, 99))})
     extract, walk = made["released"], members.select(pseudonym(F.col("member_id"), SALT, "MBR").alias("member_key"), "member_id")
@@ -51,6 +52,7 @@ def main(spark: SparkSession, out: str, n_members: int = 8000, seed: int = 17, c
         "targeted": [r.asDict() for r in targets], "generalise": [r.asDict() for r in steps],
     }
     spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/reidentification")
+    write_file(spark, f"{out}/reidentification.json", json.dumps(told, indent=2))
     return told
 
 

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from claimveil.plans.files import read_file, write_file
 from claimveil.sources import lexicon as L
 
 
@@ -51,6 +52,7 @@ def render(results: dict) -> str:
 
 def main(spark: SparkSession, out: str) -> str:
     """Reads the pipeline's results under ``out`` and writes the document beside them."""
-    text = render(json.loads(spark.read.text(f"{out}/results").first().value))
+    text = render(json.loads(read_file(spark, f"{out}/results.json")))
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/method")
+    write_file(spark, f"{out}/method.md", text)
     return text

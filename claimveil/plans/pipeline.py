@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimveil.functions.scalar import is_small_zip3
 from claimveil.operators import analytics as A
 from claimveil.operators import redaction, scoring
+from claimveil.plans.files import write_file
 from claimveil.sources import lexicon as L
 from claimveil.sources import synth
 
@@ -64,7 +65,7 @@ def results(spark: SparkSession, tables: dict[str, DataFrame], out: str, salt: s
 
 
 def main(spark: SparkSession, out: str, n_members: int = 8000, seed: int = 17) -> dict:
-    """Writes every table under ``out``, the first 40 redacted notes and ``results`` (one JSON line) as text; returns what that holds."""
+    """Writes every table under ``out``, the first 40 redacted notes and ``results`` (one JSON line) as text, and ``results.json``; returns what that holds."""
     tables = written(spark, f"{out}/input", synth.generate(spark, n_members, seed))
     read = results(spark, tables, out)
     first_notes = read["redacted_notes"].orderBy("note_id").limit(40).select("clean").coalesce(1)
@@ -78,6 +79,7 @@ def main(spark: SparkSession, out: str, n_members: int = 8000, seed: int = 17) -
     counts, _, *rows = side_by_side([lambda: counters(tables), lambda: first_notes.write.mode("overwrite").text(f"{out}/deidentified_notes"), *small.values()])
     told = {"counts": counts} | dict(zip(small, rows))
     spark.createDataFrame([(json.dumps(told, default=float),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/results")
+    write_file(spark, f"{out}/results.json", json.dumps(told, default=float, indent=2))
     return told
 
 

@@ -310,6 +310,51 @@ def score_by_type_ordered(spark, sf_dir):
     return _scored(spark, sf_dir).where("n_truth > 0").select(F.row_number().over(order).alias("place"), "type", "n_truth", "recall")
 
 
+@query
+def score_relational(spark, sf_dir):
+    """Detected and planted spans, both as rows, joined by position."""
+    found = detection.spans_of(detection.with_spans(_notes(spark, sf_dir)))
+    return scoring.by_type(scoring.score_spans(found, _table(spark, sf_dir, "truth")))
+
+
+@query
+def score_within_tolerance(spark, sf_dir):
+    """Planted spans told one or two characters too late, found within two."""
+    found = detection.spans_of(detection.with_spans(_notes(spark, sf_dir)))
+    late = F.when(F.substring("note_id", -1, 1).cast("int") % 2 == 0, 1).otherwise(2)
+    truth = _table(spark, sf_dir, "truth").withColumns({"start": F.col("start") + late, "end": F.col("end") + late})
+    return scoring.by_type(scoring.score_spans(found, truth, 2))
+
+
+@query
+def score_totals(spark, sf_dir):
+    """Types and their total from one pass."""
+    found = detection.spans_of(detection.with_spans(_notes(spark, sf_dir)))
+    return scoring.totals(scoring.score_spans(found, _table(spark, sf_dir, "truth")))
+
+
+@query
+def detect_rows_notes(spark, sf_dir):
+    return detection.detect_rows(_notes(spark, sf_dir))
+
+
+@query
+def detect_names_of_table(spark, sf_dir):
+    """Texts of documents, and for names the capitalised words of all conversations."""
+    words = _table(spark, sf_dir, "conversations").select(F.explode(F.split("text", " ")).alias("word")).where(F.col("word").rlike("^[A-Z][a-z]{2,}$")).distinct()
+    cities = spark.createDataFrame([(c,) for c in L.GAZETTEER_CITIES], "word string")
+    found = detection.detect_rows(_table(spark, sf_dir, "documents").select("doc_id", "text"), detection.gazetteer(words, cities), "doc_id")
+    return found.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+@query
+def zip3_of_area_table(spark, sf_dir):
+    """Areas and how many live there from the members of half of the buckets, 20 or fewer being a small area."""
+    members = _table(spark, sf_dir, "members")
+    areas = members.where("bucket < 10").groupBy(S.area_of(F.col("zip5")).alias("zip3")).agg(F.count("*").alias("people"))
+    return redaction.with_areas(members.select("member_id", "zip5"), areas, most=20)
+
+
 @query
 def pipeline_counters(spark, sf_dir):
     members = _table(spark, sf_dir, "members")
@@ -334,6 +379,31 @@ def attack_rungs(spark, sf_dir):
     return K.attack_rungs(_released(spark, sf_dir), _roll(spark, sf_dir), sets)
 
 
+def _with_gaps(df: DataFrame) -> DataFrame:
+    """Small areas and the oldest without a value."""
+    return df.withColumns({"zip3": F.nullif("zip3", F.lit("000")), "age_band": F.nullif("age_band", F.lit("90+"))})
+
+
+@query
+def attack_rungs_with_gaps(spark, sf_dir):
+    """Missing values are a value like others, on both sides."""
+    roll = _roll(spark, sf_dir)
+    sets = [(k + 1, [q for q in K.LADDER[k] if not q.startswith("cond_")]) for k in (0, 1, 2, 3, 4)]
+    return K.attack_rungs(_with_gaps(_released(spark, sf_dir)), _with_gaps(roll.withColumn("zip3", S.zip3(F.col("zip5")))), sets)
+
+
+@query
+def linkage_sets(spark, sf_dir):
+    """Links by demographics, and by state alone beside them, in one join."""
+    return K.linkage_sets(_released(spark, sf_dir), _roll(spark, sf_dir), [K.LADDER[3], K.LADDER[2]])
+
+
+@query
+def generalise_to_k_profile(spark, sf_dir):
+    """What it costs to leave nobody alone by all nine columns, and the smallest class then."""
+    return K.suppression_steps(_released(spark, sf_dir), K.LADDER[5])
+
+
 @query
 def external_roll_hashed(spark, sf_dir):
     return K.external_roll(_table(spark, sf_dir, "members"), K.hash_kept("member_id", 0.85, 99))

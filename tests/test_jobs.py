@@ -8,9 +8,12 @@ def test_jobs(spark, tmp_path):
     told = pipeline.main(spark, str(tmp_path), 300)
     assert json.loads(spark.read.text(f"{tmp_path}/results").first().value)["counts"] == told["counts"] and told["counts"]["members"] == 300
     assert spark.read.text(f"{tmp_path}/deidentified_notes").count() == min(40, told["counts"]["notes"])
+    assert json.loads((tmp_path / "results.json").read_text()) == json.loads(json.dumps(told, default=float))
     text = method.main(spark, str(tmp_path))
+    assert (tmp_path / "method.md").read_text() == text
     assert text.count("\n| ") >= 18 + len(told["score_by_type"]) and f"{told['score_overall'][0]['n_truth']:,}" in text
     found = attack.main(spark, str(tmp_path), 300)
+    assert json.loads((tmp_path / "reidentification.json").read_text()) == found
     assert len(found["ladder"]) == 6 and len(found["linkage"]) == 3 and all(s["min_k_after"] in (0, *range(5, 301)) for s in found["generalise"])
     assert all(r["n_checked"] == r["n_correct"] for r in found["linkage"])
     shown, attacked = pipeline.report(told), attack.report(found)
