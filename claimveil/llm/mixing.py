@@ -6,7 +6,9 @@ rest is the document's own inclusion probability for one more. Within strata of
 eighth at most, a fixed number is taken: the probabilities' sum, rounded up or down by a random number of the stratum's own.
 Each document draws a number from a hash of its id, and the first by random odds divided by inclusion odds are taken. As
 sizes hardly differ in a stratum, a fixed number of documents is nearly a fixed number of words, and the words that rounding
-leaves over pass on to the next shorter documents, so that a source ends within about one short document of its target.
+leaves over pass on to the next shorter documents, so that a source ends within about one short document of its target. A stratum
+takes no more words than its source's shorter documents can save, and no fewer than they can add, up to SLACK of the target; that only
+binds in small sources.
 
 No source or stratum is ever sorted as a whole: ranks are cut into narrow bins and counted, and only the bin in which a
 stratum's last document falls is put in order. Probabilities are counted in units of 1 / ONE, so sums don't depend on order.
@@ -25,6 +27,8 @@ SEED = "mix-1"
 BINS = 4096
 #: Units of a probability, and of a document's weight.
 ONE, UNIT = 1 << 30, 1024
+#: Share of a source's target that a stratum's rounding may miss it by for good.
+SLACK = 0.02
 #: Sources, or strata, up to this number are sent to all executors (some 100 bytes each); beyond it they are joined by a shuffle.
 SENT = 50_000
 
@@ -111,14 +115,19 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         return df.withColumns({"certain": F.floor("expected"), "units": F.floor((F.col("expected") - F.floor("expected")) * ONE), "stratum": stratum_of(F.col("size"))})
 
     units, words = F.col("units").cast("decimal(20,0)") * F.col("n"), (F.col("units") * F.col("size")).cast("decimal(24,0)") * F.col("n")
-    strata = expect(sized).where("units > 0").groupBy("source", "stratum").agg(F.sum(units).cast("double").alias("m"), F.sum(words).cast("double").alias("w"), F.sum("n").alias("n"))
+    strata = expect(sized).where("units > 0").groupBy("source", "stratum").agg(F.sum(units).cast("double").alias("m"), F.sum(words).alias("words"), F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("all"), (F.max("target") * SLACK).alias("slack"))
+    shorter = Window.partitionBy("source").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    below = {"w": F.col("words").cast("double"), "due": F.coalesce(F.sum("words").over(shorter), F.lit(0)).cast("double"), "room": F.coalesce(F.sum("all").over(shorter), F.lit(0)).cast("double")}
+    strata = strata.withColumns(below)
     strata = strata.withColumn("turn", uniform(F.lit("round"), F.coalesce("source", F.lit("")), F.col("stratum").cast("string"), seed=seed))
     # some 500 strata a source at most, whatever its rows
-    listed = strata.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("stratum", "m", "w", "n", "turn")), False).alias("strata"))
+    listed = strata.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("stratum", "m", "w", "n", "turn", "due", "room", "slack")), False).alias("strata"))
 
     def fix(state: Column, x: Column) -> Column:
         each, owed = x["w"] / x["m"], state["owed"] + x["w"]
-        n = F.greatest(F.lit(0), F.least(x["n"], F.floor(owed / ONE / each + x["turn"])))
+        # no more than all shorter documents can make up for by staying out, no fewer than they can by going in, but for a little
+        high, low = F.floor(((owed + x["due"]) / ONE + x["slack"]) / each), F.ceil((owed / ONE - x["room"] - x["slack"]) / each)
+        n = F.greatest(F.lit(0), F.least(x["n"], high, F.greatest(low, F.floor(owed / ONE / each + x["turn"]))))
         return F.struct((owed - n * each * ONE).alias("owed"), F.array_append(state["fixed"], F.struct(x["stratum"].alias("stratum"), n.alias("fixed"))).alias("fixed"))
 
     none = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<stratum:int,fixed:long>>").alias("fixed"))
@@ -186,16 +195,18 @@ WITH RECURSIVE d AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 ), p AS (
   SELECT *, floor(expected) AS certain, CAST(floor((expected - floor(expected)) * 1073741824) AS HUGEINT) AS units FROM e
+), g AS (
+  SELECT source, stratum, CAST(sum(units) AS DOUBLE) AS m, sum(units * size) AS words, count(*) AS n, CAST(sum(size) AS HUGEINT) AS every, max(target) * CAST(0.02 AS DOUBLE) AS slack FROM p WHERE units > 0 GROUP BY source, stratum
 ), m AS (
-  SELECT source, stratum, CAST(sum(units) AS DOUBLE) AS m, CAST(sum(units * size) AS DOUBLE) AS w, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY stratum DESC) AS i,
+  SELECT source, stratum, m, CAST(words AS DOUBLE) AS w, n, CAST(coalesce(sum(words) OVER b, 0) AS DOUBLE) AS due, CAST(coalesce(sum(every) OVER b, 0) AS DOUBLE) AS room, slack, row_number() OVER (PARTITION BY source ORDER BY stratum DESC) AS i,
          (CAST(('0x' || substr(md5('mix-1:round:' || coalesce(source, '') || ':' || CAST(stratum AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS turn
-  FROM p WHERE units > 0 GROUP BY source, stratum
+  FROM g WINDOW b AS (PARTITION BY source ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), q AS (
-  SELECT source, stratum, i, w, m, least(n, greatest(0, floor(w / 1073741824 / (w / m) + turn))) AS fixed, w - least(n, greatest(0, floor(w / 1073741824 / (w / m) + turn))) * (w / m) * 1073741824 AS owed
-  FROM m WHERE i = 1
+  SELECT source, stratum, i, w, m, fixed, w - fixed * (w / m) * 1073741824 AS owed FROM (
+    SELECT *, greatest(0, least(n, floor(((w + due) / 1073741824 + slack) / (w / m)), greatest(ceil((w / 1073741824 - room - slack) / (w / m)), floor(w / 1073741824 / (w / m) + turn)))) AS fixed FROM m WHERE i = 1) x
   UNION ALL
   SELECT x.source, x.stratum, x.i, x.w, x.m, x.fixed, x.whole - x.fixed * (x.w / x.m) * 1073741824 FROM (
-    SELECT m.source, m.stratum, m.i, m.w, m.m, q.owed + m.w AS whole, least(m.n, greatest(0, floor((q.owed + m.w) / 1073741824 / (m.w / m.m) + turn))) AS fixed
+    SELECT m.source, m.stratum, m.i, m.w, m.m, q.owed + m.w AS whole, greatest(0, least(m.n, floor(((q.owed + m.w + m.due) / 1073741824 + m.slack) / (m.w / m.m)), greatest(ceil(((q.owed + m.w) / 1073741824 - m.room - m.slack) / (m.w / m.m)), floor((q.owed + m.w) / 1073741824 / (m.w / m.m) + turn)))) AS fixed
     FROM q JOIN m ON m.source IS NOT DISTINCT FROM q.source AND m.i = q.i + 1) x
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY u / (1 - u) / (CAST(units AS DOUBLE) / CAST(1073741824 - units AS DOUBLE)), doc_id) AS place FROM p WHERE units > 0
