@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, ship, table
 
 SCALE = 1024
 #: Segments at each resolution.
@@ -28,6 +28,8 @@ LEVELS = (1, 8, 32)
 #: Queries that are sent to the executors at a time: with 64 components 2 MB.
 BLOCK = 4096
 ROWS = 512
+#: Components of that size or more take no part; scores under WHOLE are exact as doubles.
+LARGEST, WHOLE = 1e140, 2.0**53
 
 
 def whole_numbers(batch: pa.RecordBatch, at: int, scale: int = SCALE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -39,7 +41,7 @@ def whole_numbers(batch: pa.RecordBatch, at: int, scale: int = SCALE) -> list[tu
     for n in np.unique(size[size > 0]).tolist():
         rows = np.flatnonzero(size == n)
         x = parts[begin[rows][:, None] + np.arange(n)]
-        good = np.isfinite(x).all(1)
+        good = np.isfinite(x).all(1) & (np.abs(x) < LARGEST).all(1)
         out.append((rows[good], np.floor(scale * x[good])))
     return out
 
@@ -56,7 +58,9 @@ def floors(ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     out = np.full(len(ids), -np.inf)
     if len(ids) > k:
         for a in range(0, len(ids), 256):
-            scores = np.where(ids[a : a + 256, None] == ids, -np.inf, queries[a : a + 256] @ queries.T)
+            part = queries[a : a + 256]
+            error = 1e-12 * np.abs(part) @ np.abs(queries.T)
+            scores = np.where(ids[a : a + 256, None] == ids, -np.inf, part @ queries.T - error)
             out[a : a + 256] = np.partition(scores, -k, 1)[:, -k]
     return out
 
@@ -65,18 +69,24 @@ class Search:
     """The k best rows seen so far for a block of queries of one length."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
-        self.ids, self.queries, self.k, self.floor = ids, queries, k, floor.copy()
+        self.ids, self.queries, self.k, self.floor = ids, queries, k, np.minimum(floor, 2.0**62)
         self.levels = [np.hstack(segments(queries, n)) for n in LEVELS]
         #: Over the rounding error of any sum of a row's products.
         self.slack = 1e-9 * (1 + np.sqrt((queries**2).sum(1)))
         self.best = np.full((len(ids), k), -np.inf)
         self.best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.norms = np.sqrt((queries**2).sum(1))
+        #: Of queries whose scores may pass WHOLE: the best as Python's integers, ``(-score, id)`` in order.
+        self.large: dict[int, list[tuple[int, int]]] = {}
         #: Pairs seen, and those whose exact score was needed.
         self.seen = self.scored = 0
 
     def _take(self, q: int, ids: np.ndarray, rows: np.ndarray) -> None:
         """Scores rows exactly for a query."""
         self.scored += len(ids)
+        if q in self.large or self.norms[q] * np.sqrt((rows**2).sum(1).max()) >= WHOLE / 2:
+            self._take_large(q, ids, rows)
+            return
         scores, found = np.append(self.best[q], rows @ self.queries[q]), np.append(self.best_id[q], ids)
         if len(scores) > 4 * self.k:  # all that may be among the best, ties included
             top = np.flatnonzero(scores >= np.partition(scores, -self.k)[-self.k])
@@ -85,6 +95,24 @@ class Search:
         self.best[q], self.best_id[q] = scores[order], found[order]
         self.floor[q] = max(self.floor[q], self.best[q, -1])
 
+    def _take_large(self, q: int, ids: np.ndarray, rows: np.ndarray) -> None:
+        """The same in whole numbers; one beyond a long's range counts as the nearest long."""
+        known = [(-int(s), int(i)) for s, i in zip(self.best[q], self.best_id[q]) if np.isfinite(s)]
+        query = [int(x) for x in self.queries[q]]
+        told = [(-max(-(1 << 63), min(sum(a * int(b) for a, b in zip(query, row.tolist())), (1 << 63) - 1)), int(i)) for i, row in zip(ids, rows)]
+        self.large[q] = best = sorted(self.large.get(q, known) + told)[: self.k]
+        if len(best) == self.k:
+            self.floor[q] = max(self.floor[q], float(-best[-1][0]) * (1 - np.sign(float(-best[-1][0])) * 1e-15))
+
+    def results(self) -> tuple[list[int], list[int], list[int]]:
+        """Query, row and score of all that is among the best."""
+        q, r = np.nonzero(np.isfinite(self.best))
+        small = ~np.isin(q, list(self.large))
+        q, r = q[small], r[small]
+        told = [*zip(self.ids[q].tolist(), self.best_id[q, r].tolist(), self.best[q, r].astype(np.int64).tolist())]
+        told += [(int(self.ids[k]), i, -s) for k, best in self.large.items() for s, i in best]
+        return tuple(zip(*told)) or ((), (), ())
+
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         size = np.sqrt((rows**2).sum(1))
         told = [np.hstack(segments(rows, n)) for n in LEVELS]
@@ -127,10 +155,7 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     if len(rows) and x.shape[1] in searches:
                         searches[x.shape[1]].add(ids[rows], x)
         for search in searches.values():
-            q, r = np.nonzero(np.isfinite(search.best))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(search.ids[q]), pa.array(search.best_id[q, r]), pa.array(search.best[q, r].astype(np.int64))], ["query_id", "vec_id", "score"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in search.results()], ["query_id", "vec_id", "score"])
 
     return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -138,12 +163,13 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k rows with the largest inner product for each query, its own id left out.
 
-    Components count as floor(1024 x). is_query: a condition on ``vec_id``. Ties go to the smaller id. Rows that are null,
-    empty, or hold a null or non-finite component take no part, nor do rows without an id; a repeated id is one query for
+    Components count as floor(1024 x), and scores are exact; one beyond the range of a long counts as its limit. is_query: a condition on ``vec_id``. Ties go to the smaller id. Rows that are null,
+    empty, or hold a null or non-finite component, or one of 1e140 or more, take no part, nor do rows without an id; a repeated id is one query for
     each of its rows, told apart by nothing, so ids should be distinct. Vectors meet those of their own length alone. No
     queries or no candidates: no rows. Other columns are not read. Queries are sent in blocks of at most ``BLOCK``, and every
     block passes over all rows.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).where("vec_id is not null and embedding is not null")
     queries = rows.where(is_query)
     n = queries.count()
