@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, ship, slices, table
 from .tokens import encoder, with_end
 
 CAPACITY = 2048
@@ -91,6 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY
     their own; an empty table gives none. Other columns are not read. Very long texts are encoded whole and cut into as many
     pieces as they need. Sequence numbers are unique, not gapless.
     """
+    ship(docs.sparkSession)
     cutting = cut(pieces(docs, tokenizer, end, capacity, text, doc_id))
     groups = max(1, -(-cutting.count() // GROUP))
 
@@ -100,7 +101,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY
         number = sequence * groups + group.column("grouped")[0].as_py()
         return group.drop(["grouped"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
-    dealt = cutting.withColumn("grouped", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # pieces are read from the shared folder, where their order is fixed; so equal rows, and those without an id, spread as well
+    dealt = cutting.withColumn("grouped", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grouped").applyInArrow(place, PIECE + ", sequence_id long, offset long")
 
 
