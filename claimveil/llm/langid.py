@@ -12,28 +12,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, table
+from .common import crc32_mod, ship, table
 
 #: n-grams of 1 to GRAMS characters are hashed to so many features.
 GRAMS, FEATURES = 3, 1 << 15
 #: What weights and temperature are fitted on: so many rows, and bytes of text, over all languages on average, evenly dealt.
 SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
-#: Languages that a model tells apart at most, the most frequent ones.
-LANGUAGES = 512
+#: Characters whose grams are counted at a time.
+PART = 1 << 20
 SLOT = 512
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a text and how often each occurs."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    count, h = np.zeros(FEATURES, np.int64), np.zeros(len(c), np.uint32)
-    for n in range(1, GRAMS + 1):
-        h = (h[: len(c) - n + 1] * np.uint32(0x01000193)) ^ c[n - 1 :]
-        mixed = (h + np.uint32(n)) * np.uint32(0x9E3779B1)
-        count += np.bincount(mixed >> np.uint32(17), minlength=FEATURES)
+    """Features of a text and how often each occurs; a very long text is counted in parts that overlap by a gram."""
+    text, count = f" {text.lower()} ", np.zeros(FEATURES, np.int64)
+    for begin in range(0, len(text), PART):
+        c = np.frombuffer(text[begin : begin + PART + GRAMS - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = np.zeros(len(c), np.uint32)
+        for n in range(1, GRAMS + 1):
+            h = (h[: len(c) - n + 1] * np.uint32(0x01000193)) ^ c[n - 1 :]
+            mixed = (h[:PART] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            count += np.bincount(mixed >> np.uint32(17), minlength=FEATURES)
     at = np.flatnonzero(count)
     return at.astype(np.uint16), count[at]
 
@@ -115,23 +117,23 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """A model of the languages in docs; rows without text or language are left out, as are languages beyond the LANGUAGES most frequent.
+    """A model of the languages in docs; rows without text or language are left out. Every language that is left is learned.
 
     Repeated rows count each time; without rows the model knows no language. Very long texts count whole.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).where("text is not null and lang is not null")
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
     counts = {r["lang"]: (r["n"], r["size"]) for r in found.collect()}
     languages = sorted(counts)
     idf = np.log((1 + sum(n for n, _ in counts.values())) / (1 + document_frequencies(rows.select("text")))) + 1
     model = Model(languages, idf)
     if not languages:
         return model
-    picked: Column = F.lit(False)
-    for name, (n, size) in counts.items():
-        # a Bernoulli sample by a hash of the id and text: the bounds hold on average, to some hundredths
-        share = min(1.0, sample / len(languages) / n, SAMPLE_BYTES / len(languages) / max(size, 1))
-        picked = picked | ((F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id", F.lit("lang"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 30)) < int(share * (1 << 30))))
+    # a Bernoulli sample by a hash of the id and text: the bounds hold on average, to some hundredths; a row for each language
+    shares = [(name, int(min(1.0, sample / len(languages) / n, SAMPLE_BYTES / len(languages) / max(size, 1)) * (1 << 30))) for name, (n, size) in counts.items()]
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("lang"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 30))
+    picked = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long")), "lang").where(draw < F.col("share"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +141,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str =
             packed = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(zip(*found), (np.uint16, np.uint32))]
             yield pa.RecordBatch.from_arrays([b.column(1), *(packed or [pa.array([], pa.binary())] * 2)], ["lang", "at", "count"])
 
-    told = rows.where(picked).select("text", "lang").mapInArrow(extract, "lang string, at binary, count binary").collect()
+    told = picked.select("text", "lang").mapInArrow(extract, "lang string, at binary, count binary").collect()
     told.sort()
     found = [(np.frombuffer(a, np.uint16), np.frombuffer(c, np.uint32)) for _, a, c in told]
     labels = np.array([languages.index(name) for name, _, _ in told], np.int64)
@@ -152,8 +154,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str =
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``; `und` and 0 for null texts and those without a letter.
 
-    Columns of these names, and the text, give way; other columns and repeated rows stay. An empty table gives none.
+    Columns of these names, and the text, give way; other columns and repeated rows stay. Very long texts count whole. An empty table
+    gives none.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 0.13 MB a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
