@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, cut, packed, table
+from .common import Forest, cut, packed, ship, table
 from .components import connected_components
 
 SAMPLE = 20_000
@@ -177,6 +177,7 @@ def _linked(classes: DataFrame, n: int, limit: float, kind: str) -> DataFrame:
     if not len(few):
         few = classes.orderBy("id").limit(SAMPLE).select("embedding").toArrow()
     sample = _unit(np.array(few.column(0).to_pylist(), np.float64))
+    ship(spark)
     sent = spark.sparkContext.broadcast(Index(sample, int(min(LISTS, max(1, np.sqrt(n))))))  # 4,096 centroids at most
     reach = np.arccos(np.clip(limit, -1, 1)) + SLACK
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, table, texts_of
+from .common import crc32_mod, ship, table, texts_of
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -129,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
 def score(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:
     """docs, all columns kept, with the probability of label 1 for every text; null texts count as empty, an empty table gives none."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # under 0.2 MB
     at = docs.columns.index(text)
 

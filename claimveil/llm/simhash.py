@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, cut, packed, table, texts_of
+from .common import Forest, cut, packed, ship, table, texts_of
 from .components import connected_components
 
 HALF = 32
@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     other. Rows without a doc_id take part as well and get their component's smallest doc_id (null if all lack one);
     repeated ids and rows stay as they are; an empty table gives none. Other columns are not read.
     """
+    ship(docs.sparkSession)
     prints = cut(with_fingerprints(docs, text, doc_id))
     distinct = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     links = fingerprint_links(distinct.select("fingerprint"), distinct.count())

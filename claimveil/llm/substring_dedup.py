@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffles, slices, table
+from .common import ship, shuffles, slices, table
 from .rindex import RunLengthIndex
 
 LENGTH, KEY = 50, 24
@@ -269,6 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     table gives none. Other columns are not read.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(shuffles(spark), -(-size // CHUNK))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import cut, fresh_dir, shuffles, slices, table
+from .common import cut, fresh_dir, ship, shuffles, slices, table
 from .tokens import encoder, with_end
 
 #: Magic, bytes an id, documents, those of them without a doc_id, ids, first doc_id, crc32 of the ids.
@@ -87,6 +87,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, tex
     alone in their batch; a shard is closed after the document that fills it. A task that runs again writes new files under
     names of its own, and the manifest names those of the run that counted.
     """
+    ship(docs.sparkSession)
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD), shuffles(docs.sparkSession))
@@ -133,6 +134,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
     The running sum over shards is the one step in one task: a row for each shard, some 30 MB of ids.
     """
+    ship(manifest.sparkSession)
     before = Window.orderBy(F.asc_nulls_last("first_id"), F.asc_nulls_last("last_id"), "path").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -3,9 +3,12 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import string
+import subprocess
+import sys
 import time
 import zlib
 
@@ -355,10 +358,17 @@ def test_language_model_step_by_step():
     assert loss(model.temperature) <= min(map(loss, np.geomspace(0.02, 5, 120))) + 1e-3
 
 
-def test_language_count_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 3)
-    rows = [(i, "abc " * (i % 7 + 1), f"l{min(i % 10, 5)}", "s", 0) for i in range(200)]
-    assert langid.train(frame(spark, rows)).languages == ["l0", "l1", "l5"]
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "abc " * (i % 7 + 1), f"l{i % 700}", "s", 0) for i in range(710)] + [(1000, "zxq zxq zxq", "rare", "s", 0)]
+    model = langid.train(frame(spark, rows))
+    assert len(model.languages) == 701 and "rare" in model.languages
+
+
+def test_grams_in_parts(monkeypatch):
+    text = "ab cd é日 " * 50
+    want = [x.tolist() for x in langid.grams(text)]
+    monkeypatch.setattr(langid, "PART", 7)
+    assert [x.tolist() for x in langid.grams(text)] == want
 
 
 def test_document_frequencies(spark):
@@ -815,3 +825,56 @@ def test_pq_finds_all_links_of_a_large_group(spark):
     assert want.sum() > 4e7 and (got.n_links.to_numpy() == want).all()
     group = want > 0
     assert set(got.component_id[group]) == {np.flatnonzero(group)[0]} and got.kept[~group].all()
+
+
+def test_top_k_of_large_components(spark):
+    """Products beyond 2^53, where doubles are no longer whole numbers, beyond a long, and beside small ones."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.uniform(1e5, 3e5, 64).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=64).tolist()) for i in range(60)]
+    rows += [(300, [1e6] * 64), (301, [-1e12] * 64), (302, [1e141] * 64), (303, [3e5 - 2**-10] * 64), (400, [1e30] * 64)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if max(map(abs, v)) < 1e140]
+    want = set()
+    for q, v in good:
+        if q % 20 == 0:
+            best = sorted((-max(-(1 << 63), min(sum(a * b for a, b in zip(v, w)), (1 << 63) - 1)), c) for c, w in good if c != q)[:10]
+            want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
+    assert set(map(tuple, topk.top_k(table, "vec_id % 20 = 0").collect())) == want
+
+
+def test_operators_ship_their_code(tmp_path):
+    """Called directly, from a folder that isn't the package's, with workers that know nothing of it."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+from claimveil.llm import simhash, topk
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path)!r}).getOrCreate()
+v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+assert topk.top_k(v, "vec_id = 0").count() == 4
+assert simhash.near_duplicates(spark.createDataFrame([(1, "a b c d"), (2, "a b c d")], "doc_id long, text string")).where("component_id = 1").count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env, timeout=240, capture_output=True)
+
+
+def test_small_sources_meet_their_targets(spark):
+    """A document longer than the target beside short ones that can make it up; one long document alone; many sizes."""
+    rnd, rows = random.Random(8), []
+    for k in range(40):
+        sizes = [2065, 453, 400, 350, 260, 199, 130, 99, 60, 46] if k % 4 == 0 else [rnd.choice([30, 60, 90, 400, 1500]) + rnd.randint(0, 20) for _ in range(12)] + [20, 22, 25, 31] * 3
+        rows += [(100 * k + i, "w " * n, "en", f"s{k:02d}", 0) for i, n in enumerate(sizes)]
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix(frame(spark, rows)).collect():
+        taken[r.doc_id // 100] += r.taken
+        target[r.doc_id // 100] = r.target
+    assert all(abs(taken[k] - t) <= 0.05 * t for k, t in target.items()), [(k, taken[k], t) for k, t in target.items() if abs(taken[k] - t) > 0.05 * t]
+
+
+def test_packing_spreads_equal_rows(spark, monkeypatch):
+    """Thousands of rows without an id, or with the same one, go to all groups."""
+    monkeypatch.setattr(packing, "GROUP", 500)
+    rows = [(None if i % 2 else 7, "same text", None, None, None) for i in range(4000)]
+    got = packing.pack(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), capacity=64).collect()
+    groups = collections.Counter(r.sequence_id % 8 for r in got)
+    assert len(got) == 4000 and len(groups) == 8 and max(groups.values()) < 700
