@@ -128,7 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
 
 def score(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:
-    """docs, all columns kept, with the probability of label 1 for every text; null texts count as empty, an empty table gives none."""
+    """docs, all columns kept, with the probability of label 1 for every text as a further column, whose name docs must not have yet.
+
+    Null texts count as empty, very long ones whole; repeated rows stay; an empty table gives none.
+    """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # under 0.2 MB
     at = docs.columns.index(text)
