@@ -17,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a score of at least the classifier's threshold; learned from the labels beside the input.
 
-    Null texts are scored like empty ones; repeated rows and null ids stay if their score does. Columns stay as they are,
+    Null texts are scored like empty ones, very long ones whole; repeated rows and null ids stay if their score does. Columns stay as they are,
     whatever their names; without labels all documents have the same score; an empty table gives none.
     """
     ship(spark)
@@ -27,20 +27,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id.
+    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8 or more) one document, that with the smallest doc_id.
 
-    Texts without words, null ones included, have one fingerprint and are one group. Rows without a doc_id go if their group
-    has a document with one; repeated ids stay. Columns stay as they are; an empty table gives none.
+    Texts without words, null ones included, are one group. Rows without a doc_id come after all others: they go if their group
+    has a document with one, and else one of them stays. Of repeated rows one stays. Very long texts count whole. Columns stay
+    as they are, whatever their names; an empty table gives none.
     """
-    ship(spark)
-    named = simhash.similar_documents(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(named, docs.doc_id.eqNullSafe(named.doc_id), "left_semi")
+    return simhash.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of every secret in the texts; n_chars follows.
 
-    All documents stay, repeated ones and those without an id or text too, and other columns as they are; an empty table
+    All documents stay, repeated, very long ones and those without an id or text too, and other columns as they are; an empty table
     gives none.
     """
     clean = secret_scan.redact(docs)
@@ -50,7 +49,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each document as many times as the mix takes it; those taken not at all go.
 
-    Rows of one id and size are taken equally often. Null sources are a source; texts without words are not taken. Columns
+    Rows of one id and size are taken equally often. Null sources are a source; texts without words are not taken, very long ones count whole. Columns
     stay as they are, whatever their names; an empty table gives none.
     """
     key, size, copies = (unused(docs, x) for x in ("mixed_id", "mixed_size", "mixed_copies"))
@@ -62,7 +61,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes; repeated documents are packed once for each time.
 
-    Null and empty texts are one piece of one id; rows without an id are packed as well. An empty table gives none.
+    Null and empty texts are one piece of one id, very long ones as many pieces as they need; rows without an id are packed as well. An empty table gives none.
     """
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
