@@ -28,7 +28,7 @@ KINDS = {
 HAS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 BODY = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{BODY})(?=[A-Za-z+/_=-]*[0-9]){BODY}{{20,}}"
+CANDIDATE = rf"(?<!{BODY})(?=[a-z+/_=-]*[A-Z0-9]){BODY}{{20,}}"
 WINDOW = 20
 #: Least entropy in bits a character by class: hexadecimal of one case; letters and digits; with signs as well.
 LIMITS = (("^(?:[0-9a-f]+|[0-9A-F]+)$", 2.8), ("^[A-Za-z0-9]+$", 3.6), ("", 3.8))
@@ -37,14 +37,18 @@ ALLOWED = (
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "^[0-9+/_=-]*$", "(?i)example|sample|placeholder|changeme|dummy",
     "(?i)0123456789|1234567890|abcdefghij|qwertyuiop", "^[^0-9]*[0-9]?[^0-9]*$", "^[^A-Za-z]*[A-Za-z]?[^A-Za-z]*$",
 )
-#: Of the allow-list, what only speaks of the words around a hexadecimal value.
-SAMPLES = ALLOWED[2]
-#: What a character adds to its window's tally: a digit, a-f, A-F or a sign; sums of twenty stay apart.
-DIGIT, LOWER, UPPER, SIGN = 1, 100, 10_000, 1_000_000
-TALLY = [DIGIT if c in "0123456789" else LOWER if c in "abcdef" else UPPER if c in "ABCDEF" else 0 if c.isalpha() else SIGN for c in ALPHABET]
+#: Of the allow-list, what only speaks of the windows that hold such a word, and what not of windows of letters alone.
+SAMPLES, PLAIN = ALLOWED[2], ALLOWED[4:]
+#: Windows of letters alone: least entropy, and least number of letters of either case.
+LETTERS, CASES = 3.8, 6
+#: Takes the place of each character of a sample word; no candidate holds it.
+MARK = "~"
+#: What a character adds to its window's tally: a digit, a-f, A-F, a sign, g-z, G-Z or a mark; sums of twenty stay apart.
+DIGIT, LOWER, UPPER, SIGN, SMALL, CAPITAL, MARKED = (100**k for k in range(7))
+TALLY = [DIGIT if c in "0123456789" else LOWER if c in "abcdef" else UPPER if c in "ABCDEF" else SMALL if c.islower() else CAPITAL if c.isupper() else SIGN for c in ALPHABET] + [MARKED]
 #: Counts of at most WINDOW in a long integer, their bits, and how many long integers there are.
 EACH, BITS = 12, 5
-HOLDERS = -(-len(ALPHABET) // EACH)
+HOLDERS = -(-(len(ALPHABET) + 1) // EACH)
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -58,7 +62,8 @@ def _found(text: Column, pattern: str, kind: str, group: int, least: int) -> Col
 def _random_part(word: Column) -> Column:
     """First and end place of the windows in a word whose entropy reaches the limit of their class, or null.
 
-    A window of hexadecimal digits in a word of other characters needs two letters and two digits.
+    A window of hexadecimal digits in a word of other characters needs two letters and two digits, one in a word without both
+    letters of both cases and nothing else. Windows that hold a sample word don't count, unlike what stands beside it.
     """
     plogp = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 3)]
     #: What the sum of c log c gains when the n-th of a character enters, and loses when the n-th leaves.
@@ -66,9 +71,15 @@ def _random_part(word: Column) -> Column:
     limit = F.lit(LIMITS[-1][1])
     for pattern, bits in reversed(LIMITS[:-1]):
         limit = F.when(word.rlike(pattern), bits).otherwise(limit)
-    tally = F.array(F.lit(0), *[F.lit(x) for x in TALLY])
+    tally = F.array(*[F.lit(x).cast("long") for x in (0, *TALLY)])
+    marked = word
+    for sample in SAMPLES.removeprefix("(?i)").split("|"):
+        marked = F.regexp_replace(marked, f"(?i){sample}", MARK * len(sample))
+    plain = F.lit(False)
+    for pattern in PLAIN:
+        plain = plain | word.rlike(pattern)
     #: By place in the alphabet (0: none): the long integer that holds the count, the bits before it, and one in its place.
-    where = [(-1, 0, 0), *(((p // EACH), p % EACH * BITS, 1 << p % EACH * BITS) for p in range(len(ALPHABET)))]
+    where = [(-1, 0, 0), *(((p // EACH), p % EACH * BITS, 1 << p % EACH * BITS) for p in range(len(ALPHABET) + 1))]
     holder, shift, one = F.array(*[F.lit(h) for h, _, _ in where]), F.array(*[F.lit(x) for _, x, _ in where]), F.array(*[F.lit(u).cast("long") for _, _, u in where])
 
     def moves(places: Column) -> Column:
@@ -81,11 +92,14 @@ def _random_part(word: Column) -> Column:
 
     def high(s: Column) -> Column:
         """Whether the window that ends here reaches the limit of its class."""
-        digits, sign = s["tally"] % LOWER, s["tally"] >= SIGN
-        letters = F.when(s["tally"] < UPPER, F.floor(s["tally"] / LOWER)).otherwise(F.floor(s["tally"] / UPPER))
-        hexadecimal = digits.between(2, WINDOW - 2) & (digits + letters == WINDOW)
-        usual = F.when(s["samples"], math.log2(WINDOW) + 1).when(sign, s["limit"]).otherwise(F.least(s["limit"], F.lit(LIMITS[1][1])))
-        least = F.when(hexadecimal, LIMITS[0][1]).otherwise(usual)
+        of = lambda unit: F.call_function("div", s["tally"], F.lit(unit)) % 100 if unit > 1 else s["tally"] % 100
+        digits, low, up, sign = of(DIGIT), of(LOWER), of(UPPER), of(SIGN) > 0
+        hexadecimal = digits.between(2, WINDOW - 2) & ((digits + low == WINDOW) | (digits + up == WINDOW))
+        letters = (digits == 0) & ~sign & (low + of(SMALL) >= CASES) & (up + of(CAPITAL) >= CASES)
+        never = F.lit(math.log2(WINDOW) + 1)
+        usual = F.when(sign, s["limit"]).otherwise(F.least(s["limit"], F.lit(LIMITS[1][1])))
+        told = F.when(s["plain"], F.when(letters, LETTERS).otherwise(never)).otherwise(usual)
+        least = F.when(hexadecimal, LIMITS[0][1]).when(of(MARKED) > 0, never).otherwise(told)
         return (s["n"] >= WINDOW) & (math.log2(WINDOW) + 1e-9 - s["sum"] / WINDOW >= least)
 
     def judged(s: Column) -> list[Column]:
@@ -107,17 +121,17 @@ def _random_part(word: Column) -> Column:
         held = [s[f"c{k}"] + F.when(x["into_at"] == k, x["into_one"]).otherwise(0) - F.when(x["out_at"] == k, x["out_one"]).otherwise(0) for k in range(HOLDERS)]
         return F.struct(
             *[c.alias(f"c{k}") for k, c in enumerate(held)], total.alias("sum"), (s["n"] + 1).alias("n"), *judged(s),
-            s["limit"].alias("limit"), (s["tally"] + x["tally"]).alias("tally"), s["samples"].alias("samples"),
+            s["limit"].alias("limit"), (s["tally"] + x["tally"]).alias("tally"), s["plain"].alias("plain"),
         )
 
     start = F.struct(
         *[F.lit(0).cast("long").alias(f"c{k}") for k in range(HOLDERS)], F.lit(0.0).alias("sum"), F.lit(0).alias("n"),
-        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("end"), limit.alias("limit"), F.lit(0).alias("tally"), word.rlike(SAMPLES).alias("samples"),
+        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("end"), limit.alias("limit"), F.lit(0).cast("long").alias("tally"), plain.alias("plain"),
     )
-    places = F.transform(F.regexp_extract_all(word, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
+    places = F.transform(F.regexp_extract_all(marked, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET + MARK), c))
     found = F.aggregate(bind(places, moves), start, step, lambda s: F.struct(*judged(s)))
     allowed = F.lit(False)
-    for pattern in (x for x in ALLOWED if x != SAMPLES):
+    for pattern in (x for x in ALLOWED if x != SAMPLES and x not in PLAIN):
         allowed = allowed | word.rlike(pattern)
     return F.when(~allowed, found)
 
@@ -209,7 +223,13 @@ def _sql_matches(kind: str, rank: int, pattern: str, group: int) -> str:
 
 _ALL = [*((k, r, p, g) for r, (k, (p, g, _)) in enumerate(KINDS.items())), ("entropy", 3, f"{BODY}+", 0)]
 _LEAST = " ".join(f"WHEN '{k}' THEN {n}" for k, (_, _, n) in KINDS.items())
-_ALLOW = " OR ".join(f"regexp_matches(w, '{p}')" for p in ALLOWED if p != SAMPLES)
+_ALLOW = " OR ".join(f"regexp_matches(w, '{p}')" for p in ALLOWED if p != SAMPLES and p not in PLAIN)
+_PLAIN = " OR ".join(f"regexp_matches(w, '{p}')" for p in PLAIN)
+_MARKED = "w"
+for _x in SAMPLES.removeprefix("(?i)").split("|"):
+    _MARKED = f"regexp_replace({_MARKED}, '(?i){_x}', '{MARK * len(_x)}', 'g')"
+_NUMBER = lambda of: f"length(regexp_replace(v, '[^{of}]', '', 'g'))"
+_LETTERS = f"regexp_full_match(v, '[A-Za-z]+') AND {_NUMBER('a-z')} >= {CASES} AND {_NUMBER('A-Z')} >= {CASES}"
 _ONE_CASE = "regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 2 AND " + str(WINDOW - 2)
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -221,11 +241,12 @@ placed AS (
   SELECT doc_id, kind, rank, s, s + length(w) AS e FROM placed WHERE kind <> 'entropy' AND n >= CASE kind {_LEAST} END
 ), words AS (
   SELECT doc_id, s, w, CASE WHEN regexp_matches(w, '{LIMITS[0][0]}') THEN {LIMITS[0][1]} WHEN regexp_matches(w, '{LIMITS[1][0]}') THEN {LIMITS[1][1]} ELSE {LIMITS[2][1]} END AS bits
-  FROM placed WHERE kind = 'entropy' AND length(w) >= {WINDOW} AND regexp_matches(w, '[0-9]') AND NOT ({_ALLOW})
+  FROM placed WHERE kind = 'entropy' AND length(w) >= {WINDOW} AND regexp_matches(w, '[A-Z0-9]') AND NOT ({_ALLOW})
 ), windows AS (
-  SELECT doc_id, s, w, bits, k, substr(w, k + 1, {WINDOW}) AS v FROM (SELECT *, unnest(generate_series(0, length(w) - {WINDOW})) AS k FROM words) x
+  SELECT doc_id, s, w, bits, k, substr({_MARKED}, k + 1, {WINDOW}) AS v FROM (SELECT *, unnest(generate_series(0, length(w) - {WINDOW})) AS k FROM words) x
 ), classed AS (
-  SELECT doc_id, s, k, v, CASE WHEN {_ONE_CASE} THEN {LIMITS[0][1]} WHEN regexp_matches(w, '{SAMPLES}') THEN log2({WINDOW}) + 1
+  SELECT doc_id, s, k, v, CASE WHEN {_ONE_CASE} THEN {LIMITS[0][1]} WHEN contains(v, '{MARK}') THEN log2({WINDOW}) + 1
+         WHEN {_PLAIN} THEN CASE WHEN {_LETTERS} THEN {LETTERS} ELSE log2({WINDOW}) + 1 END
          WHEN regexp_matches(v, '[^A-Za-z0-9]') THEN bits ELSE least(bits, {LIMITS[1][1]}) END AS bits FROM windows
 ), letters AS (
   SELECT doc_id, s, bits, k, c, count(*) AS n FROM (SELECT *, unnest(string_split(v, '')) AS c FROM classed) x GROUP BY ALL

@@ -688,6 +688,21 @@ def test_entropy_after_a_key_or_path(spark):
     assert not any("entropy" in x for x in told[len(texts) :])
 
 
+def test_recall_of_letters_and_beside_samples(spark):
+    """Random letters, and values after a path with a sample word, are found; names, paths, dates, UUIDs and sample values aren't."""
+    rnd, letters = random.Random(16), string.ascii_letters
+    kinds = [("", letters, 32), ("", letters + string.digits, 32), ("/example/", letters + string.digits, 32), ("sample=", letters, 40), ("/dummy/", letters + string.digits + "+/", 40)]
+    rows = [(100 * k + i, f"see {before}{''.join(rnd.choices(of, k=n))} there") for k, (before, of, n) in enumerate(kinds) for i in range(100)]
+    few = [
+        "getElementsByClassNameOfDocument", "/home/user/projects/example/README/index/of/files", "this_is_a_rather_long_name_of_a_variable", "InternationalisationOfStatements",
+        "id=2024-01-15T10:20:30Z_2024-02-16", "123e4567-e89b-12d3-a456-426614174000", "https://example.com/examples/sampleAppConfigExample", "yourExampleKeyGoesHereExample123",
+    ]
+    told = {r.doc_id: r.spans for r in secret_scan.report(frame(spark, [(i, t, "en", "s", 0) for i, t in rows + list(enumerate(few, 1000))])).collect()}
+    for k, kind in enumerate(kinds):
+        assert sum("entropy" in told[100 * k + i] for i in range(100)) >= 90, kind
+    assert not [t for i, t in enumerate(few, 1000) if "entropy" in told[i]]
+
+
 def test_secrets_and_their_sql_agree(spark):
     """Windows of all classes, glued to keys, paths and sample words."""
     rnd = random.Random(17)
