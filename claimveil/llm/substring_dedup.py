@@ -8,9 +8,9 @@ tell for each window the smallest document that holds it. (5) Chunks remove what
 segments travel as packed arrays; documents are dealt once. Segments count as equal by their bytes, fingerprints only bring
 them together.
 
-A name whose distinct segments come to over HOT bytes would make one part large. The name table finds these names, and their
-segments fall into windows that go each by its own fingerprint, so they spread over all parts and equal windows still meet.
-These windows travel without their bytes and count as equal by 96 bits of two hashes, beside the part.
+A name whose segments come to over HOT bytes would make one part large. The name table, where all chunks meet, finds these
+names, and their segments fall into windows, each a segment named by its own fingerprint. So they spread over all parts, equal
+windows still meet, and they go through the index with their bytes like all others.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ from .rindex import RunLengthIndex
 LENGTH, KEY = 50, 24
 #: Bytes of text in a chunk, in a part of the name table and in an index part, on average.
 CHUNK, NAMES, PART = 6 << 20, 32 << 20, 4 << 20
-#: Bytes of one name's distinct segments from which its windows go by themselves; it may reach twice that unnoticed.
+#: Bytes of one name's segments, those of all chunks, from which its windows go by themselves. Chunks tell what a name has there only from
+#: HOT / chunks or a longest segment on; else the usual bytes of a segment count, so a name may reach some four times that unnoticed.
 HOT = 1 << 20
 #: Windows in a segment at most, and bytes of documents that are hashed, or of names that are indexed, at a time: what a core's cache holds.
 WINDOWS, SLICE, INDEX = 200, 1 << 17, 1 << 16
-BASE, OTHER = 0x100000001B3, 0x9E3779B97F4A7C15
+BASE = 0x100000001B3
 LAST = np.iinfo(np.int64).max
 
 
@@ -89,10 +90,10 @@ class Segments:
         """64-bit fingerprints of some segments' whole texts, with their names and lengths mixed in."""
         return self.prints(self.first[at], self.windows[at] + length - 1, self.name[at])
 
-    def prints(self, first: np.ndarray, size: np.ndarray, name: np.ndarray, base: int = BASE) -> np.ndarray:
+    def prints(self, first: np.ndarray, size: np.ndarray, name: np.ndarray) -> np.ndarray:
         """64-bit fingerprints of strings, with their names and lengths mixed in."""
         n = len(self.data)
-        power, inverse = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+        power, inverse = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
         power[0] = inverse[0] = 1
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[:n], out=total[1:])
@@ -124,19 +125,17 @@ class _Repeats:
     """A chunk's segments of repeated names: its distinct ones, by index part and fingerprint, and where each occurs."""
 
     def __init__(self, ids: list, texts: list[bytes], repeated: np.ndarray, hot: np.ndarray, parts: int, length: int):
-        self.slices, keys, names, owners, single = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        self.slices, keys, names, owners = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, own, s in _in_slices(ids, texts, length, parts):
             at = np.minimum(np.searchsorted(repeated, s.name), max(len(repeated) - 1, 0))
             mine = np.flatnonzero(repeated[at] == s.name) if len(repeated) else np.zeros(0, np.int64)
             alone = np.isin(s.name[mine], hot)
             mine, alone = mine[~alone], mine[alone]
             windows = _spread(s.first[alone], s.windows[alone]).astype(np.int64)
-            fixed, unnamed = np.full(len(windows), length), np.zeros(len(windows), np.uint64)
-            prints = s.prints(windows, fixed, unnamed) if len(windows) else unnamed
-            more = s.prints(windows, fixed, unnamed, OTHER) if len(windows) else unnamed
+            unnamed = np.zeros(len(windows), np.uint64)
+            prints = s.prints(windows, np.full(len(windows), length), unnamed) if len(windows) else unnamed
             keys += [s.keys(mine, length), prints]
-            names += [s.name[mine], _placed(prints, parts) & ~np.uint64(0xFFFFFFFF) | more >> np.uint64(32)]
-            single += [np.zeros(len(mine), bool), np.ones(len(windows), bool)]
+            names += [s.name[mine], _placed(prints, parts)]
             doc, first = np.concatenate([s.doc[mine], np.repeat(s.doc[alone], s.windows[alone])]), np.concatenate([s.first[mine], windows])
             owners.append(own[doc])
             self.slices.append((a, own, s.data, s.begins, s.ends, doc, first, np.concatenate([s.windows[mine], np.ones(len(windows), np.int64)])))
@@ -148,18 +147,17 @@ class _Repeats:
         #: Of each distinct segment: an occurrence, fingerprint, name and smallest document; of each occurrence its segment.
         self.occurrence, self.number, keys = _distinct(names >> np.uint64(32), keys, owners, first, sizes, data)
         self.key, self.name, self.least = keys[self.occurrence], names[self.occurrence], owners[self.occurrence]
-        self.single = np.concatenate(single)[self.occurrence]
         self.ends = np.searchsorted(self.name >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
     def texts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths of the distinct segments, and their bytes side by side; a hot name's window goes without, as length zero."""
+        """Lengths of the distinct segments, and their bytes side by side."""
         sizes, bodies, at = [np.zeros(0, np.int64)], [], 0
         place = np.argsort(self.occurrence)
         found = self.occurrence[place]
         for _, _, data, _, _, _, first, windows in self.slices:
             low, high = np.searchsorted(found, (at, at + len(first)))
             mine = found[low:high] - at
-            sizes.append(np.where(self.single[place[low:high]], 0, windows[mine] + length - 1))
+            sizes.append(windows[mine] + length - 1)
             bodies.append(data[_spread(first[mine], sizes[-1])])
             at += len(first)
         sizes, body = np.concatenate(sizes), np.concatenate([np.zeros(0, np.uint8), *bodies])
@@ -238,6 +236,16 @@ def _heavy(names: np.ndarray, sizes: np.ndarray, found: list[Segments], least: i
     return many[total >= least], total[total >= least]
 
 
+def _hot(names: np.ndarray, count: np.ndarray, heavy: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+    """Of the names that all chunks sent, those of several documents whose segments come to HOT bytes.
+
+    names: sorted, with how often each was sent, at most twice a chunk; heavy: names, once for each chunk that told their bytes there.
+    A segment around one key is at most 2 length - KEY bytes long.
+    """
+    told = np.bincount(np.searchsorted(names, heavy), weight, len(names)).astype(np.int64)
+    return names[(count > 1) & (told + count * (2 * length - min(KEY, length)) >= HOT)]
+
+
 def _owners(names: np.ndarray, least: np.ndarray, sizes: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
     """For the windows of distinct segments, which lie side by side in the order of their names, the smallest document each.
 
@@ -290,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
         names, owners, sizes = np.concatenate(names), np.concatenate(owners), np.concatenate(sizes)
         order = np.lexsort((owners, names))
         names, owners = names[order], owners[order]
-        heavy, weight = _heavy(names, sizes[order], found, HOT // chunks, length)
+        heavy, weight = _heavy(names, sizes[order], found, max(HOT // chunks, WINDOWS + length), length)
         fresh = np.ones(len(names), bool)
         fresh[1:] = (names[1:] != names[:-1]) | (owners[1:] != owners[:-1])
         names = names[fresh]
@@ -309,12 +317,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
         """For each chunk, those of its names that occur in several documents, and which of them are hot."""
         sent = [_loose(x) for x in group.column("names").to_pylist()]
         told, count = np.unique(np.concatenate(sent), return_counts=True)
-        told = told[count > 1]
-        told = np.append(told, np.uint64(0xFFFFFFFFFFFFFFFF))  # no name
-        back = [x[told[np.searchsorted(told, x)] == x] for x in map(np.unique, sent)]
         heavy, weight = (np.concatenate(x) for x in zip(*(_unpack(x, np.uint64, np.int64) for x in group.column("heavy").to_pylist())))
-        heavy, of = np.unique(heavy, return_inverse=True)
-        hot = heavy[np.bincount(of, weight, len(heavy)) >= HOT]
+        hot = _hot(told, count, heavy, weight, length)
+        told = np.append(told[count > 1], np.uint64(0xFFFFFFFFFFFFFFFF))  # no name
+        back = [x[told[np.searchsorted(told, x)] == x] for x in map(np.unique, sent)]
         burnt = [_tight(x[np.isin(x, hot)]) for x in back]
         return pa.table({"chunk": group.column("chunk"), "names": pa.array([_tight(x) for x in back], pa.binary()), "hot": pa.array(burnt, pa.binary())})
 
@@ -342,9 +348,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
         begin = np.cumsum(sizes) - sizes
         mine, number, _ = _distinct(names, keys, least, begin, sizes, body)
         body = body[_spread(begin[mine], sizes[mine])]
-        windows, whole = np.maximum(sizes[mine] - length + 1, 1), sizes[mine] > 0
-        owner = np.repeat(least[mine], windows)
-        owner[np.repeat(whole, windows)] = _owners(names[mine][whole], least[mine][whole], sizes[mine][whole], body, length)
+        windows = sizes[mine] - length + 1
+        owner = _owners(names[mine], least[mine], sizes[mine], body, length)
         starts = np.cumsum(windows) - windows
         change = np.ones(len(owner), bool)
         change[1:] = owner[1:] != owner[:-1]

@@ -119,13 +119,30 @@ def test_hot_name_is_spread(spark, monkeypatch):
     apart = substring_dedup._Repeats(list(range(len(texts))), texts, every, hot, parts, 50)
     sizes, body = apart.texts(50)
     part = (apart.name >> np.uint64(32)).astype(np.int64)
-    assert np.bincount(part[apart.single]).max() < 2 * apart.single.sum() / parts and np.bincount(part[~apart.single], sizes[~apart.single]).max() < 300_000
-    assert len(body) == sizes.sum() and not sizes[apart.single].any()
+    windows = np.isin(apart.name, substring_dedup._placed(apart.key, parts))
+    assert windows.sum() > 20_000 and (sizes[windows] == 50).all() and np.bincount(part, sizes).max() < 2 * sizes.sum() / parts
+    begin = np.cumsum(sizes) - sizes
+    every = {t[a : a + 50] for t in texts for a in range(len(t) - 49)}
+    assert len(body) == sizes.sum() and all(body[begin[k] : begin[k] + 50].tobytes() in every for k in np.flatnonzero(windows)[::97])
     monkeypatch.setattr(substring_dedup, "HOT", 1 << 16)
     got = substring_dedup.remove_repeats(frame(spark, rows).repartition(8), output="digest").collect()
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50) and sum(r.n_removed for r in got) > 0
 
 
+def test_hot_name_is_noticed_in_chunks_that_have_it_once(spark, monkeypatch):
+    """Many chunks, each with one segment of a name: none can tell that it is hot, the name table does."""
+    names = np.array([3, 5, 7, 9], np.uint64)
+    none = np.zeros(0, np.uint64)
+    assert substring_dedup._hot(names, np.array([20_000, 2, 1, 100]), none, none.astype(np.int64), 50).tolist() == [3]
+    heavy, weight = np.array([5, 7, 9, 5], np.uint64), np.array([600_000, 2_000_000, 1_000, 500_000])
+    assert substring_dedup._hot(names, np.array([20_000, 2, 1, 100]), heavy, weight, 50).tolist() == [3, 5]  # 7: in one document
+    rows = passages(300)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 1000)
+    monkeypatch.setattr(substring_dedup, "HOT", 3000)
+    got = substring_dedup.remove_repeats(frame(spark, rows).repartition(8), output="digest").collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50) and sum(r.n_removed for r in got) > 0
+
+
 def test_equal_fingerprints_are_told_apart_by_bytes():
     rnd = random.Random(20)
     strings = [bytes(rnd.choices(b"ab", k=rnd.randint(0, 6))) for _ in range(200)]
