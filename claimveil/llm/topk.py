@@ -7,27 +7,30 @@ is taken, and the exact integer score last. Bounds are enlarged by more than the
 
 A query has a score to beat from the first row on: the k-th best among the other queries of its block, and in every slice of
 rows the k with the highest bounds are scored first.
+
+Queries of one block are broadcast. More are written to the shared folder, a file a block, and each task holds a range of its rows
+while it goes through the blocks: one job of (range, block) cells, which reads the rows once and shuffles none of them.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship, table
+from .common import fresh_dir, ship, table
 
 SCALE = 1024
 #: Segments at each resolution.
 LEVELS = (1, 8, 32)
-#: Queries that are sent to the executors at a time: with 64 components 2 MB.
-BLOCK = 4096
-ROWS = 512
+#: Queries that are compared at a time: with 64 components 2 MB. Rows that are, and bytes of rows that a task holds while it goes through blocks.
+BLOCK, ROWS, RANGE = 4096, 512, 32 << 20
 #: Components of that size or more take no part; scores under WHOLE are exact as doubles.
 LARGEST, WHOLE = 1e140, 2.0**53
 
@@ -53,6 +56,10 @@ def segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return means, np.stack([x[:, p].std(1) * np.sqrt(len(p)) for p in parts], 1)
 
 
+def resolutions(x: np.ndarray) -> list[np.ndarray]:
+    return [np.hstack(segments(x, n)) for n in LEVELS]
+
+
 def floors(ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """The k-th best score of each query among the other queries; none if there are fewer."""
     out = np.full(len(ids), -np.inf)
@@ -70,7 +77,7 @@ class Search:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
         self.ids, self.queries, self.k, self.floor = ids, queries, k, np.minimum(floor, 2.0**62)
-        self.levels = [np.hstack(segments(queries, n)) for n in LEVELS]
+        self.levels = resolutions(queries)
         #: Over the rounding error of any sum of a row's products.
         self.slack = 1e-9 * (1 + np.sqrt((queries**2).sum(1)))
         self.best = np.full((len(ids), k), -np.inf)
@@ -113,9 +120,10 @@ class Search:
         told += [(int(self.ids[k]), i, -s) for k, best in self.large.items() for s, i in best]
         return tuple(zip(*told)) or ((), (), ())
 
-    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, rows: np.ndarray, told: list[np.ndarray] | None = None) -> None:
+        """Takes rows in; told: their segments at each resolution."""
         size = np.sqrt((rows**2).sum(1))
-        told = [np.hstack(segments(rows, n)) for n in LEVELS]
+        told = told or resolutions(rows)
         for q in range(len(self.ids)):
             left = np.flatnonzero(ids != self.ids[q])
             self.seen += len(left)
@@ -133,29 +141,71 @@ class Search:
                 self._take(q, ids[left], rows[left])
 
 
-def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each task's k best rows for one block of queries."""
+def _searches(batches: list[pa.RecordBatch], k: int) -> dict[int, Search]:
+    """A search for the queries of each length; the batches hold at most BLOCK rows."""
     told: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for b in queries.toArrow().to_batches():  # at most BLOCK rows
+    for b in batches:
         for rows, x in whole_numbers(b, 1):
             told.setdefault(x.shape[1], []).append((b.column(0).to_numpy(zero_copy_only=False)[rows], x))
-    blocks = {}
+    out = {}
     for size, found in told.items():
         ids, x = (np.concatenate(c) for c in zip(*found))
-        blocks[size] = ids, x, floors(ids, x, k)
-    sent = vectors.sparkSession.sparkContext.broadcast(blocks)
+        out[size] = Search(ids, x, floors(ids, x, k), k)
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of rows of one length, at most ROWS at a time."""
+    for b in batches:
+        for a in range(0, len(b), ROWS):
+            part = b.slice(a, ROWS)
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            yield from ((ids[rows], x) for rows, x in whole_numbers(part, 1) if len(rows))
+
+
+def _found(searches: dict[int, Search]) -> Iterator[pa.RecordBatch]:
+    for search in searches.values():
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in search.results()], ["query_id", "vec_id", "score"])
+
+
+def _one_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each task's k best rows for queries that are one block."""
+    sent = vectors.sparkSession.sparkContext.broadcast(_searches(queries.toArrow().to_batches(), k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = copy.deepcopy(sent.value)  # tasks of one worker share what was sent
+        for ids, x in _slices(batches):
+            if x.shape[1] in searches:
+                searches[x.shape[1]].add(ids, x)
+        yield from _found(searches)
+
+    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _many_blocks(vectors: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFrame:
+    """The k best rows of each range of rows for each query, in one pass."""
+    at = fresh_dir(vectors.sparkSession, "queries")
+    queries.repartition(blocks).write.option("maxRecordsPerFile", BLOCK).parquet(at)
+
+    def cells(held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(at)
+        for file in sorted(x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet")):
+            searches = _searches(parquet.read_table(file, filesystem=store, partitioning=None).to_batches(), k)
+            for ids, x, told in held:
+                if x.shape[1] in searches:
+                    searches[x.shape[1]].add(ids, x, told)
+            yield from _found(searches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = {size: Search(*block, k) for size, block in sent.value.items()}
-        for b in batches:
-            for a in range(0, len(b), ROWS):
-                part = b.slice(a, ROWS)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                for rows, x in whole_numbers(part, 1):
-                    if len(rows) and x.shape[1] in searches:
-                        searches[x.shape[1]].add(ids[rows], x)
-        for search in searches.values():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in search.results()], ["query_id", "vec_id", "score"])
+        held, size = [], 0
+        for ids, x in _slices(batches):
+            held.append((ids, x, resolutions(x)))
+            size += x.nbytes
+            if size >= RANGE:
+                yield from cells(held)
+                held, size = [], 0
+        if held:
+            yield from cells(held)
 
     return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -166,20 +216,16 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id"
     Components count as floor(1024 x), and scores are exact; one beyond the range of a long counts as its limit. is_query: a condition on ``vec_id``. Ties go to the smaller id. Rows that are null,
     empty, or hold a null or non-finite component, or one of 1e140 or more, take no part, nor do rows without an id; a repeated id is one query for
     each of its rows, told apart by nothing, so ids should be distinct. Vectors meet those of their own length alone. No
-    queries or no candidates: no rows. Other columns are not read. Queries are sent in blocks of at most ``BLOCK``, and every
-    block passes over all rows.
+    queries or no candidates: no rows. Other columns are not read. Up to ``BLOCK`` queries are broadcast; more are read by the tasks
+    from the shared folder, which must be one that ``pyarrow.fs`` reads.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).where("vec_id is not null and embedding is not null")
     queries = rows.where(is_query)
-    n = queries.count()
-    blocks = max(1, -(-n * 5 // (BLOCK * 4)))  # a fifth more room for blocks that come out uneven
-    found = []
-    for block in range(blocks):
-        part = _block(rows, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block), k)
-        found.append(cut(part) if blocks > 1 else part)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    found = _one_block(rows, queries, k) if blocks == 1 else _many_blocks(rows, queries, blocks, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -573,6 +573,26 @@ def test_top_k_leaves_rows_unscored(n):
             assert [(-int(s), c) for s, c in zip(search.best[i], search.best_id[i])] == want
 
 
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    """Queries in files, ranges of a few rows; vectors of two lengths, a repeated id, rows that take no part."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(60)]
+    rows += [(2000, None), (2010, [None] * 8), (2020, []), (None, [1.0] * 8)] + [(1, [0.5] * 8)] * 40
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = set(map(tuple, topk.top_k(table, "vec_id % 3 = 0").collect()))
+    good = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and None not in v]
+    for q, v in good:
+        if q % 3 == 0:
+            best = sorted((-int(v @ w), c) for c, w in good if c != q and len(w) == len(v))[:10]
+            assert {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)} <= want
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "ROWS", 8)
+    monkeypatch.setattr(topk, "RANGE", 1000)
+    found = topk.top_k(table, "vec_id % 3 = 0")
+    assert set(map(tuple, found.collect())) == want and "Union" not in found._jdf.queryExecution().toString()
+    assert topk.top_k(table, "vec_id % 3 = 1").where("query_id = 1").count() == 10
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(50, 24)), rng.normal(size=(60, 24))
