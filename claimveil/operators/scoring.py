@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from claimveil.sources import lexicon as L
+
 from claimveil.operators.spans import clusters
 
 
@@ -133,6 +135,19 @@ def by_type(rows: DataFrame) -> DataFrame:
     return sums.select("type", "tp", "fn", "fp", n.alias("n_truth"), F.try_divide("tp", n).alias("recall"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
+def catalogue(types: DataFrame) -> DataFrame:
+    """The catalogue of identifiers, each with what ``by_type`` tells of its types: how many were planted and caught, and recall.
+
+    Identifiers without types, or that weren't planted, have zeros and no recall.
+    """
+    rows = [(*r, L.SAFE_HARBOR_TYPES.get(r[0], [])) for r in L.SAFE_HARBOR]
+    listed = types.sparkSession.createDataFrame(rows, "n int, identifier string, present boolean, detection string, transformation string, residual_risk string, types array<string>")
+    told = listed.select("n", F.explode("types").alias("type")).join(types, "type").groupBy("n").agg(F.sum("n_truth").alias("planted"), F.sum("tp").alias("caught"))
+    zero = F.lit(0).cast("long")
+    out = listed.drop("types").join(F.broadcast(told), "n", "left")  # a row for each identifier
+    return out.select(*listed.drop("types").columns, F.coalesce("planted", zero).alias("n_planted"), F.coalesce("caught", zero).alias("n_caught"), F.try_divide("caught", "planted").alias("recall"))
+
+
 def overall(types: DataFrame) -> DataFrame:
     """All types together: counts and recall; precision and recall are never averaged."""
     sums = types.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fn", "fp", "n_truth")])

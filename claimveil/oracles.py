@@ -5,7 +5,7 @@ For notes the answer has a closed form: each template's fields are known, and wi
 
 from __future__ import annotations
 
-from claimveil.queries import END, GENERATED, SALT, START
+from claimveil.queries import END, SALT, START
 from claimveil.sources import adapters as X
 from claimveil.sources import lexicon as L
 
@@ -387,8 +387,12 @@ def _quoted(x: object) -> str:
     return str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
 
-add("safe_harbor_catalogue", "", "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_quoted, r))})" for r in L.SAFE_HARBOR) + ") v(n, identifier, present, detection, transformation, residual_risk)",
-    "n", "", "identifier present detection transformation residual_risk")
+_TYPES = ", ".join(f"({n}, '{t}')" for n, types in L.SAFE_HARBOR_TYPES.items() for t in types)
+add("safe_harbor_catalogue", "truth detected outcomes", f"""
+  SELECT v.*, coalesce(planted, 0) AS n_planted, coalesce(caught, 0) AS n_caught, caught / nullif(planted, 0) AS recall
+  FROM (VALUES {", ".join(f"({', '.join(map(_quoted, r))})" for r in L.SAFE_HARBOR)}) v(n, identifier, present, detection, transformation, residual_risk)
+  LEFT JOIN (SELECT k.n, sum(tp + fn) AS planted, sum(tp) AS caught FROM outcomes o JOIN (VALUES {_TYPES}) k(n, type) ON o.type = k.type GROUP BY k.n) m ON m.n = v.n""",
+    "n n_planted n_caught", "recall", "identifier present detection transformation residual_risk")
 
 
 # The generator. Draws are told by the md5 of a seed and names, as numbers in [0, 1).
@@ -421,7 +425,7 @@ def _people() -> str:
     name = lambda u, known, unseen: f"CASE WHEN u_unseen < 0.3 THEN {_choice(u, unseen)} ELSE {_choice(u, known)} END"
     place = lambda k: _choice("u_city", [c[k] for c in L.CITIES])
     return f"""
-SELECT id, concat({_choice(_u("id", "'plan'"), ["H", "P"])}, {_own("member", 1, 9)}, lpad(CAST(id AS VARCHAR), 8, '0')) AS member_id, age, {_choice(_u("id", "'sex'"), ["F", "M"])} AS sex,
+SELECT id, concat({_choice(_u("id", "'plan'"), ["H", "P"])}, {_own("member", 1, 9)}, lpad(CAST(id AS VARCHAR), greatest(8, CAST(length(CAST(id AS VARCHAR)) AS INTEGER)), '0')) AS member_id, age, {_choice(_u("id", "'sex'"), ["F", "M"])} AS sex,
        first_name, last_name, concat({_own("house", 1, 9999)}, ' ', {_choice(_u("id", "'street'"), L.STREETS)}) AS street, {place(0)} AS city, {place(1)} AS state,
        CASE WHEN u_small < 0.08 THEN {_choice("u_zip", L.SMALL_ZIPS)} ELSE {place(2)} END AS zip5,
        concat('(', {_own("p1", 200, 989)}, ') ', {_own("p2", 200, 999)}, '-', {_own("p3", 1000, 9999)}) AS phone,
@@ -430,7 +434,7 @@ SELECT id, concat({_choice(_u("id", "'plan'"), ["H", "P"])}, {_own("member", 1,
        concat('ACCT-', {_own("account", 100000, 999999)}) AS account_number, u_unseen >= 0.3 AS name_in_gazetteer, {", ".join(_CONDITIONS)},
        round(0.6 + age / 250 + {risk}, 3) AS risk_score
 FROM (SELECT *, {flags}, {name("u_first", L.FIRST_KNOWN, L.FIRST_UNSEEN)} AS first_name, {name("u_last", L.SURNAMES_KNOWN, L.SURNAMES_UNSEEN)} AS last_name
-      FROM (SELECT range AS id, {drawn.replace("(':', '17', id", "(':', '17', range")}, {age.replace("'17', id", "'17', range")} AS age FROM range({GENERATED})) a) b"""
+      FROM (SELECT id, {drawn}, {age} AS age FROM (SELECT c_custkey AS id FROM customer) c) a) b"""
 
 
 def _day(base: str, name: str, low: int, high: int, sign: str = "+") -> str:
@@ -495,14 +499,14 @@ VIEWS["billed"] = f"""
       SELECT *, CAST(floor({_OF("span")} * len(starts)) + 1 AS BIGINT) AS s FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM counted WHERE n > 0) x) y) z
   WHERE b - a > 1"""
 VIEWS["written"] = f"""
-  SELECT concat('N', lpad(CAST(id AS VARCHAR), 8, '0'), k) AS note_id, member_id AS owner, {", ".join(f"{sql} AS {f}" for f, sql in _FIELD.items())}, {_of_note("template", 0, len(L.NOTE_TEMPLATES) - 1)} AS template
+  SELECT concat('N', lpad(CAST(id AS VARCHAR), greatest(8, CAST(length(CAST(id AS VARCHAR)) AS INTEGER)), '0'), k) AS note_id, member_id AS owner, {", ".join(f"{sql} AS {f}" for f, sql in _FIELD.items())}, {_of_note("template", 0, len(L.NOTE_TEMPLATES) - 1)} AS template
   FROM (SELECT p.*, unnest(range(1, ([0, 0, 0, 1, 1, 2])[{_draw(_u("p.id", "'notes'"), 1, 6)}] + 1)) AS k FROM people p JOIN days d ON d.id = p.id) x"""
 
 _MEMBER = "member_id sex first_name last_name street city state zip5 phone email ssn mrn account_number name_in_gazetteer " + " ".join(_CONDITIONS)
 add("generate_members", "people", "SELECT * FROM people", "age", "risk_score", _MEMBER)
 add("generate_eligibility", "people kinds covered", "SELECT member_id, CAST(a AS VARCHAR) AS span_start, CAST(b AS VARCHAR) AS span_end FROM covered", "", "", "member_id span_start span_end")
 add("generate_claims", "people kinds covered days rates means counted billed", f"""
-  SELECT concat('C', lpad(CAST(id AS VARCHAR), 9, '0'), substr(c, 1, 2), lpad(CAST(k AS VARCHAR), 4, '0')) AS claim_id, member_id, CAST(d AS VARCHAR) AS service_date, c AS service_category, 1 AS units,
+  SELECT concat('C', lpad(CAST(id AS VARCHAR), greatest(9, CAST(length(CAST(id AS VARCHAR)) AS INTEGER)), '0'), substr(c, 1, 2), lpad(CAST(k AS VARCHAR), 4, '0')) AS claim_id, member_id, CAST(d AS VARCHAR) AS service_date, c AS service_category, 1 AS units,
          floor(CAST(price AS DOUBLE) * (0.55 + {_OF("price")} * 1.05) * CASE WHEN c = 'inpatient' AND year(d) * 4 + quarter(d) >= {L.SHOCK_START[0] * 4 + L.SHOCK_START[1]} THEN CAST({L.SHOCK_PRICE} AS DOUBLE) ELSE 1 END * 100 + 0.5) / 100 AS paid_amount,
          concat('1', {_draw(_OF("npi"), 100_000_000, 999_999_999)}) AS provider_npi FROM billed""", "units", "paid_amount", "claim_id member_id service_date service_category provider_npi")
 add("generate_notes", "people kinds covered days written", "SELECT note_id, owner AS member_id, CASE template " + " ".join(f"WHEN {t} THEN concat({', '.join(map(_piece, parts))})" for t, parts in enumerate(_PARTS)) + " END AS text FROM written", "", "", "note_id member_id text")

@@ -411,32 +411,35 @@ def external_roll_hashed(spark, sf_dir):
 
 @query
 def safe_harbor_catalogue(spark, sf_dir):
-    return spark.createDataFrame(L.SAFE_HARBOR, "n int, identifier string, present boolean, detection string, transformation string, residual_risk string")
+    """Each identifier of the catalogue, and how much of it is found in the notes."""
+    return scoring.catalogue(_scored(spark, sf_dir))
 
 
-GENERATED = 8000
+def _generated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A made-up member in the place of each customer."""
+    return synth.generate_for(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
 
 
 @query
 def generate_members(spark, sf_dir):
-    return synth.generate(spark, GENERATED)["members"]
+    return _generated(spark, sf_dir)["members"]
 
 
 @query
 def generate_eligibility(spark, sf_dir):
-    return synth.generate(spark, GENERATED)["eligibility"].select("member_id", F.col("span_start").cast("string"), F.col("span_end").cast("string"))
+    return _generated(spark, sf_dir)["eligibility"].select("member_id", F.col("span_start").cast("string"), F.col("span_end").cast("string"))
 
 
 @query
 def generate_claims(spark, sf_dir):
-    return synth.generate(spark, GENERATED)["claims"].withColumn("service_date", F.col("service_date").cast("string"))
+    return _generated(spark, sf_dir)["claims"].withColumn("service_date", F.col("service_date").cast("string"))
 
 
 @query
 def generate_notes(spark, sf_dir):
-    return synth.generate(spark, GENERATED)["notes"]
+    return _generated(spark, sf_dir)["notes"]
 
 
 @query
 def generate_truth_spans(spark, sf_dir):
-    return synth.generate(spark, GENERATED)["truth_spans"]
+    return _generated(spark, sf_dir)["truth_spans"]

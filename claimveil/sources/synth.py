@@ -1,4 +1,7 @@
-"""Members, eligibility, claims and notes made up from hashes of row numbers: the same rows however they are partitioned."""
+"""Members, eligibility, claims and notes made up from hashes of numbers: the same rows however they are partitioned.
+
+The numbers are a range, or a table's key: then each of its rows has a made-up person in its place.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +29,12 @@ def choose(u: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), between(u, 1, len(values)))
 
 
+def padded(number: str, digits: int) -> Column:
+    """A column of numbers with so many digits at least."""
+    text = F.col(number).cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), F.lit("0"))
+
+
 def normal(u: Column, v: Column) -> Column:
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
 
@@ -47,6 +56,12 @@ def poisson(u: Column, v: Column, mean: Column) -> Column:
 
 
 def members(spark: SparkSession, n: int = 8000, seed: int = 17, unseen_fraction: float = 0.30) -> DataFrame:
+    return members_for(spark.range(n), seed, unseen_fraction)
+
+
+def members_for(ids: DataFrame, seed: int = 17, unseen_fraction: float = 0.30) -> DataFrame:
+    """A member for each number in the column ``id``, which must be distinct and not negative; more columns are not read."""
+
     def u(name: str) -> Column:
         return uniform(seed, F.col("id"), name)
 
@@ -54,7 +69,7 @@ def members(spark: SparkSession, n: int = 8000, seed: int = 17, unseen_fraction:
         return between(u(name), low, high).cast("string")
 
     city = F.element_at(F.array(*[F.struct(F.lit(c).alias("city"), F.lit(s).alias("state"), F.lit(z).alias("zip5")) for c, s, z in L.CITIES]), between(u("city"), 1, len(L.CITIES)))
-    people = spark.range(n).withColumns({"unseen": u("unseen") < unseen_fraction, "place": city, "age": F.greatest(F.lit(0), F.least(F.lit(94), (52 + 20 * normal(u("age1"), u("age2"))).cast("int")))})
+    people = ids.select("id").withColumns({"unseen": u("unseen") < unseen_fraction, "place": city, "age": F.greatest(F.lit(0), F.least(F.lit(94), (52 + 20 * normal(u("age1"), u("age2"))).cast("int")))})
     people = people.withColumns({
         "first_name": F.when(F.col("unseen"), choose(u("first"), L.FIRST_UNSEEN)).otherwise(choose(u("first"), L.FIRST_KNOWN)),
         "last_name": F.when(F.col("unseen"), choose(u("last"), L.SURNAMES_UNSEEN)).otherwise(choose(u("last"), L.SURNAMES_KNOWN)),
@@ -64,7 +79,7 @@ def members(spark: SparkSession, n: int = 8000, seed: int = 17, unseen_fraction:
     for c, (_, _, weight) in L.CONDITIONS.items():
         risk = risk + F.when(F.col(f"cond_{c}"), weight).otherwise(0.0)
     # numbers that tell members apart have the row's number in them
-    unique = F.lpad(F.col("id").cast("string"), 8, "0")
+    unique = padded("id", 8)
     return people.select(
         "id", F.concat(choose(u("plan"), ["H", "P"]), number("member", 1, 9), unique).alias("member_id"), "age", choose(u("sex"), ["F", "M"]).alias("sex"),
         "first_name", "last_name", F.concat(number("house", 1, 9999), F.lit(" "), choose(u("street"), L.STREETS)).alias("street"),
@@ -127,7 +142,7 @@ def claims(covered: DataFrame, seed: int = 17) -> DataFrame:
     told = told.where(length > 1).withColumn("d", day)
     price = F.col("r.price") * (0.55 + u("price") * 1.05) * F.when(dear, L.SHOCK_PRICE).otherwise(1.0)
     return told.select(
-        F.concat(F.lit("C"), F.lpad(F.col("id").cast("string"), 9, "0"), F.substring("r.c", 1, 2), F.lpad(F.col("k").cast("string"), 4, "0")).alias("claim_id"), "member_id", F.col("d").alias("service_date"),
+        F.concat(F.lit("C"), padded("id", 9), F.substring("r.c", 1, 2), F.lpad(F.col("k").cast("string"), 4, "0")).alias("claim_id"), "member_id", F.col("d").alias("service_date"),
         F.col("r.c").alias("service_category"), F.lit(1).alias("units"), F.round(price, 2).cast("decimal(18,2)").alias("paid_amount"), F.concat(F.lit("1"), between(u("npi"), 100_000_000, 999_999_999).cast("string")).alias("provider_npi"),
     )
 
@@ -157,7 +172,7 @@ def notes(covered: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
         told_parts = F.array(*[F.struct((fields[f] if f else F.lit(lit)).alias("value"), F.lit(L.FIELD_TYPES.get(f)).cast("string").alias("type")) for lit, f in pieces(text)])
         parts = F.when(F.col("template") == t, told_parts).otherwise(parts) if t < len(L.NOTE_TEMPLATES) - 1 else told_parts
     told = told.withColumn("template", between(u("template"), 0, len(L.NOTE_TEMPLATES) - 1)).withColumn("parts", parts)
-    note_id = F.concat(F.lit("N"), F.lpad(F.col("id").cast("string"), 8, "0"), F.col("k").cast("string"))
+    note_id = F.concat(F.lit("N"), padded("id", 8), F.col("k").cast("string"))
     empty = F.array().cast("array<struct<start:int,end:int,type:string,value:string>>")
 
     def step(s: Column, p: Column) -> Column:
@@ -172,7 +187,12 @@ def notes(covered: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
 
 def generate(spark: SparkSession, n: int = 8000, seed: int = 17) -> dict[str, DataFrame]:
     """All tables by name."""
-    people = members(spark, n, seed)
+    return generate_for(spark.range(n), seed)
+
+
+def generate_for(ids: DataFrame, seed: int = 17) -> dict[str, DataFrame]:
+    """All tables by name, for members with these numbers."""
+    people = members_for(ids, seed)
     covered = spans(people, seed)
     told, planted = notes(covered, seed)
     return {"members": people.drop("id"), "eligibility": eligibility(covered), "claims": claims(covered, seed), "notes": told, "truth_spans": planted}

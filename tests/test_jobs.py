@@ -2,6 +2,7 @@ import json
 
 from claimveil.plans import attack, method, pipeline
 from claimveil.queries import QUERIES
+from claimveil.sources import synth
 
 
 def test_jobs(spark, tmp_path):
@@ -25,5 +26,11 @@ def test_method_without_names():
     assert "n/a" in method.render({"score_by_type": [{"type": "ssn", "n_truth": 0, "tp": 0, "fn": 0, "fp": 1, "recall": None}], "score_overall": [{"n_truth": 0, "tp": 0, "fn": 0, "fp": 1, "recall": None}]})
 
 
-def test_generator_queries_make_the_references_number_of_members(spark):
-    assert QUERIES["generate_members"](spark, "").count() == 8000
+def test_generator_queries_make_a_member_for_each_customer(spark, tmp_path):
+    spark.createDataFrame([(7, "x"), (4000, "y"), (90_000_000_000, "z")], "c_custkey long, name string").write.parquet(f"{tmp_path}/customer.parquet")
+    made = {r.member_id[2:]: r for r in QUERIES["generate_members"](spark, str(tmp_path)).collect()}
+    assert set(made) == {"00000007", "00004000", "90000000000"}
+    assert made["00000007"].ssn == synth.members(spark, 8).where("id = 7").first().ssn and synth.members(spark).count() == 8000
+    spark.createDataFrame([], "c_custkey long").write.parquet(f"{tmp_path}/none/customer.parquet")
+    for name in ("members", "eligibility", "claims", "notes", "truth_spans"):
+        assert QUERIES[f"generate_{name}"](spark, f"{tmp_path}/none").count() == 0

@@ -120,6 +120,15 @@ def test_catalogue():
     assert [r[0] for r in L.SAFE_HARBOR] == list(range(1, 19)) and all("N/A" in r[5] for r in L.SAFE_HARBOR if not r[2])
 
 
+def test_catalogue_with_what_is_found(spark):
+    types = spark.createDataFrame([("address", 3, 1, 0, 4), ("zip", 2, 0, 5, 2), ("ssn", 0, 0, 1, 0)], "type string, tp long, fn long, fp long, n_truth long")
+    told = {r.n: r for r in scoring.catalogue(types).collect()}
+    assert sorted(told) == list(range(1, 19)) and (told[2].n_planted, told[2].n_caught) == (6, 5) and abs(told[2].recall - 5 / 6) < 1e-12
+    assert all((told[n].n_planted, told[n].n_caught, told[n].recall) == (0, 0, None) for n in told if n != 2)
+    assert all(r.n_planted == 0 for r in scoring.catalogue(types.limit(0)).collect())
+    assert sorted({t for types in L.SAFE_HARBOR_TYPES.values() for t in types}) == sorted(set(L.FIELD_TYPES.values()))
+
+
 def test_generated_notes(spark):
     made = synth.generate(spark, 800)
     notes = {r.note_id: r.text for r in made["notes"].collect()}
