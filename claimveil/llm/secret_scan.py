@@ -4,7 +4,8 @@ Where a pattern matches comes from splitting the text by it. A candidate string'
 one character at a time: the counts of the character that enters and of the one that leaves change by one, and so does their
 share of the sum. Counts are kept five bits each in a few long integers, so a step costs the same however long the string. Limits differ by class of characters,
 the window's or the whole string's, whichever is lower, so a key or path before a value doesn't raise the value's limit; an
-allow-list drops what looks random but isn't secret. All offsets are code points; everything happens within a row.
+allow-list drops what looks random but isn't secret. Strings too short for the usual window have a shorter one, which must
+also mix letters of both cases. All offsets are code points; everything happens within a row.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ KINDS = {
 HAS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 BODY = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{BODY})(?=[a-z+/_=-]*[A-Z0-9]){BODY}{{20,}}"
-WINDOW = 20
+#: Characters of a window, and of one in strings shorter than that.
+WINDOW, SHORT = 20, 16
+CANDIDATE = rf"(?<!{BODY})(?=[a-z+/_=-]*[A-Z0-9]){BODY}{{{SHORT},}}"
 #: Least entropy in bits a character by class: hexadecimal of one case; letters and digits; with signs as well.
 LIMITS = (("^(?:[0-9a-f]+|[0-9A-F]+)$", 2.8), ("^[A-Za-z0-9]+$", 3.6), ("", 3.8))
 #: Not secrets: UUIDs, numbers and dates, samples from manuals, strings that count up, and those without two letters and two digits.
@@ -41,6 +43,10 @@ ALLOWED = (
 SAMPLES, PLAIN = ALLOWED[2], ALLOWED[4:]
 #: Windows of letters alone: least entropy, and least number of letters of either case.
 LETTERS, CASES = 3.8, 6
+#: Short windows but hexadecimal ones: least entropy, and least number of letters of either case beside two digits, and beside fewer.
+MIXED, BESIDE, ALONE = 3.4, 3, 5
+#: A string with a run like this has no short windows but hexadecimal ones: it is made of words.
+WORDLIKE = "[a-z]{5}"
 #: Takes the place of each character of a sample word; no candidate holds it.
 MARK = "~"
 #: What a character adds to its window's tally: a digit, a-f, A-F, a sign, g-z, G-Z or a mark; sums of twenty stay apart.
@@ -59,15 +65,16 @@ def _found(text: Column, pattern: str, kind: str, group: int, least: int) -> Col
     return F.transform(long, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))).cast(SPAN)
 
 
-def _random_part(word: Column) -> Column:
+def _random_part(word: Column, window: int) -> Column:
     """First and end place of the windows in a word whose entropy reaches the limit of their class, or null.
 
     A window of hexadecimal digits in a word of other characters needs two letters and two digits, one in a word without both
-    letters of both cases and nothing else. Windows that hold a sample word don't count, unlike what stands beside it.
+    letters of both cases and nothing else. Windows that hold a sample word don't count, unlike what stands beside it. Short
+    windows hold letters of both cases, and no signs.
     """
-    plogp = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 3)]
+    plogp = [c * math.log2(c) if c else 0.0 for c in range(window + 3)]
     #: What the sum of c log c gains when the n-th of a character enters, and loses when the n-th leaves.
-    gains, losses = F.array(*[F.lit(plogp[c + 1] - plogp[c]) for c in range(WINDOW + 2)]), F.array(F.lit(0.0), *[F.lit(plogp[c] - plogp[c - 1]) for c in range(1, WINDOW + 2)])
+    gains, losses = F.array(*[F.lit(plogp[c + 1] - plogp[c]) for c in range(window + 2)]), F.array(F.lit(0.0), *[F.lit(plogp[c] - plogp[c - 1]) for c in range(1, window + 2)])
     limit = F.lit(LIMITS[-1][1])
     for pattern, bits in reversed(LIMITS[:-1]):
         limit = F.when(word.rlike(pattern), bits).otherwise(limit)
@@ -76,7 +83,7 @@ def _random_part(word: Column) -> Column:
     for sample in SAMPLES.removeprefix("(?i)").split("|"):
         marked = F.regexp_replace(marked, f"(?i){sample}", MARK * len(sample))
     plain = F.lit(False)
-    for pattern in PLAIN:
+    for pattern in (WORDLIKE,) if window == SHORT else PLAIN:
         plain = plain | word.rlike(pattern)
     #: By place in the alphabet (0: none): the long integer that holds the count, the bits before it, and one in its place.
     where = [(-1, 0, 0), *(((p // EACH), p % EACH * BITS, 1 << p % EACH * BITS) for p in range(len(ALPHABET) + 1))]
@@ -84,7 +91,7 @@ def _random_part(word: Column) -> Column:
 
     def moves(places: Column) -> Column:
         """For each character that enters the window and the one that leaves it, where their counts are."""
-        pairs = F.transform(places, lambda p, i: F.struct((p + 1).alias("into"), (F.coalesce(F.get(places, i - WINDOW), F.lit(0)) + 1).alias("out")))
+        pairs = F.transform(places, lambda p, i: F.struct((p + 1).alias("into"), (F.coalesce(F.get(places, i - window), F.lit(0)) + 1).alias("out")))
         return F.transform(pairs, lambda x: F.struct(
             *[F.element_at(table_, x[side]).alias(f"{side}_{name}") for side in ("into", "out") for name, table_ in (("at", holder), ("shift", shift), ("one", one))],
             (F.element_at(tally, x["into"]) - F.element_at(tally, x["out"])).alias("tally"), (x["into"] == x["out"]).cast("int").alias("same"),
@@ -94,16 +101,20 @@ def _random_part(word: Column) -> Column:
         """Whether the window that ends here reaches the limit of its class."""
         of = lambda unit: F.call_function("div", s["tally"], F.lit(unit)) % 100 if unit > 1 else s["tally"] % 100
         digits, low, up, sign = of(DIGIT), of(LOWER), of(UPPER), of(SIGN) > 0
-        hexadecimal = digits.between(2, WINDOW - 2) & ((digits + low == WINDOW) | (digits + up == WINDOW))
-        letters = (digits == 0) & ~sign & (low + of(SMALL) >= CASES) & (up + of(CAPITAL) >= CASES)
+        hexadecimal = digits.between(2, window - 2) & ((digits + low == window) | (digits + up == window))
+        either = F.least(low + of(SMALL), up + of(CAPITAL))
         never = F.lit(math.log2(WINDOW) + 1)
-        usual = F.when(sign, s["limit"]).otherwise(F.least(s["limit"], F.lit(LIMITS[1][1])))
-        told = F.when(s["plain"], F.when(letters, LETTERS).otherwise(never)).otherwise(usual)
+        if window == SHORT:
+            told = F.when(~s["plain"] & ~sign & (either >= F.when(digits >= 2, BESIDE).otherwise(ALONE)), MIXED).otherwise(never)
+        else:
+            letters = (digits == 0) & ~sign & (either >= CASES)
+            usual = F.when(sign, s["limit"]).otherwise(F.least(s["limit"], F.lit(LIMITS[1][1])))
+            told = F.when(s["plain"], F.when(letters, LETTERS).otherwise(never)).otherwise(usual)
         least = F.when(hexadecimal, LIMITS[0][1]).when(of(MARKED) > 0, never).otherwise(told)
-        return (s["n"] >= WINDOW) & (math.log2(WINDOW) + 1e-9 - s["sum"] / WINDOW >= least)
+        return (s["n"] >= window) & (math.log2(window) + 1e-9 - s["sum"] / window >= least)
 
     def judged(s: Column) -> list[Column]:
-        first = F.when(s["first"].isNotNull(), s["first"]).when(high(s), s["n"] - WINDOW)
+        first = F.when(s["first"].isNotNull(), s["first"]).when(high(s), s["n"] - window)
         return [first.alias("first"), F.when(high(s), s["n"]).otherwise(s["end"]).alias("end")]
 
     def step(s: Column, x: Column) -> Column:
@@ -138,7 +149,10 @@ def _random_part(word: Column) -> Column:
 
 def _entropy(text: Column) -> Column:
     """Spans of candidate strings' random parts."""
-    parts = F.transform(matches(text, CANDIDATE), lambda w: F.struct(w["start"].alias("start"), _random_part(w["match"]).alias("p")))
+    def random(word: Column) -> Column:
+        return F.when(F.length(word) >= WINDOW, _random_part(word, WINDOW)).otherwise(_random_part(word, SHORT))
+
+    parts = F.transform(matches(text, CANDIDATE), lambda w: F.struct(w["start"].alias("start"), random(w["match"]).alias("p")))
     found = F.filter(parts, lambda x: x["p"]["first"].isNotNull())
     kind = [F.lit(len(KINDS)).alias("rank"), F.lit("entropy").alias("kind")]
     return F.transform(found, lambda x: F.struct((x["start"] + x["p"]["first"]).alias("start"), kind[0], (x["start"] + x["p"]["end"]).alias("end"), kind[1])).cast(SPAN)
@@ -230,7 +244,9 @@ for _x in SAMPLES.removeprefix("(?i)").split("|"):
     _MARKED = f"regexp_replace({_MARKED}, '(?i){_x}', '{MARK * len(_x)}', 'g')"
 _NUMBER = lambda of: f"length(regexp_replace(v, '[^{of}]', '', 'g'))"
 _LETTERS = f"regexp_full_match(v, '[A-Za-z]+') AND {_NUMBER('a-z')} >= {CASES} AND {_NUMBER('A-Z')} >= {CASES}"
-_ONE_CASE = "regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 2 AND " + str(WINDOW - 2)
+_ONE_CASE = "regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 2 AND wide - 2"
+_EITHER = f"least({_NUMBER('a-z')}, {_NUMBER('A-Z')})"
+_MIXED = f"regexp_full_match(v, '[A-Za-z0-9]+') AND NOT regexp_matches(w, '{WORDLIKE}') AND {_EITHER} >= CASE WHEN {_NUMBER('0-9')} >= 2 THEN {BESIDE} ELSE {ALONE} END"
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(_sql_matches(*x) for x in _ALL)}),
@@ -240,20 +256,21 @@ placed AS (
 ), base AS (
   SELECT doc_id, kind, rank, s, s + length(w) AS e FROM placed WHERE kind <> 'entropy' AND n >= CASE kind {_LEAST} END
 ), words AS (
-  SELECT doc_id, s, w, CASE WHEN regexp_matches(w, '{LIMITS[0][0]}') THEN {LIMITS[0][1]} WHEN regexp_matches(w, '{LIMITS[1][0]}') THEN {LIMITS[1][1]} ELSE {LIMITS[2][1]} END AS bits
-  FROM placed WHERE kind = 'entropy' AND length(w) >= {WINDOW} AND regexp_matches(w, '[A-Z0-9]') AND NOT ({_ALLOW})
+  SELECT doc_id, s, w, CASE WHEN length(w) >= {WINDOW} THEN {WINDOW} ELSE {SHORT} END AS wide, CASE WHEN regexp_matches(w, '{LIMITS[0][0]}') THEN {LIMITS[0][1]} WHEN regexp_matches(w, '{LIMITS[1][0]}') THEN {LIMITS[1][1]} ELSE {LIMITS[2][1]} END AS bits
+  FROM placed WHERE kind = 'entropy' AND length(w) >= {SHORT} AND regexp_matches(w, '[A-Z0-9]') AND NOT ({_ALLOW})
 ), windows AS (
-  SELECT doc_id, s, w, bits, k, substr({_MARKED}, k + 1, {WINDOW}) AS v FROM (SELECT *, unnest(generate_series(0, length(w) - {WINDOW})) AS k FROM words) x
+  SELECT doc_id, s, w, bits, wide, k, substr({_MARKED}, k + 1, wide) AS v FROM (SELECT *, unnest(generate_series(0, length(w) - wide)) AS k FROM words) x
 ), classed AS (
-  SELECT doc_id, s, k, v, CASE WHEN {_ONE_CASE} THEN {LIMITS[0][1]} WHEN contains(v, '{MARK}') THEN log2({WINDOW}) + 1
+  SELECT doc_id, s, wide, k, v, CASE WHEN {_ONE_CASE} THEN {LIMITS[0][1]} WHEN contains(v, '{MARK}') THEN log2({WINDOW}) + 1
+         WHEN wide = {SHORT} THEN CASE WHEN {_MIXED} THEN {MIXED} ELSE log2({WINDOW}) + 1 END
          WHEN {_PLAIN} THEN CASE WHEN {_LETTERS} THEN {LETTERS} ELSE log2({WINDOW}) + 1 END
          WHEN regexp_matches(v, '[^A-Za-z0-9]') THEN bits ELSE least(bits, {LIMITS[1][1]}) END AS bits FROM windows
 ), letters AS (
-  SELECT doc_id, s, bits, k, c, count(*) AS n FROM (SELECT *, unnest(string_split(v, '')) AS c FROM classed) x GROUP BY ALL
+  SELECT doc_id, s, bits, wide, k, c, count(*) AS n FROM (SELECT *, unnest(string_split(v, '')) AS c FROM classed) x GROUP BY ALL
 ), high AS (
-  SELECT doc_id, s, k FROM letters GROUP BY doc_id, s, k, bits HAVING -sum(n / {WINDOW} * log2(n / {WINDOW})) >= bits - 1e-9
+  SELECT doc_id, s, wide, k FROM letters GROUP BY doc_id, s, wide, k, bits HAVING -sum(n / wide * log2(n / wide)) >= bits - 1e-9
 ), random AS (
-  SELECT doc_id, 'entropy' AS kind, 3 AS rank, s + min(k) AS s, s + max(k) + {WINDOW} AS e FROM high GROUP BY doc_id, high.s
+  SELECT doc_id, 'entropy' AS kind, 3 AS rank, s + min(k) AS s, s + max(k) + any_value(wide) AS e FROM high GROUP BY doc_id, high.s
 ), every AS (
   SELECT * FROM base UNION ALL
   SELECT * FROM random r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e)

@@ -740,6 +740,22 @@ def test_recall_of_letters_and_beside_samples(spark):
     assert not [t for i, t in enumerate(few, 1000) if "entropy" in told[i]]
 
 
+def test_recall_of_short_values(spark):
+    """Random values of 16 to 19 characters are found; names, dates, paths and numbers of that length aren't."""
+    rnd = random.Random(18)
+    kinds = [("", string.ascii_letters + string.digits, 16), ("", string.ascii_letters + string.digits, 18), ("id=", string.ascii_letters + string.digits, 16), ("", "0123456789ABCDEF", 16)]
+    rows = [(300 * k + i, f"see {before}{''.join(rnd.choices(of, k=n))} there") for k, (before, of, n) in enumerate(kinds) for i in range(300)]
+    few = [
+        "September2024Report", "conversation2023", "windows2019server", "ISO8601DateFormat", "20240115T103000Z", "2024-01-15T10-30", "/usr/Local/Bin64", "1234567890123456", "getElementsByName", "Straßenbahn12345Ab",
+        "HTTP/1.1-200-OK/x", "CAPITALS_AND_1234", "AAAAbbbb11112222", "x" * 15 + "A1", "Ab1" * 5, "sampleKeyAbC12xYz",
+    ]
+    told = {r.doc_id: r.spans for r in secret_scan.report(frame(spark, [(i, t, "en", "s", 0) for i, t in rows + list(enumerate(few, 5000))])).collect()}
+    found = {kind: sum("entropy" in told[300 * k + i] for i in range(300)) / 300 for k, kind in enumerate(kinds)}
+    print(found)
+    assert min(found.values()) >= 0.8, found
+    assert not [t for i, t in enumerate(few, 5000) if "entropy" in told[i]]
+
+
 def test_secrets_and_their_sql_agree(spark):
     """Windows of all classes, glued to keys, paths and sample words."""
     rnd = random.Random(17)
