@@ -83,3 +83,21 @@ def test_hash_sample_is_the_same_everywhere(spark):
     df = spark.range(4000).withColumn("k", F.col("id").cast("string"))
     a = {r.id for r in df.where(K.hash_kept("k", 0.85, 99)).collect()}
     assert a == {r.id for r in df.repartition(9).where(K.hash_kept("k", 0.85, 99)).collect()} and 0.82 < len(a) / 4000 < 0.88
+
+
+def test_nothing_to_verify(spark, tmp_path):
+    """Forty copies of each customer, so that nobody is alone: the query tells 0/0 like its SQL, the operator 0."""
+    import duckdb
+
+    from claimveil.oracles import ORACLES
+    from claimveil.queries import QUERIES
+
+    db = duckdb.connect()
+    db.execute(f"COPY (SELECT 1 + i % 95 * 228 AS c_custkey, 0 AS c_nationkey FROM range(40 * 95) t(i)) TO '{tmp_path}/customer.parquet'")
+    db.execute(f"COPY (SELECT 0 AS n_nationkey, 'X' AS n_name) TO '{tmp_path}/nation.parquet'")
+    for t in ("customer", "nation"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = QUERIES["verify_attack"](spark, str(tmp_path))
+    names = sorted(df.columns)
+    told = db.execute(f"SELECT {', '.join(names)} FROM ({ORACLES['verify_attack']}) x").fetchall()
+    assert repr([tuple(r) for r in df.select(*names).collect()]) == repr(told) and told[0][names.index("n_checked")] == 0
