@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimveil.functions import arrays
 from claimveil.sources import lexicon as L
 from claimveil.sources.adapters import pieces
 
@@ -43,16 +44,27 @@ def poisson(u: Column, v: Column, mean: Column) -> Column:
     """A Poisson number by its inverse distribution; over a mean of 30 a rounded-down normal one, not below zero.
 
     The distribution is summed up to ten standard deviations over the mean and a dozen more, beyond which a double has no part of it.
+    Few numbers need all of that sum: where u is reached within two deviations, it ends there. u and the mean are computed once a row, not at each step.
     """
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
 
-    def step(s: Column, k: Column) -> Column:
-        p = s["p"] * mean / k
-        return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), (s["n"] + (u >= s["sum"]).cast("int")).alias("n"))
+    def counted(at: Column) -> Column:
+        u, mean = at["u"], at["mean"]
+        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
 
-    small = F.aggregate(F.sequence(F.lit(1), F.ceil(mean + 10 * F.sqrt(mean)).cast("int") + 12), start, step, lambda s: s["n"])
-    large = F.greatest(F.lit(0), (mean + normal(u, v) * F.sqrt(mean)).cast("int"))
-    return F.when(mean <= 0, 0).when(mean > 30, large).otherwise(small)
+        def step(s: Column, k: Column) -> Column:
+            p = s["p"] * mean / k
+            return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), (s["n"] + (u >= s["sum"]).cast("int")).alias("n"))
+
+        def up_to(last: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"])
+
+        near = F.ceil(mean + 2 * F.sqrt(mean)).cast("int") + 2  # the sum never falls, so a number below this is final
+        far = F.ceil(mean + 10 * F.sqrt(mean)).cast("int") + 12
+        small = arrays.bind(up_to(near), lambda n: F.when(n < near, n).otherwise(up_to(far)))
+        large = F.greatest(F.lit(0), (mean + normal(u, v) * F.sqrt(mean)).cast("int"))
+        return F.when(mean <= 0, 0).when(mean > 30, large).otherwise(small)
+
+    return arrays.bind(F.struct(u.alias("u"), mean.alias("mean")), counted)
 
 
 def members(spark: SparkSession, n: int = 8000, seed: int = 17, unseen_fraction: float = 0.30) -> DataFrame:
@@ -130,16 +142,17 @@ def claims(covered: DataFrame, seed: int = 17) -> DataFrame:
     rates = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("rate"), F.lit(p).alias("price")) for c, (r, p) in L.CATEGORIES.items()]))
     told = covered.withColumn("days", covered_days()).where("days > 0").select("id", "member_id", "risk_score", "days", "spans", rates.alias("r"))
     n = poisson(uniform(seed, F.col("id"), F.col("r.c"), "n"), uniform(seed, F.col("id"), F.col("r.c"), "m"), F.col("r.rate") * F.col("risk_score") * F.col("days") / 365.0)
-    told = told.withColumn("n", n).where("n > 0").withColumn("k", F.explode(F.expr("sequence(1, n)")))
+    # an outer generator: for others Spark infers a filter on the number, and would draw it again for that
+    told = told.withColumn("n", n).withColumn("k", F.explode_outer(F.expr("CASE WHEN n > 0 THEN sequence(1, n) END"))).where("k is not null")
 
     def u(name: str) -> Column:
         return uniform(seed, F.col("id"), F.col("r.c"), F.col("k"), name)
 
-    told = told.withColumn("span", F.element_at("spans", (F.floor(u("span") * F.size("spans")) + 1).cast("int")))
-    length = F.date_diff("span.b", "span.a")
-    day = F.date_add("span.a", F.floor(u("day") * length).cast("int"))
+    told = told.withColumn("span", F.element_at("spans", (F.floor(u("span") * F.size("spans")) + 1).cast("int"))).drop("spans", "n", "days", "risk_score")
+    # again an outer generator, so that what is asked of the span and the day doesn't draw them again
+    told = told.select("id", "member_id", "r", "k", F.inline_outer(F.array(F.struct(F.col("span.a").alias("a"), F.date_diff("span.b", "span.a").alias("length")))))
+    told = told.where("length > 1").withColumn("d", F.date_add("a", F.floor(u("day") * F.col("length")).cast("int")))
     dear = (F.col("r.c") == "inpatient") & (F.struct(F.year("d"), F.quarter("d")) >= F.struct(*map(F.lit, L.SHOCK_START)))
-    told = told.where(length > 1).withColumn("d", day)
     price = F.col("r.price") * (0.55 + u("price") * 1.05) * F.when(dear, L.SHOCK_PRICE).otherwise(1.0)
     return told.select(
         F.concat(F.lit("C"), padded("id", 9), F.substring("r.c", 1, 2), F.lpad(F.col("k").cast("string"), 4, "0")).alias("claim_id"), "member_id", F.col("d").alias("service_date"),

@@ -82,3 +82,21 @@ def test_part_of_a_long_text(spark):
     rows = spark.createDataFrame([(text, a, b) for a, b in places], "t string, a int, b int")
     for r in rows.withColumn("p", arrays.bind(arrays.chunks(F.col("t")), lambda c: arrays.part(c, F.col("a"), F.col("b")))).collect():
         assert r.p == text[r.a : r.b]
+
+
+def test_few_rows_are_dealt_to_tasks(spark, tmp_path):
+    """One small file whose rows take much work: as many tasks as its rows need, and no shuffle for very few rows."""
+    from claimveil.functions.deal import dealt
+
+    spark.range(3000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    assert dealt(t, "id", 100).rdd.getNumPartitions() == 30 and dealt(t, "id", 10**6).rdd.getNumPartitions() == 4
+    assert dealt(t.limit(10), "id", 100).rdd.getNumPartitions() == 1 and dealt(t, "id", 100).distinct().count() == 3000
+
+
+def test_numbers_are_drawn_once(spark):
+    """The Poisson number of a claim's category is neither drawn again at each step of its sum nor for a filter."""
+    from claimveil.sources import synth
+
+    plan = synth.generate(spark, 100)["claims"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", n) as binary") == 1
