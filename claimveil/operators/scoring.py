@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -99,16 +99,39 @@ def score_spans(found: DataFrame, truth: DataFrame, tolerance: int = 0, key: str
     simple = told.select(key, "type", *[f.cast("int").alias(c) for f, c in zip(flags, ("tp", "fn", "fp"))])
     run, kind = sweep(tolerance), StructType([found.schema[key]]).simpleString()[7:-1]
 
-    def match(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("start", "end", "type", "planted"))), key=lambda r: (r[0], r[1], r[2] or ""))
-        spans, found = [r[:3] for r in rows if r[3]], [r[:3] for r in rows if not r[3]]
-        hits, spare = run(spans, found)
-        told = [(t[2], int(h), int(not h), 0) for t, h in zip(spans, hits)] + [(found[i][2], 0, 0, 1) for i in spare]
-        keys = group.column(0).combine_chunks().take(pa.array([0] * len(told), pa.int64()))
-        return pa.table([keys, *[pa.array([r[k] for r in told], pa.int32() if k else pa.string()) for k in range(4)]], names=[group.column_names[0], "type", "tp", "fn", "fp"])
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Clusters one after the other, in batches; the last one of a batch may go on in the next."""
+
+        def told(keys: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+            taken = keys.take(pa.array([r[0] for r in out], pa.int64()))
+            return pa.RecordBatch.from_arrays([taken, *[pa.array([r[k] for r in out], pa.int32() if k > 1 else pa.string()) for k in range(1, 5)]], names=[key, "type", "tp", "fn", "fp"])
+
+        def flush(i: int, rows: list[tuple]) -> list[tuple]:
+            rows.sort(key=lambda r: (r[0], r[1], r[2] or ""))
+            spans, found = [r[:3] for r in rows if r[3]], [r[:3] for r in rows if not r[3]]
+            hits, spare = run(spans, found)
+            return [(i, t[2], int(h), int(not h), 0) for t, h in zip(spans, hits)] + [(i, found[j][2], 0, 0, 1) for j in spare]
+
+        rows, at, held = [], None, None  # the cluster so far, which it is, and its key
+        for batch in batches:
+            keys = pa.concat_arrays([batch.column(0), held if held is not None else batch.column(0).slice(0, 0)])  # the held key comes last
+            place, out = batch.num_rows, []
+            for i, (note, cluster, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if rows and (note, cluster) != at:
+                    out += flush(place, rows)
+                    rows = []
+                rows.append(tuple(row))
+                at, place = (note, cluster), i
+            if out:
+                yield told(keys, out)
+            if batch.num_rows:
+                held = batch.column(0).slice(batch.num_rows - 1, 1)
+        if rows:
+            yield told(held, flush(0, rows))
 
     messy = sized.where(~alone).select(key, "cluster", "start", "end", "type", "planted")
-    return simple.union(messy.groupBy(key, "cluster").applyInArrow(match, f"{kind.replace(':', ' ', 1)}, type string, tp int, fn int, fp int"))
+    # the windows have dealt the rows by key; sorted, a task's clusters follow each other, and none is started for each of them
+    return simple.union(messy.repartition(key).sortWithinPartitions(key, "cluster").mapInArrow(match, f"{kind.replace(':', ' ', 1)}, type string, tp int, fn int, fp int"))
 
 
 def score_notes(notes: DataFrame, truth: DataFrame, tolerance: int = 0, key: str = "note_id", spans: str = "spans") -> DataFrame:
