@@ -100,3 +100,13 @@ def test_numbers_are_drawn_once(spark):
 
     plan = synth.generate(spark, 100)["claims"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(", n) as binary") == 1
+
+
+def test_notes_are_made_where_orders_are_dealt(spark, tmp_path):
+    """Short orders are shuffled, not the texts made of them."""
+    from claimveil.sources import adapters
+
+    spark.sql("SELECT id AS o_orderkey, id % 7 AS o_custkey, TIMESTAMP '2000-01-01' AS o_orderdate FROM range(3000)").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("notes", "truth", "odd_notes"):
+        assert adapters.load(spark, str(tmp_path), name, 100).rdd.getNumPartitions() == 30
+    assert sorted(map(tuple, adapters.load(spark, str(tmp_path), "notes", 100).collect())) == sorted(map(tuple, adapters.load(spark, str(tmp_path), "notes").collect()))
