@@ -165,3 +165,19 @@ def test_one_file(spark, tmp_path):
     with pytest.raises(Exception):
         write_file(spark, f"{tmp_path}/full", "a folder of that name is not replaced")
     assert os.listdir(f"{tmp_path}/full") == ["x"] and not [f for f in os.listdir(tmp_path) if f.startswith(".full")]
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("stored"))
+    spark.createDataFrame(list(enumerate(TEXTS)), "note_id int, text string").write.parquet(f"{folder}/notes")
+    spark.createDataFrame([(0, 8, 13, "name", "Smith")], "note_id int, start int, end int, type string, value string").write.parquet(f"{folder}/spans")
+    return spark.read.parquet(f"{folder}/notes"), spark.read.parquet(f"{folder}/spans")
+
+
+def test_scores_read_each_side_once(stored):
+    assert scans(scoring.score_spans(stored[1], stored[1], 2)) == 2
