@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,46 +16,90 @@ from claimveil.sources import lexicon as L
 SPAN = "array<struct<start:int,end:int,type:string,value:string>>"
 
 
+#: A character that is no part of any pattern's match but a URL's.
+MARK = "\x00"
+#: White space other than blanks.
+SPACES = "\t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Pieces of a text up to which a place is summed up anew for each match.
+PIECES = 64
 #: Candidates of a text up to which they are packed in one list.
 FEW = 64
 #: Bytes of a table, by Spark's estimate, up to which ``spread`` may deal its rows out.
 DEALT = 256 << 20
+#: Characters of a text up to which ``detect_rows`` settles its candidates where it is read.
+LONG = 1 << 20
 
 
-def _span(start: Column, value: Column, kind: str) -> Column:
-    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.lit(kind).alias("type"), value.alias("value"))
+def _span(start: Column, value: Column, kind: Column) -> Column:
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), kind.alias("type"), value.alias("value"))
 
 
-def matches(text: Column, pattern: str, kind: str, groups: tuple[int, ...] = (), parts: int = 0, drop: list[str] | None = None, sign: str = "") -> Column:
-    """Spans of all matches of a pattern, from the left, in code points.
+def _read(text: Column) -> Column:
+    """What rules need of a text: ``body``, in which no character is MARK, whether it is ``ascii``, and ``shape``, with 0 for all digits and a blank for all white space.
 
-    With groups, which must tile the match, each named group is a span of its own; words in drop are left out. sign: a
-    string that every match holds, looked for first.
+    Texts that hold digits of other scripts have no shape. A null text is empty.
     """
-    full = "(?U)" + pattern
+    body = F.coalesce(text, F.lit(""))
+    ascii = F.octet_length(body) == F.length(body)
+    shape = F.when(ascii | ~body.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(body, "123456789" + SPACES, "000000000" + " " * len(SPACES)))
+    return F.struct(F.replace(body, F.lit(MARK), F.lit("\x01")).alias("body"), ascii.alias("ascii"), shape.alias("shape"))
 
-    def of(x: Column) -> Column:
-        if not groups:
-            return F.array(_span(x["start"], x["match"], kind))
-        at, told = x["start"], []
-        for k in range(1, max(parts, *groups) + 1):
-            value = F.regexp_extract(x["match"], full, k)
-            if k in groups:
-                told.append(_span(at, value, kind))
-            at = at + F.length(value)
-        return F.filter(F.array(*told), lambda s: ~s["value"].isin(drop)) if drop else F.array(*told)
 
-    found = F.flatten(F.transform(arrays.matches(text, full), of)) if groups else F.transform(arrays.matches(text, full), lambda x: _span(x["start"], x["match"], kind))
-    there = text.contains(sign) & text.rlike(full) if sign else text.rlike(full)
-    return F.when(there, found.cast(SPAN)).otherwise(F.array().cast(SPAN))
+def _whole(text: Column, spans: Column) -> Column:
+    """Spans whose values hold what the text does, where its MARKs were changed."""
+    own = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"))
+    return arrays.bind(spans, lambda found: F.when(text.contains(MARK), F.transform(found, own)).otherwise(found))
 
 
-def one_of(words: list[str]) -> str:
-    """A pattern for any of some words, told apart by their first letters first."""
-    by_letter: dict[str, list[str]] = {}
-    for w in sorted(words):
-        by_letter.setdefault(w[0], []).append(w[1:])
-    return r"\b(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + r")\b"
+def matches(
+    read: Column, pattern: str, kind: str | Callable[[Column], Column], groups: tuple[int, ...] = (), parts: int = 0, keep: Callable[[Column], Column] | None = None, signs: list[str] | None = None
+) -> Column:
+    """Spans of all matches of a pattern, from the left, in code points; read: what ``_read`` tells of a text.
+
+    With groups, which must tile the match, each named group is a span of its own; keep says which words count, if not all. signs: strings
+    of which the shape of every match holds one, looked for first. One pass sets MARK around matches and their groups, and the text is
+    cut there: what stands before a match, its groups, what stands before the next.
+    """
+    step, taken = max(parts, 1) + 1, groups or (1,)
+    marked = MARK + MARK.join(f"${k}" for k in (range(1, parts + 1) if parts else (0,))) + MARK
+    # of ASCII, Unicode's classes hold the same characters as the plain ones, which are faster
+    told = F.when(read["ascii"], F.regexp_replace(read["body"], F.lit(pattern), F.lit(marked))).otherwise(F.regexp_replace(read["body"], F.lit("(?U)" + pattern), F.lit(marked)))
+    typed = kind if callable(kind) else lambda _: F.lit(kind)
+    span = lambda at, value: _span(at, value, typed(value))
+
+    def one(cut: Column) -> Column:
+        piece = lambda k: F.get(cut, F.lit(k))
+        at, out = F.length(piece(0)), []
+        for k in range(1, step):
+            if k in taken:
+                out.append(span(at, piece(k)))
+            at = at + F.length(piece(k))
+        return F.filter(F.array(*out), lambda x: keep(x["value"])) if keep else F.array(*out)
+
+    def few(cut: Column) -> Column:
+        which = F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2 if step == 2 else 1))
+        if step > 2 or keep:
+            held = lambda i: reduce(lambda a, b: a | b, [i % step == k for k in taken]) if step > 2 else F.lit(True)
+            which = F.filter(which, lambda i: held(i) & keep(F.get(cut, i)) if keep else held(i))
+        before = lambda i: F.aggregate(F.slice(cut, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+        return F.transform(F.transform(which, lambda i: F.struct(before(i).alias("at"), F.get(cut, i).alias("value"))), lambda x: span(x["at"], x["value"]))
+
+    def many(cut: Column) -> Column:
+        ends = arrays.running(F.transform(cut, lambda x: F.length(x)))
+        spans = F.filter(F.zip_with(cut, ends, lambda x, e: F.struct((e - F.length(x)).alias("at"), x.alias("value"))), lambda _, i: reduce(lambda a, b: a | b, [i % step == k for k in taken]))
+        spans = F.filter(spans, lambda x: keep(x["value"])) if keep else spans
+        return F.transform(spans, lambda x: span(x["at"], x["value"]))
+
+    none = F.array().cast(SPAN)
+
+    def spans(cut: Column) -> Column:
+        n = F.size(cut)  # rules with signs mostly match once; each way is part of the plan that all tasks read, so none has all three
+        return F.when(n == 1, none).when(*((n == step + 1, one(cut)) if signs else (n <= PIECES, few(cut)))).otherwise(many(cut))
+
+    found = arrays.bind(F.split(told, MARK, -1), spans)
+    if not signs:
+        return found
+    return F.when(read["shape"].isNull() | reduce(lambda a, b: a | b, [read["shape"].contains(x) for x in signs]), found).otherwise(none)
 
 
 def _packed(candidates: Column) -> Column:
@@ -85,26 +130,32 @@ def _packed_apart(candidates: Column) -> Column:
     return arrays.bind(F.array_sort(spans), clusters)
 
 
-def rules(text: Column) -> list[Column]:
+def rules(read: Column) -> list[Column]:
     """Spans by each pattern and each context, in order of priority; gazetteers come after them."""
-    found = [matches(text, pattern, kind, sign=L.SIGNS.get(kind, "")) for kind, pattern in L.PATTERNS]
-    for pattern, groups in L.CONTEXTS:
-        found.append(matches(text, pattern, "name", groups, pattern.count("(") - pattern.count("(?:"), L.STOP_WORDS))
+    found = [matches(read, pattern, kind, signs=L.SIGNS[kind]) for kind, pattern in L.PATTERNS]
+    for (pattern, groups), signs in zip(L.CONTEXTS, L.CONTEXT_SIGNS):
+        found.append(matches(read, pattern, "name", groups, pattern.count("(") - pattern.count("(?:"), lambda x: ~x.isin(L.STOP_WORDS), signs))
     return found
 
 
+#: Words that a gazetteer may hold: a capital and small letters.
+TOKEN = r"\b[A-Z][a-z]+\b"
+
+
+def _detect(text: Column, kind: str | Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
+    """Spans by all rules and, of the capitalised words that are kept, those that overlap none of these; by start."""
+
+    def found(read: Column) -> Column:
+        return arrays.bind(F.concat(*rules(read), matches(read, TOKEN, kind, keep=keep)), lambda c: F.when(F.size(c) > FEW, _packed_apart(c)).when(F.size(c) > 1, _packed(c)).otherwise(c))
+
+    return _whole(text, arrays.bind(_read(text), found))
+
+
 def detect(text: Column) -> Column:
     """Spans of identifiers in a text, by start; of two that overlap, the one found by the earlier rule. Null text: none."""
-    text = F.coalesce(text, F.lit(""))
-    found = rules(text)
-    found.append(matches(text, one_of(L.GAZETTEER_CITIES), "address"))
     names = {*L.SURNAMES_KNOWN, *L.SURNAME_DECOYS, *L.FIRST_KNOWN, *L.FIRST_DECOYS} - set(L.STOP_WORDS)
-    found.append(matches(text, one_of(sorted(names)), "name"))
-    return arrays.bind(F.concat(*found), lambda c: F.when(F.size(c) > FEW, _packed_apart(c)).otherwise(_packed(c)))
-
-
-#: Words that a gazetteer may hold: a capital and small letters.
-TOKEN = r"\b[A-Z][a-z]+\b"
+    kind = lambda x: F.when(x.isin(L.GAZETTEER_CITIES), "address").otherwise("name")
+    return _detect(text, kind, lambda x: x.isin(sorted({*names, *L.GAZETTEER_CITIES}))).cast(SPAN)
 
 
 def gazetteer(names: DataFrame | None = None, cities: DataFrame | None = None, word: str = "word") -> DataFrame:
@@ -126,30 +177,39 @@ def own_gazetteer(spark: SparkSession) -> DataFrame:
 
 
 def detect_rows(notes: DataFrame, words: DataFrame | None = None, key: str = "note_id", text: str = "text") -> DataFrame:
-    """``(key, start, end, type, value)``: what ``detect`` finds, for any gazetteer, and without an array of a text's candidates.
+    """``(key, start, end, type, value)``: what ``detect`` finds, for any gazetteer, a table ``words`` ``(word, type)``.
 
-    Every rule makes rows of its own from a text; capitalised words meet the table ``words`` ``(word, type)`` in a join, which is
-    broadcast only if the plan says it is small. Candidates that nothing overlaps are taken as they are, those of a cluster are packed by priority.
-    Rows of one key are one text, so keys must differ; a null text has no spans.
+    Gazetteers come after all rules, and capitalised words don't overlap each other. So a text's rules are settled with its words where it is
+    read, and only words that no rule's span overlaps meet the table in a join, which is broadcast only if the plan says it is small.
+    Of texts of over LONG characters no array of all candidates is made: each rule makes rows of its own, those that nothing overlaps
+    are taken as they are, and those of a cluster are packed by priority. Rows of one key are one text, so keys must differ; a null text has no spans.
     """
     words = own_gazetteer(notes.sparkSession) if words is None else words
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = [*rules(body), matches(body, TOKEN, "token")]
+    best = F.min(F.struct((F.col("type") != "address").alias("later"), "type"))  # of a word that is listed twice
+    known = checked(words.groupBy(F.col("word").alias("_word")).agg(best["type"].alias("_type")))
+    told = [key, "start", "end", F.coalesce("_type", "type").alias("type"), "value"]
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Rows without the tokens that the table lacks; what is no token has a word of its own kind, which no table holds, and is dealt by it."""
+        word = F.when(F.col("type") == "token", F.col("value")).otherwise(F.concat(F.lit(" "), "value"))
+        return rows.withColumn("_at", word).join(known, F.col("_at") == F.col("_word"), "left").where("type != 'token' or _word is not null")
+
+    length = F.length(F.coalesce(text, F.lit("")))
+    short = met(spans_of(notes.where(length <= LONG).select(key, _detect(F.col(text), "token").alias("_spans")), key, "_spans")).select(*told)
+
+    body = F.col("_body")
+    found = [*rules(F.col("_read")), matches(F.col("_read"), TOKEN, "token")]
     cases = F.when(F.col("rule") == 0, found[0])
     for k, x in enumerate(found[1:], 1):
         cases = cases.when(F.col("rule") == k, x)
-    dealt = notes.select(key, F.coalesce(text, F.lit("")).alias(text), F.explode(F.sequence(F.lit(0), F.lit(len(found) - 1))).alias("rule"))
-    rows = dealt.select(key, "rule", F.inline_outer(cases)).where("type is not null")
-    tokens = rows.where("type = 'token'").drop("type", "rule")
-    known = checked(words.select(F.col("word"), F.col("type"), F.when(F.col("type") == "address", len(found)).otherwise(len(found) + 1).alias("rule")))
-    listed = tokens.join(known, F.col("value") == F.col("word")).select(key, "rule", "start", "end", "type", "value")
-    candidates = clusters(rows.where("type != 'token'").select(key, "rule", "start", "end", "type", "value").union(listed), key, F.col("start"), F.col("end"))
-    own = Window.partitionBy(key, "cluster")
-    sized = candidates.withColumn("n", F.count("*").over(own))
+    long = notes.where(length > LONG).select(key, F.col(text).alias("_body")).withColumn("_read", _read(body))
+    dealt = long.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(found) - 1))).alias("rule"))
+    rows = met(dealt.select(key, "rule", F.inline_outer(_whole(body, cases))).where("type is not null")).select(*told, "rule")
+    placed = clusters(rows, key, F.col("start"), F.col("end"))
     span = F.struct("start", "end", "type", "value")
-    packed = sized.where("n > 1").groupBy(key, "cluster").agg(F.array_sort(F.collect_list(F.struct("rule", "start", span.alias("span")))).alias("c"))
+    packed = placed.groupBy(key, "cluster").agg(F.array_sort(F.collect_list(F.struct("rule", "start", span.alias("span")))).alias("c"))
     packed = packed.select(key, F.inline(_packed(F.transform("c", lambda x: x["span"].cast(SPAN[6:-1])))))
-    return sized.where("n = 1").select(key, "start", "end", "type", "value").union(packed)
+    return short.union(packed)
 
 
 def with_spans(notes: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:

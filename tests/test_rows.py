@@ -181,3 +181,22 @@ def stored(spark, tmp_path_factory):
 
 def test_scores_read_each_side_once(stored):
     assert scans(scoring.score_spans(stored[1], stored[1], 2)) == 2
+
+
+def test_texts_are_tried_once_and_not_shuffled(stored):
+    """Short texts in one reading, long ones in another, which alone shuffles their candidates."""
+    told = detection.detect_rows(stored[0])
+    assert scans(told) == 2 and told._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(note_id") == 1
+
+
+def test_long_texts_by_rows(spark, stored, monkeypatch):
+    want = spans_by_key(detection.spans_of(detection.with_spans(stored[0])))
+    monkeypatch.setattr(detection, "LONG", 0)
+    assert spans_by_key(detection.detect_rows(stored[0])) == want and want
+
+
+def test_a_rule_is_one_pass(spark, stored):
+    assert "regexp_extract" not in plan(detection.with_spans(stored[0]))
+    odd = spark.createDataFrame([(1, "see http://a\0b/c \0 555 123-4567 ٣٣٣-44-5555 Smith\0Jones, Acct-12345")], "note_id int, text string")
+    got = [(r.type, r.value) for r in detection.spans_of(detection.with_spans(odd)).orderBy("start").collect()]
+    assert got[0] == ("url", "http://a\0b/c") and {("ssn", "٣٣٣-44-5555"), ("name", "Smith"), ("name", "Jones"), ("account_number", "Acct-12345")} <= set(got)
