@@ -1,19 +1,26 @@
-"""Identifiers in free text: patterns, name contexts and gazetteers, in order of priority; no Python runs on the executors."""
+"""Identifiers in free text: patterns, name contexts and gazetteers, in order of priority; Python runs on the executors only in ``places``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimveil.functions import arrays
 from claimveil.functions.joins import checked
-from claimveil.operators.spans import clusters
+from claimveil.operators.spans import PLACES, clusters
 from claimveil.sources import lexicon as L
 
 SPAN = "array<struct<start:int,end:int,type:string,value:string>>"
+#: Types of spans.
+KINDS = sorted({kind for kind, _ in L.PATTERNS} | {"name", "address"})
 
 
 #: A character that is no part of any pattern's match but a URL's.
@@ -158,6 +165,68 @@ def detect(text: Column) -> Column:
     return _detect(text, kind, lambda x: x.isin(sorted({*names, *L.GAZETTEER_CITIES}))).cast(SPAN)
 
 
+def finder() -> Callable[[pa.Array], tuple[list[int], list[tuple[int, int, int]]]]:
+    """A function of a batch of ASCII texts as binary: how many spans ``detect`` finds in each, and these as ``(start, end, number of the type in KINDS)``, by start.
+
+    Made here so that workers need nothing of this package. Arrow tells for the whole batch in which texts a rule matches at all, and only
+    these are searched. Taken places are marked, so the time grows with the texts and their matches.
+    """
+    name, address, stop = KINDS.index("name"), KINDS.index("address"), frozenset(w.encode() for w in L.STOP_WORDS)
+    known = {w.encode(): name for w in {*L.SURNAMES_KNOWN, *L.SURNAME_DECOYS, *L.FIRST_KNOWN, *L.FIRST_DECOYS} - set(L.STOP_WORDS)} | {w.encode(): address for w in L.GAZETTEER_CITIES}
+    listed = rf"\b(?:{'|'.join(sorted(w.decode() for w in known))})\b"
+    steps = [(p, p, (0,), KINDS.index(kind), frozenset(), None) for kind, p in L.PATTERNS] + [(p, p, groups, name, stop, None) for p, groups in L.CONTEXTS] + [(listed, TOKEN, (0,), name, frozenset(), known)]
+    steps = [(seen, re.compile(p.encode()), *rest) for seen, p, *rest in steps]
+
+    def find(batch: pa.Array) -> tuple[list[int], list[tuple[int, int, int]]]:
+        texts = batch.to_pylist()
+        taken: list[bytearray | None] = [None] * len(texts)
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for seen, pattern, groups, kind, never, words in steps:
+            for i in np.flatnonzero(pc.match_substring_regex(batch, seen).to_numpy(zero_copy_only=False)).tolist():
+                marks, own = taken[i], found[i]
+                if marks is None:
+                    marks = taken[i] = bytearray(len(texts[i]))
+                for m in pattern.finditer(texts[i]):
+                    if words:
+                        kind = words.get(m[0])
+                        if kind is None:
+                            continue
+                    for g in groups:
+                        start, end = m.span(g)
+                        if marks.find(1, start, end) < 0 and (not never or m[g] not in never):
+                            marks[start:end] = b"\1" * (end - start)
+                            own.append((start, end, kind))
+        for own in found:
+            own.sort()
+        return [len(own) for own in found], [x for own in found for x in own]
+
+    return find
+
+
+def places(notes: DataFrame, key: str = "note_id", text: str = "text") -> DataFrame:
+    """``(key, spans)``: what ``detect`` finds, by start and without values; a row for each text.
+
+    Texts of ASCII, where bytes are characters, are read in batches by ``finder``: ``detect`` evaluates some thousand expressions for a short
+    text, which took most of its time. Other texts come back unread, and only for them ``detect`` is evaluated; so do those with a vertical
+    tab, which Arrow's patterns don't count as white space.
+    """
+    find, kinds, kind = finder(), KINDS, StructType([notes.schema[key]]).simpleString()[7:-1].replace(":", " ", 1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            odd = pc.fill_null(pc.match_substring_regex(texts, r"[^\x00-\x0a\x0c-\x7f]"), False)
+            n, flat = find(pc.if_else(odd, b"", pc.fill_null(texts, b"")))
+            start, end, of = np.array(flat, np.int32).reshape(-1, 3).T
+            spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end), pa.array(kinds).take(pa.array(of))], ["start", "end", "type"])
+            spans = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans, pc.if_else(odd, texts, None)], names=[key, "spans", "_rest"])
+
+    told = notes.select(key, F.col(text).cast("binary")).mapInArrow(read, f"{kind}, spans {PLACES}, _rest binary")
+    other = F.transform(detect(F.col("_rest").cast("string")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))
+    return told.select(key, F.when(F.col("_rest").isNotNull(), other).otherwise(F.col("spans")).alias("spans"))
+
+
 def gazetteer(names: DataFrame | None = None, cities: DataFrame | None = None, word: str = "word") -> DataFrame:
     """``(word, type)`` for ``detect_rows``, from tables of names and of cities; stop words, short names and what isn't a capitalised word are left out."""
     told = []

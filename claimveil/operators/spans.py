@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A text's spans without their values.
+PLACES = "array<struct<start:int,end:int,type:string>>"
+
 
 def clusters(rows: DataFrame, key: str, start: Column, end: Column, name: str = "cluster") -> DataFrame:
     """rows with the number of their cluster in the key's text: a new one begins where no earlier span reaches.

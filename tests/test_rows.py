@@ -12,6 +12,7 @@ from claimveil.functions import joins
 from claimveil.operators import detection, redaction, scoring
 from claimveil.operators import reidentification as K
 from claimveil.plans.files import read_file, write_file
+from claimveil.queries import QUERIES
 from claimveil.sources import lexicon as L
 from tests.test_privacy import plain_score
 
@@ -200,3 +201,48 @@ def test_a_rule_is_one_pass(spark, stored):
     odd = spark.createDataFrame([(1, "see http://a\0b/c \0 555 123-4567 ٣٣٣-44-5555 Smith\0Jones, Acct-12345")], "note_id int, text string")
     got = [(r.type, r.value) for r in detection.spans_of(detection.with_spans(odd)).orderBy("start").collect()]
     assert got[0] == ("url", "http://a\0b/c") and {("ssn", "٣٣٣-44-5555"), ("name", "Smith"), ("name", "Jones"), ("account_number", "Acct-12345")} <= set(got)
+
+
+def lists(df):
+    return sorted((repr(r[0]), [tuple(x) for x in r.spans or []]) for r in df.collect())
+
+
+def test_places_are_what_detect_finds(spark):
+    """Batches of a few texts; those of other scripts, or with a vertical tab, by ``detect`` itself."""
+    rnd = random.Random(5)
+    words = " ".join(t for t in TEXTS if t).split() + [". ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\0", "123456789 H123456789", "Patient ", "member\nMary Smith", "Dr.\tLee", "to Prior Auth", "Case Note seen", "http://x\x01y", "mrn 12345"]
+    texts = TEXTS + [rnd.choice([" ", ""]).join(rnd.choice(words) for _ in range(rnd.randint(1, 40))) for _ in range(400)]
+    texts += [t.encode("ascii", "ignore").decode().replace("\x0b", " ") for t in texts if t]
+    texts += [" ".join(rnd.choice(words) for _ in range(20000)), "Smith and Dr. Jones, " * 50000]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        told = lists(detection.places(notes))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = detection.with_spans(notes).select("note_id", F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["type"])).alias("spans"))
+    assert told == lists(want) and sum(len(s) for _, s in told) > 50000
+
+
+@pytest.mark.parametrize("tolerance,batch", [(0, 1), (2, 3), (7, 10000)])
+def test_lists_score_as_rows(spark, tolerance, batch):
+    """Keys in several lists, or missing; spans without place or type, or that end before they begin; lists that are null or empty."""
+    rnd, sides = random.Random(tolerance), []
+    for _ in range(2):
+        some = lambda: [(rnd.choice([None, 0, *range(s, s + 1)]) if rnd.random() < 0.05 else s, s + rnd.randint(-1, 9), rnd.choice(["a", "b", None])) for s in (rnd.randrange(60) for _ in range(rnd.randint(0, 15)))]  # noqa: B023, E731
+        sides.append([(rnd.choice([None, *map(str, range(30))]), rnd.choice([None, some(), some(), some()])) for _ in range(80)])
+    found, truth = (spark.createDataFrame(x, "note_id string, spans array<struct<start:int,end:int,type:string>>") for x in sides)
+    rows = [x.select("note_id", F.inline("spans")) for x in (found, truth)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(map(tuple, scoring.score_lists(found, truth, tolerance).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(tuple, scoring.score_spans(*rows, tolerance).collect()), key=str) and got
+    assert scoring.score_lists(found.limit(0), truth.limit(0), tolerance).count() == 0
+
+
+def test_scoring_shuffles_a_row_for_each_note(spark):
+    """Not one for each span, which are neither made into rows nor sorted by windows."""
+    told = QUERIES["score_within_tolerance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in told and "Generate" not in told and told.count("MapInArrow") == 2
